@@ -13,9 +13,11 @@ UUID_PREFIX = "urn:uuid:"
 def parse_events(raw: DataFrame, body: str = "body", strict: bool = False) -> DataFrame:
     """Add ``event`` (struct), ``corrupt`` (string) and ``malformed`` (bool).
 
-    ``from_json`` runs once in its own projection; later field picks read the
-    struct, so the optimized plan keeps a single JSON parse per row (and
-    Catalyst prunes the parse schema to the fields actually used).
+    The body is parsed exactly once per row.  ``from_json`` is placed in a
+    one-element ``explode`` (a Generate node): Catalyst pushes filters through
+    plain projections by substituting the aliased expression, which would copy
+    the whole parse into every predicate that reads an event field; it does
+    not push predicates on generated columns below the Generate.
 
     A body is malformed when it does not parse (corrupt text, null, empty,
     a JSON array) or a field has the wrong type.  With ``strict`` an
@@ -26,7 +28,7 @@ def parse_events(raw: DataFrame, body: str = "body", strict: bool = False) -> Da
         EVENT_DDL,
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COL},
     )
-    df = raw.withColumn("_parsed", parsed)
+    df = raw.select("*", F.explode(F.array(parsed)).alias("_parsed"))
     corrupt = F.col("_parsed").getField(CORRUPT_COL)
     malformed = F.col("_parsed").isNull() | corrupt.isNotNull()
     if strict:

@@ -32,21 +32,22 @@ def _values(v: Column) -> Column:
 
 
 def jsonld_values(resources: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
-    """One row per (document, node, predicate, value) with validity info."""
+    """One row per (document, node, predicate, value); other columns pass through."""
+    keep = [c for c in resources.columns if c not in (url, body)]
     doc = F.try_parse_json(F.col(body))
     nodes = F.coalesce(
         F.try_variant_get(doc, '$["@graph"]', "array<variant>"),
         _values(doc),
         F.array(doc),
     )
-    n = resources.select(F.col(url).alias("url"), F.explode(nodes).alias("node"))
+    n = resources.select(F.col(url).alias("url"), *keep, F.explode(nodes).alias("node"))
     kv = n.select(
-        "url",
+        "url", *keep,
         F.try_variant_get("node", '$["@id"]', "string").alias("s"),
         F.explode(F.try_variant_get("node", "$", "map<string,variant>")).alias("key", "vals"),
     ).where(~F.col("key").isin("@id", "@context", "@index"))
     return kv.select(
-        "url", "s", "key",
+        "url", *keep, "s", "key",
         F.explode_outer(_values(F.col("vals"))).alias("val"),
     )
 
@@ -86,8 +87,9 @@ def jsonld_triples(resources: DataFrame, url: str = "url", body: str = "body",
         .when(key.startswith("@") & ~is_type, F.lit("keyword"))
         .when(o.isNull(), F.lit("value_without_id_or_value"))
     )
+    keep = [c for c in resources.columns if c not in (url, body)]
     out = v.select(
-        "url", "s",
+        "url", *keep, "s",
         F.when(is_type, F.lit(S.RDF_TYPE)).otherwise(key).alias("p"),
         o.alias("o"), o_kind.alias("o_kind"), datatype.alias("datatype"), lang.alias("lang"),
         reject.alias("reject"),
@@ -126,12 +128,16 @@ def subject_events(fields: DataFrame, settings: Settings) -> DataFrame:
 
 
 def eligible(subject_evts: DataFrame, resources: DataFrame) -> DataFrame:
-    """Events that may win: valid, and (for index) with a fetched document (D3)."""
-    ok = subject_evts.where(F.col("reason").isNull())
-    have = resources.select("url").where(F.col("body").isNotNull() if "body" in resources.columns
-                                         else F.lit(True))
-    idx = ok.where(F.col("kind") == INDEX).join(have, "url", "left_semi")
-    return idx.unionByName(ok.where(F.col("kind") == DELETE))
+    """Events that may win: valid, and (for index) with a fetched document (D3).
+
+    One pass over the events: a left join to the fetched URLs (deduplicated
+    so the join cannot multiply events), then a filter.
+    """
+    have = (resources.where(F.col("body").isNotNull()).select(F.col("url").alias("_have"))
+            .dropDuplicates(["_have"]))
+    ev = subject_evts.where(F.col("reason").isNull())
+    j = ev.join(have, (F.col("url") == F.col("_have")) & (F.col("kind") == INDEX), "left")
+    return j.where((F.col("kind") == DELETE) | F.col("_have").isNotNull()).drop("_have", "reason")
 
 
 def latest_per_subject(candidates: DataFrame) -> DataFrame:
@@ -141,24 +147,36 @@ def latest_per_subject(candidates: DataFrame) -> DataFrame:
             .select("s", F.col("w.seq").alias("seq"), F.col("w.kind").alias("kind"), F.col("w.url").alias("url")))
 
 
+def _winner_keys(winners: DataFrame) -> DataFrame:
+    # Every consumer reads the same projection of the winners, so the
+    # optimizer sees one plan and the shuffle behind it is reused.
+    return winners.select(F.col("s").alias("w_s"), F.col("seq").alias("w_seq"),
+                          F.col("kind").alias("w_kind"), F.col("url").alias("w_url"))
+
+
 def winner_documents(winners: DataFrame, resources: DataFrame) -> DataFrame:
-    """Triples of the documents of index winners (only those documents are parsed)."""
-    need = winners.where(F.col("kind") == INDEX).select("url", "seq")
-    docs = resources.join(need, "url", "inner")
-    t = jsonld_triples(docs)
-    return t.join(need, "url", "inner").select("seq", *TRIPLE_COLS)
+    """Triples of the documents of index winners (only those documents are parsed).
+
+    Columns: seq, subject (the winner's subject) and the triple columns.
+    """
+    w = _winner_keys(winners)
+    docs = resources.join(w.where(F.col("w_kind") == INDEX), F.col("url") == F.col("w_url"), "inner")
+    t = jsonld_triples(docs.select("url", "body", F.col("w_seq").alias("seq"), F.col("w_s").alias("subject")))
+    return t.select("seq", "subject", *TRIPLE_COLS)
 
 
 def apply_changes(prior: DataFrame, winners: DataFrame, resources: DataFrame) -> DataFrame:
     """E2 + E3: the triples table after the batch."""
-    kept = prior.select(*TRIPLE_COLS).join(winners.select("s"), "s", "left_anti")
+    w = _winner_keys(winners)
+    kept = prior.select(*TRIPLE_COLS).join(w, F.col("s") == F.col("w_s"), "left_anti")
     return kept.unionByName(winner_documents(winners, resources).select(*TRIPLE_COLS))
 
 
 def changeset(prior: DataFrame, winners: DataFrame, resources: DataFrame) -> DataFrame:
     """Delete rows (everything known about each changed subject) + insert rows."""
-    dels = (prior.select(*TRIPLE_COLS).join(winners.select("s", "seq"), "s", "inner")
-            .select(F.lit("delete").alias("op"), "seq", *TRIPLE_COLS))
+    w = _winner_keys(winners)
+    dels = (prior.select(*TRIPLE_COLS).join(w, F.col("s") == F.col("w_s"), "inner")
+            .select(F.lit("delete").alias("op"), F.col("w_seq").alias("seq"), *TRIPLE_COLS))
     ins = winner_documents(winners, resources).select(F.lit("insert").alias("op"), "seq", *TRIPLE_COLS)
     return dels.unionByName(ins)
 
@@ -171,7 +189,7 @@ def render_update(winners: DataFrame, resources: DataFrame, chunk: int = RENDER_
     Part 0 always carries the DELETE WHERE.  Columns: s, part, update_text.
     """
     docs = winner_documents(winners, resources)
-    lines = docs.join(winners.select("seq", F.col("s").alias("subject")), "seq").select(
+    lines = docs.select(
         F.col("subject").alias("s"),
         ntriple(F.col("s"), F.col("p"), F.col("o"), F.col("o_kind"), F.col("datatype"), F.col("lang"))
         .alias("line"),
@@ -182,8 +200,9 @@ def render_update(winners: DataFrame, resources: DataFrame, chunk: int = RENDER_
                .select("s", F.pmod(F.xxhash64("line"), parts).alias("part"), "line"))
     inserts = chunked.groupBy("s", "part").agg(
         F.array_join(F.array_sort(F.collect_list("line")), " ").alias("body"))
-    deletes = winners.select("s", F.lit(0).cast("bigint").alias("part"),
-                             F.concat(F.lit("DELETE WHERE { <"), F.col("s"), F.lit("> ?p ?o };")).alias("del"))
+    deletes = _winner_keys(winners).select(
+        F.col("w_s").alias("s"), F.lit(0).cast("bigint").alias("part"),
+        F.concat(F.lit("DELETE WHERE { <"), F.col("w_s"), F.lit("> ?p ?o };")).alias("del"))
     j = deletes.join(inserts, ["s", "part"], "full_outer")
     ins_text = F.concat(F.lit("INSERT DATA { "), F.col("body"), F.lit(" }"))
     text = (F.when(F.col("del").isNull(), ins_text)

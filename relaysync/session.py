@@ -15,6 +15,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # client-side call-site capture walks the Python stack on every Column call
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -59,3 +61,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if path.startswith("/") or path.startswith("file:"):
         os.makedirs(path.removeprefix("file:"), exist_ok=True)
     return path
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+
+    For intermediate tables read by several consumers (e.g. the winners of
+    last-writer-wins), so the expensive input (parsing every event) is not
+    recomputed per consumer.  Reliable checkpoint, never a local one.
+    """
+    shared_root(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -79,130 +79,114 @@ FEED_SETTINGS = Settings.from_map(dict(FEED_PROPERTIES))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
-def _m() -> Column:
-    return F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(10))
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than the cluster has cores.
 
-
-def _link(name: str, href: Column, media_type: str, rel: str) -> Column:
-    return F.struct(
-        F.lit(name).alias("name"), F.lit("Link").alias("type"), href.alias("href"),
-        F.lit(media_type).alias("mediaType"), F.lit(rel).alias("rel"),
-    )
-
-
-def _kind() -> Column:
-    t = F.col("event_type")
-    return (F.when(t == "click", "node").when(t == "signup", "delete").when(t == "view", "media")
-            .when(t == "purchase", "external").when(t == "error", "derivative"))
-
-
-def _item() -> Column:
-    return F.element_at(F.array(*[F.lit(i) for i in DERIVATIVE_ITEMS]),
-                        (F.pmod(F.col("event_id"), F.lit(4)) + 1).cast("int"))
+    The feed turns each compact source row into a ~1.5 KB JSON document that
+    is then parsed; a table stored as one row group would do all of that in
+    a single task.  Shuffling the compact rows round-robin first is cheap and
+    puts every core to work.  A large table already has enough splits and is
+    left alone (no extra shuffle at scale).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def _link_sql(name: str, href: str, media_type: str, rel: str) -> str:
+    return (f"named_struct('name', '{name}', 'type', 'Link', 'href', {href}, "
+            f"'mediaType', '{media_type}', 'rel', '{rel}')")
+
+
+def _feed_sql(settings: Settings) -> list[str]:
+    """Spark SQL select list of the feed (one analysis call, no per-node RPC)."""
+    canon = f"concat('{CMS}', cast(user_id AS string))"
+    canon_l = _link_sql("Canonical", canon, "text/html", "canonical")
+    js = _link_sql("JSON", f"concat({canon}, '?_format=json')", "application/json", "alternate")
+    jsld = _link_sql("JSONLD", f"concat({canon}, '?_format=jsonld')", "application/ld+json", "alternate")
+    desc = _link_sql("Describes", canon, "text/html", "describes")
+    js2 = _link_sql("JSON", f"concat({canon}, '?_format=json&alt=1')", "application/json", "alternate")
+    mixed = ", ".join([
+        _link_sql("Canonical", canon, "Text/HTML", "Canonical"),
+        _link_sql("JSON", f"concat({canon}, '?_format=json')", "Application/JSON", "Alternate"),
+        _link_sql("JSONLD", f"concat({canon}, '?_format=jsonld')", "Application/LD+JSON", "Alternate"),
+    ])
+    items = ", ".join(f"'{i}'" for i in DERIVATIVE_ITEMS)
+    mimes = ", ".join(f"'{k}', '{v}'" for k, v in DERIVATIVE_MIMETYPES.items())
+    actor_n = "cast(pmod(event_id, 50) AS string)"
+    body = f"""to_json(named_struct(
+      '@context', '{CONTEXT}',
+      'actor', named_struct('type', 'Person',
+          'id', concat('urn:uuid:{ACTOR_PREFIX}', lpad({actor_n}, 12, '0')),
+          'url', array({_link_sql("Canonical", f"concat('http://cms/user/', {actor_n})", "text/html", "canonical")})),
+      'object', named_struct('type', 'Object',
+          'id', concat('urn:uuid:{UUID_PREFIX}', lpad(cast(user_id AS string), 12, '0')),
+          'url', CASE m WHEN 0 THEN array({canon_l}, {js}) WHEN 1 THEN array({canon_l}, {jsld})
+                        WHEN 2 THEN array({js}, {jsld}) WHEN 3 THEN NULL WHEN 4 THEN array({mixed})
+                        WHEN 6 THEN array({canon_l}, {js}, {jsld}, {desc})
+                        WHEN 7 THEN array({canon_l}, {js}, {jsld}, {desc}, {js2})
+                        ELSE array({canon_l}, {js}, {jsld}) END,
+          'isNewVersion', CASE m WHEN 5 THEN 'true' WHEN 6 THEN '{TRUE_MARKER}' WHEN 7 THEN 'false' END),
+      'attachment', CASE WHEN kind IN ('media', 'derivative') THEN named_struct(
+          'type', 'Object', 'mediaType', 'application/json',
+          'content', named_struct(
+              'fedora_uri', CAST(NULL AS string),
+              'source_field', CASE WHEN kind = 'media' AND pmod(event_id, 11) <> 0
+                                   THEN concat('field_media_', cast(pmod(event_id, 3) AS string)) END,
+              'source_uri', CASE WHEN kind = 'derivative'
+                                 THEN concat('http://cms/files/', cast(user_id AS string), '/original.jpg') END,
+              'destination_uri', CASE WHEN kind = 'derivative'
+                                      THEN concat({canon}, '/media/', item, '/', cast(event_id AS string)) END,
+              'mimetype', CASE WHEN kind = 'derivative' THEN element_at(map({mimes}), item) END,
+              'args', CASE WHEN kind = 'derivative' THEN CASE WHEN pmod(event_id, 2) = 0 THEN ''
+                           ELSE concat('-quality ', cast(pmod(event_id, 100) AS string)) END END,
+              'file_upload_uri', CASE WHEN kind = 'derivative'
+                  THEN concat('private://derivatives/', item, '/', cast(event_id AS string), ' file.bin') END)) END,
+      'type', {_TYPE_SQL},
+      'summary', CASE WHEN pmod(event_id, 4) <> 3 THEN concat({_TYPE_SQL}, ' a ', kind) END,
+      'target', CASE WHEN m <> 9 THEN concat('{REPO_TARGET}', kind) END))"""
+    stream = (f"CASE kind WHEN 'node' THEN '{settings.node_stream}' WHEN 'delete' THEN '{settings.delete_stream}' "
+              f"WHEN 'media' THEN '{settings.media_stream}' WHEN 'external' THEN '{settings.external_stream}' "
+              f"ELSE concat('queue:derivative-', item) END")
+    headers = f"""map_from_entries(filter(array(
+        named_struct('k', 'Authorization', 'v',
+                     CASE WHEN pmod(event_id, 7) <> 0 THEN concat('Bearer ', cast(user_id AS string)) END),
+        named_struct('k', '{TRACE_HEADER}', 'v', concat('trace-', cast(event_id AS string))),
+        named_struct('k', '{BASE_HEADER}', 'v', CASE WHEN pmod(event_id, 5) = 0 THEN 'stale' END),
+        named_struct('k', '{MESSAGE_ID_HEADER}', 'v', concat('msg-', cast(event_id AS string))),
+        named_struct('k', '{RECIPIENTS_HEADER}', 'v', CASE WHEN pmod(event_id, 3) = 0
+            THEN concat('audit, search,, ,shard-', cast(pmod(event_id, 4) AS string)) END)),
+      x -> x.v IS NOT NULL))"""
+    return [
+        "event_id", "user_id", "ts",
+        "pmod(cast(get_json_object(props, '$.k') AS int), 10) AS m",
+        "CASE event_type WHEN 'click' THEN 'node' WHEN 'signup' THEN 'delete' WHEN 'view' THEN 'media' "
+        "WHEN 'purchase' THEN 'external' WHEN 'error' THEN 'derivative' END AS kind",
+        f"element_at(array({items}), cast(pmod(event_id, 4) + 1 AS int)) AS item",
+    ], [
+        "event_id AS seq",
+        "cast(ts AS timestamp) AS ts",
+        f"{stream} AS stream",
+        f"{headers} AS headers",
+        f"replace({body}, '\"isNewVersion\":\"{TRUE_MARKER}\"', '\"isNewVersion\":true') AS body0",
+        "m",
+    ]
+
+
+_TYPE_SQL = ("CASE kind WHEN 'delete' THEN 'Delete' WHEN 'external' THEN 'Create' "
+             "WHEN 'derivative' THEN 'Activity' ELSE 'Update' END")
 
 
 def raw_events(events: DataFrame, settings: Settings = FEED_SETTINGS) -> DataFrame:
     """Driver ``events`` table -> ``raw_events`` (seq, ts, stream, headers, body)."""
-    e = events.select(
-        "event_id", "user_id", "ts", _m().alias("m"), _kind().alias("kind"), _item().alias("item"),
-    )
-    eid, uid, m, kind = F.col("event_id"), F.col("user_id"), F.col("m"), F.col("kind")
-    canon_href = F.concat(F.lit(CMS), uid.cast("string"))
-    canon = _link("Canonical", canon_href, "text/html", "canonical")
-    js = _link("JSON", F.concat(canon_href, F.lit("?_format=json")), "application/json", "alternate")
-    jsld = _link("JSONLD", F.concat(canon_href, F.lit("?_format=jsonld")), "application/ld+json", "alternate")
-    desc = _link("Describes", canon_href, "text/html", "describes")
-    js2 = _link("JSON", F.concat(canon_href, F.lit("?_format=json&alt=1")), "application/json", "alternate")
-    mixed = F.array(
-        _link("Canonical", canon_href, "Text/HTML", "Canonical"),
-        _link("JSON", F.concat(canon_href, F.lit("?_format=json")), "Application/JSON", "Alternate"),
-        _link("JSONLD", F.concat(canon_href, F.lit("?_format=jsonld")), "Application/LD+JSON", "Alternate"),
-    )
-    urls = (
-        F.when(m == 0, F.array(canon, js))
-        .when(m == 1, F.array(canon, jsld))
-        .when(m == 2, F.array(js, jsld))
-        .when(m == 3, F.lit(None))
-        .when(m == 4, mixed)
-        .when(m == 6, F.array(canon, js, jsld, desc))
-        .when(m == 7, F.array(canon, js, jsld, desc, js2))
-        .otherwise(F.array(canon, js, jsld))
-    )
-    new_version = (F.when(m == 5, F.lit("true")).when(m == 6, F.lit(TRUE_MARKER))
-                   .when(m == 7, F.lit("false")))
-    obj = F.struct(
-        F.lit("Object").alias("type"),
-        F.concat(F.lit("urn:uuid:" + UUID_PREFIX), F.lpad(uid.cast("string"), 12, "0")).alias("id"),
-        urls.alias("url"),
-        new_version.alias("isNewVersion"),
-    )
-    actor_n = F.pmod(eid, F.lit(50)).cast("string")
-    actor = F.struct(
-        F.lit("Person").alias("type"),
-        F.concat(F.lit("urn:uuid:" + ACTOR_PREFIX), F.lpad(actor_n, 12, "0")).alias("id"),
-        F.array(_link("Canonical", F.concat(F.lit("http://cms/user/"), actor_n), "text/html", "canonical"))
-        .alias("url"),
-    )
-    item = F.col("item")
-    mimetype = F.element_at(
-        F.create_map(*[F.lit(x) for kv in DERIVATIVE_MIMETYPES.items() for x in kv]), item)
-    is_media, is_deriv = kind == "media", kind == "derivative"
-    content = F.struct(
-        F.lit(None).cast("string").alias("fedora_uri"),
-        F.when(is_media & (F.pmod(eid, F.lit(11)) != 0),
-               F.concat(F.lit("field_media_"), F.pmod(eid, F.lit(3)).cast("string"))).alias("source_field"),
-        F.when(is_deriv, F.concat(F.lit("http://cms/files/"), uid.cast("string"), F.lit("/original.jpg")))
-        .alias("source_uri"),
-        F.when(is_deriv, F.concat(canon_href, F.lit("/media/"), item, F.lit("/"), eid.cast("string")))
-        .alias("destination_uri"),
-        F.when(is_deriv, mimetype).alias("mimetype"),
-        F.when(is_deriv, F.when(F.pmod(eid, F.lit(2)) == 0, F.lit(""))
-               .otherwise(F.concat(F.lit("-quality "), F.pmod(eid, F.lit(100)).cast("string")))).alias("args"),
-        F.when(is_deriv, F.concat(F.lit("private://derivatives/"), item, F.lit("/"), eid.cast("string"),
-                                  F.lit(" file.bin"))).alias("file_upload_uri"),
-    )
-    attachment = F.when(is_media | is_deriv, F.struct(
-        F.lit("Object").alias("type"), F.lit("application/json").alias("mediaType"), content.alias("content")))
-    type_ = (F.when(kind == "delete", "Delete").when(kind == "external", "Create")
-             .when(kind == "derivative", "Activity").otherwise("Update"))
-    summary = F.when(F.pmod(eid, F.lit(4)) != 3, F.concat(type_, F.lit(" a "), kind))
-    target = F.when(m != 9, F.concat(F.lit(REPO_TARGET), kind))
-    body_struct = F.struct(
-        F.lit(CONTEXT).alias("@context"), actor.alias("actor"), obj.alias("object"),
-        attachment.alias("attachment"), type_.alias("type"), summary.alias("summary"), target.alias("target"),
-    )
-    body = F.to_json(body_struct)
-    body = F.replace(body, F.lit(f'"isNewVersion":"{TRUE_MARKER}"'), F.lit('"isNewVersion":true'))
-    body = F.when(m == 8, F.substring(body, 1, (F.length(body) / 2).cast("int"))).otherwise(body)
-
-    stream = (
-        F.when(kind == "node", F.lit(settings.node_stream))
-        .when(kind == "delete", F.lit(settings.delete_stream))
-        .when(kind == "media", F.lit(settings.media_stream))
-        .when(kind == "external", F.lit(settings.external_stream))
-        .otherwise(F.concat(F.lit("queue:derivative-"), item))
-    )
-    entries = F.array(
-        F.struct(F.lit("Authorization").alias("k"),
-                 F.when(F.pmod(eid, F.lit(7)) != 0, F.concat(F.lit("Bearer "), uid.cast("string"))).alias("v")),
-        F.struct(F.lit(TRACE_HEADER).alias("k"), F.concat(F.lit("trace-"), eid.cast("string")).alias("v")),
-        F.struct(F.lit(BASE_HEADER).alias("k"), F.when(F.pmod(eid, F.lit(5)) == 0, F.lit("stale")).alias("v")),
-        F.struct(F.lit(MESSAGE_ID_HEADER).alias("k"), F.concat(F.lit("msg-"), eid.cast("string")).alias("v")),
-        F.struct(F.lit(RECIPIENTS_HEADER).alias("k"),
-                 F.when(F.pmod(eid, F.lit(3)) == 0,
-                        F.concat(F.lit("audit, search,, ,shard-"), F.pmod(eid, F.lit(4)).cast("string")))
-                 .alias("v")),
-    )
-    headers = F.map_from_entries(F.filter(entries, lambda x: x.getField("v").isNotNull()))
-    return e.select(
-        eid.alias("seq"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        stream.alias("stream"),
-        headers.alias("headers"),
-        body.alias("body"),
+    base, out = _feed_sql(settings)
+    return events.selectExpr(*base).selectExpr(*out).selectExpr(
+        "seq", "ts", "stream", "headers",
+        "CASE WHEN m = 8 THEN substring(body0, 1, cast(length(body0) / 2 AS int)) ELSE body0 END AS body",
     )
 
 
