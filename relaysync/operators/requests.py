@@ -9,6 +9,8 @@ so it pipelines inside one stage right after the scan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,8 +179,32 @@ def build_requests(fields: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def requests_from_raw(raw: DataFrame, settings: Settings, strict: bool = False) -> DataFrame:
-    return build_requests(prepare(raw, strict), settings)
+def requests_from_raw(raw: DataFrame, settings: Settings, strict: bool = False,
+                      transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """raw_events -> requests.  ``transform`` is the user hook (J1) applied to
+    the parsed events before dispatch, e.g. ``lambda df: df.where(...)`` or a
+    function adding columns with ``F.expr``; it must keep the event columns."""
+    fields = prepare(raw, strict)
+    if transform is not None:
+        fields = fields.transform(transform)
+    return build_requests(fields, settings)
+
+
+def flatten_envelope(fields: DataFrame) -> DataFrame:
+    """Envelope fields of parsed events, actor's canonical link included."""
+    e = F.col("event")
+    actor = e.getField("actor")
+    return fields.select(
+        "seq",
+        e.getField("@context").alias("context"),
+        e.getField("type").alias("type"),
+        e.getField("summary").alias("summary"),
+        actor.getField("type").alias("actor_type"),
+        actor.getField("id").alias("actor_id"),
+        canonical_url(actor.getField("url")).alias("actor_url"),
+        e.getField("attachment").getField("type").alias("attachment_type"),
+        e.getField("attachment").getField("mediaType").alias("attachment_media_type"),
+    )
 
 
 def flat_requests(requests: DataFrame) -> DataFrame:

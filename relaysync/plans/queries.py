@@ -89,17 +89,8 @@ def q_quarantine(spark, sf_dir):
 
 
 def q_flatten_envelope(spark, sf_dir):
-    e = F.col("event")
-    actor = e.getField("actor")
-    from relaysync.functions.urls import canonical_url
-    return fields(spark, sf_dir).where(~F.col("malformed")).select(
-        "seq",
-        e.getField("@context").alias("context"),
-        e.getField("summary").alias("summary"),
-        actor.getField("id").alias("actor_id"),
-        canonical_url(actor.getField("url")).alias("actor_url"),
-        e.getField("attachment").getField("type").alias("attachment_type"),
-    )
+    return R.flatten_envelope(fields(spark, sf_dir).where(~F.col("malformed"))).select(
+        "seq", "context", "summary", "actor_id", "actor_url", "attachment_type")
 
 
 def q_first_urls(spark, sf_dir):
