@@ -246,8 +246,8 @@ def q_render_update(spark, sf_dir):
 def q_stream_requests(spark, sf_dir):
     """I1 + I2 + E6: redelivered feed -> stream -> dedup within watermark -> requests."""
     run = P.StreamRun(spark, "stream_requests")
-    P.stage_in_order(feed.redelivered(raw(spark, sf_dir)), run.input, "seq")
-    s = dedup.dedup_stream(P.read_raw_stream(spark, run.input), SETTINGS)
+    files = P.stage_in_order(feed.redelivered(raw(spark, sf_dir)), run.input, "seq")
+    s = dedup.dedup_stream(P.read_raw_stream(spark, run.input, files, fmt="parquet"), SETTINGS)
     out = R.build_requests(R.prepare(s.drop("message_id")), SETTINGS).select(*ALL_REQ_COLS)
     P.run_available_now(out, run.sink, run.checkpoint, "append")
     return P.read_sink(spark, run.sink).select(*ALL_REQ_COLS)
@@ -256,8 +256,8 @@ def q_stream_requests(spark, sf_dir):
 def q_stream_latest(spark, sf_dir):
     """E5 on a stream: max_by per subject in update mode, folded on read."""
     run = P.StreamRun(spark, "stream_latest")
-    P.stage_in_order(raw(spark, sf_dir), run.input, "seq")
-    f = R.prepare(P.read_raw_stream(spark, run.input))
+    files = P.stage_in_order(raw(spark, sf_dir), run.input, "seq")
+    f = R.prepare(P.read_raw_stream(spark, run.input, files, fmt="parquet"))
     sev = triples.subject_events(f, SETTINGS)
     elig = triples.eligible(sev, resources(spark, sf_dir))
     P.run_available_now(triples.latest_per_subject(elig), run.sink, run.checkpoint, "update")
@@ -269,8 +269,8 @@ def q_stream_outcomes(spark, sf_dir):
     """E1 on a stream: attempts arrive shuffled; per-request stats in update mode."""
     run = P.StreamRun(spark, "stream_outcomes")
     req = requests(spark, sf_dir)
-    P.stage_by_hash(feed.attempts_for(req), run.input, "request_id")
-    att = P.read_stream(spark, run.input, S.ATTEMPTS_DDL)
+    files = P.stage_by_hash(feed.attempts_for(req), run.input, "request_id")
+    att = P.read_stream(spark, run.input, S.ATTEMPTS_DDL, files, fmt="parquet")
     P.run_available_now(outcomes.attempt_stats(att, SETTINGS), run.sink, run.checkpoint, "update")
     logged = P.read_sink(spark, run.sink)
     latest = (logged.groupBy("request_id")

@@ -20,36 +20,47 @@ from relaysync.schema import RAW_EVENTS_DDL
 from relaysync.session import scratch_dir
 
 
-def stage_in_order(df: DataFrame, path: str, order_col: str, chunks: int = 4) -> None:
-    """Land ``df`` as JSON files in ``chunks`` successive writes ordered by ``order_col``.
+def _files_per_chunk(df: DataFrame) -> int:
+    return max(1, df.sparkSession.sparkContext.defaultParallelism)
+
+
+def stage_in_order(df: DataFrame, path: str, order_col: str, chunks: int = 2, fmt: str = "parquet") -> int:
+    """Land ``df`` in ``chunks`` successive writes ordered by ``order_col``.
 
     Successive writes give the file source an arrival order (file times), the
-    way a real landing zone fills up.  Only the min/max of the column reach
-    the driver.
+    way a real landing zone fills up.  The range filter of each chunk prunes
+    the work to that chunk's rows, and the min/max job reads only
+    ``order_col`` (column pruning).  Only the min/max reach the driver.
+    Returns the number of files per chunk (use it as ``maxFilesPerTrigger``).
     """
+    files = _files_per_chunk(df)
     lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
     if lo is None:
-        df.limit(0).write.json(f"{path}/part-0")
-        return
+        df.limit(0).write.format(fmt).save(f"{path}/chunk-0000")
+        return files
     width = max(1, (hi - lo) // chunks + 1)
     for i in range(chunks):
         part = df.where((F.col(order_col) >= lo + i * width) & (F.col(order_col) < lo + (i + 1) * width))
-        part.repartition(2).write.json(f"{path}/chunk-{i:04d}")
+        part.repartition(files).write.format(fmt).save(f"{path}/chunk-{i:04d}")
+    return files
 
 
-def stage_by_hash(df: DataFrame, path: str, key: str, chunks: int = 4) -> None:
+def stage_by_hash(df: DataFrame, path: str, key: str, chunks: int = 2, fmt: str = "parquet") -> int:
     """Land ``df`` in ``chunks`` successive writes in hash order (shuffled arrival)."""
+    files = _files_per_chunk(df)
     for i in range(chunks):
-        df.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == i).repartition(2).write.json(f"{path}/chunk-{i:04d}")
+        (df.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == i).repartition(files)
+         .write.format(fmt).save(f"{path}/chunk-{i:04d}"))
+    return files
 
 
-def read_stream(spark: SparkSession, path: str, ddl: str, max_files: int = 2) -> DataFrame:
-    return (spark.readStream.schema(ddl).option("maxFilesPerTrigger", max_files)
-            .option("recursiveFileLookup", "true").json(path))
+def read_stream(spark: SparkSession, path: str, ddl: str, max_files: int = 2, fmt: str = "json") -> DataFrame:
+    return (spark.readStream.schema(ddl).format(fmt).option("maxFilesPerTrigger", max_files)
+            .option("recursiveFileLookup", "true").load(path))
 
 
-def read_raw_stream(spark: SparkSession, path: str, max_files: int = 2) -> DataFrame:
-    return read_stream(spark, path, RAW_EVENTS_DDL, max_files)
+def read_raw_stream(spark: SparkSession, path: str, max_files: int = 2, fmt: str = "json") -> DataFrame:
+    return read_stream(spark, path, RAW_EVENTS_DDL, max_files, fmt)
 
 
 def idempotent_writer(sink: str) -> Callable[[DataFrame, int], None]:
@@ -69,6 +80,7 @@ def run_available_now(stream: DataFrame, sink: str, checkpoint: str, mode: str =
     q.awaitTermination(timeout_s) if timeout_s else q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    return q
 
 
 def read_sink(spark: SparkSession, sink: str) -> DataFrame:
