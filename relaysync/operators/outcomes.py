@@ -45,26 +45,46 @@ def response_classes(requests: DataFrame, attempts: DataFrame) -> DataFrame:
                     status_class(F.col("status"), F.col("route")).alias("class"))
 
 
+# (attempt_no, status) packed into one long, attempt first, so min/max order
+# by attempt; keeps every aggregation buffer fixed-width (hash aggregate,
+# small streaming state).  Statuses are HTTP codes, below PACK.
+PACK = 1000
+
+
+def _pack(a: Column, st: Column) -> Column:
+    return a.cast("long") * PACK + st.cast("long")
+
+
+def _unpack(packed: Column) -> Column:
+    return F.when(packed.isNotNull(), F.struct(
+        (packed / PACK).cast("int").alias("a"), F.pmod(packed, F.lit(PACK)).cast("int").alias("status")))
+
+
 def attempt_stats(attempts: DataFrame, settings: Settings) -> DataFrame:
-    """Route-independent per-request aggregate of attempts 1..N+1."""
+    """Route-independent per-request aggregate of attempts 1..N+1.
+
+    Columns: request_id, n, first_terminal_p, first_404, last_p (packed).
+    """
     a, st = F.col("attempt_no"), F.col("status")
     general = is_success(st) | st.isin(S.STATUS_PRECONDITION_FAILED, S.STATUS_GONE)
-    pair = F.struct(a.alias("a"), st.alias("status"))
+    packed = _pack(a, st)
     return (
-        attempts.where((a >= 1) & (a <= settings.attempt_limit))
+        attempts.where((a >= 1) & (a <= settings.attempt_limit) & (st >= 0) & (st < PACK))
         .groupBy("request_id")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.min(F.when(general, pair)).alias("first_terminal"),
+            F.min(F.when(general, packed)).alias("first_terminal_p"),
             F.min(F.when(st == S.STATUS_NOT_FOUND, a)).alias("first_404"),
-            F.max(pair).alias("last"),
+            F.max(packed).alias("last_p"),
         )
     )
 
 
 def resolve(requests: DataFrame, stats: DataFrame, settings: Settings) -> DataFrame:
     """requests (one row each) + stats -> outcome per request."""
-    j = requests.select("seq", "ts", "request_id", "route").join(stats, "request_id", "left")
+    j = (requests.select("seq", "ts", "request_id", "route").join(stats, "request_id", "left")
+         .withColumn("first_terminal", _unpack(F.col("first_terminal_p")))
+         .withColumn("last", _unpack(F.col("last_p"))))
     ft = F.col("first_terminal")
     f404 = F.when(F.col("route") == S.NODE_DELETE, F.col("first_404"))
     use_404 = f404.isNotNull() & (ft.isNull() | (f404 < ft.getField("a")))

@@ -274,7 +274,7 @@ def q_stream_outcomes(spark, sf_dir):
     P.run_available_now(outcomes.attempt_stats(att, SETTINGS), run.sink, run.checkpoint, "update")
     logged = P.read_sink(spark, run.sink)
     latest = (logged.groupBy("request_id")
-              .agg(F.max_by(F.struct("n", "first_terminal", "first_404", "last"), "batch_id").alias("x"))
+              .agg(F.max_by(F.struct("n", "first_terminal_p", "first_404", "last_p"), "batch_id").alias("x"))
               .select("request_id", "x.*"))
     return outcomes.resolve(req, latest, SETTINGS).select(*REDELIVERY_COLS)
 
