@@ -274,3 +274,4 @@ FROM win LEFT JOIN ins USING (s)""",
 SQL["stream_requests"] = SQL["all_requests"]
 SQL["stream_latest"] = SQL["latest_per_subject"]
 SQL["stream_outcomes"] = SQL["redelivery_outcomes"]
+SQL["stream_daily_outcomes"] = SQL["daily_outcomes"]

@@ -279,6 +279,23 @@ def q_stream_outcomes(spark, sf_dir):
     return outcomes.resolve(req, latest, SETTINGS).select(*REDELIVERY_COLS)
 
 
+def q_stream_daily_outcomes(spark, sf_dir):
+    """E7 on a stream: one-day tumbling windows on ingest time with a watermark.
+
+    Outcome rows arrive in time order; update mode emits each window's running
+    count, the sink log is folded on read (latest batch per window wins).
+    """
+    run = P.StreamRun(spark, "stream_daily_outcomes")
+    table = _outcomes_table(spark, sf_dir).select("seq", "ts", "route", "outcome")
+    files = P.stage_in_order(table, run.input, "seq")
+    s = P.read_stream(spark, run.input, "seq bigint, ts timestamp, route string, outcome string", files,
+                      fmt="parquet")
+    P.run_available_now(outcomes.windowed_outcomes(s, "1 day"), run.sink, run.checkpoint, "update")
+    logged = P.read_sink(spark, run.sink)
+    return (logged.groupBy("day", "outcome").agg(F.max_by("n", "batch_id").alias("n"))
+            .select("day", "outcome", "n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_ok": q_parse_ok,
     "quarantine": q_quarantine,
@@ -310,4 +327,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_requests": q_stream_requests,
     "stream_latest": q_stream_latest,
     "stream_outcomes": q_stream_outcomes,
+    "stream_daily_outcomes": q_stream_daily_outcomes,
 }
