@@ -207,6 +207,19 @@ def flatten_envelope(fields: DataFrame) -> DataFrame:
     )
 
 
+def indexer_streams(settings: Settings) -> list[str]:
+    return [settings.node_stream, settings.delete_stream, settings.media_stream, settings.external_stream]
+
+
+def requests_from_landed(landed: DataFrame, settings: Settings) -> DataFrame:
+    """Requests from a landed raw_events table partitioned by ``stream``.
+
+    The stream filter (C3) is on the partition column, so only the indexer
+    streams' files are read (partition pruning), never the derivative ones.
+    """
+    return requests_from_raw(landed.where(F.col("stream").isin(*indexer_streams(settings))), settings)
+
+
 def flat_requests(requests: DataFrame) -> DataFrame:
     """Flat projection used for export / comparison."""
     return requests.select("request_id", "route", "method", "uri", "content_location", "base_url")

@@ -29,6 +29,19 @@ def write_triples(triples: DataFrame, path: str) -> None:
     triples.write.mode("overwrite").parquet(path)
 
 
+def write_triples_table(triples: DataFrame, table: str, buckets: int) -> None:
+    """Store the triples as a catalog table bucketed (and sorted) by subject.
+
+    The per-batch replace/delete joins the whole triples table on ``s``; with
+    the table bucketed on ``s`` that join reads it without an exchange and
+    only the (much smaller) changed-subject side is shuffled to the buckets.
+    Overwrite the table under a new name per version and swap readers over
+    (a table cannot be overwritten while it is being read).
+    """
+    (triples.write.mode("overwrite").bucketBy(buckets, "s").sortBy("s").format("parquet")
+     .saveAsTable(table))
+
+
 def stream_to(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger: dict | None = None):
     """Start a streaming sink with the idempotent per-batch writer; returns the query."""
     w = (stream.writeStream.outputMode(mode).foreachBatch(idempotent_writer(path))
