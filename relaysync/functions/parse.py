@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaysync.schema import CORRUPT_COL, EVENT_DDL, KNOWN_KEYS
+from relaysync.schema import CORRUPT_COL, EVENT_DDL, KNOWN_KEYS, R_MALFORMED, R_UNKNOWN_FIELD
 
 UUID_PREFIX = "urn:uuid:"
 
@@ -31,16 +31,19 @@ def parse_events(raw: DataFrame, body: str = "body", strict: bool = False) -> Da
     df = raw.select("*", F.explode(F.array(parsed)).alias("_parsed"))
     corrupt = F.col("_parsed").getField(CORRUPT_COL)
     malformed = F.col("_parsed").isNull() | corrupt.isNotNull()
+    reason = F.when(malformed, F.lit(R_MALFORMED))
     if strict:
         unknown = F.array_except(
             F.coalesce(F.json_object_keys(F.col(body)), F.array().cast("array<string>")),
             F.array(*[F.lit(k) for k in KNOWN_KEYS]),
         )
+        reason = reason.when(F.size(unknown) > 0, F.lit(R_UNKNOWN_FIELD))
         malformed = malformed | (F.size(unknown) > 0)
     return (
         df.withColumn("event", F.col("_parsed").dropFields(CORRUPT_COL))
         .withColumn("corrupt", corrupt)
         .withColumn("malformed", malformed)
+        .withColumn("parse_reason", reason)
         .drop("_parsed")
     )
 

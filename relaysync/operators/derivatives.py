@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relaysync import schema as S
 from relaysync.functions.http_options import add_http_options_col
 from relaysync.settings import KEY_DERIVATIVES, Settings
 from relaysync.sources.properties import resolve
@@ -58,12 +59,31 @@ def _maybe_broadcast(registry: DataFrame) -> DataFrame:
     return F.broadcast(registry) if n <= BROADCAST_MAX_ROWS else registry
 
 
+def derivative_outcomes(fields: DataFrame, registry: DataFrame) -> DataFrame:
+    """Events of enabled derivative streams that stop before the service call."""
+    reg = _maybe_broadcast(registry.where(F.col("enabled")).select("route", "stream"))
+    j = fields.join(reg, "stream", "inner")
+    c = F.col("event").getField("attachment").getField("content")
+    reason = (F.when(F.col("malformed"), F.coalesce(F.col("parse_reason"), F.lit(S.R_MALFORMED)))
+              .when(c.isNull(), F.lit(S.R_MISSING_ATTACHMENT))
+              .when(c.getField("source_uri").isNull(), F.lit("missing_source_uri")))
+    return j.where(reason.isNotNull()).select(
+        "seq", "ts",
+        F.concat(F.col("seq").cast("string"), F.lit(":"), F.col("route")).alias("request_id"),
+        "route",
+        F.when(reason == "missing_source_uri", F.lit("skipped")).otherwise(F.lit("failed")).alias("outcome"),
+        reason.alias("reason"),
+        F.when(reason == "missing_source_uri", F.lit("WARN")).otherwise(F.lit("ERROR")).alias("level"),
+        F.lit(0).cast("bigint").alias("attempts"),
+    )
+
+
 def derivative_requests(fields: DataFrame, registry: DataFrame, settings: Settings) -> DataFrame:
     """One service request per event on an enabled item's stream."""
     reg = _maybe_broadcast(registry.where(F.col("enabled")).select("route", "stream", "service_url"))
     j = fields.join(reg, "stream", "inner")
     c = F.col("event").getField("attachment").getField("content")
-    ok = j.where(~F.col("malformed") & c.isNotNull())
+    ok = j.where(~F.col("malformed") & c.isNotNull() & c.getField("source_uri").isNotNull())
     return ok.select(
         "seq", "ts", "route",
         F.concat(F.col("seq").cast("string"), F.lit(":"), F.col("route")).alias("request_id"),

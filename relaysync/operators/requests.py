@@ -67,7 +67,7 @@ def _stop_reason(settings: Settings) -> Column:
     uuid_missing = F.col("uuid").isNull() | (F.col("uuid") == "")
     return (
         F.when(fam.isNull(), F.lit(None).cast("string"))
-        .when(F.col("malformed"), F.lit(S.R_MALFORMED))
+        .when(F.col("malformed"), F.coalesce(F.col("parse_reason"), F.lit(S.R_MALFORMED)))
         .when(fam.isin(NODE, DELETE, EXTERNAL) & uuid_missing, F.lit(S.R_MISSING_ID))
         .when((fam == NODE) & F.col("jsonld_url").isNull(), F.lit(S.R_MISSING_JSONLD))
         .when((fam == MEDIA) & F.col("json_url").isNull(), F.lit(S.R_MISSING_JSON))

@@ -114,7 +114,7 @@ def subject_events(fields: DataFrame, settings: Settings) -> DataFrame:
             .when(st == settings.triples_delete_stream, F.lit(DELETE)))
     s = subject_uri(F.col("describes_url"), F.col("canonical_url"))
     reason = (
-        F.when(F.col("malformed"), F.lit(S.R_MALFORMED))
+        F.when(F.col("malformed"), F.coalesce(F.col("parse_reason"), F.lit(S.R_MALFORMED)))
         .when(s.isNull(), F.lit(S.R_MISSING_CANONICAL))
         .when((kind == INDEX) & F.col("jsonld_url").isNull(), F.lit(S.R_MISSING_JSONLD))
     )
@@ -127,6 +127,37 @@ def subject_events(fields: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+def triples_outcomes(subject_evts: DataFrame, resources: DataFrame, winners: DataFrame) -> DataFrame:
+    """A6 for the triplestore routes: one outcome per index / delete event.
+
+    Valid events are ``ok``: ``applied`` when the event is its subject's last
+    writer, ``superseded`` otherwise (a later event of the same subject
+    replaces its effect, as in FIFO consumption).  Missing links are
+    ``skipped`` (WARN); a malformed event or a missing document ``failed``.
+    """
+    have = (resources.where(F.col("body").isNotNull()).select(F.col("url").alias("_have"))
+            .dropDuplicates(["_have"]))
+    ev = subject_evts.join(have, (F.col("url") == F.col("_have")) & (F.col("kind") == INDEX), "left")
+    won = winners.select(F.col("seq").alias("_wseq"))
+    ev = ev.join(won, F.col("seq") == F.col("_wseq"), "left")
+    reason = (F.when(F.col("reason").isNotNull(), F.col("reason"))
+              .when((F.col("kind") == INDEX) & F.col("_have").isNull(), F.lit(S.R_RESOURCE_MISSING))
+              .when(F.col("_wseq").isNotNull(), F.lit("applied"))
+              .otherwise(F.lit("superseded")))
+    outcome = (F.when(reason.isin("applied", "superseded"), F.lit("ok"))
+               .when(reason.isin(S.R_MALFORMED, S.R_RESOURCE_MISSING), F.lit("failed"))
+               .otherwise(F.lit("skipped")))
+    level = (F.when(outcome == "ok", F.lit("DEBUG")).when(outcome == "failed", F.lit("ERROR"))
+             .otherwise(F.lit("WARN")))
+    route = F.when(F.col("kind") == INDEX, F.lit(S.TRIPLES_INDEX)).otherwise(F.lit(S.TRIPLES_DELETE))
+    return ev.select(
+        "seq", "ts",
+        F.concat(F.col("seq").cast("string"), F.lit(":"), route).alias("request_id"),
+        route.alias("route"), outcome.alias("outcome"), reason.alias("reason"), level.alias("level"),
+        F.lit(0).cast("bigint").alias("attempts"),
+    )
+
+
 def eligible(subject_evts: DataFrame, resources: DataFrame) -> DataFrame:
     """Events that may win: valid, and (for index) with a fetched document (D3).
 

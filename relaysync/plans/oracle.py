@@ -271,6 +271,28 @@ SELECT win.s, CAST(0 AS BIGINT) AS part,
          AS update_text
 FROM win LEFT JOIN ins USING (s)""",
 }
+SQL["triples_outcomes"] = _with(F_CTE, DOC_CTE) + """,
+tev AS (
+  SELECT event_id, CASE kind WHEN 'node' THEN 'triples_index' ELSE 'triples_delete' END AS route,
+    CASE WHEN m = 8 THEN 'malformed'
+         WHEN m IN (2, 3) THEN 'missing_canonical_url'
+         WHEN kind = 'node' AND m = 0 THEN 'missing_jsonld_url'
+         WHEN kind = 'node' AND user_id NOT IN (SELECT page_id FROM pages WHERE page_id % 17 <> 0)
+           THEN 'resource_missing'
+         WHEN event_id IN (SELECT seq FROM win) THEN 'applied'
+         ELSE 'superseded' END AS reason
+  FROM f WHERE kind IN ('node', 'delete')
+)
+SELECT event_id AS seq, route,
+       CASE WHEN reason IN ('applied', 'superseded') THEN 'ok'
+            WHEN reason IN ('malformed', 'resource_missing') THEN 'failed' ELSE 'skipped' END AS outcome,
+       reason,
+       CASE WHEN reason IN ('applied', 'superseded') THEN 'DEBUG'
+            WHEN reason IN ('malformed', 'resource_missing') THEN 'ERROR' ELSE 'WARN' END AS level
+FROM tev"""
+SQL["derivative_outcomes"] = _with(F_CTE) + """
+SELECT event_id AS seq, 'derivative.' || item AS route, 'failed' AS outcome, 'malformed' AS reason, 'ERROR' AS level
+FROM f WHERE kind = 'derivative' AND m = 8 AND item <> 'ocr'"""
 SQL["stream_requests"] = SQL["all_requests"]
 SQL["stream_latest"] = SQL["latest_per_subject"]
 SQL["stream_outcomes"] = SQL["redelivery_outcomes"]

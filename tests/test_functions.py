@@ -59,6 +59,7 @@ def test_quarantine(spark, body, malformed):
 def test_strict_unknown_field(spark):
     df = spark.createDataFrame([('{"type":"Update","extra":1}',), ('{"type":"Update"}',)], "body string")
     assert [r.malformed for r in parse_events(df, strict=True).collect()] == [True, False]
+    assert [r.parse_reason for r in parse_events(df, strict=True).collect()] == ["unknown_field", None]
     assert [r.malformed for r in parse_events(df).collect()] == [False, False]
 
 
