@@ -64,6 +64,8 @@ def attempt_stats(attempts: DataFrame, settings: Settings) -> DataFrame:
     """Route-independent per-request aggregate of attempts 1..N+1.
 
     Columns: request_id, n, first_terminal_p, first_404, last_p (packed).
+    ``n`` is the highest attempt number seen (deliveries made): a delivery
+    logged twice, or a missing log line, does not change it.
     """
     a, st = F.col("attempt_no"), F.col("status")
     general = is_success(st) | st.isin(S.STATUS_PRECONDITION_FAILED, S.STATUS_GONE)
@@ -72,7 +74,7 @@ def attempt_stats(attempts: DataFrame, settings: Settings) -> DataFrame:
         attempts.where((a >= 1) & (a <= settings.attempt_limit) & (st >= 0) & (st < PACK))
         .groupBy("request_id")
         .agg(
-            F.count(F.lit(1)).alias("n"),
+            F.max(a).alias("n"),
             F.min(F.when(general, packed)).alias("first_terminal_p"),
             F.min(F.when(st == S.STATUS_NOT_FOUND, a)).alias("first_404"),
             F.max(packed).alias("last_p"),
