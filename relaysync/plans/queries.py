@@ -184,26 +184,32 @@ def q_dedup_messages(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- outcomes
-def _attempts(spark, sf_dir):
-    return feed.attempts_for(requests(spark, sf_dir))
+def sent_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request table as the sink stores it, read by outcome resolution.
+
+    Requests feed two consumers here (the attempts derived from them and the
+    resolution join), so they are written once to the shared checkpoint
+    folder instead of re-parsing every event per consumer.
+    """
+    return materialize(requests(spark, sf_dir).select("seq", "ts", "request_id", "route"))
 
 
 def q_response_classes(spark, sf_dir):
-    return outcomes.response_classes(requests(spark, sf_dir), _attempts(spark, sf_dir)).select(
+    req = sent_requests(spark, sf_dir)
+    return outcomes.response_classes(req, feed.attempts_for(req)).select(
         "request_id", F.col("attempt_no").cast("bigint").alias("attempt_no"),
         F.col("status").cast("bigint").alias("status"), "class")
 
 
 def q_redelivery_outcomes(spark, sf_dir):
-    req = requests(spark, sf_dir)
+    req = sent_requests(spark, sf_dir)
     return outcomes.redelivery_outcomes(req, feed.attempts_for(req), SETTINGS).select(*REDELIVERY_COLS)
 
 
 def _outcomes_table(spark, sf_dir):
-    f = fields(spark, sf_dir)
-    req = R.build_requests(f, SETTINGS)
+    req = sent_requests(spark, sf_dir)
     done = outcomes.redelivery_outcomes(req, feed.attempts_for(req), SETTINGS)
-    return outcomes.all_outcomes(R.event_outcomes(f, SETTINGS), done)
+    return outcomes.all_outcomes(R.event_outcomes(fields(spark, sf_dir), SETTINGS), done)
 
 
 def q_outcome_rollup(spark, sf_dir):
@@ -281,7 +287,7 @@ def q_stream_latest(spark, sf_dir):
 def q_stream_outcomes(spark, sf_dir):
     """E1 on a stream: attempts arrive shuffled; per-request stats in update mode."""
     run = P.StreamRun(spark, "stream_outcomes")
-    req = requests(spark, sf_dir)
+    req = sent_requests(spark, sf_dir)
     files = P.stage_by_hash(feed.attempts_for(req), run.input, "request_id")
     att = P.read_stream(spark, run.input, S.ATTEMPTS_DDL, files, fmt="parquet")
     P.run_available_now(outcomes.attempt_stats(att, SETTINGS), run.sink, run.checkpoint, "update")
