@@ -7,12 +7,12 @@ from dataclasses import dataclass, field, replace
 # --- fixed values: property keys understood by the engine -----------------
 KEY_MAX_REDELIVERIES = "error.maxRedeliveries"
 KEY_HTTP_OPTIONS = "http.additional_options"
-KEY_INDEXER_ENABLED = "fcrepo.indexer.enabled"
-KEY_NODE_STREAM = "fcrepo.indexer.node"
-KEY_DELETE_STREAM = "fcrepo.indexer.delete"
-KEY_MEDIA_STREAM = "fcrepo.indexer.media"
-KEY_EXTERNAL_STREAM = "fcrepo.indexer.external"
-KEY_SERVICE_BASE = "fcrepo.indexer.milliner.baseUrl"
+KEY_INDEXER_ENABLED = "indexer.enabled"
+KEY_NODE_STREAM = "indexer.node"
+KEY_DELETE_STREAM = "indexer.delete"
+KEY_MEDIA_STREAM = "indexer.media"
+KEY_EXTERNAL_STREAM = "indexer.external"
+KEY_SERVICE_BASE = "indexer.service.baseUrl"
 KEY_TRIPLES_ENABLED = "triplestore.indexer.enabled"
 KEY_TRIPLES_INDEX_STREAM = "triplestore.index.stream"
 KEY_TRIPLES_DELETE_STREAM = "triplestore.delete.stream"
@@ -61,7 +61,15 @@ class Settings:
         return self.max_redeliveries + 1
 
     @classmethod
-    def from_map(cls, props: dict[str, str]) -> "Settings":
+    def from_map(cls, props: dict[str, str], aliases: dict[str, str] | None = None) -> "Settings":
+        """Build from resolved properties.
+
+        ``aliases`` maps a deployment's own key names to the keys above
+        (``{"my.node.queue": "indexer.node"}``), so an existing properties
+        file can be used unchanged.
+        """
+        if aliases:
+            props = {**props, **{ours: props[theirs] for theirs, ours in aliases.items() if theirs in props}}
         def get_bool(key: str, default: bool) -> bool:
             v = props.get(key)
             if v is None:

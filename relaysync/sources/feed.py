@@ -51,12 +51,12 @@ MESSAGE_ID_HEADER = "message-id"
 FEED_PROPERTIES: list[tuple[str, str]] = [
     ("error.maxRedeliveries", "5"),
     ("http.additional_options", ""),
-    ("fcrepo.indexer.enabled", "true"),
-    ("fcrepo.indexer.node", "queue:sync-node"),
-    ("fcrepo.indexer.delete", "queue:sync-delete"),
-    ("fcrepo.indexer.media", "queue:sync-media"),
-    ("fcrepo.indexer.external", "queue:sync-external"),
-    ("fcrepo.indexer.milliner.baseUrl", "http://cms/sync/"),
+    ("indexer.enabled", "true"),
+    ("indexer.node", "queue:sync-node"),
+    ("indexer.delete", "queue:sync-delete"),
+    ("indexer.media", "queue:sync-media"),
+    ("indexer.external", "queue:sync-external"),
+    ("indexer.service.baseUrl", "http://cms/sync/"),
     ("triplestore.indexer.enabled", "true"),
     ("triplestore.index.stream", "queue:sync-node"),
     ("triplestore.delete.stream", "queue:sync-delete"),

@@ -58,5 +58,5 @@ def to_map(props: DataFrame) -> dict[str, str]:
     return {r["key"]: r["value"] for r in resolved.collect()}
 
 
-def load_settings(spark: SparkSession, paths: list[str]) -> Settings:
-    return Settings.from_map(to_map(read_properties(spark, paths)))
+def load_settings(spark: SparkSession, paths: list[str], aliases: dict[str, str] | None = None) -> Settings:
+    return Settings.from_map(to_map(read_properties(spark, paths)), aliases)

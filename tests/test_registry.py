@@ -21,3 +21,11 @@ def test_properties_override_and_registry(spark, tmp_path):
     assert reg["conv"].service_url == "http://svc.test/conv?a=b=c"  # split at the first '='
     assert reg["conv"].enabled and reg["ocr"].enabled
     assert reg["ocr"].route == "derivative.ocr"
+
+
+def test_key_aliases(spark, tmp_path):
+    f = tmp_path / "site.properties"
+    f.write_text("site.queue.node=queue:n\nsite.base=http://svc.test/base\nindexer.delete=queue:d\n")
+    s = load_settings(spark, [str(f)], aliases={"site.queue.node": "indexer.node", "site.base": "indexer.service.baseUrl"})
+    assert (s.node_stream, s.service_base_url, s.delete_stream) == ("queue:n", "http://svc.test/base", "queue:d")
+    assert s.triples_index_stream == "queue:n"
