@@ -295,5 +295,6 @@ SELECT event_id AS seq, 'derivative.' || item AS route, 'failed' AS outcome, 'ma
 FROM f WHERE kind = 'derivative' AND m = 8 AND item <> 'ocr'"""
 SQL["stream_requests"] = SQL["all_requests"]
 SQL["stream_latest"] = SQL["latest_per_subject"]
+SQL["stream_triples_after_delete"] = SQL["triples_after_delete"]
 SQL["stream_outcomes"] = SQL["redelivery_outcomes"]
 SQL["stream_daily_outcomes"] = SQL["daily_outcomes"]

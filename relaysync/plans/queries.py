@@ -272,16 +272,25 @@ def q_stream_requests(spark, sf_dir):
     return P.read_sink(spark, run.sink).select(*ALL_REQ_COLS)
 
 
-def q_stream_latest(spark, sf_dir):
+def stream_winners(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """E5 on a stream: max_by per subject in update mode, folded on read."""
-    run = P.StreamRun(spark, "stream_latest")
+    run = P.StreamRun(spark, name)
     files = P.stage_in_order(raw(spark, sf_dir), run.input, "seq")
     f = R.prepare(P.read_raw_stream(spark, run.input, files, fmt="parquet"))
     sev = triples.subject_events(f, SETTINGS)
     elig = triples.eligible(sev, resources(spark, sf_dir))
     P.run_available_now(triples.latest_per_subject(elig), run.sink, run.checkpoint, "update")
-    folded = triples.latest_per_subject(P.read_sink(spark, run.sink).drop("batch_id"))
-    return folded.select("s", "seq", "kind")
+    return triples.latest_per_subject(P.read_sink(spark, run.sink).drop("batch_id"))
+
+
+def q_stream_latest(spark, sf_dir):
+    return stream_winners(spark, sf_dir, "stream_latest").select("s", "seq", "kind")
+
+
+def q_stream_triples_after_delete(spark, sf_dir):
+    """E2/E3 fed by the streamed last-writer state."""
+    w = materialize(stream_winners(spark, sf_dir, "stream_triples"))
+    return triples.apply_changes(prior(spark, sf_dir), w, resources(spark, sf_dir))
 
 
 def q_stream_outcomes(spark, sf_dir):
@@ -347,6 +356,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "derivative_outcomes": q_derivative_outcomes,
     "stream_requests": q_stream_requests,
     "stream_latest": q_stream_latest,
+    "stream_triples_after_delete": q_stream_triples_after_delete,
     "stream_outcomes": q_stream_outcomes,
     "stream_daily_outcomes": q_stream_daily_outcomes,
 }

@@ -47,3 +47,13 @@ def test_dedup_within_watermark(spark):
     out = dedup_stream(P.read_raw_stream(spark, run.input), Settings()).select("message_id", "seq")
     P.run_available_now(out, run.sink, run.checkpoint)
     assert P.read_sink(spark, run.sink).count() == 20
+
+
+def test_line_per_message_source(spark, tmp_path):
+    from relaysync.sources.events import read_bodies
+    f = tmp_path / "dump.txt"
+    f.write_text("\n".join([E.node_event(), "{broken", E.node_event(version="true")]) + "\n")
+    raw = read_bodies(spark, str(f), "node")
+    assert raw.count() == 3 and raw.select("seq").distinct().count() == 3
+    req = R.requests_from_raw(raw, SETTINGS)
+    assert sorted(r.route for r in req.collect()) == ["node_index", "node_index", "node_version"]
