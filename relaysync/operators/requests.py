@@ -152,15 +152,10 @@ def build_requests(fields: DataFrame, settings: Settings) -> DataFrame:
     base = service_base(settings)
     suffix = options_suffix(settings.http_options)
 
-    staged = fields.select(
-        "seq", "ts", "stream", "headers", "base_url",
-        _stop_reason(settings).alias("reason"),
-        candidates.alias("_cands"),
-        F.col("uuid"), F.col("source_field"), F.col("is_new_version"),
-        F.col("jsonld_url"), F.col("json_url"), F.col("canonical_url"),
-    ).select(
-        "seq", "ts", "stream", "headers", "base_url",
-        F.explode(F.filter("_cands", lambda c: c.getField("keep"))).alias("r"),
+    staged = (
+        fields.withColumn("reason", _stop_reason(settings))
+        .select("seq", "ts", "stream", "headers", "base_url",
+                F.explode(F.filter(candidates, lambda c: c.getField("keep"))).alias("r"))
     )
     hdrs = set_header(keep_headers(F.col("headers"), [AUTHORIZATION]),
                       settings.base_url_header, F.col("base_url"))

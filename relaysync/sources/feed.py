@@ -27,7 +27,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaysync import schema as S
 from relaysync.settings import Settings
 
 # --- fixed values of the feed ---------------------------------------------
