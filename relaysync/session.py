@@ -39,13 +39,16 @@ def get_spark(master: str | None = None, app: str = "relaysync",
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Read from the session; only when it is unset (local tests) a folder of
-    our own is created and registered.
+    Read from the session.  Only a local-mode session (tests) without the
+    setting gets a folder of its own; on a cluster the setting is required,
+    since a machine-local folder would not survive the loss of an executor.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="relaysync-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
