@@ -35,27 +35,31 @@ def sync_batch(spark: SparkSession, raw: DataFrame, settings: Settings, out: str
                resources: DataFrame | None = None, prior_triples: DataFrame | None = None,
                attempts: DataFrame | None = None, registry: DataFrame | None = None,
                strict: bool = False) -> dict[str, str]:
-    """Run every batch output over ``raw``; returns the written paths."""
+    """Run every batch output over ``raw``; returns the written paths.
+
+    Every output overwrites its folder under ``out``, so re-running the same
+    job (after a failure) replaces its results instead of adding to them.
+    """
     f = materialize(prepared(raw, strict))
     paths: dict[str, str] = {}
 
     req = R.build_requests(f, settings)
     paths["requests"] = f"{out}/requests"
-    sinks.write_requests(req, paths["requests"])
+    sinks.write_requests(req, paths["requests"], mode="overwrite")
 
     stopped = R.event_outcomes(f, settings).select(*outcomes.OUTCOME_COLUMNS)
     if registry is not None:
         stopped = stopped.unionByName(derivatives.derivative_outcomes(f, registry)
                                       .select(*outcomes.OUTCOME_COLUMNS))
         paths["derivative_requests"] = f"{out}/derivative_requests"
-        derivatives.derivative_requests(f, registry, settings).write.mode("append").parquet(
+        derivatives.derivative_requests(f, registry, settings).write.mode("overwrite").parquet(
             paths["derivative_requests"])
     if attempts is not None:
         sent = spark.read.parquet(paths["requests"]).select("seq", "ts", "request_id", "route")
         stopped = stopped.unionByName(outcomes.redelivery_outcomes(sent, attempts, settings)
                                       .select(*outcomes.OUTCOME_COLUMNS))
     paths["outcomes"] = f"{out}/outcomes"
-    sinks.write_outcomes(stopped, paths["outcomes"])
+    sinks.write_outcomes(stopped, paths["outcomes"], mode="overwrite")
 
     if resources is not None and prior_triples is not None:
         sev = triples.subject_events(f, settings)
@@ -63,7 +67,7 @@ def sync_batch(spark: SparkSession, raw: DataFrame, settings: Settings, out: str
         paths["triples"] = f"{out}/triples"
         sinks.write_triples(triples.apply_changes(prior_triples, w, resources), paths["triples"])
         paths["triples_outcomes"] = f"{out}/triples_outcomes"
-        triples.triples_outcomes(sev, resources, w).write.mode("append").parquet(paths["triples_outcomes"])
+        triples.triples_outcomes(sev, resources, w).write.mode("overwrite").parquet(paths["triples_outcomes"])
     return paths
 
 
