@@ -57,3 +57,32 @@ def test_line_per_message_source(spark, tmp_path):
     assert raw.count() == 3 and raw.select("seq").distinct().count() == 3
     req = R.requests_from_raw(raw, SETTINGS)
     assert sorted(r.route for r in req.collect()) == ["node_index", "node_index", "node_version"]
+
+
+def test_crash_mid_batch_then_restart(spark):
+    """A sink that dies after a partial write: the restarted query replays the batch."""
+    run = P.StreamRun(spark, "test_crash")
+    _raw(spark, 0, 20).write.parquet(f"{run.input}/a")
+    _raw(spark, 20, 20).write.parquet(f"{run.input}/b")
+    src = P.read_stream(spark, run.input, DDL, max_files=1, fmt="parquet")
+    out = R.requests_from_raw(src, SETTINGS).select("request_id", "uri")
+    good = P.idempotent_writer(run.sink)
+
+    def crashing(batch, batch_id):
+        if batch_id == 1:
+            batch.limit(1).write.mode("overwrite").parquet(f"{run.sink}/batch_id={batch_id}")
+            raise RuntimeError("executor lost")
+        good(batch, batch_id)
+
+    q = (out.writeStream.foreachBatch(crashing).option("checkpointLocation", run.checkpoint)
+         .trigger(availableNow=True).start())
+    try:
+        q.awaitTermination()
+    except Exception:  # noqa: BLE001 - the query is expected to fail
+        pass
+    assert q.exception() is not None
+    P.run_available_now(out, run.sink, run.checkpoint)  # restart from the checkpoint
+    got = P.read_sink(spark, run.sink).select("request_id", "uri")
+    want = R.requests_from_raw(_raw(spark, 0, 40), SETTINGS).select("request_id", "uri")
+    assert got.count() == want.count()
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
