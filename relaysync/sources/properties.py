@@ -1,8 +1,8 @@
-"""Properties source (A4): ``key=value`` text files -> (key, value) DataFrame.
+"""Properties source (A4): properties files -> (key, value) DataFrame.
 
 Files are read by Spark; later files override earlier ones (explicit config
-over default file), missing files are skipped.  A line splits at its first
-``=``; ``#`` / ``!`` lines are comments.
+over default file), missing files are skipped.  Lines follow the usual
+properties-file format (see ``read_properties``).
 """
 
 from __future__ import annotations
@@ -19,29 +19,51 @@ from relaysync.settings import Settings
 MAX_KEYS = 100_000
 
 
+def _logical_lines(text):
+    """Join continuation lines (odd number of trailing backslashes) and split."""
+    joined = F.regexp_replace(text, r"(^|[^\\])((?:\\\\)*)\\\r?\n[ \t\f]*", "$1$2")
+    return F.split(joined, r"\r?\n")
+
+
+def _unescape(col):
+    """Escapes of the properties format: \\t \\n \\r \\f, and backslash + char -> char.
+
+    (Unicode escapes are left as written.)
+    """
+    out = F.regexp_replace(col, r"\\t", "\t")
+    out = F.regexp_replace(out, r"(?<!\\)\\n", "\n")
+    out = F.regexp_replace(out, r"(?<!\\)\\r", "\r")
+    out = F.regexp_replace(out, r"(?<!\\)\\f", "\f")
+    return F.regexp_replace(out, r"\\([^u])", "$1")
+
+
 def read_properties(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(key, value, priority) rows of every existing file; priority = file order."""
+    """(key, value, priority) rows of every existing file; priority = file order.
+
+    Properties-file rules: ``#`` / ``!`` comment lines, a trailing backslash
+    continues a line, the key ends at the first unescaped ``=``, ``:`` or
+    whitespace, whitespace around the separator is dropped, trailing
+    whitespace of the value is kept.  Each (small) file is read whole.
+    """
     frames = []
     for prio, path in enumerate(paths):
         local = path.removeprefix("file:")
         if "://" not in path and not os.path.exists(local):
             continue
-        frames.append(spark.read.text(path).select(F.col("value").alias("line"), F.lit(prio).alias("priority")))
+        frames.append(spark.read.text(path, wholetext=True)
+                      .select(F.col("value").alias("text"), F.lit(prio).alias("priority")))
     if not frames:
         return spark.createDataFrame([], "key string, value string, priority int")
-    lines = frames[0]
+    texts = frames[0]
     for f in frames[1:]:
-        lines = lines.unionByName(f)
-    line = F.ltrim(F.col("line"))
-    pos = F.instr(line, "=")
-    return (
-        lines.where((pos > 0) & ~line.startswith("#") & ~line.startswith("!"))
-        .select(
-            F.trim(F.substring_index(line, "=", 1)).alias("key"),
-            F.ltrim(F.expr("substr(ltrim(line), instr(ltrim(line), '=') + 1)")).alias("value"),
-            "priority",
-        )
-    )
+        texts = texts.unionByName(f)
+    lines = texts.select(F.explode(_logical_lines(F.col("text"))).alias("line"), "priority").select(
+        F.regexp_replace("line", r"^[ \t\f]+", "").alias("line"), "priority")
+    lines = lines.where((F.col("line") != "") & ~F.col("line").startswith("#") & ~F.col("line").startswith("!"))
+    raw_key = F.regexp_extract("line", r"^((?:\\.|[^=:\s\\])*)", 1)
+    rest = F.substring(F.col("line"), F.length(raw_key) + 1, 1 << 30)
+    raw_value = F.regexp_replace(rest, r"^[ \t\f]*[=:]?[ \t\f]*", "")
+    return lines.select(_unescape(raw_key).alias("key"), _unescape(raw_value).alias("value"), "priority")
 
 
 def resolve(props: DataFrame) -> DataFrame:

@@ -29,3 +29,25 @@ def test_key_aliases(spark, tmp_path):
     s = load_settings(spark, [str(f)], aliases={"site.queue.node": "indexer.node", "site.base": "indexer.service.baseUrl"})
     assert (s.node_stream, s.service_base_url, s.delete_stream) == ("queue:n", "http://svc.test/base", "queue:d")
     assert s.triples_index_stream == "queue:n"
+
+
+def test_properties_format(spark, tmp_path):
+    from relaysync.sources.properties import resolve
+    f = tmp_path / "fmt.properties"
+    f.write_text(
+        "   # indented comment\n"
+        "! bang comment\n"
+        "a=1\n"
+        "b : two words  \n"
+        "c three\n"
+        "d=line one \\\n"
+        "    continued\n"
+        "e\\=x=y\n"
+        "f=back\\\\\n"
+        "g=tab\\tend\n"
+        "h = http://svc.test/x?a=b\n"
+        "empty=\n"
+    )
+    got = {r.key: r.value for r in resolve(read_properties(spark, [str(f)])).collect()}
+    assert got == {"a": "1", "b": "two words  ", "c": "three", "d": "line one continued", "e=x": "y",
+                   "f": "back\\", "g": "tab\tend", "h": "http://svc.test/x?a=b", "empty": ""}
