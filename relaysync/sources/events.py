@@ -54,7 +54,10 @@ def read_kafka(spark: SparkSession, servers: str, topics: list[str], streaming:
                **options: str) -> DataFrame:
     """Kafka topics as raw_events (needs the Kafka connector on the classpath).
 
-    topic -> stream, value -> body, headers -> map, offset order -> seq.
+    topic -> stream, value -> body, headers -> map, offset -> seq.
+    Offsets are ordered only within a partition, so last-writer-wins by
+    ``seq`` is exact when each subject's messages share one partition (produce
+    them keyed by subject), which is also Kafka's own ordering guarantee.
     """
     reader = spark.readStream if streaming else spark.read
     r = reader.format("kafka").option("kafka.bootstrap.servers", servers).option(
