@@ -262,11 +262,21 @@ def q_derivative_outcomes(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streaming twins
+def raw_stream(spark: SparkSession, sf_dir: str, run: P.StreamRun, redeliver: bool = False) -> DataFrame:
+    """raw_events as a stream: copies of the driver's ``events`` rows land in
+    successive chunks, and the stream turns each into its JSON message."""
+    ev = events(spark, sf_dir)
+    staged = feed.redelivered_events(ev) if redeliver else ev
+    files = P.stage_in_order(staged, run.input, "event_id")
+    src = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", files)
+           .option("recursiveFileLookup", "true").parquet(run.input))
+    return feed.raw_events(src, SETTINGS)
+
+
 def q_stream_requests(spark, sf_dir):
     """I1 + I2 + E6: redelivered feed -> stream -> dedup within watermark -> requests."""
     run = P.StreamRun(spark, "stream_requests")
-    files = P.stage_in_order(feed.redelivered(raw(spark, sf_dir)), run.input, "seq")
-    s = dedup.dedup_stream(P.read_raw_stream(spark, run.input, files, fmt="parquet"), SETTINGS)
+    s = dedup.dedup_stream(raw_stream(spark, sf_dir, run, redeliver=True), SETTINGS)
     out = R.build_requests(R.prepare(s.drop("message_id")), SETTINGS).select(*ALL_REQ_COLS)
     P.run_available_now(out, run.sink, run.checkpoint, "append")
     return P.read_sink(spark, run.sink).select(*ALL_REQ_COLS)
@@ -275,8 +285,7 @@ def q_stream_requests(spark, sf_dir):
 def stream_winners(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """E5 on a stream: max_by per subject in update mode, folded on read."""
     run = P.StreamRun(spark, name)
-    files = P.stage_in_order(raw(spark, sf_dir), run.input, "seq")
-    f = R.prepare(P.read_raw_stream(spark, run.input, files, fmt="parquet"))
+    f = R.prepare(raw_stream(spark, sf_dir, run))
     sev = triples.subject_events(f, SETTINGS)
     elig = triples.eligible(sev, resources(spark, sf_dir))
     P.run_available_now(triples.latest_per_subject(elig), run.sink, run.checkpoint, "update")
