@@ -52,7 +52,9 @@ PACK = 1000
 
 
 def _pack(a: Column, st: Column) -> Column:
-    return a.cast("long") * PACK + st.cast("long")
+    # a code outside 0..999 is not an HTTP status: kept as 999 ("other error")
+    code = F.when((st >= 0) & (st < PACK), st).otherwise(F.lit(PACK - 1))
+    return a.cast("long") * PACK + code.cast("long")
 
 
 def _unpack(packed: Column) -> Column:
@@ -67,21 +69,40 @@ def attempt_stats(attempts: DataFrame, settings: Settings) -> DataFrame:
     ``n`` is the highest attempt number seen (deliveries made): a delivery
     logged twice, or a missing log line, does not change it.
     """
+    return _stats(attempts.where(_in_range(settings)).groupBy("request_id"))
+
+
+def _in_range(settings: Settings) -> Column:
+    a = F.col("attempt_no")
+    return (a >= 1) & (a <= settings.attempt_limit)
+
+
+def _stats(grouped) -> DataFrame:
     a, st = F.col("attempt_no"), F.col("status")
     general = is_success(st) | st.isin(S.STATUS_PRECONDITION_FAILED, S.STATUS_GONE)
     packed = _pack(a, st)
-    return (
-        attempts.where((a >= 1) & (a <= settings.attempt_limit) & (st >= 0) & (st < PACK))
-        .groupBy("request_id")
-        .agg(
-            F.max(a).alias("n"),
-            F.min(F.when(general, packed)).alias("first_terminal_p"),
-            F.min(F.when(st == S.STATUS_NOT_FOUND, a)).alias("first_404"),
-            F.max(packed).alias("last_p"),
-        )
+    return grouped.agg(
+        F.max(a).alias("n"),
+        F.min(F.when(general, packed)).alias("first_terminal_p"),
+        F.min(F.when(st == S.STATUS_NOT_FOUND, a)).alias("first_404"),
+        F.max(packed).alias("last_p"),
     )
 
 
+def attempt_stats_bounded(attempts: DataFrame, settings: Settings, request_ts: str = "request_ts",
+                          delay: str = "1 day") -> DataFrame:
+    """Stream form with bounded state: attempts carry their request's ingest time.
+
+    State of a request is kept until the watermark on ``request_ts`` passes
+    it by ``delay`` (the longest retry horizon), then dropped; attempts that
+    arrive later than that are ignored.  In update mode rows appear as they
+    change; in append mode one final row per request appears once the
+    watermark passes.  Same columns as ``attempt_stats`` plus ``request_ts``.
+    """
+    return _stats(attempts.where(_in_range(settings)).withWatermark(request_ts, delay)
+                  .groupBy("request_id", request_ts))
+
+
 def resolve(requests: DataFrame, stats: DataFrame, settings: Settings) -> DataFrame:
     """requests (one row each) + stats -> outcome per request."""
     j = (requests.select("seq", "ts", "request_id", "route").join(stats, "request_id", "left")

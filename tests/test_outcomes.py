@@ -75,3 +75,28 @@ def test_status_class(spark):
     df = spark.createDataFrame([(201, "x"), (404, "node_delete"), (404, "x"), (410, "x")], "s int, r string")
     got = [r[0] for r in df.select(O.status_class(F.col("s"), F.col("r"))).collect()]
     assert got == ["ok", "skip", "retry", "skip"]
+
+
+def test_invalid_status_counts_as_error(spark):
+    got = resolve(spark, [("node_index", [1234, 201]), ("node_index", [-1, 1500])], n=1)
+    assert got["r0"] == ("ok", "http_201", 2)
+    assert got["r1"] == ("failed", "http_999", 2)
+
+
+def test_bounded_stream_stats_equal_batch(spark):
+    from relaysync.streaming import pipeline as P
+    s = Settings(max_redeliveries=2)
+    rows = [(f"r{i}", dt.datetime(2024, 1, 1, i % 24), a, [500, 404, 201][(i + a) % 3])
+            for i in range(60) for a in range(1, 4)]
+    att = spark.createDataFrame(rows, "request_id string, request_ts timestamp, attempt_no int, status int")
+    run = P.StreamRun(spark, "bounded_stats")
+    files = P.stage_in_order(att.withColumn("h", F.hour("request_ts")), run.input, "h")
+    src = P.read_stream(spark, run.input, "request_id string, request_ts timestamp, attempt_no int, status int",
+                        files, fmt="parquet")
+    P.run_available_now(O.attempt_stats_bounded(src, s, delay="2 hours"), run.sink, run.checkpoint, "update")
+    logged = P.read_sink(spark, run.sink)
+    folded = (logged.groupBy("request_id")
+              .agg(F.max_by(F.struct("n", "first_terminal_p", "first_404", "last_p"), "batch_id").alias("x"))
+              .select("request_id", "x.*"))
+    batch = O.attempt_stats(att.drop("request_ts"), s)
+    assert folded.exceptAll(batch).count() == 0 and batch.exceptAll(folded).count() == 0
