@@ -127,6 +127,17 @@ def subject_events(fields: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+def usable_documents(resources: DataFrame) -> DataFrame:
+    """URLs (column ``_have``) of fetched documents that parse as JSON.
+
+    A document that does not parse counts as missing: its index event must
+    not win, or replacing would empty the subject.  Only the URL column
+    leaves this step (deduplicated), bodies are not moved.
+    """
+    ok = F.col("body").isNotNull() & F.try_parse_json(F.col("body")).isNotNull()
+    return resources.where(ok).select(F.col("url").alias("_have")).dropDuplicates(["_have"])
+
+
 def triples_outcomes(subject_evts: DataFrame, resources: DataFrame, winners: DataFrame) -> DataFrame:
     """A6 for the triplestore routes: one outcome per index / delete event.
 
@@ -135,8 +146,7 @@ def triples_outcomes(subject_evts: DataFrame, resources: DataFrame, winners: Dat
     replaces its effect, as in FIFO consumption).  Missing links are
     ``skipped`` (WARN); a malformed event or a missing document ``failed``.
     """
-    have = (resources.where(F.col("body").isNotNull()).select(F.col("url").alias("_have"))
-            .dropDuplicates(["_have"]))
+    have = usable_documents(resources)
     ev = subject_evts.join(have, (F.col("url") == F.col("_have")) & (F.col("kind") == INDEX), "left")
     won = winners.select(F.col("seq").alias("_wseq"))
     ev = ev.join(won, F.col("seq") == F.col("_wseq"), "left")
@@ -164,8 +174,7 @@ def eligible(subject_evts: DataFrame, resources: DataFrame) -> DataFrame:
     One pass over the events: a left join to the fetched URLs (deduplicated
     so the join cannot multiply events), then a filter.
     """
-    have = (resources.where(F.col("body").isNotNull()).select(F.col("url").alias("_have"))
-            .dropDuplicates(["_have"]))
+    have = usable_documents(resources)
     ev = subject_evts.where(F.col("reason").isNull())
     j = ev.join(have, (F.col("url") == F.col("_have")) & (F.col("kind") == INDEX), "left")
     return j.where((F.col("kind") == DELETE) | F.col("_have").isNotNull()).drop("_have", "reason")

@@ -99,3 +99,25 @@ def test_last_writer_wins_brute_force(spark):
     for r in w.collect():
         assert txt[r.s].startswith(f"DELETE WHERE {{ <{r.s}> ?p ?o }};")
         assert ("INSERT DATA" in txt[r.s]) == (r.kind == "index")
+
+
+def test_unparsable_document_does_not_win(spark):
+    settings = Settings(node_stream="idx", delete_stream="del", triples_index_stream="idx",
+                        triples_delete_stream="del")
+    raw = spark.createDataFrame(
+        [(1, dt.datetime(2024, 1, 1), "idx", {}, _event(1)), (2, dt.datetime(2024, 1, 1), "idx", {}, _event(2))],
+        "seq bigint, ts timestamp, stream string, headers map<string,string>, body string")
+    res = spark.createDataFrame(
+        [("http://cms.test/node/1?_format=jsonld", '{"@graph": [ broken'),
+         ("http://cms.test/node/2?_format=jsonld",
+          json.dumps({"@graph": [{"@id": "http://cms.test/node/2", "p:v": [{"@value": "new"}]}]}))],
+        "url string, body string")
+    prior = spark.createDataFrame([(f"http://cms.test/node/{i}", "p:v", "old", "literal", None, None)
+                                   for i in (1, 2)],
+                                  "s string, p string, o string, o_kind string, datatype string, lang string")
+    sev = T.subject_events(R.prepare(raw), settings)
+    w = T.latest_per_subject(T.eligible(sev, res))
+    got = sorted((r.s, r.o) for r in T.apply_changes(prior, w, res).collect())
+    assert got == [("http://cms.test/node/1", "old"), ("http://cms.test/node/2", "new")]
+    out = {r.seq: (r.outcome, r.reason) for r in T.triples_outcomes(sev, res, w).collect()}
+    assert out == {1: ("failed", "resource_missing"), 2: ("ok", "applied")}
