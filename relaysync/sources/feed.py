@@ -81,17 +81,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
+# Inputs with at most this many splits are small (a few GB at the default
+# split size), so a round-robin shuffle of their compact rows is cheap.
+SPREAD_MAX_SPLITS = 64
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than the cluster has cores.
+    """Spread a small scan that has fewer splits than the cluster has cores.
 
     The feed turns each compact source row into a ~1.5 KB JSON document that
     is then parsed; a table stored as one row group would do all of that in
     a single task.  Shuffling the compact rows round-robin first is cheap and
-    puts every core to work.  A large table already has enough splits and is
-    left alone (no extra shuffle at scale).
+    puts every core to work.  A large table (more than ``SPREAD_MAX_SPLITS``
+    splits) is never reshuffled: it is read with its own splits.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    n = df.rdd.getNumPartitions()
+    if n < target and n <= SPREAD_MAX_SPLITS:
         return df.repartition(target)
     return df
 
