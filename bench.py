@@ -28,7 +28,8 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     reps = int(os.environ.get("BENCH_REPS", "3"))
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=cpus * 2,
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus))
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=parts,
                       extra={"spark.driver.memory": "16g"})
     n_events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     times: dict[str, float] = {}
@@ -52,7 +53,7 @@ def main() -> None:
         "events": n_events,
         "events_per_sec": {k: round(n_events / v, 1) for k, v in times.items() if v > 0},
         "cpus": cpus,
-        "shuffle_partitions": cpus * 2,
+        "shuffle_partitions": parts,
     }))
     spark.stop()
 
