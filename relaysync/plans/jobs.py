@@ -37,11 +37,15 @@ def sync_batch(spark: SparkSession, raw: DataFrame, settings: Settings, out: str
                strict: bool = False) -> dict[str, str]:
     """Run every batch output over ``raw``; returns the written paths.
 
+    The parsed events are written once as a parquet table partitioned by
+    ``stream`` (``events``) and every other output reads that table, so each
+    body is parsed exactly once and each route reads only its partitions.
     Every output overwrites its folder under ``out``, so re-running the same
     job (after a failure) replaces its results instead of adding to them.
     """
-    f = materialize(prepared(raw, strict))
-    paths: dict[str, str] = {}
+    paths: dict[str, str] = {"events": f"{out}/events"}
+    prepared(raw, strict).write.mode("overwrite").partitionBy("stream").parquet(paths["events"])
+    f = spark.read.parquet(paths["events"])
 
     req = R.build_requests(f, settings)
     paths["requests"] = f"{out}/requests"
@@ -80,10 +84,15 @@ def sync_stream(raw_stream: DataFrame, settings: Settings, out: str, checkpoint:
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        f = prepared(batch)
-        R.build_requests(f, settings).write.mode("overwrite").parquet(f"{out}/requests/batch_id={batch_id}")
-        (R.event_outcomes(f, settings).write.mode("overwrite")
-         .parquet(f"{out}/outcomes/batch_id={batch_id}"))
+        # two outputs per batch: parse once, keep it for the second write
+        f = prepared(batch).persist()
+        try:
+            R.build_requests(f, settings).write.mode("overwrite").parquet(
+                f"{out}/requests/batch_id={batch_id}")
+            (R.event_outcomes(f, settings).write.mode("overwrite")
+             .parquet(f"{out}/outcomes/batch_id={batch_id}"))
+        finally:
+            f.unpersist()
 
     w = (raw_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(**(trigger or {"availableNow": True})))
