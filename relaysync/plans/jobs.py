@@ -14,6 +14,7 @@ replayed batch never duplicates rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from relaysync.operators import derivatives, outcomes, triples
 from relaysync.operators import requests as R
@@ -46,12 +47,15 @@ def sync_batch(spark: SparkSession, raw: DataFrame, settings: Settings, out: str
     paths: dict[str, str] = {"events": f"{out}/events"}
     prepared(raw, strict).write.mode("overwrite").partitionBy("stream").parquet(paths["events"])
     f = spark.read.parquet(paths["events"])
+    # each consumer filters on its own streams: partition pruning on `stream`
+    f_idx = f.where(F.col("stream").isin(*R.indexer_streams(settings)))
+    f_tri = f.where(F.col("stream").isin(settings.triples_index_stream, settings.triples_delete_stream))
 
-    req = R.build_requests(f, settings)
+    req = R.build_requests(f_idx, settings)
     paths["requests"] = f"{out}/requests"
     sinks.write_requests(req, paths["requests"], mode="overwrite")
 
-    stopped = R.event_outcomes(f, settings).select(*outcomes.OUTCOME_COLUMNS)
+    stopped = R.event_outcomes(f_idx, settings).select(*outcomes.OUTCOME_COLUMNS)
     if registry is not None:
         stopped = stopped.unionByName(derivatives.derivative_outcomes(f, registry)
                                       .select(*outcomes.OUTCOME_COLUMNS))
@@ -66,7 +70,7 @@ def sync_batch(spark: SparkSession, raw: DataFrame, settings: Settings, out: str
     sinks.write_outcomes(stopped, paths["outcomes"], mode="overwrite")
 
     if resources is not None and prior_triples is not None:
-        sev = triples.subject_events(f, settings)
+        sev = triples.subject_events(f_tri, settings)
         w = materialize(triples.latest_per_subject(triples.eligible(sev, resources)))
         paths["triples"] = f"{out}/triples"
         sinks.write_triples(triples.apply_changes(prior_triples, w, resources), paths["triples"])
