@@ -74,6 +74,8 @@ def attempt_stats(attempts: DataFrame, settings: Settings) -> DataFrame:
 
 def _in_range(settings: Settings) -> Column:
     a = F.col("attempt_no")
+    if settings.attempt_limit is None:
+        return a >= 1
     return (a >= 1) & (a <= settings.attempt_limit)
 
 
@@ -114,9 +116,10 @@ def resolve(requests: DataFrame, stats: DataFrame, settings: Settings) -> DataFr
     term_a = F.when(use_404, f404).otherwise(ft.getField("a"))
     term_status = F.when(use_404, F.lit(S.STATUS_NOT_FOUND)).otherwise(ft.getField("status"))
     n = F.coalesce(F.col("n"), F.lit(0))
+    exhausted = F.lit(False) if settings.attempt_limit is None else n >= settings.attempt_limit
     outcome = (
         F.when(term_a.isNotNull(), F.when(is_success(term_status), F.lit("ok")).otherwise(F.lit("skipped")))
-        .when(n >= settings.attempt_limit, F.lit("failed"))
+        .when(exhausted, F.lit("failed"))
         .otherwise(F.lit("pending"))
     )
     deciding = F.when(term_a.isNotNull(), term_status).otherwise(F.col("last").getField("status"))

@@ -56,8 +56,12 @@ class Settings:
         return replace(self, **kw)
 
     @property
-    def attempt_limit(self) -> int:
-        """1 first delivery + N redeliveries."""
+    def attempt_limit(self) -> int | None:
+        """1 first delivery + N redeliveries; None when N is negative
+        (redeliver for ever: a request never fails, it stays pending until a
+        terminal answer)."""
+        if self.max_redeliveries < 0:
+            return None
         return self.max_redeliveries + 1
 
     @classmethod

@@ -100,3 +100,17 @@ def test_bounded_stream_stats_equal_batch(spark):
               .select("request_id", "x.*"))
     batch = O.attempt_stats(att.drop("request_ts"), s)
     assert folded.exceptAll(batch).count() == 0 and batch.exceptAll(folded).count() == 0
+
+
+def test_redeliver_forever(spark):
+    got = resolve(spark, [("node_index", [500] * 30), ("node_index", [500] * 12 + [201]),
+                          ("node_index", [404] * 3 + [412])], n=-1)
+    assert got["r0"] == ("pending", "http_500", 30)
+    assert got["r1"] == ("ok", "http_201", 13)
+    assert got["r2"] == ("skipped", "http_412", 4)
+
+
+def test_no_redelivery(spark):
+    got = resolve(spark, [("node_index", [500, 201]), ("node_index", [201])], n=0)
+    assert got["r0"] == ("failed", "http_500", 1)
+    assert got["r1"] == ("ok", "http_201", 1)
