@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from relaysync import schema as S
 from relaysync.functions.http_options import add_http_options_col
-from relaysync.settings import KEY_DERIVATIVES, Settings
+from relaysync.settings import KEY_DERIVATIVES, TRUE_WORDS, Settings
 from relaysync.sources.properties import resolve
 
 ITEM_KEY = r"^derivative\.(.+)\.(enabled|in\.stream|service\.url)$"
@@ -22,8 +22,8 @@ ROUTE_PREFIX = "derivative."
 
 
 def _bool(v: Column, default: bool) -> Column:
-    t = F.lower(F.trim(v))
-    return F.when(t == "true", True).when(t == "false", False).otherwise(F.lit(default))
+    """Column form of ``settings.read_bool``: absent -> default, else on only for true/on/yes/1."""
+    return F.when(v.isNull(), F.lit(default)).otherwise(F.lower(F.trim(v)).isin(*TRUE_WORDS))
 
 
 def routes_registry(props: DataFrame, default_enabled: bool = False) -> DataFrame:

@@ -26,6 +26,18 @@ KEY_MESSAGE_ID_HEADER = "sync.message_id_header"
 
 DEFAULT_MAX_REDELIVERIES = 5
 
+# --- fixed values: how a property string reads as a boolean ----------------
+TRUE_WORDS = ("true", "on", "yes", "1")
+FALSE_WORDS = ("false", "off", "no", "0")
+
+
+def read_bool(value: str | None, default: bool) -> bool:
+    """Absent -> default; true/on/yes/1 (trimmed, any case) -> True; anything
+    else, including an empty value, -> False (the switch is not on)."""
+    if value is None:
+        return default
+    return value.strip().lower() in TRUE_WORDS
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -75,11 +87,7 @@ class Settings:
         if aliases:
             props = {**props, **{ours: props[theirs] for theirs, ours in aliases.items() if theirs in props}}
         def get_bool(key: str, default: bool) -> bool:
-            v = props.get(key)
-            if v is None:
-                return default
-            v = v.strip().lower()
-            return default if v not in ("true", "false") else v == "true"
+            return read_bool(props.get(key), default)
 
         base = cls()
         node = props.get(KEY_NODE_STREAM, base.node_stream)

@@ -51,3 +51,17 @@ def test_properties_format(spark, tmp_path):
     got = {r.key: r.value for r in resolve(read_properties(spark, [str(f)])).collect()}
     assert got == {"a": "1", "b": "two words  ", "c": "three", "d": "line one continued", "e=x": "y",
                    "f": "back\\", "g": "tab\tend", "h": "http://svc.test/x?a=b", "empty": ""}
+
+
+def test_enabled_words(spark, tmp_path):
+    f = tmp_path / "en.properties"
+    lines = ["derivative.systems.installed=a,b,c,d,e,f"]
+    for item, val in zip("abcdef", ["yes", " ON ", "1", "", "maybe", None]):
+        if val is not None:
+            lines.append(f"derivative.{item}.enabled={val}")
+        lines += [f"derivative.{item}.in.stream=q:{item}", f"derivative.{item}.service.url=http://svc.test/{item}"]
+    f.write_text("\n".join(lines) + "\n")
+    reg = {r.item: r.enabled for r in routes_registry(read_properties(spark, [str(f)])).collect()}
+    assert reg == {"a": True, "b": True, "c": True, "d": False, "e": False, "f": False}
+    from relaysync.settings import read_bool
+    assert [read_bool(v, True) for v in [None, "", "Yes", "off", "x"]] == [True, False, True, False, False]
