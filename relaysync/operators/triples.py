@@ -197,12 +197,14 @@ def _winner_keys(winners: DataFrame) -> DataFrame:
 def winner_documents(winners: DataFrame, resources: DataFrame) -> DataFrame:
     """Triples of the documents of index winners (only those documents are parsed).
 
-    Columns: seq, subject (the winner's subject) and the triple columns.
+    Columns: seq, subject (the winner's subject), doc_len (document length)
+    and the triple columns.
     """
     w = _winner_keys(winners)
     docs = resources.join(w.where(F.col("w_kind") == INDEX), F.col("url") == F.col("w_url"), "inner")
-    t = jsonld_triples(docs.select("url", "body", F.col("w_seq").alias("seq"), F.col("w_s").alias("subject")))
-    return t.select("seq", "subject", *TRIPLE_COLS)
+    t = jsonld_triples(docs.select("url", "body", F.col("w_seq").alias("seq"), F.col("w_s").alias("subject"),
+                                   F.length("body").alias("doc_len")))
+    return t.select("seq", "subject", "doc_len", *TRIPLE_COLS)
 
 
 def apply_changes(prior: DataFrame, winners: DataFrame, resources: DataFrame) -> DataFrame:
@@ -221,23 +223,31 @@ def changeset(prior: DataFrame, winners: DataFrame, resources: DataFrame) -> Dat
     return dels.unionByName(ins)
 
 
+# An expanded JSON-LD value takes at least this many characters of the
+# document ({"@id":"x"} plus a separator), so a document of L characters
+# holds at most L / MIN_VALUE_CHARS triples.
+MIN_VALUE_CHARS = 12
+
+
 def render_update(winners: DataFrame, resources: DataFrame, chunk: int = RENDER_CHUNK) -> DataFrame:
     """Update text per subject: delete-where, then insert-data.
 
-    A subject with a huge document is split into parts of about ``chunk``
-    triples (hash of the triple line), so no group grows without bound.
-    Part 0 always carries the DELETE WHERE.  Columns: s, part, update_text.
+    A subject with a huge document is split into parts by a hash of the
+    triple line; the number of parts comes from the document's length
+    (at most ``length / MIN_VALUE_CHARS`` triples), so each part holds about
+    ``chunk`` triples or fewer and no group grows without bound, with one
+    pass over the documents (no count-and-join).  Part 0 always carries the
+    DELETE WHERE.  Columns: s, part, update_text.
     """
     docs = winner_documents(winners, resources)
+    parts = F.greatest(F.lit(1), F.ceil(F.col("doc_len") / F.lit(MIN_VALUE_CHARS * chunk))).cast("bigint")
     lines = docs.select(
         F.col("subject").alias("s"),
         ntriple(F.col("s"), F.col("p"), F.col("o"), F.col("o_kind"), F.col("datatype"), F.col("lang"))
         .alias("line"),
+        parts.alias("parts"),
     )
-    sizes = lines.groupBy("s").agg(F.count(F.lit(1)).alias("cnt"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("cnt") / F.lit(chunk))).cast("bigint")
-    chunked = (lines.join(sizes, "s")
-               .select("s", F.pmod(F.xxhash64("line"), parts).alias("part"), "line"))
+    chunked = lines.select("s", F.pmod(F.xxhash64("line"), F.col("parts")).alias("part"), "line")
     inserts = chunked.groupBy("s", "part").agg(
         F.array_join(F.array_sort(F.collect_list("line")), " ").alias("body"))
     deletes = _winner_keys(winners).select(
