@@ -207,9 +207,12 @@ def q_redelivery_outcomes(spark, sf_dir):
 
 
 def _outcomes_table(spark, sf_dir):
-    req = sent_requests(spark, sf_dir)
+    # parsed events without the event struct, written once: read by the
+    # request fan-out and by the pre-dispatch outcomes
+    f = materialize(fields(spark, sf_dir).drop("event", "body", "corrupt"))
+    req = materialize(R.build_requests(f, SETTINGS).select("seq", "ts", "request_id", "route"))
     done = outcomes.redelivery_outcomes(req, feed.attempts_for(req), SETTINGS)
-    return outcomes.all_outcomes(R.event_outcomes(fields(spark, sf_dir), SETTINGS), done)
+    return outcomes.all_outcomes(R.event_outcomes(f, SETTINGS), done)
 
 
 def q_outcome_rollup(spark, sf_dir):
@@ -249,9 +252,9 @@ def q_render_update(spark, sf_dir):
 
 
 def q_triples_outcomes(spark, sf_dir):
-    f = fields(spark, sf_dir)
     res = resources(spark, sf_dir)
-    sev = triples.subject_events(f, SETTINGS)
+    # narrow subject events, written once: read by last-writer-wins and by the outcomes
+    sev = materialize(triples.subject_events(fields(spark, sf_dir), SETTINGS))
     w = materialize(triples.latest_per_subject(triples.eligible(sev, res)))
     return triples.triples_outcomes(sev, res, w).select("seq", "route", "outcome", "reason", "level")
 
