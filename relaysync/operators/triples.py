@@ -259,3 +259,28 @@ def render_update(winners: DataFrame, resources: DataFrame, chunk: int = RENDER_
             .when(F.col("body").isNull(), F.col("del"))
             .otherwise(F.concat(F.col("del"), F.lit("\n"), ins_text)))
     return j.select("s", "part", text.alias("update_text"))
+
+
+SPARQL_UPDATE = "application/sparql-update"
+
+
+def triples_requests(winners: DataFrame, resources: DataFrame, settings: Settings,
+                     chunk: int = RENDER_CHUNK) -> DataFrame:
+    """One POST of update text to the triplestore endpoint per rendered part.
+
+    Columns: request_id (seq:route:part), seq, route, method, uri,
+    content_type, body.  The endpoint gets the HTTP options suffix like every
+    other endpoint.
+    """
+    from relaysync.functions.http_options import add_http_options
+
+    uri = add_http_options(settings.triples_base_url, settings.http_options)
+    w = _winner_keys(winners).select(F.col("w_s").alias("s"), F.col("w_seq").alias("seq"),
+                                     F.col("w_kind").alias("kind"))
+    parts = render_update(winners, resources, chunk).join(w, "s")
+    route = F.when(F.col("kind") == INDEX, F.lit(S.TRIPLES_INDEX)).otherwise(F.lit(S.TRIPLES_DELETE))
+    return parts.select(
+        F.concat_ws(":", F.col("seq").cast("string"), route, F.col("part").cast("string")).alias("request_id"),
+        "seq", route.alias("route"), F.lit("POST").alias("method"), F.lit(uri).alias("uri"),
+        F.lit(SPARQL_UPDATE).alias("content_type"), F.col("update_text").alias("body"),
+    )

@@ -293,6 +293,15 @@ FROM tev"""
 SQL["derivative_outcomes"] = _with(F_CTE) + """
 SELECT event_id AS seq, 'derivative.' || item AS route, 'failed' AS outcome, 'malformed' AS reason, 'ERROR' AS level
 FROM f WHERE kind = 'derivative' AND m = 8 AND item <> 'ocr'"""
+SQL["triples_requests"] = _with(F_CTE, DOC_CTE) + f""",
+lines AS (SELECT s, {NTRIPLE} AS line FROM doc WHERE s IN (SELECT s FROM win WHERE kind = 'index')),
+ins AS (SELECT s, 'INSERT DATA {{ ' || string_agg(line, ' ' ORDER BY line) || ' }}' AS body FROM lines GROUP BY s),
+r AS (SELECT win.*, CASE win.kind WHEN 'index' THEN 'triples_index' ELSE 'triples_delete' END AS route FROM win)
+SELECT CAST(r.seq AS VARCHAR) || ':' || r.route || ':0' AS request_id, r.seq, r.route, 'POST' AS method,
+       'http://triples/sparql{SUFFIX}' AS uri, 'application/sparql-update' AS content_type,
+       'DELETE WHERE {{ <' || r.s || '> ?p ?o }};' || CASE WHEN ins.body IS NULL THEN '' ELSE chr(10) || ins.body END
+         AS body
+FROM r LEFT JOIN ins USING (s)"""
 SQL["stream_requests"] = SQL["all_requests"]
 SQL["stream_latest"] = SQL["latest_per_subject"]
 SQL["stream_triples_after_delete"] = SQL["triples_after_delete"]

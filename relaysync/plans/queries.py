@@ -251,6 +251,11 @@ def q_render_update(spark, sf_dir):
     return triples.render_update(winners(spark, sf_dir, materialized=True), resources(spark, sf_dir))
 
 
+def q_triples_requests(spark, sf_dir):
+    w = winners(spark, sf_dir, materialized=True)
+    return triples.triples_requests(w, resources(spark, sf_dir), SETTINGS)
+
+
 def q_triples_outcomes(spark, sf_dir):
     res = resources(spark, sf_dir)
     # narrow subject events, written once: read by last-writer-wins and by the outcomes
@@ -364,6 +369,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "triples_after_delete": q_triples_after_delete,
     "changeset": q_changeset,
     "render_update": q_render_update,
+    "triples_requests": q_triples_requests,
     "triples_outcomes": q_triples_outcomes,
     "derivative_outcomes": q_derivative_outcomes,
     "stream_requests": q_stream_requests,

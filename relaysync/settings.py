@@ -54,6 +54,7 @@ class Settings:
     external_stream: str = "queue:external"
     triples_index_stream: str = "queue:node"
     triples_delete_stream: str = "queue:delete"
+    triples_base_url: str = "http://localhost:8080/sparql"
     indexer_enabled: bool = True
     triples_enabled: bool = True
     max_redeliveries: int = DEFAULT_MAX_REDELIVERIES
@@ -100,6 +101,7 @@ class Settings:
             external_stream=props.get(KEY_EXTERNAL_STREAM, base.external_stream),
             triples_index_stream=props.get(KEY_TRIPLES_INDEX_STREAM, node),
             triples_delete_stream=props.get(KEY_TRIPLES_DELETE_STREAM, delete),
+            triples_base_url=props.get(KEY_TRIPLES_BASE, base.triples_base_url),
             indexer_enabled=get_bool(KEY_INDEXER_ENABLED, True),
             triples_enabled=get_bool(KEY_TRIPLES_ENABLED, True),
             max_redeliveries=int(props.get(KEY_MAX_REDELIVERIES, DEFAULT_MAX_REDELIVERIES)),
