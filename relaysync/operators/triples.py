@@ -182,9 +182,10 @@ def eligible(subject_evts: DataFrame, resources: DataFrame) -> DataFrame:
 
 def latest_per_subject(candidates: DataFrame) -> DataFrame:
     """E5: the last writer per subject (max seq across index and delete)."""
-    w = F.max_by(F.struct("seq", "kind", "url"), F.col("seq"))
+    w = F.max_by(F.struct("seq", "ts", "kind", "url"), F.col("seq"))
     return (candidates.groupBy("s").agg(w.alias("w"))
-            .select("s", F.col("w.seq").alias("seq"), F.col("w.kind").alias("kind"), F.col("w.url").alias("url")))
+            .select("s", F.col("w.seq").alias("seq"), F.col("w.ts").alias("ts"), F.col("w.kind").alias("kind"),
+                    F.col("w.url").alias("url")))
 
 
 def _winner_keys(winners: DataFrame) -> DataFrame:
@@ -268,19 +269,18 @@ def triples_requests(winners: DataFrame, resources: DataFrame, settings: Setting
                      chunk: int = RENDER_CHUNK) -> DataFrame:
     """One POST of update text to the triplestore endpoint per rendered part.
 
-    Columns: request_id (seq:route:part), seq, route, method, uri,
+    Columns: request_id (seq:route:part), seq, ts, route, method, uri,
     content_type, body.  The endpoint gets the HTTP options suffix like every
     other endpoint.
     """
     from relaysync.functions.http_options import add_http_options
 
     uri = add_http_options(settings.triples_base_url, settings.http_options)
-    w = _winner_keys(winners).select(F.col("w_s").alias("s"), F.col("w_seq").alias("seq"),
-                                     F.col("w_kind").alias("kind"))
+    w = winners.select("s", "seq", "ts", "kind")
     parts = render_update(winners, resources, chunk).join(w, "s")
     route = F.when(F.col("kind") == INDEX, F.lit(S.TRIPLES_INDEX)).otherwise(F.lit(S.TRIPLES_DELETE))
     return parts.select(
         F.concat_ws(":", F.col("seq").cast("string"), route, F.col("part").cast("string")).alias("request_id"),
-        "seq", route.alias("route"), F.lit("POST").alias("method"), F.lit(uri).alias("uri"),
+        "seq", "ts", route.alias("route"), F.lit("POST").alias("method"), F.lit(uri).alias("uri"),
         F.lit(SPARQL_UPDATE).alias("content_type"), F.col("update_text").alias("body"),
     )

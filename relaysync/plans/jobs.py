@@ -56,26 +56,37 @@ def sync_batch(spark: SparkSession, raw: DataFrame, settings: Settings, out: str
     sinks.write_requests(req, paths["requests"], mode="overwrite")
 
     stopped = R.event_outcomes(f_idx, settings).select(*outcomes.OUTCOME_COLUMNS)
+    sent_cols = ["seq", "ts", "request_id", "route"]
+    sent_paths = [paths["requests"]]
     if registry is not None:
         stopped = stopped.unionByName(derivatives.derivative_outcomes(f, registry)
                                       .select(*outcomes.OUTCOME_COLUMNS))
         paths["derivative_requests"] = f"{out}/derivative_requests"
         derivatives.derivative_requests(f, registry, settings).write.mode("overwrite").parquet(
             paths["derivative_requests"])
-    if attempts is not None:
-        sent = spark.read.parquet(paths["requests"]).select("seq", "ts", "request_id", "route")
-        stopped = stopped.unionByName(outcomes.redelivery_outcomes(sent, attempts, settings)
-                                      .select(*outcomes.OUTCOME_COLUMNS))
-    paths["outcomes"] = f"{out}/outcomes"
-    sinks.write_outcomes(stopped, paths["outcomes"], mode="overwrite")
+        sent_paths.append(paths["derivative_requests"])
 
     if resources is not None and prior_triples is not None:
-        sev = triples.subject_events(f_tri, settings)
+        sev = materialize(triples.subject_events(f_tri, settings))
         w = materialize(triples.latest_per_subject(triples.eligible(sev, resources)))
         paths["triples"] = f"{out}/triples"
         sinks.write_triples(triples.apply_changes(prior_triples, w, resources), paths["triples"])
-        paths["triples_outcomes"] = f"{out}/triples_outcomes"
-        triples.triples_outcomes(sev, resources, w).write.mode("overwrite").parquet(paths["triples_outcomes"])
+        paths["triples_requests"] = f"{out}/triples_requests"
+        triples.triples_requests(w, resources, settings).write.mode("overwrite").parquet(paths["triples_requests"])
+        sent_paths.append(paths["triples_requests"])
+        stopped = stopped.unionByName(triples.triples_outcomes(sev, resources, w)
+                                      .where(F.col("outcome") != "ok").select(*outcomes.OUTCOME_COLUMNS))
+
+    if attempts is not None:
+        # every request that was written (indexer, derivative, triplestore) is resolved the same way
+        sent = None
+        for path in sent_paths:
+            part = spark.read.parquet(path).select(*sent_cols)
+            sent = part if sent is None else sent.unionByName(part)
+        stopped = stopped.unionByName(outcomes.redelivery_outcomes(sent, attempts, settings)
+                                      .select(*outcomes.OUTCOME_COLUMNS))
+    paths["outcomes"] = f"{out}/outcomes"
+    sinks.write_outcomes(stopped, paths["outcomes"], mode="overwrite")
     return paths
 
 

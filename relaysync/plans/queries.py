@@ -253,7 +253,7 @@ def q_render_update(spark, sf_dir):
 
 def q_triples_requests(spark, sf_dir):
     w = winners(spark, sf_dir, materialized=True)
-    return triples.triples_requests(w, resources(spark, sf_dir), SETTINGS)
+    return triples.triples_requests(w, resources(spark, sf_dir), SETTINGS).drop("ts")
 
 
 def q_triples_outcomes(spark, sf_dir):
