@@ -61,9 +61,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         return paths
     trigger = {"processingTime": args.every} if args.every else {"availableNow": True}
     q = jobs.sync_stream(read_raw_events_stream(spark, args.raw, args.raw_format), settings, args.out,
-                         args.checkpoint, trigger)
+                         args.checkpoint, trigger, registry=routes_registry(props))
     q.awaitTermination()
-    return {"requests": f"{args.out}/requests", "outcomes": f"{args.out}/outcomes"}
+    return {"requests": f"{args.out}/requests", "outcomes": f"{args.out}/outcomes",
+            "derivative_requests": f"{args.out}/derivative_requests"}
 
 
 if __name__ == "__main__":

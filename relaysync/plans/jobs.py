@@ -91,21 +91,27 @@ def sync_batch(spark: SparkSession, raw: DataFrame, settings: Settings, out: str
 
 
 def sync_stream(raw_stream: DataFrame, settings: Settings, out: str, checkpoint: str,
-                trigger: dict | None = None):
-    """Continuous request path: requests and stopped-event outcomes per micro-batch.
+                trigger: dict | None = None, registry: DataFrame | None = None):
+    """Continuous request path: requests and stopped-event outcomes per micro-batch,
+    plus derivative requests when a registry is given.
 
-    Returns the started query.  Both outputs of a batch are written under
+    Returns the started query.  Every output of a batch is written under
     ``batch_id=<id>`` with overwrite, so replaying a batch is harmless.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # two outputs per batch: parse once, keep it for the second write
+        # several outputs per batch: parse once, keep it for the other writes
         f = prepared(batch).persist()
         try:
             R.build_requests(f, settings).write.mode("overwrite").parquet(
                 f"{out}/requests/batch_id={batch_id}")
-            (R.event_outcomes(f, settings).write.mode("overwrite")
-             .parquet(f"{out}/outcomes/batch_id={batch_id}"))
+            stopped = R.event_outcomes(f, settings).select(*outcomes.OUTCOME_COLUMNS)
+            if registry is not None:
+                derivatives.derivative_requests(f, registry, settings).write.mode("overwrite").parquet(
+                    f"{out}/derivative_requests/batch_id={batch_id}")
+                stopped = stopped.unionByName(derivatives.derivative_outcomes(f, registry)
+                                              .select(*outcomes.OUTCOME_COLUMNS))
+            stopped.write.mode("overwrite").parquet(f"{out}/outcomes/batch_id={batch_id}")
         finally:
             f.unpersist()
 

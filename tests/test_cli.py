@@ -32,3 +32,7 @@ def test_cli_batch_and_stream(spark, tmp_path):
                 "--out", f"{root}/sout", "--checkpoint", f"{root}/ckpt"], spark)
     sgot = spark.read.parquet(out["requests"]).drop("batch_id").select(*Q.ALL_REQ_COLS)
     assert sgot.exceptAll(want).count() == 0 and want.exceptAll(sgot).count() == 0
+    dcols = ["seq", "route", "service_uri", "source_uri"]
+    dgot = spark.read.parquet(out["derivative_requests"]).select(*dcols)
+    dwant = Q.q_derivative_requests(spark, SF).select(*dcols)
+    assert dgot.exceptAll(dwant).count() == 0 and dwant.exceptAll(dgot).count() == 0
