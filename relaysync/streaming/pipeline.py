@@ -35,13 +35,16 @@ def stage_in_order(df: DataFrame, path: str, order_col: str, chunks: int = 2, fm
     """
     files = _files_per_chunk(df)
     lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
-    if lo is None:
-        df.limit(0).write.format(fmt).save(f"{path}/chunk-0000")
+    if lo is None:  # empty, or every key null: one chunk with everything
+        df.repartition(files).write.format(fmt).save(f"{path}/chunk-0000")
         return files
     width = max(1, (hi - lo) // chunks + 1)
+    key = F.col(order_col)
     for i in range(chunks):
-        part = df.where((F.col(order_col) >= lo + i * width) & (F.col(order_col) < lo + (i + 1) * width))
-        part.repartition(files).write.format(fmt).save(f"{path}/chunk-{i:04d}")
+        in_range = (key >= lo + i * width) & (key < lo + (i + 1) * width)
+        if i == 0:
+            in_range = in_range | key.isNull()  # rows without a key land first, none is lost
+        df.where(in_range).repartition(files).write.format(fmt).save(f"{path}/chunk-{i:04d}")
     return files
 
 

@@ -86,3 +86,11 @@ def test_crash_mid_batch_then_restart(spark):
     want = R.requests_from_raw(_raw(spark, 0, 40), SETTINGS).select("request_id", "uri")
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_stage_in_order_keeps_null_keys(spark):
+    run = P.StreamRun(spark, "test_stage_nulls")
+    df = spark.createDataFrame([(None, "a"), (1, "b"), (5, "c"), (9, "d"), (None, "e")], "k bigint, v string")
+    P.stage_in_order(df, run.input, "k", chunks=3)
+    got = spark.read.option("recursiveFileLookup", "true").parquet(run.input)
+    assert sorted(r.v for r in got.collect()) == ["a", "b", "c", "d", "e"]
