@@ -34,13 +34,18 @@ def read_raw_events_stream(spark: SparkSession, path: str, fmt: str = "json",
 
 
 def read_bodies(spark: SparkSession, path: str, stream: str, streaming: bool = False) -> DataFrame:
-    """One message body per text line of a queue dump (whole-file JSON not required).
+    """One message body per text line of a queue dump (batch only).
 
     ``seq`` comes from ``monotonically_increasing_id`` (unique, ordered within
-    a file) and ``ts`` is ingest time; headers are empty.
+    a file) and ``ts`` is ingest time; headers are empty.  A plain text line
+    carries no sequence number and a stream cannot number rows, so for a
+    continuous source land the bodies with a ``seq`` (``land``) and read them
+    with ``read_raw_events_stream``, or use ``read_kafka`` (offsets).
     """
-    reader = spark.readStream if streaming else spark.read
-    df = reader.text(path)
+    if streaming:
+        raise ValueError("read_bodies is batch only: a stream of bare lines has no order; "
+                         "land raw_events with a seq or read Kafka")
+    df = spark.read.text(path)
     return df.select(
         F.monotonically_increasing_id().alias("seq"),
         F.current_timestamp().alias("ts"),

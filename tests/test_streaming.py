@@ -94,3 +94,10 @@ def test_stage_in_order_keeps_null_keys(spark):
     P.stage_in_order(df, run.input, "k", chunks=3)
     got = spark.read.option("recursiveFileLookup", "true").parquet(run.input)
     assert sorted(r.v for r in got.collect()) == ["a", "b", "c", "d", "e"]
+
+
+def test_line_source_refuses_streaming(spark, tmp_path):
+    import pytest
+    from relaysync.sources.events import read_bodies
+    with pytest.raises(ValueError):
+        read_bodies(spark, str(tmp_path), "node", streaming=True)
