@@ -69,10 +69,27 @@ def read_kafka(spark: SparkSession, servers: str, topics: list[str], streaming:
         "subscribe", ",".join(topics)).option("includeHeaders", "true")
     for k, v in options.items():
         r = r.option(k, v)
-    df = r.load()
-    hdrs = F.map_from_entries(F.transform(
-        F.coalesce(F.col("headers"), F.array()),
-        lambda h: F.struct(h.getField("key").alias("k"), h.getField("value").cast("string").alias("v"))))
+    return kafka_to_raw(r.load())
+
+
+KAFKA_DDL = ("key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp, "
+             "timestampType int, headers array<struct<key:string,value:binary>>")
+
+
+def kafka_to_raw(df: DataFrame) -> DataFrame:
+    """Kafka source rows -> raw_events (batch or stream).
+
+    A header name that repeats keeps its last value.
+    """
+    entries = F.transform(
+        F.coalesce(F.col("headers"), F.array().cast("array<struct<key:string,value:binary>>")),
+        lambda h: F.struct(h.getField("key").alias("k"), h.getField("value").cast("string").alias("v")))
+    # keep only the last entry of each header name (a map cannot hold a key twice)
+    last = F.filter(entries, lambda e, i: ~F.exists(
+        F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))),
+        lambda x: F.coalesce(x.getField("k") == e.getField("k"), F.lit(False))))
+    hdrs = F.map_from_arrays(
+        F.transform(last, lambda e: e.getField("k")), F.transform(last, lambda e: e.getField("v")))
     return df.select(
         F.col("offset").alias("seq"),
         F.col("timestamp").alias("ts"),

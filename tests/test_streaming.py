@@ -101,3 +101,15 @@ def test_line_source_refuses_streaming(spark, tmp_path):
     from relaysync.sources.events import read_bodies
     with pytest.raises(ValueError):
         read_bodies(spark, str(tmp_path), "node", streaming=True)
+
+
+def test_kafka_rows_to_raw_events(spark):
+    from relaysync.sources.events import KAFKA_DDL, kafka_to_raw
+    rows = [(None, bytearray(E.node_event().encode()), "node", 0, 7, dt.datetime(2024, 1, 1), 0,
+             [("Authorization", bytearray(b"Bearer t")), ("x", bytearray(b"1")), ("x", bytearray(b"2"))]),
+            (None, bytearray(b"{broken"), "delete", 1, 3, dt.datetime(2024, 1, 1), 0, None)]
+    raw = kafka_to_raw(spark.createDataFrame(rows, KAFKA_DDL))
+    got = {r.seq: r for r in raw.collect()}
+    assert got[7].headers == {"Authorization": "Bearer t", "x": "2"} and got[7].stream == "node"
+    assert got[3].headers == {} and got[3].body == "{broken"
+    assert sorted(r.route for r in R.requests_from_raw(raw, SETTINGS).collect()) == ["node_index"]
