@@ -113,3 +113,13 @@ def test_kafka_rows_to_raw_events(spark):
     assert got[7].headers == {"Authorization": "Bearer t", "x": "2"} and got[7].stream == "node"
     assert got[3].headers == {} and got[3].body == "{broken"
     assert sorted(r.route for r in R.requests_from_raw(raw, SETTINGS).collect()) == ["node_index"]
+
+
+def test_stream_to_sink(spark):
+    from relaysync.sources.sinks import stream_to
+    run = P.StreamRun(spark, "test_stream_to")
+    _raw(spark, 0, 10).write.json(f"{run.input}/a")
+    q = stream_to(R.requests_from_raw(P.read_raw_stream(spark, run.input), SETTINGS).select("request_id"),
+                  run.sink, run.checkpoint)
+    q.awaitTermination()
+    assert P.read_sink(spark, run.sink).count() == R.requests_from_raw(_raw(spark, 0, 10), SETTINGS).count()
