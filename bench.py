@@ -1,6 +1,7 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Prints ONE JSON line: {"metric", "value", "unit", "queries", "sf", ...}.
+Extra Spark settings: BENCH_CONF="key=value,key=value".
 Each query is run once to warm the JVM / codegen caches, then timed over
 ``BENCH_REPS`` runs (median); the result is consumed with the ``noop`` sink
 so the whole plan executes without collecting to the driver.
@@ -29,8 +30,11 @@ def main() -> None:
     reps = int(os.environ.get("BENCH_REPS", "3"))
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
     parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus))
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=parts,
-                      extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    for kv in filter(None, os.environ.get("BENCH_CONF", "").split(",")):
+        k, v = kv.split("=", 1)
+        extra[k] = v
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=parts, extra=extra)
     n_events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     times: dict[str, float] = {}
     for name in names:
