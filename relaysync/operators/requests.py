@@ -213,8 +213,3 @@ def requests_from_landed(landed: DataFrame, settings: Settings) -> DataFrame:
     streams' files are read (partition pruning), never the derivative ones.
     """
     return requests_from_raw(landed.where(F.col("stream").isin(*indexer_streams(settings))), settings)
-
-
-def flat_requests(requests: DataFrame) -> DataFrame:
-    """Flat projection used for export / comparison."""
-    return requests.select("request_id", "route", "method", "uri", "content_location", "base_url")
