@@ -3,6 +3,11 @@
 All read the driver's ``events`` / ``pages`` tables through the feed
 (sources.feed), so their work grows with the tables.  Output columns are flat
 and explicitly typed so they compare cleanly with the DuckDB oracles.
+
+Most queries are lazy.  A query whose plan reads one intermediate twice
+(winners, the request table, narrow parsed events) writes it once to the
+shared checkpoint folder first, and the streaming twins run their stream to
+completion (available-now) before returning the read-back result.
 """
 
 from __future__ import annotations
