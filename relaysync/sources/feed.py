@@ -95,8 +95,11 @@ def spread(df: DataFrame) -> DataFrame:
     puts every core to work.  A large table (more than ``SPREAD_MAX_SPLITS``
     splits) is never reshuffled: it is read with its own splits.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Connect session has no RDD view: read as is
+        return df
     if n < target and n <= SPREAD_MAX_SPLITS:
         return df.repartition(target)
     return df
