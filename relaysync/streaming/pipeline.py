@@ -21,7 +21,10 @@ from relaysync.session import scratch_dir
 
 
 def _files_per_chunk(df: DataFrame) -> int:
-    return max(1, df.sparkSession.sparkContext.defaultParallelism)
+    try:
+        return max(1, df.sparkSession.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - no SparkContext view (Connect): fall back to the shuffle width
+        return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
 def stage_in_order(df: DataFrame, path: str, order_col: str, chunks: int = 2, fmt: str = "parquet") -> int:
