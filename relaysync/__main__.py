@@ -30,6 +30,8 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("batch", "stream"):
         s = sub.add_parser(name)
         s.add_argument("--props", action="append", default=[], help="properties file (repeatable, later wins)")
+        s.add_argument("--alias", action="append", default=[], metavar="THEIR=OURS",
+                       help="read property THEIR as key OURS (repeatable)")
         s.add_argument("--raw", required=True, help="landed raw_events")
         s.add_argument("--raw-format", default="parquet" if name == "batch" else "json")
         s.add_argument("--out", required=True)
@@ -48,7 +50,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     args = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("relaysync").getOrCreate()
     props = read_properties(spark, args.props)
-    settings = Settings.from_map(to_map(props))
+    aliases = dict(a.split("=", 1) for a in args.alias)
+    settings = Settings.from_map(to_map(props), aliases)
     if args.cmd == "batch":
         raw = read_raw_events(spark, args.raw, args.raw_format)
         res = read_resources(spark, args.resources) if args.resources else None

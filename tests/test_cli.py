@@ -15,12 +15,16 @@ pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="driver test data
 
 def test_cli_batch_and_stream(spark, tmp_path):
     props = tmp_path / "site.properties"
-    props.write_text("\n".join(f"{k}={v}" for k, v in feed.FEED_PROPERTIES) + "\n")
+    # the service base URL comes in under a site-specific key name, mapped with --alias
+    lines = [f"{k}={v}" for k, v in feed.FEED_PROPERTIES if k != "indexer.service.baseUrl"]
+    lines.append("site.service.base=http://cms/sync/")
+    props.write_text("\n".join(lines) + "\n")
     root = scratch_dir(spark, "cli")
     Q.raw(spark, SF).write.parquet(f"{root}/raw")
     Q.resources(spark, SF).write.parquet(f"{root}/docs")
     Q.prior(spark, SF).write.parquet(f"{root}/prior")
-    paths = main(["batch", "--props", str(props), "--raw", f"{root}/raw", "--out", f"{root}/out",
+    paths = main(["batch", "--props", str(props), "--alias", "site.service.base=indexer.service.baseUrl",
+                  "--raw", f"{root}/raw", "--out", f"{root}/out",
                   "--resources", f"{root}/docs", "--prior-triples", f"{root}/prior"], spark)
     got = spark.read.parquet(paths["requests"]).select(*Q.ALL_REQ_COLS)
     want = Q.q_all_requests(spark, SF)
@@ -28,7 +32,8 @@ def test_cli_batch_and_stream(spark, tmp_path):
     tri = spark.read.parquet(paths["triples"])
     want_t = Q.q_triples_after_delete(spark, SF)
     assert tri.exceptAll(want_t).count() == 0 and want_t.exceptAll(tri).count() == 0
-    out = main(["stream", "--props", str(props), "--raw", f"{root}/raw", "--raw-format", "parquet",
+    out = main(["stream", "--props", str(props), "--alias", "site.service.base=indexer.service.baseUrl",
+                "--raw", f"{root}/raw", "--raw-format", "parquet",
                 "--out", f"{root}/sout", "--checkpoint", f"{root}/ckpt"], spark)
     sgot = spark.read.parquet(out["requests"]).drop("batch_id").select(*Q.ALL_REQ_COLS)
     assert sgot.exceptAll(want).count() == 0 and want.exceptAll(sgot).count() == 0
