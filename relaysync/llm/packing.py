@@ -87,7 +87,7 @@ def best_fit(sizes: Sequence[int], lengths: Sequence[int], overhead: int = OVERH
 
 
 def _pack_apply(lengths, overhead, id_col):
-    def run(key, f: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["n_tokens", id_col, "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
         where, offset, length = best_fit(f["n_tokens"].tolist(), lengths, overhead)
         where = np.array(where, dtype=np.int64)

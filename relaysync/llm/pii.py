@@ -107,7 +107,9 @@ def _spans(kind: str, text: Column) -> Column:
 def find_pii(docs: DataFrame, column: str = "text", into: str = "pii") -> DataFrame:
     """``docs`` with an array column of spans (start, rank, kind, end, score) in text order."""
     text = F.coalesce(F.col(f"`{column}`"), F.lit(""))
-    return docs.withColumn(into, F.array_sort(F.concat(*[_spans(k, text) for k in KINDS])))
+    spans = F.array_sort(F.concat(*[_spans(k, text) for k in KINDS]))
+    # a generator of one row: later uses of the column do not repeat the search
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != into], F.explode(F.array(spans)).alias(into))
 
 
 def mask(text: Column, spans: Column) -> Column:
