@@ -10,18 +10,18 @@ candidates.
 The similarity of a pair is L / (n1 + n2 - L), with L the longest common
 subsequence of the labelled shingles: Jaccard similarity that respects order.
 Any alignment that reaches ``THRESHOLD`` keeps matched positions within a band
-around the diagonal, so only matches inside it are aligned.  1 - similarity
-is a metric, which says which pairs need no look.
+around the diagonal, so only matches inside it are aligned.
 
 Equal texts are one class by a 128-bit hash.  (1) Every class of a sketch
-bucket is aligned with the bucket's least one (a star, no pairs), in groups of
-at most ``GROUP`` members, whatever the bucket's size; the links' components
-join most of each bucket.  (2) Buckets whose members are then still in several
+bucket is aligned with the bucket's leader (a star, no pairs), the member that
+shares most buckets with others, in groups of at most ``GROUP`` members,
+whatever the bucket's size; the links' components join most of each bucket.  (2) Buckets whose members are then still in several
 components are compared in full, block by block, the classes outside the
-bucket's largest component against all, and only a spanning forest of what
-links is kept.  So no bucket has a cap and no link between two texts of a
-bucket is lost; links a sketch can miss are those with no shared sketch,
-0.36 ** 16 = 1e-7 of the pairs at the threshold.
+bucket's largest component against all: pairs with enough shingles in common
+are aligned, and only a spanning forest of what links is kept.  So no bucket
+has a cap.  What sketches can miss are pairs that share none of them, 5e-8 of
+those at the threshold (each is shared with chance 0.8 ** 4).  Four picks, since texts that only share a common passage must not meet: where
+it is a share f of both, f ** 4 of them are in one bucket.
 
 Defined results: texts without words (null or empty too) and rows without id
 link with nothing; texts of fewer words than ``K`` are one shingle; a class's
@@ -43,10 +43,11 @@ from relaysync.llm.components import components
 from relaysync.llm.tokens import ALNUM_WORDS, SECOND, join_hash, mix, span_hashes, word_spans
 
 K = 5
-SKETCHES = 16
-PICK = 2
+SKETCHES = 32
+PICK = 4
 THRESHOLD = 0.8
 GROUP = 128
+BLOCK = 512
 SLICE_BYTES = 2 << 20
 _TIE = 1e-12
 _ORDERS = mix(np.arange(1, 129, dtype=np.uint64)) | np.uint64(1)
@@ -76,25 +77,35 @@ def labelled_shingles(buf, off, k: int = K):
     return join_hash(key, label), out_row
 
 
-def sketches(keys: np.ndarray, row: np.ndarray, n: int, count: int = SKETCHES) -> np.ndarray:
-    """(n, count) sketch hashes of rows of labelled shingles (rows without any hold 0)."""
+def sketches(keys: np.ndarray, row: np.ndarray, n: int, count: int = SKETCHES, pick: int = PICK) -> np.ndarray:
+    """(n, count) sketch hashes of rows of labelled shingles (rows without any hold 0).
+
+    Per order, shingles below a limit that leaves about ``8 * pick`` a row are
+    sorted; a row that the limit leaves too few is sorted whole.
+    """
     out = np.zeros((n, count), dtype=np.uint64)
     if not len(keys):
         return out
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    rows, group = row[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(row))))
-    worst = np.uint64(0xFFFFFFFFFFFFFFFF)
+    size = np.diff(np.append(first, len(row)))
+    rows, group = row[first], np.repeat(np.arange(len(first)), size)
+    share = np.minimum(8 * pick / size, 0.999999)
+    limit = np.where(size <= 8 * pick, np.uint64(0xFFFFFFFFFFFFFFFF), (share * 2.0**64).astype(np.uint64))[group]
+    need = np.minimum(size, pick)
     for i in range(count):
         v = keys * _ORDERS[i]
-        least = np.minimum.reduceat(v, first)
-        one = np.flatnonzero(v == least[group])
-        one = one[np.unique(group[one], return_index=True)[1]]
-        v[one] = worst
-        second = np.minimum.reduceat(v, first)
-        two = np.flatnonzero(v == second[group])
-        two = two[np.unique(group[two], return_index=True)[1]]
-        a, b = np.minimum(one, two), np.maximum(one, two)
-        out[rows, i] = join_hash(join_hash(keys[a], keys[b]), np.full(len(a), i, dtype=np.uint64))
+        at = np.flatnonzero(v <= limit)
+        few = np.flatnonzero(np.bincount(group[at], minlength=len(first)) < need)
+        if len(few):
+            at = np.union1d(at, np.flatnonzero(np.isin(group, few)))
+        at = at[np.lexsort((v[at], group[at]))]
+        left = np.bincount(group[at], minlength=len(first))
+        least = at[(np.cumsum(left) - left)[:, None] + np.minimum(np.arange(pick), need[:, None] - 1)]
+        least.sort(axis=1)
+        h = np.full(len(first), i, dtype=np.uint64)
+        for k in range(pick):
+            h = join_hash(h, keys[least[:, k]])
+        out[rows, i] = h
     return out
 
 
@@ -198,10 +209,19 @@ def _star_map(threshold: float):
 
 
 def _block_links(rows, threshold: float):
-    """Links between different parts of one pair of blocks: (part, id, seq, small) rows."""
-    others = [(part, i, np.frombuffer(s, dtype=np.uint32)) for part, i, s, small in rows if not small]
-    orders = [np.argsort(s) for _, _, s in others]
-    sizes = np.array([len(s) for _, _, s in others], dtype=np.int64)
+    """Links between different parts of one pair of blocks: (part, id, seq, small) rows.
+
+    Common shingles are counted against a whole block at once; only pairs that
+    have enough of them for the threshold are aligned.
+    """
+    few, rest = [r for r in rows if r[3]], [r for r in rows if not r[3]]
+    if not few or not rest:
+        return []
+    seqs = [np.frombuffer(s, dtype=np.uint32) for _, _, s, _ in rest]
+    sizes = np.array([len(s) for s in seqs], dtype=np.int64)
+    first = np.cumsum(sizes) - sizes
+    symbols, codes = np.unique(np.concatenate(seqs), return_inverse=True)
+    mark = np.zeros(len(symbols), dtype=np.int32)
     joined: dict[int, int] = {}
 
     def find(x):
@@ -210,15 +230,19 @@ def _block_links(rows, threshold: float):
         return x
 
     out = []
-    for part, i, s, small in rows:
-        if not small:
-            continue
+    for part, i, s, _ in few:
         a = np.frombuffer(s, dtype=np.uint32)
-        for k in np.flatnonzero((sizes >= threshold * len(a)) & (sizes * threshold <= len(a))).tolist():
-            x, y = find(part), find(others[k][0])
-            if x != y and _aligned(a, orders[k], others[k][2], threshold) >= threshold - _TIE:
+        at = np.minimum(np.searchsorted(symbols, a), len(symbols) - 1)
+        own = at[symbols[at] == a]
+        mark[own] = 1
+        common = np.add.reduceat(mark[codes], first)
+        mark[own] = 0
+        near = common >= threshold * (len(a) + sizes) / (1 + threshold) - 1e-9
+        for k in np.flatnonzero(near).tolist():
+            x, y = find(part), find(rest[k][0])
+            if x != y and similarity(a, seqs[k], threshold) >= threshold - _TIE:
                 joined[max(x, y)] = min(x, y)
-                out.append((i, others[k][1]))
+                out.append((i, rest[k][1]))
     return out
 
 
@@ -231,7 +255,7 @@ def _block_map(threshold: float):
     return run
 
 
-def _unresolved(member: DataFrame, links: DataFrame, threshold: float, seqs: DataFrame, group: int) -> DataFrame:
+def _unresolved(member: DataFrame, links: DataFrame, threshold: float, seqs: DataFrame, block: int) -> DataFrame:
     """Links inside buckets whose members (but the leader) are in several components."""
     parts = components(links, "omh-parts")
     placed = staged(member.filter("id <> leader").join(parts.withColumnRenamed("node", "id"), "id", "left")
@@ -239,21 +263,21 @@ def _unresolved(member: DataFrame, links: DataFrame, threshold: float, seqs: Dat
     per = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     open_ = (per.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most"),
                                        F.max_by("part", F.struct("n", "part")).alias("big")).filter("parts > 1")
-             .select("bucket", "big", F.ceil((F.col("all") - F.col("most")) / group).cast("int").alias("ni"),
-                     F.ceil(F.col("all") / group).cast("int").alias("nj")))
+             .select("bucket", "big", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("ni"),
+                     F.ceil(F.col("all") / block).cast("int").alias("nj")))
     cut = placed.join(open_, "bucket").withColumn("h", F.xxhash64("id"))
     small = (cut.filter("part <> big").withColumn("i", F.pmod("h", "ni").cast("int"))
              .select("bucket", "i", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), "part", "id", F.lit(True).alias("small")))
     rest = (cut.withColumn("j", F.pmod("h", "nj").cast("int"))
             .select("bucket", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), "j", "part", "id", F.lit(False).alias("small")))
-    # join by name: the two generators put i and j in different places
+    # by name: the two generators put i and j in different places
     rows = small.unionByName(rest).join(seqs, "id").select("bucket", "i", "j", "part", "id", "seq", "small")
     return (rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
             .mapInArrow(_block_map(threshold), _LINKS))
 
 
 def find_classes(docs: DataFrame, id_col: str = "doc_id", column: str = "text", threshold: float = THRESHOLD, k: int = K,
-                 count: int = SKETCHES, group: int = GROUP) -> DataFrame:
+                 count: int = SKETCHES, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, class_id (the class's least id), kept (whether it is that row)."""
     spark = docs.sparkSession
     rows = own_columns(docs, id_col, column).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{column}`").alias("text"))
@@ -262,11 +286,16 @@ def find_classes(docs: DataFrame, id_col: str = "doc_id", column: str = "text",
     classes = staged(usable.groupBy("t1", "t2").agg(F.min("id").alias("cid"), F.first("sk").alias("sk")), "omh-classes")
     entries = staged(classes.select(F.col("cid").alias("id"), F.explode("sk").alias("bucket")).distinct(), "omh-entries")
     # buckets of two or more classes; those of the same members are one
-    buckets = (entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("leader"),
+    buckets = (entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("least"),
                                              F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"))
-               .filter("size > 1").groupBy("size", "leader", "members").agg(F.min("bucket").alias("bucket"))
-               .select("bucket", "leader"))
-    member = staged(entries.join(buckets, "bucket"), "omh-members")
+               .filter("size > 1").groupBy("size", "least", "members").agg(F.min("bucket").alias("bucket"), F.count("*").alias("same"))
+               .select("bucket", (F.col("size") * F.col("same")).alias("company")))
+    shared = staged(entries.join(buckets, "bucket"), "omh-shared")
+    # a bucket's leader is its member with the most company in all buckets: an original rather than one of its variants
+    weight = shared.groupBy("id").agg(F.sum("company").alias("weight"))
+    heads = (shared.join(weight, "id").groupBy("bucket")
+             .agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("leader")))
+    member = staged(shared.select("bucket", "id").join(heads, "bucket"), "omh-members")
 
     # whole sequences of the classes that have a candidate, read once more from the table
     wanted = member.select("id").distinct()
@@ -280,12 +309,12 @@ def find_classes(docs: DataFrame, id_col: str = "doc_id", column: str = "text",
     salts = star.groupBy("leader").agg(F.ceil(F.count("*") / group).cast("int").alias("salts"))
     edges = (star.join(salts, "leader")
              .select("leader", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"), "id"))
-    heads = salts.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"),
+    lead = salts.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"),
                          F.col("leader").alias("id"))
-    links = staged(edges.union(heads).join(seqs, "id").select("leader", "salt", "member", "id", "seq")
+    links = staged(edges.union(lead).join(seqs, "id").select("leader", "salt", "member", "id", "seq")
                    .repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member")
                    .mapInArrow(_star_map(threshold), _LINKS), "omh-links")
-    more = staged(_unresolved(member, links, threshold, seqs, group), "omh-more-links")
+    more = staged(_unresolved(member, links, threshold, seqs, block), "omh-more-links")
     found = components(links.union(more), "omh-components")
 
     named = classes.select("t1", "t2", "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").select(

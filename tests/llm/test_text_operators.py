@@ -317,7 +317,7 @@ def test_chain_of_variants_and_small_groups(spark):
             w[k % 120] = f"v{i // 3}_{k}"
         rows.append((i * 7 + 1, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in order_minhash.find_classes(docs, group=4).collect()}
+    got = {r.doc_id: r.class_id for r in order_minhash.find_classes(docs, group=4, block=8).collect()}
     assert got == naive_classes(rows)
 
 
