@@ -8,6 +8,10 @@ the hyperplane between a and b separates them, so the angle of x to that
 hyperplane is at most acos(t).  x is therefore also shown to each cell b with
 (x.a - x.b) / |a - b| <= sin(acos(t)), which makes the search exact.
 
+How far that spreads depends on the data: in vectors without clusters nearly
+every cell is near, so the number of cells is the largest for which a vector
+of the sample is shown to ``MAX_SHOWN`` cells on average.
+
 A cell is cut into blocks; each pair of blocks is one row group, so no task
 holds more than two blocks whatever the cell's size.  Within a pair of blocks
 only link counts and a spanning forest are kept, never the pairs.
@@ -29,7 +33,8 @@ from relaysync.llm.common import own_columns, read, staged
 from relaysync.llm.components import components
 
 FIT_SAMPLE = 20_000
-BLOCK = 1024
+BLOCK = 8192
+MAX_SHOWN = 2.5
 SLACK = 1e-6
 
 
@@ -51,23 +56,40 @@ def _unit(column) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _cells_map(centroids: dict, reach: float):
-    """Home cell of each class, and the other cells a partner may live in."""
-    gaps = {d: np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-30)) for d, c in centroids.items()}
+def _near_cells(x: np.ndarray, centroids: np.ndarray, reach: float):
+    """(home cell, mask of the cells a partner of each unit vector may live in)."""
+    dot = x @ centroids.T
+    home, each = dot.argmax(axis=1), np.arange(len(dot))
+    gap = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 1e-30))
+    near = (dot[each, home][:, None] - dot) <= reach * gap[home] + SLACK
+    near[each, home] = True
+    return home, near
+
+
+def choose_centroids(sample: np.ndarray, reach: float, max_shown: float = MAX_SHOWN, most: int = 256) -> np.ndarray:
+    """The most cells, by powers of two, for which a vector is shown to ``max_shown`` of them on average."""
+    best, k = fit_centroids(sample, 1), 2
+    while k <= min(most, len(sample)):
+        c = fit_centroids(sample, k)
+        if _near_cells(sample, c, reach)[1].sum() > max_shown * len(sample):
+            break
+        best, k = c, 2 * k
+    return best
+
 
+def _cells_map(centroids: dict, reach: float):
+    """Each class in its home cell and in those a partner may live in; unit vectors as packed doubles."""
     def run(frames):
         for f in frames:
             for dim, g in f.groupby("dim"):
-                c = centroids[int(dim)]
-                for lo in range(0, len(g), 4096):
-                    part = g.iloc[lo: lo + 4096]
-                    dot = _unit(part["v"]) @ c.T
-                    home = dot.argmax(axis=1)
-                    near = (dot[np.arange(len(home)), home][:, None] - dot) <= reach * gaps[int(dim)][home] + SLACK
-                    near[np.arange(len(home)), home] = True
+                for lo in range(0, len(g), 2048):
+                    part = g.iloc[lo: lo + 2048]
+                    x = _unit(part["v"])
+                    home, near = _near_cells(x, centroids[int(dim)], reach)
                     i, cell = np.nonzero(near)
-                    out = part.iloc[i][["dim", "id", "n", "v"]].reset_index(drop=True)
-                    yield out.assign(cell=cell.astype(np.int32), home=cell == home[i])
+                    packed = [r.tobytes() for r in x]
+                    yield pd.DataFrame({"dim": np.int32(dim), "id": part["id"].to_numpy()[i], "n": part["n"].to_numpy()[i],
+                                        "v": [packed[k] for k in i], "cell": cell.astype(np.int32), "home": cell == home[i]})
 
     return run
 
@@ -91,21 +113,39 @@ def _stars(hit: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> list[tuple[np
     return out
 
 
+def _matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), -1)
+
+
 def _pairs_apply(threshold: float):
-    """One (query block, other block) of a cell: link counts and a spanning forest."""
+    """One (query block, other block) of a cell: link counts and a spanning forest.
+
+    Single precision finds the pairs near the threshold, double precision decides.
+    """
     def run(f: pd.DataFrame) -> pd.DataFrame:
         q, d = f[f["query"]], f[~f["query"]]
-        if not len(q) or not len(d):
-            return pd.DataFrame({"u": [], "v": [], "links": []}).astype("int64")
-        hit = _unit(q["v"]) @ _unit(d["v"]).T >= threshold
-        qi, di, dn = q["id"].to_numpy(), d["id"].to_numpy(), d["n"].to_numpy()
-        hit &= qi[:, None] != di[None, :]
-        links = hit @ dn
-        forest = _stars(hit, qi, di)
-        some = links > 0
-        return pd.DataFrame({"u": np.concatenate([qi[some], *(s for s, _ in forest)]),
-                             "v": np.concatenate([qi[some], *(np.full(len(s), r) for s, r in forest)]),
-                             "links": np.concatenate([links[some], *(np.zeros(len(s), np.int64) for s, _ in forest)])}).astype("int64")
+        found = []
+        if len(q) and len(d):
+            other, di, dn = _matrix(d["v"]), d["id"].to_numpy(), d["n"].to_numpy()
+            other32 = other.astype(np.float32)
+            for lo in range(0, len(q), 1024):
+                part = q.iloc[lo: lo + 1024]
+                own, qi = _matrix(part["v"]), part["id"].to_numpy()
+                a, b = np.nonzero(own.astype(np.float32) @ other32.T >= threshold - 1e-5)
+                a, b = a[qi[a] != di[b]], b[qi[a] != di[b]]
+                keep = np.concatenate([np.einsum("ij,ij->i", own[a[k: k + 65536]], other[b[k: k + 65536]]) >= threshold
+                                       for k in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
+                a, b = a[keep], b[keep]
+                if not len(a):
+                    continue
+                links = np.bincount(a, dn[b], minlength=len(qi)).astype(np.int64)
+                rows, cols = np.unique(a), np.unique(b)
+                hit = np.zeros((len(rows), len(cols)), dtype=bool)
+                hit[np.searchsorted(rows, a), np.searchsorted(cols, b)] = True
+                found += [(m, np.full(len(m), r), np.zeros(len(m), np.int64)) for m, r in _stars(hit, qi[rows], di[cols])]
+                found.append((qi[rows], qi[rows], links[rows]))
+        cols = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
+        return pd.DataFrame(dict(zip(("u", "v", "links"), cols))).astype("int64")
 
     return run
 
@@ -125,12 +165,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     rows = rows.withColumn("v", F.when(good, flat))
     classes = staged(rows.filter("v is not null").groupBy("v")
                      .agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("dim", F.size("v")), "vec-classes")
-    centroids, n = {}, {r["dim"]: r["count"] for r in classes.groupBy("dim").count().toLocalIterator()}
-    for dim, size in n.items():
-        sample = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("id")).limit(fit_sample).select("v").toPandas()
-        centroids[dim] = fit_centroids(_unit(sample["v"]), cells or min(256, max(1, math.isqrt(size) // 4)))
-    reach = math.sin(math.acos(threshold))
-    placed = staged(classes.mapInPandas(_cells_map(centroids, reach), "dim int, id long, n long, v array<double>, cell int, home boolean"),
+    reach, centroids = math.sin(math.acos(threshold)), {}
+    for r in classes.select("dim").distinct().toLocalIterator():
+        sample = _unit(classes.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64("id")).limit(fit_sample).select("v").toPandas()["v"])
+        centroids[r["dim"]] = fit_centroids(sample, cells) if cells else choose_centroids(sample, reach)
+    placed = staged(classes.mapInPandas(_cells_map(centroids, reach), "dim int, id long, n long, v binary, cell int, home boolean"),
                     "vec-cells")
     # blocks by hash of the id: their number follows each cell's rows
     sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
