@@ -18,11 +18,23 @@ def with_message_id(raw: DataFrame, settings: Settings) -> DataFrame:
 
 
 def dedup_messages(raw: DataFrame, settings: Settings) -> DataFrame:
-    """Batch: keep one copy per message id (partial aggregate, skew-safe)."""
-    return with_message_id(raw, settings).dropDuplicates(["message_id"])
+    """Batch: one copy per message id, the first delivered (partial aggregate, skew-safe).
+
+    Copies are ordered by ``seq``, then ``ts``, ``stream`` and ``body``, so the
+    kept copy does not depend on partitioning.
+    """
+    msgs = with_message_id(raw, settings)
+    rest = [c for c in msgs.columns if c != "message_id"]
+    first = F.min_by(F.struct(*rest), F.struct("seq", "ts", "stream", "body"))
+    return (msgs.groupBy("message_id").agg(first.alias("m"))
+            .select(*[F.col("m").getField(c).alias(c) for c in rest], "message_id"))
 
 
-def dedup_stream(raw: DataFrame, settings: Settings, delay: str = "1 hour") -> DataFrame:
-    """Stream: state is kept only within the watermark delay on ingest time."""
-    return (with_message_id(raw, settings).withWatermark("ts", delay)
-            .dropDuplicatesWithinWatermark(["message_id"]))
+def dedup_stream(raw: DataFrame, settings: Settings) -> DataFrame:
+    """Stream: the first copy of each message id to arrive, however late it is.
+
+    There is no watermark: a watermark would also drop messages that are late
+    but not duplicates.  The state is one key per message id, kept for the
+    life of the query (use the RocksDB state store).
+    """
+    return with_message_id(raw, settings).dropDuplicates(["message_id"])

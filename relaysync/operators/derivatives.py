@@ -1,9 +1,8 @@
 """Derivative routing.
 
 The registry (one row per installed item) comes from properties; events are
-routed to it by their stream.  The registry is configuration, its row count
-is checked before it is broadcast; above the bound the join falls back to a
-normal shuffle join.
+routed to it by their stream.  The join carries no hint: adaptive execution
+measures the registry and broadcasts it when it is small.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from relaysync.settings import KEY_DERIVATIVES, TRUE_WORDS, Settings
 from relaysync.sources.properties import resolve
 
 ITEM_KEY = r"^derivative\.(.+)\.(enabled|in\.stream|service\.url)$"
-BROADCAST_MAX_ROWS = 10_000
 ROUTE_PREFIX = "derivative."
 
 
@@ -54,14 +52,15 @@ def routes_registry(props: DataFrame, default_enabled: bool = False) -> DataFram
     )
 
 
-def _maybe_broadcast(registry: DataFrame) -> DataFrame:
-    n = registry.limit(BROADCAST_MAX_ROWS + 1).count()
-    return F.broadcast(registry) if n <= BROADCAST_MAX_ROWS else registry
+def routed(raw: DataFrame, registry: DataFrame) -> DataFrame:
+    """Raw events of enabled items' streams: a semi-join below the parse, so no other body is parsed."""
+    streams = registry.where(F.col("enabled")).select("stream")
+    return raw.join(streams, "stream", "left_semi").select(*raw.columns)
 
 
 def derivative_outcomes(fields: DataFrame, registry: DataFrame) -> DataFrame:
     """Events of enabled derivative streams that stop before the service call."""
-    reg = _maybe_broadcast(registry.where(F.col("enabled")).select("route", "stream"))
+    reg = registry.where(F.col("enabled")).select("route", "stream")
     j = fields.join(reg, "stream", "inner")
     c = F.col("event").getField("attachment").getField("content")
     reason = (F.when(F.col("malformed"), F.coalesce(F.col("parse_reason"), F.lit(S.R_MALFORMED)))
@@ -80,7 +79,7 @@ def derivative_outcomes(fields: DataFrame, registry: DataFrame) -> DataFrame:
 
 def derivative_requests(fields: DataFrame, registry: DataFrame, settings: Settings) -> DataFrame:
     """One service request per event on an enabled item's stream."""
-    reg = _maybe_broadcast(registry.where(F.col("enabled")).select("route", "stream", "service_url"))
+    reg = registry.where(F.col("enabled")).select("route", "stream", "service_url")
     j = fields.join(reg, "stream", "inner")
     c = F.col("event").getField("attachment").getField("content")
     ok = j.where(~F.col("malformed") & c.isNotNull() & c.getField("source_uri").isNotNull())

@@ -3,8 +3,8 @@
 Redelivery resolution is split in two so it scales and streams:
 
 1. ``attempt_stats`` aggregates the attempts of each request WITHOUT looking
-   at the request (route-independent facts: first 2xx/412/410 attempt, first
-   404 attempt, count, last attempt).  Attempts past 1+N are dropped before
+   at the request (route-independent facts: first 2xx attempt, first attempt
+   of each skippable status, count, last attempt).  Attempts past 1+N are dropped before
    the shuffle, so a request contributes at most N+1 rows and the partial
    (map-side) aggregate collapses them; the same aggregation runs unchanged
    on a stream in update mode.
@@ -28,12 +28,19 @@ def is_success(status: Column) -> Column:
     return (status >= 200) & (status <= 299)
 
 
+def _skips(status: Column, route: Column) -> Column:
+    """True when the status ends the request on this route (schema.STATUS_SKIPS); never null."""
+    hit = F.lit(False)
+    for code, (routes, _) in S.STATUS_SKIPS.items():
+        hit = hit | ((status == code) & route.isin(*routes))
+    return F.coalesce(hit, F.lit(False))
+
+
 def status_class(status: Column, route: Column) -> Column:
-    """Per-attempt class (C2, C5): ok / skip / retry."""
+    """Per-attempt class (C2, C5): ok / skip / retry (a null status, no answer, is retried)."""
     return (
         F.when(is_success(status), F.lit("ok"))
-        .when(status.isin(S.STATUS_PRECONDITION_FAILED, S.STATUS_GONE), F.lit("skip"))
-        .when((status == S.STATUS_NOT_FOUND) & (route == S.NODE_DELETE), F.lit("skip"))
+        .when(_skips(status, route), F.lit("skip"))
         .otherwise(F.lit("retry"))
     )
 
@@ -47,25 +54,33 @@ def response_classes(requests: DataFrame, attempts: DataFrame) -> DataFrame:
 
 # (attempt_no, status) packed into one long, attempt first, so min/max order
 # by attempt; keeps every aggregation buffer fixed-width (hash aggregate,
-# small streaming state).  Statuses are HTTP codes, below PACK.
-PACK = 1000
+# small streaming state).  The low 32 bits hold status + 1, or 0 for an
+# attempt without an answer (null or negative status), so no code is altered.
+PACK = 1 << 32
+SKIP_STATS = {code: f"first_{code}_p" for code in S.STATUS_SKIPS}
+STATS_COLUMNS = ["n", "first_ok_p", *SKIP_STATS.values(), "last_p"]
 
 
 def _pack(a: Column, st: Column) -> Column:
-    # a code outside 0..999 is not an HTTP status: kept as 999 ("other error")
-    code = F.when((st >= 0) & (st < PACK), st).otherwise(F.lit(PACK - 1))
-    return a.cast("long") * PACK + code.cast("long")
+    code = F.when(st >= 0, st.cast("long") + 1).otherwise(F.lit(0).cast("long"))
+    return a.cast("long") * F.lit(PACK) + code
+
+
+def _attempt(packed: Column) -> Column:
+    return F.shiftright(packed, 32).cast("int")
 
 
-def _unpack(packed: Column) -> Column:
-    return F.when(packed.isNotNull(), F.struct(
-        (packed / PACK).cast("int").alias("a"), F.pmod(packed, F.lit(PACK)).cast("int").alias("status")))
+def _status(packed: Column) -> Column:
+    """The packed status; null where the attempt had no answer."""
+    code = packed.bitwiseAND(F.lit(PACK - 1))
+    return F.when(code > 0, (code - 1).cast("int"))
 
 
 def attempt_stats(attempts: DataFrame, settings: Settings) -> DataFrame:
     """Route-independent per-request aggregate of attempts 1..N+1.
 
-    Columns: request_id, n, first_terminal_p, first_404, last_p (packed).
+    Columns: request_id and ``STATS_COLUMNS`` (packed: first success, first
+    answer of each status that some route skips, last attempt).
     ``n`` is the highest attempt number seen (deliveries made): a delivery
     logged twice, or a missing log line, does not change it.
     """
@@ -81,12 +96,11 @@ def _in_range(settings: Settings) -> Column:
 
 def _stats(grouped) -> DataFrame:
     a, st = F.col("attempt_no"), F.col("status")
-    general = is_success(st) | st.isin(S.STATUS_PRECONDITION_FAILED, S.STATUS_GONE)
     packed = _pack(a, st)
     return grouped.agg(
         F.max(a).alias("n"),
-        F.min(F.when(general, packed)).alias("first_terminal_p"),
-        F.min(F.when(st == S.STATUS_NOT_FOUND, a)).alias("first_404"),
+        F.min(F.when(is_success(st), packed)).alias("first_ok_p"),
+        *[F.min(F.when(st == code, packed)).alias(name) for code, name in SKIP_STATS.items()],
         F.max(packed).alias("last_p"),
     )
 
@@ -107,14 +121,12 @@ def attempt_stats_bounded(attempts: DataFrame, settings: Settings, request_ts: s
 
 def resolve(requests: DataFrame, stats: DataFrame, settings: Settings) -> DataFrame:
     """requests (one row each) + stats -> outcome per request."""
-    j = (requests.select("seq", "ts", "request_id", "route").join(stats, "request_id", "left")
-         .withColumn("first_terminal", _unpack(F.col("first_terminal_p")))
-         .withColumn("last", _unpack(F.col("last_p"))))
-    ft = F.col("first_terminal")
-    f404 = F.when(F.col("route") == S.NODE_DELETE, F.col("first_404"))
-    use_404 = f404.isNotNull() & (ft.isNull() | (f404 < ft.getField("a")))
-    term_a = F.when(use_404, f404).otherwise(ft.getField("a"))
-    term_status = F.when(use_404, F.lit(S.STATUS_NOT_FOUND)).otherwise(ft.getField("status"))
+    j = requests.select("seq", "ts", "request_id", "route").join(stats, "request_id", "left")
+    # the first attempt that ends the request on its route (least ignores nulls)
+    ends = [F.when(F.col("route").isin(*routes), F.col(SKIP_STATS[code]))
+            for code, (routes, _) in S.STATUS_SKIPS.items()]
+    term = F.least(F.col("first_ok_p"), *ends)
+    term_a, term_status = _attempt(term), _status(term)
     n = F.coalesce(F.col("n"), F.lit(0))
     exhausted = F.lit(False) if settings.attempt_limit is None else n >= settings.attempt_limit
     outcome = (
@@ -122,18 +134,20 @@ def resolve(requests: DataFrame, stats: DataFrame, settings: Settings) -> DataFr
         .when(exhausted, F.lit("failed"))
         .otherwise(F.lit("pending"))
     )
-    deciding = F.when(term_a.isNotNull(), term_status).otherwise(F.col("last").getField("status"))
+    deciding = F.coalesce(term, F.col("last_p"))
+    reason = (F.when(_status(deciding).isNotNull(), F.concat(F.lit("http_"), _status(deciding).cast("string")))
+              .when(deciding.isNotNull(), F.lit(S.R_NO_ANSWER)))
+    warn = [code for code, (_, level) in S.STATUS_SKIPS.items() if level == "WARN"]
     level = (
         F.when(outcome == "ok", F.lit("DEBUG"))
-        .when(outcome == "skipped",
-              F.when(term_status == S.STATUS_GONE, F.lit("WARN")).otherwise(F.lit("INFO")))
+        .when(outcome == "skipped", F.when(term_status.isin(*warn), F.lit("WARN")).otherwise(F.lit("INFO")))
         .when(outcome == "failed", F.lit("ERROR"))
     )
     attempts_used = F.when(term_a.isNotNull(), term_a).otherwise(n)
     return j.select(
         "seq", "ts", "request_id", "route",
         outcome.alias("outcome"),
-        F.concat(F.lit("http_"), deciding.cast("string")).alias("reason"),
+        reason.alias("reason"),
         level.alias("level"),
         attempts_used.cast("bigint").alias("attempts"),
     )

@@ -147,10 +147,10 @@ def build_requests(fields: DataFrame, settings: Settings) -> DataFrame:
             cand(S.EXTERNAL_INDEX, "POST", F.concat(F.lit("external/"), uuid), F.col("canonical_url"), ok),
         ))
     )
-    # The endpoint template never contains '?', so the option suffix is a
+    # The paths never contain '?', the base URL may: the option suffix is a
     # constant folded into the plan (built once on the driver).
     base = service_base(settings)
-    suffix = options_suffix(settings.http_options)
+    suffix = options_suffix(settings.http_options, force_ampersand="?" in base)
 
     staged = (
         fields.withColumn("reason", _stop_reason(settings))

@@ -127,15 +127,67 @@ def subject_events(fields: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def usable_documents(resources: DataFrame) -> DataFrame:
-    """URLs (column ``_have``) of fetched documents that parse as JSON.
+DOC_OK, DOC_NOT_JSON, DOC_NO_TRIPLES = "ok", "not_json", "no_triples"
 
-    A document that does not parse counts as missing: its index event must
-    not win, or replacing would empty the subject.  Only the URL column
-    leaves this step (deduplicated), bodies are not moved.
+
+def document_status(body: Column) -> Column:
+    """``ok`` when the document gives at least one triple, else why it is rejected.
+
+    ``not_json``: null or not parseable; ``no_triples``: JSON without any node
+    that has an ``@id`` and a usable value (an error message, a number, an
+    empty list).  One expression per document, nothing is exploded.
     """
-    ok = F.col("body").isNotNull() & F.try_parse_json(F.col("body")).isNotNull()
-    return resources.where(ok).select(F.col("url").alias("_have")).dropDuplicates(["_have"])
+    doc = F.try_parse_json(body)
+    nodes = F.coalesce(F.try_variant_get(doc, '$["@graph"]', "array<variant>"), _values(doc), F.array(doc))
+
+    def gives_triple(key: Column, val: Column) -> Column:
+        text = F.when(key == "@type", F.try_variant_get(val, "$", "string")).when(
+            ~key.startswith("@"), F.coalesce(F.try_variant_get(val, '$["@id"]', "string"),
+                                             F.try_variant_get(val, '$["@value"]', "string")))
+        return text.isNotNull()
+
+    def node_ok(node: Column) -> Column:
+        entries = F.map_entries(F.try_variant_get(node, "$", "map<string,variant>"))
+        some = F.exists(entries, lambda e: F.coalesce(
+            F.exists(_values(e.getField("value")), lambda v: gives_triple(e.getField("key"), v)), F.lit(False)))
+        return F.try_variant_get(node, '$["@id"]', "string").isNotNull() & F.coalesce(some, F.lit(False))
+
+    return (F.when(doc.isNull(), F.lit(DOC_NOT_JSON))
+            .when(F.coalesce(F.exists(nodes, node_ok), F.lit(False)), F.lit(DOC_OK))
+            .otherwise(F.lit(DOC_NO_TRIPLES)))
+
+
+def rejected_documents(resources: DataFrame) -> DataFrame:
+    """Quarantine of fetched documents that give no triple: url, reason, body."""
+    status = document_status(F.col("body"))
+    return (resources.select("url", status.alias("reason"), "body")
+            .where(F.col("reason") != DOC_OK))
+
+
+def fetched_documents(resources: DataFrame) -> DataFrame:
+    """One row per fetched URL (column ``_have``) with ``_usable``: does any copy give a triple?
+
+    The index event of a rejected document must not win, or replacing would
+    empty the subject.  Only the URL and the flag leave this step, bodies are
+    not moved.
+    """
+    ok = document_status(F.col("body")) == DOC_OK
+    return (resources.select(F.col("url").alias("_have"), ok.alias("_ok"))
+            .groupBy("_have").agg(F.max("_ok").alias("_usable")))
+
+
+def _with_documents(events: DataFrame, resources: DataFrame) -> DataFrame:
+    """Left join of index events to their documents' flags.
+
+    Other events get a key of their own that matches no URL, so they are
+    spread over the shuffle instead of sharing the null key.
+    """
+    key = F.coalesce(F.when(F.col("kind") == INDEX, F.col("url")), F.concat(F.lit("\n"), F.col("seq").cast("string")))
+    return (events.withColumn("_key", key)
+            .join(fetched_documents(resources), F.col("_key") == F.col("_have"), "left").drop("_key"))
+
+
+APPLIED, SUPERSEDED = "applied", "superseded"
 
 
 def triples_outcomes(subject_evts: DataFrame, resources: DataFrame, winners: DataFrame) -> DataFrame:
@@ -144,18 +196,20 @@ def triples_outcomes(subject_evts: DataFrame, resources: DataFrame, winners: Dat
     Valid events are ``ok``: ``applied`` when the event is its subject's last
     writer, ``superseded`` otherwise (a later event of the same subject
     replaces its effect, as in FIFO consumption).  Missing links are
-    ``skipped`` (WARN); a malformed event or a missing document ``failed``.
+    ``skipped`` (WARN); a malformed event, an unknown field (strict mode) and
+    a missing or rejected document ``failed``.
     """
-    have = usable_documents(resources)
-    ev = subject_evts.join(have, (F.col("url") == F.col("_have")) & (F.col("kind") == INDEX), "left")
+    ev = _with_documents(subject_evts, resources)
     won = winners.select(F.col("seq").alias("_wseq"))
     ev = ev.join(won, F.col("seq") == F.col("_wseq"), "left")
     reason = (F.when(F.col("reason").isNotNull(), F.col("reason"))
               .when((F.col("kind") == INDEX) & F.col("_have").isNull(), F.lit(S.R_RESOURCE_MISSING))
-              .when(F.col("_wseq").isNotNull(), F.lit("applied"))
-              .otherwise(F.lit("superseded")))
-    outcome = (F.when(reason.isin("applied", "superseded"), F.lit("ok"))
-               .when(reason.isin(S.R_MALFORMED, S.R_RESOURCE_MISSING), F.lit("failed"))
+              .when((F.col("kind") == INDEX) & ~F.col("_usable"), F.lit(S.R_DOCUMENT_REJECTED))
+              .when(F.col("_wseq").isNotNull(), F.lit(APPLIED))
+              .otherwise(F.lit(SUPERSEDED)))
+    outcome = (F.when(reason.isin(APPLIED, SUPERSEDED), F.lit("ok"))
+               .when(reason.isin(S.R_MALFORMED, S.R_UNKNOWN_FIELD, S.R_RESOURCE_MISSING, S.R_DOCUMENT_REJECTED),
+                     F.lit("failed"))
                .otherwise(F.lit("skipped")))
     level = (F.when(outcome == "ok", F.lit("DEBUG")).when(outcome == "failed", F.lit("ERROR"))
              .otherwise(F.lit("WARN")))
@@ -169,15 +223,13 @@ def triples_outcomes(subject_evts: DataFrame, resources: DataFrame, winners: Dat
 
 
 def eligible(subject_evts: DataFrame, resources: DataFrame) -> DataFrame:
-    """Events that may win: valid, and (for index) with a fetched document (D3).
+    """Events that may win: valid, and (for index) with a fetched document that gives triples (D3).
 
-    One pass over the events: a left join to the fetched URLs (deduplicated
+    One pass over the events: a left join to the fetched URLs (one row each,
     so the join cannot multiply events), then a filter.
     """
-    have = usable_documents(resources)
-    ev = subject_evts.where(F.col("reason").isNull())
-    j = ev.join(have, (F.col("url") == F.col("_have")) & (F.col("kind") == INDEX), "left")
-    return j.where((F.col("kind") == DELETE) | F.col("_have").isNotNull()).drop("_have", "reason")
+    j = _with_documents(subject_evts.where(F.col("reason").isNull()), resources)
+    return j.where((F.col("kind") == DELETE) | F.col("_usable")).drop("_have", "_usable", "reason")
 
 
 def latest_per_subject(candidates: DataFrame) -> DataFrame:
@@ -205,7 +257,9 @@ def winner_documents(winners: DataFrame, resources: DataFrame) -> DataFrame:
     docs = resources.join(w.where(F.col("w_kind") == INDEX), F.col("url") == F.col("w_url"), "inner")
     t = jsonld_triples(docs.select("url", "body", F.col("w_seq").alias("seq"), F.col("w_s").alias("subject"),
                                    F.length("body").alias("doc_len")))
-    return t.select("seq", "subject", "doc_len", *TRIPLE_COLS)
+    # a graph is a set: a value listed twice, or a document fetched twice, is one triple
+    return (t.groupBy("seq", "subject", *TRIPLE_COLS).agg(F.max("doc_len").alias("doc_len"))
+            .select("seq", "subject", "doc_len", *TRIPLE_COLS))
 
 
 def apply_changes(prior: DataFrame, winners: DataFrame, resources: DataFrame) -> DataFrame:

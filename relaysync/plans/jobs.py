@@ -75,7 +75,7 @@ def sync_batch(spark: SparkSession, raw: DataFrame, settings: Settings, out: str
         triples.triples_requests(w, resources, settings).write.mode("overwrite").parquet(paths["triples_requests"])
         sent_paths.append(paths["triples_requests"])
         stopped = stopped.unionByName(triples.triples_outcomes(sev, resources, w)
-                                      .where(F.col("outcome") != "ok").select(*outcomes.OUTCOME_COLUMNS))
+                                      .where(F.col("reason") != triples.APPLIED).select(*outcomes.OUTCOME_COLUMNS))
 
     if attempts is not None:
         # every request that was written (indexer, derivative, triplestore) is resolved the same way

@@ -307,3 +307,31 @@ SQL["stream_latest"] = SQL["latest_per_subject"]
 SQL["stream_triples_after_delete"] = SQL["triples_after_delete"]
 SQL["stream_outcomes"] = SQL["redelivery_outcomes"]
 SQL["stream_daily_outcomes"] = SQL["daily_outcomes"]
+
+SQL["late_messages"] = SQL["dedup_messages"]
+SQL["jsonld_rejects"] = f"""
+SELECT '{feed.CMS}' || CAST(page_id AS VARCHAR) || '?_format=jsonld' AS url,
+       CASE WHEN page_id % 6 = 4 THEN 'not_json' ELSE 'no_triples' END AS reason
+FROM pages WHERE page_id % 17 <> 0 AND page_id % 6 IN (1, 2, 3, 4)"""
+SQL["no_answer_outcomes"] = _with(F_CTE, REQ_CTE, ATT_CTE) + """,
+seen AS (
+  SELECT request_id, attempt_no,
+         CASE WHEN (event_id + attempt_no) % 3 = 0 THEN 'retry' ELSE class END AS class,
+         CASE WHEN (event_id + attempt_no) % 3 = 0 THEN 'no_answer'
+              ELSE 'http_' || CAST(status AS VARCHAR) END AS reason
+  FROM cls WHERE attempt_no <= 6
+),
+fin AS (
+  SELECT request_id, count(*) AS n,
+         min(attempt_no) FILTER (WHERE class <> 'retry') AS t,
+         arg_min(reason, attempt_no) FILTER (WHERE class <> 'retry') AS t_reason,
+         arg_min(class, attempt_no) FILTER (WHERE class <> 'retry') AS t_class,
+         arg_max(reason, attempt_no) AS last_reason
+  FROM seen GROUP BY request_id
+)
+SELECT request_id,
+       CASE WHEN t_class = 'ok' THEN 'ok' WHEN t_class = 'skip' THEN 'skipped'
+            WHEN n >= 6 THEN 'failed' ELSE 'pending' END AS outcome,
+       coalesce(t_reason, last_reason) AS reason,
+       coalesce(t, n) AS attempts
+FROM fin"""

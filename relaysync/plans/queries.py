@@ -110,24 +110,26 @@ def q_missing_url_outcomes(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- requests
-def _routes(spark, sf_dir, *routes):
-    return requests(spark, sf_dir).where(F.col("route").isin(*routes)).select(*REQ_COLS)
+def stream_requests_of(spark, sf_dir, *streams):
+    """Requests of some streams: the stream filter sits below the parse, no other body is parsed."""
+    some = raw(spark, sf_dir).where(F.col("stream").isin(*streams))
+    return R.build_requests(R.prepare(some), SETTINGS)
 
 
 def q_node_requests(spark, sf_dir):
-    return _routes(spark, sf_dir, S.NODE_INDEX, S.NODE_VERSION)
+    return stream_requests_of(spark, sf_dir, SETTINGS.node_stream).select(*REQ_COLS)
 
 
 def q_media_requests(spark, sf_dir):
-    return _routes(spark, sf_dir, S.MEDIA_INDEX, S.MEDIA_VERSION)
+    return stream_requests_of(spark, sf_dir, SETTINGS.media_stream).select(*REQ_COLS)
 
 
 def q_external_requests(spark, sf_dir):
-    return _routes(spark, sf_dir, S.EXTERNAL_INDEX)
+    return stream_requests_of(spark, sf_dir, SETTINGS.external_stream).select(*REQ_COLS)
 
 
 def q_delete_requests(spark, sf_dir):
-    return _routes(spark, sf_dir, S.NODE_DELETE)
+    return stream_requests_of(spark, sf_dir, SETTINGS.delete_stream).select(*REQ_COLS)
 
 
 def q_all_requests(spark, sf_dir):
@@ -135,8 +137,8 @@ def q_all_requests(spark, sf_dir):
 
 
 def q_version_requests(spark, sf_dir):
-    return requests(spark, sf_dir).where(F.col("route").isin(S.NODE_VERSION, S.MEDIA_VERSION)).select(
-        "request_id", "uri")
+    r = stream_requests_of(spark, sf_dir, SETTINGS.node_stream, SETTINGS.media_stream)
+    return r.where(F.col("route").isin(S.NODE_VERSION, S.MEDIA_VERSION)).select("request_id", "uri")
 
 
 def q_header_policy(spark, sf_dir):
@@ -174,7 +176,9 @@ def registry(spark: SparkSession) -> DataFrame:
 
 
 def q_derivative_requests(spark, sf_dir):
-    return derivatives.derivative_requests(fields(spark, sf_dir), registry(spark), SETTINGS).select(
+    reg = registry(spark)
+    f = R.prepare(derivatives.routed(raw(spark, sf_dir), reg))
+    return derivatives.derivative_requests(f, reg, SETTINGS).select(
         "seq", "route", "request_id", "service_uri", "source_uri", "args", "mimetype",
         "destination_uri", "file_upload_uri")
 
@@ -220,6 +224,14 @@ def _outcomes_table(spark, sf_dir):
     return outcomes.all_outcomes(R.event_outcomes(f, SETTINGS), done)
 
 
+def q_no_answer_outcomes(spark, sf_dir):
+    """E1 where every third attempt got no answer (null status)."""
+    req = sent_requests(spark, sf_dir)
+    lost = F.pmod(F.split("request_id", ":")[0].cast("bigint") + F.col("attempt_no"), F.lit(3)) == 0
+    att = feed.attempts_for(req).withColumn("status", F.when(~lost, F.col("status")))
+    return outcomes.redelivery_outcomes(req, att, SETTINGS).select(*REDELIVERY_COLS)
+
+
 def q_outcome_rollup(spark, sf_dir):
     return outcomes.outcome_rollup(_outcomes_table(spark, sf_dir))
 
@@ -233,6 +245,11 @@ def q_jsonld_triples(spark, sf_dir):
     return triples.jsonld_triples(resources(spark, sf_dir)).select(*triples.TRIPLE_COLS)
 
 
+def q_jsonld_rejects(spark, sf_dir):
+    """B17 quarantine: documents that give no triple, with the reason."""
+    return triples.rejected_documents(feed.faulty_resources(pages(spark, sf_dir))).select("url", "reason")
+
+
 def q_latest_per_subject(spark, sf_dir):
     return winners(spark, sf_dir).select("s", "seq", "kind")
 
@@ -270,7 +287,9 @@ def q_triples_outcomes(spark, sf_dir):
 
 
 def q_derivative_outcomes(spark, sf_dir):
-    return derivatives.derivative_outcomes(fields(spark, sf_dir), registry(spark)).select(
+    reg = registry(spark)
+    f = R.prepare(derivatives.routed(raw(spark, sf_dir), reg))
+    return derivatives.derivative_outcomes(f, reg).select(
         "seq", "route", "outcome", "reason", "level")
 
 
@@ -280,14 +299,16 @@ def raw_stream(spark: SparkSession, sf_dir: str, run: P.StreamRun, redeliver: bo
     successive chunks, and the stream turns each into its JSON message."""
     ev = events(spark, sf_dir)
     staged = feed.redelivered_events(ev) if redeliver else ev
-    files = P.stage_in_order(staged, run.input, "event_id")
+    # copies of a message land in different chunks, out of time order
+    files = (P.stage_by_hash(staged, run.input, "event_id", "copy") if redeliver
+             else P.stage_in_order(staged, run.input, "event_id", chunks=3))
     src = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", files)
            .option("recursiveFileLookup", "true").parquet(run.input))
     return feed.raw_events(src, SETTINGS)
 
 
 def q_stream_requests(spark, sf_dir):
-    """I1 + I2 + E6: redelivered feed -> stream -> dedup within watermark -> requests."""
+    """I1 + I2 + E6: redelivered feed -> stream -> dedup across triggers -> requests."""
     run = P.StreamRun(spark, "stream_requests")
     s = dedup.dedup_stream(raw_stream(spark, sf_dir, run, redeliver=True), SETTINGS)
     out = R.build_requests(R.prepare(s.drop("message_id")), SETTINGS).select(*ALL_REQ_COLS)
@@ -295,6 +316,14 @@ def q_stream_requests(spark, sf_dir):
     return P.read_sink(spark, run.sink).select(*ALL_REQ_COLS)
 
 
+def q_late_messages(spark, sf_dir):
+    """E6 on a stream out of time order: every message exactly once, none lost for being late."""
+    run = P.StreamRun(spark, "late_messages")
+    s = dedup.dedup_stream(raw_stream(spark, sf_dir, run, redeliver=True), SETTINGS)
+    P.run_available_now(s.select("message_id", "seq", "stream"), run.sink, run.checkpoint, "append")
+    return P.read_sink(spark, run.sink).select("message_id", "seq", "stream")
+
+
 def stream_winners(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """E5 on a stream: max_by per subject in update mode, folded on read."""
     run = P.StreamRun(spark, name)
@@ -316,15 +345,15 @@ def q_stream_triples_after_delete(spark, sf_dir):
 
 
 def q_stream_outcomes(spark, sf_dir):
-    """E1 on a stream: attempts arrive shuffled; per-request stats in update mode."""
+    """E1 on a stream: a request's attempts arrive spread over several triggers; stats in update mode."""
     run = P.StreamRun(spark, "stream_outcomes")
     req = sent_requests(spark, sf_dir)
-    files = P.stage_by_hash(feed.attempts_for(req), run.input, "request_id")
+    files = P.stage_by_hash(feed.attempts_for(req), run.input, "request_id", "attempt_no")
     att = P.read_stream(spark, run.input, S.ATTEMPTS_DDL, files, fmt="parquet")
     P.run_available_now(outcomes.attempt_stats(att, SETTINGS), run.sink, run.checkpoint, "update")
     logged = P.read_sink(spark, run.sink)
     latest = (logged.groupBy("request_id")
-              .agg(F.max_by(F.struct("n", "first_terminal_p", "first_404", "last_p"), "batch_id").alias("x"))
+              .agg(F.max_by(F.struct(*outcomes.STATS_COLUMNS), "batch_id").alias("x"))
               .select("request_id", "x.*"))
     return outcomes.resolve(req, latest, SETTINGS).select(*REDELIVERY_COLS)
 
@@ -366,9 +395,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedup_messages": q_dedup_messages,
     "response_classes": q_response_classes,
     "redelivery_outcomes": q_redelivery_outcomes,
+    "no_answer_outcomes": q_no_answer_outcomes,
     "outcome_rollup": q_outcome_rollup,
     "daily_outcomes": q_daily_outcomes,
     "jsonld_triples": q_jsonld_triples,
+    "jsonld_rejects": q_jsonld_rejects,
     "latest_per_subject": q_latest_per_subject,
     "triples_after_replace": q_triples_after_replace,
     "triples_after_delete": q_triples_after_delete,
@@ -377,6 +408,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "triples_requests": q_triples_requests,
     "triples_outcomes": q_triples_outcomes,
     "derivative_outcomes": q_derivative_outcomes,
+    "late_messages": q_late_messages,
     "stream_requests": q_stream_requests,
     "stream_latest": q_stream_latest,
     "stream_triples_after_delete": q_stream_triples_after_delete,

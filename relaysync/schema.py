@@ -60,6 +60,7 @@ R_MISSING_SOURCE_FIELD = "missing_source_field"
 R_MISSING_ATTACHMENT = "missing_attachment"
 R_MISSING_SUBJECT = "missing_subject"
 R_RESOURCE_MISSING = "resource_missing"
+R_DOCUMENT_REJECTED = "document_rejected"
 
 # --- fixed values: error policy before dispatch ---------------------------
 # (reason, outcome, level); route scoping is applied in operators.requests.
@@ -77,11 +78,19 @@ PRE_DISPATCH_POLICY = {
 }
 
 # --- fixed values: HTTP status handling after dispatch ---------------------
-# 412 -> skipped (INFO), 410 -> skipped (WARN), 404 on node_delete -> skipped
-# (INFO); 2xx -> ok; everything else is retried and finally failed (ERROR).
+# 2xx -> ok; a status below, on one of its routes -> skipped at once with that
+# level; everything else is retried and finally failed (ERROR).  Triplestore
+# and derivative routes skip nothing.
 STATUS_PRECONDITION_FAILED = 412
 STATUS_GONE = 410
 STATUS_NOT_FOUND = 404
+INDEXER_ROUTES = [NODE_INDEX, NODE_VERSION, NODE_DELETE, MEDIA_INDEX, MEDIA_VERSION, EXTERNAL_INDEX]
+STATUS_SKIPS = {
+    STATUS_PRECONDITION_FAILED: (INDEXER_ROUTES, "INFO"),
+    STATUS_GONE: (INDEXER_ROUTES, "WARN"),
+    STATUS_NOT_FOUND: ([NODE_DELETE], "INFO"),
+}
+R_NO_ANSWER = "no_answer"
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 XSD_INTEGER = "http://www.w3.org/2001/XMLSchema#integer"

@@ -199,10 +199,10 @@ def raw_events(events: DataFrame, settings: Settings = FEED_SETTINGS) -> DataFra
 
 
 def redelivered_events(events: DataFrame) -> DataFrame:
-    """The driver's events with every fifth one delivered twice (compact rows)."""
+    """The driver's events with every fifth one delivered twice (compact rows, ``copy`` 1 or 2)."""
     copies = F.when(F.pmod(F.col("event_id"), F.lit(5)) == 0, F.array(F.lit(1), F.lit(2))).otherwise(
         F.array(F.lit(1)))
-    return events.select("*", F.explode(copies).alias("_copy")).drop("_copy")
+    return events.select("*", F.explode(copies).alias("copy"))
 
 
 def redelivered(raw: DataFrame) -> DataFrame:
@@ -240,6 +240,16 @@ def resources(pages: DataFrame) -> DataFrame:
     )
 
 
+def faulty_resources(pages: DataFrame) -> DataFrame:
+    """``resources`` with broken documents: by page_id % 6, 1 an error object, 2 an empty
+    list, 3 a number, 4 cut in half; 0 and 5 stay."""
+    pid = F.regexp_extract("url", r"(\d+)\?", 1).cast("bigint")
+    k = F.pmod(pid, F.lit(6))
+    body = (F.when(k == 1, F.lit('{"message":"error"}')).when(k == 2, F.lit("[]")).when(k == 3, F.lit("5"))
+            .when(k == 4, F.expr("substring(body, 1, cast(length(body) / 2 AS int))")).otherwise(F.col("body")))
+    return resources(pages).select("url", body.alias("body"))
+
+
 def prior_triples(pages: DataFrame) -> DataFrame:
     """Triples already in the store: one (node, schema:version, "old") per page."""
     return pages.select(

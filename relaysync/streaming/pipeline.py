@@ -51,11 +51,14 @@ def stage_in_order(df: DataFrame, path: str, order_col: str, chunks: int = 2, fm
     return files
 
 
-def stage_by_hash(df: DataFrame, path: str, key: str, chunks: int = 2, fmt: str = "parquet") -> int:
-    """Land ``df`` in ``chunks`` successive writes in hash order (shuffled arrival)."""
+def stage_by_hash(df: DataFrame, path: str, *key: str, chunks: int = 3, fmt: str = "parquet") -> int:
+    """Land ``df`` in ``chunks`` successive writes in hash order of ``key`` (shuffled arrival).
+
+    Rows that must meet in state across triggers differ in some key column.
+    """
     files = _files_per_chunk(df)
     for i in range(chunks):
-        (df.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == i).repartition(files)
+        (df.where(F.pmod(F.xxhash64(*key), F.lit(chunks)) == i).repartition(files)
          .write.format(fmt).save(f"{path}/chunk-{i:04d}"))
     return files
 
@@ -79,11 +82,15 @@ def idempotent_writer(sink: str) -> Callable[[DataFrame, int], None]:
 
 
 def run_available_now(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append",
-                      timeout_s: float | None = None) -> None:
-    """Process everything available (several triggers), then stop."""
+                      timeout_s: float | None = None):
+    """Process everything available (several triggers), then stop; returns the finished query."""
     q = (stream.writeStream.outputMode(mode).foreachBatch(idempotent_writer(sink))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s) if timeout_s else q.awaitTermination()
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
+        q.stop()  # the sink is partial: say so instead of returning
+        raise TimeoutError(f"stream not finished after {timeout_s} s")
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return q

@@ -47,6 +47,9 @@ POLICY = [
     ("node_version", [302, 412], ("skipped", "http_412", 2)),
     ("node_index", [500], ("pending", "http_500", 1)),
     ("node_index", [], ("pending", None, 0)),
+    ("triples_index", [412, 500], ("failed", "http_500", 2)),
+    ("triples_delete", [404, 201], ("ok", "http_201", 2)),
+    ("derivative.thumb", [410, 410], ("failed", "http_410", 2)),
 ]
 
 
@@ -72,15 +75,19 @@ def test_rollup_has_subtotals(spark):
 
 
 def test_status_class(spark):
-    df = spark.createDataFrame([(201, "x"), (404, "node_delete"), (404, "x"), (410, "x")], "s int, r string")
+    df = spark.createDataFrame([(201, "x"), (404, "node_delete"), (404, "x"), (410, "media_index"), (410, "x"), (None, "node_index")], "s int, r string")
     got = [r[0] for r in df.select(O.status_class(F.col("s"), F.col("r"))).collect()]
-    assert got == ["ok", "skip", "retry", "skip"]
+    assert got == ["ok", "skip", "retry", "skip", "retry", "retry"]
 
 
-def test_invalid_status_counts_as_error(spark):
-    got = resolve(spark, [("node_index", [1234, 201]), ("node_index", [-1, 1500])], n=1)
+def test_unknown_and_missing_status_are_retried(spark):
+    got = resolve(spark, [("node_index", [1234, 201]), ("node_index", [-1, 1500]), ("node_index", [500, None]),
+                          ("node_index", [None]), ("node_delete", [None, 404])], n=1)
     assert got["r0"] == ("ok", "http_201", 2)
-    assert got["r1"] == ("failed", "http_999", 2)
+    assert got["r1"] == ("failed", "http_1500", 2)
+    assert got["r2"] == ("failed", "no_answer", 2)
+    assert got["r3"] == ("pending", "no_answer", 1)
+    assert got["r4"] == ("skipped", "http_404", 2)
 
 
 def test_bounded_stream_stats_equal_batch(spark):
@@ -96,7 +103,7 @@ def test_bounded_stream_stats_equal_batch(spark):
     P.run_available_now(O.attempt_stats_bounded(src, s, delay="2 hours"), run.sink, run.checkpoint, "update")
     logged = P.read_sink(spark, run.sink)
     folded = (logged.groupBy("request_id")
-              .agg(F.max_by(F.struct("n", "first_terminal_p", "first_404", "last_p"), "batch_id").alias("x"))
+              .agg(F.max_by(F.struct(*O.STATS_COLUMNS), "batch_id").alias("x"))
               .select("request_id", "x.*"))
     batch = O.attempt_stats(att.drop("request_ts"), s)
     assert folded.exceptAll(batch).count() == 0 and batch.exceptAll(folded).count() == 0

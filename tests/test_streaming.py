@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from relaysync import Settings
@@ -39,7 +41,28 @@ def test_restart_and_idempotent_sink(spark):
     assert P.read_sink(spark, run.sink).count() == before
 
 
-def test_dedup_within_watermark(spark):
+def test_dedup_keeps_late_messages(spark):
+    """Distinct messages hours behind the newest one stay; copies in later triggers go."""
+    from relaysync.operators.dedup import dedup_stream
+    run = P.StreamRun(spark, "test_dedup_late")
+    raw = spark.createDataFrame([(i, h, "node", {"message-id": f"m{i}"}, "{}") for i, h in ((1, 9), (2, 9), (3, 1))],
+                                "seq bigint, h int, stream string, headers map<string,string>, body string")
+    raw = raw.selectExpr("seq", "make_timestamp(2024, 1, 2, h, 0, 0) AS ts", "stream", "headers", "body")
+    for k, part in enumerate((raw.where("seq = 1"), raw.where("seq = 2"), raw.where("seq <> 2"))):
+        part.coalesce(1).write.json(f"{run.input}/chunk-{k}")
+    out = dedup_stream(P.read_raw_stream(spark, run.input, 1), Settings()).select("message_id", "seq")
+    P.run_available_now(out, run.sink, run.checkpoint)
+    assert sorted(r.seq for r in P.read_sink(spark, run.sink).collect()) == [1, 2, 3]
+
+
+def test_run_timeout_raises(spark):
+    run = P.StreamRun(spark, "test_timeout")
+    _raw(spark, 0, 20).write.json(run.input)
+    with pytest.raises(TimeoutError):
+        P.run_available_now(P.read_raw_stream(spark, run.input), run.sink, run.checkpoint, timeout_s=0.01)
+
+
+def test_dedup_of_copies(spark):
     from relaysync.operators.dedup import dedup_stream
     run = P.StreamRun(spark, "test_dedup")
     raw = _raw(spark, 0, 20).withColumn("headers", F.create_map(F.lit("message-id"), F.col("seq").cast("string")))

@@ -120,4 +120,4 @@ def test_unparsable_document_does_not_win(spark):
     got = sorted((r.s, r.o) for r in T.apply_changes(prior, w, res).collect())
     assert got == [("http://cms.test/node/1", "old"), ("http://cms.test/node/2", "new")]
     out = {r.seq: (r.outcome, r.reason) for r in T.triples_outcomes(sev, res, w).collect()}
-    assert out == {1: ("failed", "resource_missing"), 2: ("ok", "applied")}
+    assert out == {1: ("failed", "document_rejected"), 2: ("ok", "applied")}
