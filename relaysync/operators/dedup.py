@@ -10,7 +10,9 @@ from relaysync.settings import Settings
 
 
 def message_id(settings: Settings) -> Column:
-    return F.coalesce(header_value(F.col("headers"), settings.message_id_header), F.col("seq").cast("string"))
+    """The message-id header, else stream and seq (``seq`` is unique only within its stream)."""
+    return F.coalesce(header_value(F.col("headers"), settings.message_id_header),
+                      F.concat_ws(":", "stream", F.col("seq").cast("string")))
 
 
 def with_message_id(raw: DataFrame, settings: Settings) -> DataFrame:

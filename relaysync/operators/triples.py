@@ -278,21 +278,21 @@ def changeset(prior: DataFrame, winners: DataFrame, resources: DataFrame) -> Dat
     return dels.unionByName(ins)
 
 
-# An expanded JSON-LD value takes at least this many characters of the
-# document ({"@id":"x"} plus a separator), so a document of L characters
-# holds at most L / MIN_VALUE_CHARS triples.
-MIN_VALUE_CHARS = 12
+# A triple takes at least this many characters of its document (an ``@type``
+# entry is ``"x",``), so a document of L characters holds at most
+# L / MIN_VALUE_CHARS triples.
+MIN_VALUE_CHARS = 4
 
 
 def render_update(winners: DataFrame, resources: DataFrame, chunk: int = RENDER_CHUNK) -> DataFrame:
-    """Update text per subject: delete-where, then insert-data.
-
-    A subject with a huge document is split into parts by a hash of the
-    triple line; the number of parts comes from the document's length
-    (at most ``length / MIN_VALUE_CHARS`` triples), so each part holds about
-    ``chunk`` triples or fewer and no group grows without bound, with one
-    pass over the documents (no count-and-join).  Part 0 always carries the
-    DELETE WHERE.  Columns: s, part, update_text.
+    """The update texts of each subject, to be sent in the order of ``step``.
+
+    Every subject has the same layout: step 0 deletes what is known about it,
+    steps 1, 2, ... insert the document's triples.  The triples are dealt to
+    the insert steps by a hash of their line; the number of steps comes from
+    the document's length (at most ``length / MIN_VALUE_CHARS`` triples), so a
+    step holds about ``chunk`` triples and no group grows without bound, with
+    one pass over the documents.  Columns: s, step, update_text.
     """
     docs = winner_documents(winners, resources)
     parts = F.greatest(F.lit(1), F.ceil(F.col("doc_len") / F.lit(MIN_VALUE_CHARS * chunk))).cast("bigint")
@@ -302,18 +302,15 @@ def render_update(winners: DataFrame, resources: DataFrame, chunk: int = RENDER_
         .alias("line"),
         parts.alias("parts"),
     )
-    chunked = lines.select("s", F.pmod(F.xxhash64("line"), F.col("parts")).alias("part"), "line")
-    inserts = chunked.groupBy("s", "part").agg(
-        F.array_join(F.array_sort(F.collect_list("line")), " ").alias("body"))
+    inserts = (
+        lines.groupBy("s", (F.pmod(F.xxhash64("line"), F.col("parts")) + 1).alias("step"))
+        .agg(F.array_join(F.array_sort(F.collect_list("line")), " ").alias("body"))
+        .select("s", "step", F.concat(F.lit("INSERT DATA { "), F.col("body"), F.lit(" }")).alias("update_text"))
+    )
     deletes = _winner_keys(winners).select(
-        F.col("w_s").alias("s"), F.lit(0).cast("bigint").alias("part"),
-        F.concat(F.lit("DELETE WHERE { <"), F.col("w_s"), F.lit("> ?p ?o };")).alias("del"))
-    j = deletes.join(inserts, ["s", "part"], "full_outer")
-    ins_text = F.concat(F.lit("INSERT DATA { "), F.col("body"), F.lit(" }"))
-    text = (F.when(F.col("del").isNull(), ins_text)
-            .when(F.col("body").isNull(), F.col("del"))
-            .otherwise(F.concat(F.col("del"), F.lit("\n"), ins_text)))
-    return j.select("s", "part", text.alias("update_text"))
+        F.col("w_s").alias("s"), F.lit(0).cast("bigint").alias("step"),
+        F.concat(F.lit("DELETE WHERE { <"), F.col("w_s"), F.lit("> ?p ?o }")).alias("update_text"))
+    return deletes.unionByName(inserts)
 
 
 SPARQL_UPDATE = "application/sparql-update"
@@ -321,20 +318,21 @@ SPARQL_UPDATE = "application/sparql-update"
 
 def triples_requests(winners: DataFrame, resources: DataFrame, settings: Settings,
                      chunk: int = RENDER_CHUNK) -> DataFrame:
-    """One POST of update text to the triplestore endpoint per rendered part.
+    """One POST of update text to the triplestore endpoint per step.
 
-    Columns: request_id (seq:route:part), seq, ts, route, method, uri,
-    content_type, body.  The endpoint gets the HTTP options suffix like every
-    other endpoint.
+    Columns: request_id (seq:route:step), seq, step, ts, route, method, uri,
+    content_type, body.  A sender delivers a subject's steps in order: an
+    insert sent before step 0 would be deleted by it.  The endpoint gets the
+    HTTP options suffix like every other endpoint.
     """
     from relaysync.functions.http_options import add_http_options
 
     uri = add_http_options(settings.triples_base_url, settings.http_options)
     w = winners.select("s", "seq", "ts", "kind")
-    parts = render_update(winners, resources, chunk).join(w, "s")
+    steps = render_update(winners, resources, chunk).join(w, "s")
     route = F.when(F.col("kind") == INDEX, F.lit(S.TRIPLES_INDEX)).otherwise(F.lit(S.TRIPLES_DELETE))
-    return parts.select(
-        F.concat_ws(":", F.col("seq").cast("string"), route, F.col("part").cast("string")).alias("request_id"),
-        "seq", "ts", route.alias("route"), F.lit("POST").alias("method"), F.lit(uri).alias("uri"),
+    return steps.select(
+        F.concat_ws(":", F.col("seq").cast("string"), route, F.col("step").cast("string")).alias("request_id"),
+        "seq", "step", "ts", route.alias("route"), F.lit("POST").alias("method"), F.lit(uri).alias("uri"),
         F.lit(SPARQL_UPDATE).alias("content_type"), F.col("update_text").alias("body"),
     )

@@ -159,15 +159,15 @@ NTRIPLE = ("'<' || s || '> <' || p || '> ' || CASE WHEN o_kind = 'iri' THEN '<'
 # expected option suffix of each HTTP_OPTION_CASES entry, worked out by hand
 HTTP_OPTION_GOLDEN = [
     "connectionClose=true&disableStreamCache=true",
-    "specialProp=true&connectionClose=true&disableStreamCache=true",
-    "specialProp=true&otherProp=91&connectionClose=true&disableStreamCache=true",
-    "specialProp=true&disableStreamCache=false&connectionClose=true",
-    "connectionClose=false&disableStreamCache=true",
-    "&a=1&b=2&connectionClose=true&disableStreamCache=true",
-    "ConnectionClose=x&connectionClose=true&disableStreamCache=true",
-    "disableStreamCache=false&connectionClose=false",
+    "soTimeout=4500&connectionClose=true&disableStreamCache=true",
+    "soTimeout=4500&tag=night run&connectionClose=true&disableStreamCache=true",
+    "disableStreamCache=auto&zone=b7&connectionClose=true",
+    "connectionClose=later&disableStreamCache=true",
+    "&first=x&last=y&connectionClose=true&disableStreamCache=true",
+    "CONNECTIONCLOSE=1&connectionClose=true&disableStreamCache=true",
+    "connectionClose=no&disableStreamCache=no",
     "connectionClose=true&disableStreamCache=true",
-    "k=v&connectionClose=true&disableStreamCache=true",
+    "edge=tab&connectionClose=true&disableStreamCache=true",
 ]
 
 _type = ("CASE kind WHEN 'delete' THEN 'Delete' WHEN 'external' THEN 'Create' "
@@ -266,10 +266,8 @@ SELECT 'insert', win.seq, doc.* FROM doc JOIN win USING (s) WHERE win.kind = 'in
     "render_update": _with(F_CTE, DOC_CTE) + f""",
 lines AS (SELECT s, {NTRIPLE} AS line FROM doc WHERE s IN (SELECT s FROM win WHERE kind = 'index')),
 ins AS (SELECT s, 'INSERT DATA {{ ' || string_agg(line, ' ' ORDER BY line) || ' }}' AS body FROM lines GROUP BY s)
-SELECT win.s, CAST(0 AS BIGINT) AS part,
-       'DELETE WHERE {{ <' || win.s || '> ?p ?o }};' || CASE WHEN ins.body IS NULL THEN '' ELSE chr(10) || ins.body END
-         AS update_text
-FROM win LEFT JOIN ins USING (s)""",
+SELECT s, CAST(0 AS BIGINT) AS step, 'DELETE WHERE {{ <' || s || '> ?p ?o }}' AS update_text FROM win
+UNION ALL SELECT s, 1, body FROM ins""",
 }
 SQL["triples_outcomes"] = _with(F_CTE, DOC_CTE) + """,
 tev AS (
@@ -297,11 +295,13 @@ SQL["triples_requests"] = _with(F_CTE, DOC_CTE) + f""",
 lines AS (SELECT s, {NTRIPLE} AS line FROM doc WHERE s IN (SELECT s FROM win WHERE kind = 'index')),
 ins AS (SELECT s, 'INSERT DATA {{ ' || string_agg(line, ' ' ORDER BY line) || ' }}' AS body FROM lines GROUP BY s),
 r AS (SELECT win.*, CASE win.kind WHEN 'index' THEN 'triples_index' ELSE 'triples_delete' END AS route FROM win)
-SELECT CAST(r.seq AS VARCHAR) || ':' || r.route || ':0' AS request_id, r.seq, r.route, 'POST' AS method,
-       'http://triples/sparql{SUFFIX}' AS uri, 'application/sparql-update' AS content_type,
-       'DELETE WHERE {{ <' || r.s || '> ?p ?o }};' || CASE WHEN ins.body IS NULL THEN '' ELSE chr(10) || ins.body END
-         AS body
-FROM r LEFT JOIN ins USING (s)"""
+SELECT CAST(r.seq AS VARCHAR) || ':' || r.route || ':' || CAST(u.step AS VARCHAR) AS request_id, r.seq, u.step,
+       r.route, 'POST' AS method, 'http://triples/sparql{SUFFIX}' AS uri,
+       'application/sparql-update' AS content_type, u.body
+FROM r JOIN (
+  SELECT s, CAST(0 AS BIGINT) AS step, 'DELETE WHERE {{ <' || s || '> ?p ?o }}' AS body FROM win
+  UNION ALL SELECT s, 1, body FROM ins
+) u USING (s)"""
 SQL["stream_requests"] = SQL["all_requests"]
 SQL["stream_latest"] = SQL["latest_per_subject"]
 SQL["stream_triples_after_delete"] = SQL["triples_after_delete"]

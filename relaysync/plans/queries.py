@@ -31,18 +31,19 @@ REQ_COLS = ["request_id", "method", "uri", "content_location", "base_url"]
 ALL_REQ_COLS = ["request_id", "route", "method", "uri", "content_location", "base_url"]
 REDELIVERY_COLS = ["request_id", "outcome", "reason", "attempts"]
 
-# --- fixed values: option lists used by the http_options query (by m) -------
+# option lists of the http_options query (by m): empty, own options, a default
+# overridden, blanks and empty elements, a default's name in another case
 HTTP_OPTION_CASES = [
     "",
-    "specialProp=true",
-    "specialProp=true,otherProp=91",
-    "specialProp=true,disableStreamCache=false",
-    "connectionClose=false",
-    " , a=1 ,,b=2,",
-    "ConnectionClose=x",
-    "disableStreamCache=false,connectionClose=false",
-    ",,,",
-    "\tk=v\t",
+    "soTimeout=4500",
+    "soTimeout=4500,tag=night run",
+    "disableStreamCache=auto,zone=b7",
+    "connectionClose=later",
+    "  ,first=x ,,last=y,",
+    "CONNECTIONCLOSE=1",
+    "connectionClose=no,disableStreamCache=no",
+    ",,",
+    "\tedge=tab\t",
 ]
 
 

@@ -59,8 +59,8 @@ def read_kafka(spark: SparkSession, servers: str, topics: list[str], streaming:
                **options: str) -> DataFrame:
     """Kafka topics as raw_events (needs the Kafka connector on the classpath).
 
-    topic -> stream, value -> body, headers -> map, offset -> seq.
-    Offsets are ordered only within a partition, so last-writer-wins by
+    topic -> stream, value -> body, headers -> map, offset and partition -> seq
+    (``kafka_to_raw``).  Offsets are ordered only within a partition, so last-writer-wins by
     ``seq`` is exact when each subject's messages share one partition (produce
     them keyed by subject), which is also Kafka's own ordering guarantee.
     """
@@ -72,6 +72,8 @@ def read_kafka(spark: SparkSession, servers: str, topics: list[str], streaming:
     return kafka_to_raw(r.load())
 
 
+# More partitions than a topic can usefully have; offsets stay exact below 2 ** 47.
+KAFKA_PARTITIONS = 1 << 16
 KAFKA_DDL = ("key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp, "
              "timestampType int, headers array<struct<key:string,value:binary>>")
 
@@ -79,7 +81,9 @@ KAFKA_DDL = ("key binary, value binary, topic string, partition int, offset bigi
 def kafka_to_raw(df: DataFrame) -> DataFrame:
     """Kafka source rows -> raw_events (batch or stream).
 
-    A header name that repeats keeps its last value.
+    A header name that repeats keeps its last value.  ``seq`` is
+    ``offset * KAFKA_PARTITIONS + partition``: unique within a topic, and in
+    offset order within each partition.
     """
     entries = F.transform(
         F.coalesce(F.col("headers"), F.array().cast("array<struct<key:string,value:binary>>")),
@@ -91,7 +95,7 @@ def kafka_to_raw(df: DataFrame) -> DataFrame:
     hdrs = F.map_from_arrays(
         F.transform(last, lambda e: e.getField("k")), F.transform(last, lambda e: e.getField("v")))
     return df.select(
-        F.col("offset").alias("seq"),
+        (F.col("offset") * F.lit(KAFKA_PARTITIONS) + F.col("partition")).alias("seq"),
         F.col("timestamp").alias("ts"),
         F.col("topic").alias("stream"),
         hdrs.alias("headers"),

@@ -7,8 +7,7 @@ properties-file format (see ``read_properties``).
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,22 +18,39 @@ from relaysync.settings import Settings
 MAX_KEYS = 100_000
 
 
+# A comment line (a backslash does not continue it), or a logical line: plain
+# characters, continued line ends and escaped characters.
+LINE = r"(?:[ \t\f]*[#!][^\r\n]*)|(?:[^\\\r\n]++|\\\r?\n|\\.)+"
+CONTINUATION = r"\\\r?\n[ \t\f]*"
+ESCAPES = {"\\t": "\t", "\\n": "\n", "\\r": "\r", "\\f": "\f"}
+
+
 def _logical_lines(text):
-    """Join continuation lines (odd number of trailing backslashes) and split."""
-    joined = F.regexp_replace(text, r"(^|[^\\])((?:\\\\)*)\\\r?\n[ \t\f]*", "$1$2")
-    return F.split(joined, r"\r?\n")
+    """Array of logical lines, comments among them; continuation lines are joined."""
+    lines = F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
+    return F.transform(lines, lambda x: F.regexp_replace(x, CONTINUATION, ""))
 
 
 def _unescape(col):
-    """Escapes of the properties format: \\t \\n \\r \\f, and backslash + char -> char.
+    """Escapes of the properties format, undone in one pass from the left: \\t \\n \\r \\f,
+    and backslash + char -> char.  (Unicode escapes are left as written.)"""
+    def plain(token):
+        out = F.regexp_replace(token, r"^\\([^u])", "$1")
+        for written, char in ESCAPES.items():
+            out = F.when(token == written, F.lit(char)).otherwise(out)
+        return out
 
-    (Unicode escapes are left as written.)
-    """
-    out = F.regexp_replace(col, r"\\t", "\t")
-    out = F.regexp_replace(out, r"(?<!\\)\\n", "\n")
-    out = F.regexp_replace(out, r"(?<!\\)\\r", "\r")
-    out = F.regexp_replace(out, r"(?<!\\)\\f", "\f")
-    return F.regexp_replace(out, r"\\([^u])", "$1")
+    return F.array_join(F.transform(F.regexp_extract_all(col, F.lit(r"\\.|[^\\]+"), F.lit(0)), plain), "")
+
+
+def _text(spark: SparkSession, path: str) -> DataFrame | None:
+    """The file as one row, or None when the session's file system does not have it."""
+    try:
+        return spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def read_properties(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -47,11 +63,9 @@ def read_properties(spark: SparkSession, paths: list[str]) -> DataFrame:
     """
     frames = []
     for prio, path in enumerate(paths):
-        local = path.removeprefix("file:")
-        if "://" not in path and not os.path.exists(local):
-            continue
-        frames.append(spark.read.text(path, wholetext=True)
-                      .select(F.col("value").alias("text"), F.lit(prio).alias("priority")))
+        text = _text(spark, path)
+        if text is not None:
+            frames.append(text.select(F.col("value").alias("text"), F.lit(prio).alias("priority")))
     if not frames:
         return spark.createDataFrame([], "key string, value string, priority int")
     texts = frames[0]

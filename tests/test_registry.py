@@ -47,10 +47,15 @@ def test_properties_format(spark, tmp_path):
         "g=tab\\tend\n"
         "h = http://svc.test/x?a=b\n"
         "empty=\n"
+        "# a comment does not continue \\\n"
+        "i=C:\\\\temp\n"
+        "j=x\\\n"
+        "  #y\n"
     )
     got = {r.key: r.value for r in resolve(read_properties(spark, [str(f)])).collect()}
     assert got == {"a": "1", "b": "two words  ", "c": "three", "d": "line one continued", "e=x": "y",
-                   "f": "back\\", "g": "tab\tend", "h": "http://svc.test/x?a=b", "empty": ""}
+                   "f": "back\\", "g": "tab\tend", "h": "http://svc.test/x?a=b", "empty": "",
+                   "i": "C:\\temp", "j": "x#y"}
 
 
 def test_enabled_words(spark, tmp_path):

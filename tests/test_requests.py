@@ -28,8 +28,15 @@ def test_node(spark):
     r = rows[0]
     assert r["route"] == "node_index" and r["method"] == "POST"
     assert r["uri"] == f"{BASE}node/{E.UUID}{SUFFIX}"
-    assert r["content_location"] == f"{E.CMS}/node/2?_format=jsonld"
-    assert r["headers"] == {"Authorization": "Bearer secret", HEADER: f"{E.REPO}/node"}
+    assert r["content_location"] == f"{E.WORK_URL}?_format=jsonld"
+    assert r["headers"] == {"Authorization": "Bearer secret", HEADER: f"{E.REPO}/works"}
+
+
+def test_base_url_with_query(spark):
+    raw = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "node", {}, E.node_event())],
+                                "seq bigint, ts timestamp, stream string, headers map<string,string>, body string")
+    r = R.requests_from_raw(raw, SETTINGS.with_(service_base_url="http://press.test/run?p=")).first()
+    assert r.uri.count("?") == 1 and "&connectionClose=true" in r.uri
 
 
 def test_node_version(spark):
@@ -37,7 +44,7 @@ def test_node_version(spark):
     assert [r["route"] for r in rows] == ["node_index", "node_version"]
     v = rows[1]
     assert v["uri"] == f"{BASE}node/{E.SHORT_UUID}/version{SUFFIX}"
-    assert v["content_location"] == f"{E.CMS}/node/2?_format=jsonld"
+    assert v["content_location"] == f"{E.WORK_URL}?_format=jsonld"
     assert v["base_url"] is None
 
 
@@ -53,36 +60,36 @@ def test_node_delete(spark):
     r = rows[0]
     assert r["method"] == "DELETE" and r["uri"] == f"{BASE}node/{E.UUID}{SUFFIX}"
     assert r["content_location"] is None
-    assert r["headers"][HEADER] == f"{E.REPO}/node"
+    assert r["headers"][HEADER] == f"{E.REPO}/works"
 
 
 def test_external(spark):
     rows = run(spark, "external", E.external_event())
     assert len(rows) == 1
     r = rows[0]
-    assert r["uri"] == f"{BASE}external/77777777-0000-4000-8000-000000000003{SUFFIX}"
-    assert r["content_location"] == f"{E.CMS}/files/photo.jpg"  # image/jpeg canonical accepted
-    assert r["headers"][HEADER] == f"{E.REPO}/externalFile"
+    assert r["uri"] == f"{BASE}external/{E.FILE_UUID}{SUFFIX}"
+    assert r["content_location"] == E.SCAN_URL  # a canonical link of any media type
+    assert r["headers"][HEADER] == f"{E.REPO}/scans"
 
 
 def test_media(spark):
     rows = run(spark, "media", E.media_event())
     assert len(rows) == 1
     r = rows[0]
-    assert r["uri"] == f"{BASE}media/field_media_image{SUFFIX}"
-    assert r["content_location"] == f"{E.CMS}/media/6?_format=json"
+    assert r["uri"] == f"{BASE}media/{E.SOURCE_FIELD}{SUFFIX}"
+    assert r["content_location"] == f"{E.TAKE_URL}?_format=json"
 
 
 def test_media_version(spark):
     rows = run(spark, "media", E.media_event(version="true"))
     assert [r["route"] for r in rows] == ["media_index", "media_version"]
-    assert rows[1]["uri"] == f"{BASE}media/field_media_image/version{SUFFIX}"
+    assert rows[1]["uri"] == f"{BASE}media/{E.SOURCE_FIELD}/version{SUFFIX}"
 
 
 def test_headers_overwrite_and_strip(spark):
     rows = run(spark, "node", E.node_event(), headers={"authorization": "Bearer x", HEADER.lower(): "stale",
                                                        "Other": "y"})
-    assert rows[0]["headers"] == {"authorization": "Bearer x", HEADER: f"{E.REPO}/node"}
+    assert rows[0]["headers"] == {"authorization": "Bearer x", HEADER: f"{E.REPO}/works"}
 
 
 def test_default_auth(spark):
@@ -94,7 +101,7 @@ def test_default_auth(spark):
         "seq bigint, ts timestamp, stream string, headers map<string,string>, body string")
     got = {r.seq: r.headers for r in R.requests_from_raw(raw, s).collect()}
     assert got[1]["Authorization"] == "Bearer tok"
-    assert got[2] == {"AUTHORIZATION": "Bearer mine", HEADER: f"{E.REPO}/node"}
+    assert got[2] == {"AUTHORIZATION": "Bearer mine", HEADER: f"{E.REPO}/works"}
 
 
 def test_missing_urls_stop_before_fanout(spark):

@@ -42,8 +42,8 @@ def _registry(spark):
 
 
 def _resources(spark):
-    doc = json.dumps({"@graph": [{"@id": f"{E.CMS}/node/2", "@type": ["t:T"], "p:x": [{"@value": 1}]}]})
-    return spark.createDataFrame([(f"{E.CMS}/node/2?_format=jsonld", doc)], "url string, body string")
+    doc = json.dumps({"@graph": [{"@id": f"{E.WORK_URL}", "@type": ["t:T"], "p:x": [{"@value": 1}]}]})
+    return spark.createDataFrame([(f"{E.WORK_URL}?_format=jsonld", doc)], "url string, body string")
 
 
 OPS = {
