@@ -35,11 +35,12 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--raw", required=True, help="landed raw_events")
         s.add_argument("--raw-format", default="parquet" if name == "batch" else "json")
         s.add_argument("--out", required=True)
+        s.add_argument("--strict", action="store_true", help="reject events with unknown keys")
+        s.add_argument("--dedup", action="store_true", help="drop re-delivered messages")
     b = sub.choices["batch"]
     b.add_argument("--resources")
-    b.add_argument("--prior-triples")
+    b.add_argument("--prior-triples", help="default: start from an empty store")
     b.add_argument("--attempts")
-    b.add_argument("--strict", action="store_true")
     st = sub.choices["stream"]
     st.add_argument("--checkpoint", required=True)
     st.add_argument("--every", help="processing-time trigger; default: process what is there and stop")
@@ -59,12 +60,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         att = spark.read.parquet(args.attempts) if args.attempts else None
         reg = routes_registry(props)
         paths = jobs.sync_batch(spark, raw, settings, args.out, resources=res, prior_triples=prior,
-                                attempts=att, registry=reg, strict=args.strict)
+                                attempts=att, registry=reg, strict=args.strict, dedup=args.dedup)
         print(json.dumps(paths))
         return paths
     trigger = {"processingTime": args.every} if args.every else {"availableNow": True}
     q = jobs.sync_stream(read_raw_events_stream(spark, args.raw, args.raw_format), settings, args.out,
-                         args.checkpoint, trigger, registry=routes_registry(props))
+                         args.checkpoint, trigger, registry=routes_registry(props), strict=args.strict, dedup=args.dedup)
     q.awaitTermination()
     return {"requests": f"{args.out}/requests", "outcomes": f"{args.out}/outcomes",
             "derivative_requests": f"{args.out}/derivative_requests"}

@@ -13,11 +13,15 @@ replayed batch never duplicates rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relaysync.operators import dedup as D
 from relaysync.operators import derivatives, outcomes, triples
 from relaysync.operators import requests as R
+from relaysync.schema import TRIPLES_DDL
 from relaysync.session import materialize
 from relaysync.settings import Settings
 from relaysync.sources import sinks
@@ -27,17 +31,27 @@ PREPARED_COLUMNS = ["seq", "ts", "stream", "headers", "base_url", "uuid", "jsonl
                     "parse_reason", "event"]
 
 
-def prepared(raw: DataFrame, strict: bool = False) -> DataFrame:
-    """Parsed events with the derived columns every operator reads."""
-    return R.prepare(raw, strict).select(*PREPARED_COLUMNS)
+Transform = Callable[[DataFrame], DataFrame]
+
+
+def prepared(raw: DataFrame, strict: bool = False, transform: Transform | None = None) -> DataFrame:
+    """Parsed events with the derived columns every operator reads, after the user hook."""
+    f = R.prepare(raw, strict)
+    if transform is not None:
+        f = f.transform(transform)
+    return f.select(*PREPARED_COLUMNS)
 
 
 def sync_batch(spark: SparkSession, raw: DataFrame, settings: Settings, out: str,
                resources: DataFrame | None = None, prior_triples: DataFrame | None = None,
                attempts: DataFrame | None = None, registry: DataFrame | None = None,
-               strict: bool = False) -> dict[str, str]:
+               strict: bool = False, dedup: bool = False, transform: Transform | None = None) -> dict[str, str]:
     """Run every batch output over ``raw``; returns the written paths.
 
+    ``dedup`` removes re-delivered messages first; ``transform`` is applied to
+    the parsed events.  With ``resources`` and no ``prior_triples`` the
+    triples table starts empty (first run).
+
     The parsed events are written once as a parquet table partitioned by
     ``stream`` (``events``) and every other output reads that table, so each
     body is parsed exactly once and each route reads only its partitions.
@@ -45,7 +59,9 @@ def sync_batch(spark: SparkSession, raw: DataFrame, settings: Settings, out: str
     job (after a failure) replaces its results instead of adding to them.
     """
     paths: dict[str, str] = {"events": f"{out}/events"}
-    prepared(raw, strict).write.mode("overwrite").partitionBy("stream").parquet(paths["events"])
+    if dedup:
+        raw = D.dedup_messages(raw, settings).drop("message_id")
+    prepared(raw, strict, transform).write.mode("overwrite").partitionBy("stream").parquet(paths["events"])
     f = spark.read.parquet(paths["events"])
     # each consumer filters on its own streams: partition pruning on `stream`
     f_idx = f.where(F.col("stream").isin(*R.indexer_streams(settings)))
@@ -66,7 +82,9 @@ def sync_batch(spark: SparkSession, raw: DataFrame, settings: Settings, out: str
             paths["derivative_requests"])
         sent_paths.append(paths["derivative_requests"])
 
-    if resources is not None and prior_triples is not None:
+    if resources is not None:
+        if prior_triples is None:
+            prior_triples = spark.createDataFrame([], TRIPLES_DDL)
         sev = materialize(triples.subject_events(f_tri, settings))
         w = materialize(triples.latest_per_subject(triples.eligible(sev, resources)))
         paths["triples"] = f"{out}/triples"
@@ -91,17 +109,23 @@ def sync_batch(spark: SparkSession, raw: DataFrame, settings: Settings, out: str
 
 
 def sync_stream(raw_stream: DataFrame, settings: Settings, out: str, checkpoint: str,
-                trigger: dict | None = None, registry: DataFrame | None = None):
+                trigger: dict | None = None, registry: DataFrame | None = None, strict: bool = False,
+                dedup: bool = False, transform: Transform | None = None):
     """Continuous request path: requests and stopped-event outcomes per micro-batch,
     plus derivative requests when a registry is given.
 
+    ``dedup`` drops copies of messages seen in any earlier batch
+    (``dedup_stream``); ``strict`` and ``transform`` as in ``sync_batch``.
     Returns the started query.  Every output of a batch is written under
     ``batch_id=<id>`` with overwrite, so replaying a batch is harmless.
     """
 
+    if dedup:
+        raw_stream = D.dedup_stream(raw_stream, settings).drop("message_id")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         # several outputs per batch: parse once, keep it for the other writes
-        f = prepared(batch).persist()
+        f = prepared(batch, strict, transform).persist()
         try:
             R.build_requests(f, settings).write.mode("overwrite").parquet(
                 f"{out}/requests/batch_id={batch_id}")

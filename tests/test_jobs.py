@@ -53,3 +53,29 @@ def test_sync_stream(spark):
     q.awaitTermination()
     got = jobs.written(spark, f"{run.sink}/requests").select(*Q.ALL_REQ_COLS)
     assert _same(got, Q.q_all_requests(spark, SF))
+
+
+def test_first_run_with_copies_and_hook(spark):
+    """No prior triples, every fifth message twice, a user filter on the parsed events."""
+    out = scratch_dir(spark, "job_first")
+    raw = feed.redelivered(Q.raw(spark, SF))
+    paths = jobs.sync_batch(spark, raw, Q.SETTINGS, out, resources=Q.resources(spark, SF), dedup=True,
+                            transform=lambda df: df.where("seq % 2 = 0"))
+    want = Q.requests(spark, SF).where("seq % 2 = 0").select(*Q.ALL_REQ_COLS)
+    assert _same(spark.read.parquet(paths["requests"]).select(*Q.ALL_REQ_COLS), want)
+    triples = spark.read.parquet(paths["triples"])
+    assert triples.count() > 0 and triples.where("o = 'old'").count() == 0
+    outc = spark.read.parquet(paths["outcomes"])
+    assert outc.where("reason = 'superseded' and outcome = 'ok'").count() > 0
+
+
+def test_sync_stream_with_copies(spark):
+    run = P.StreamRun(spark, "job_stream_copies")
+    raw = Q.raw(spark, SF)
+    again = raw.where("seq % 3 = 0")
+    for k, part in enumerate((raw, again)):
+        part.coalesce(1).write.parquet(f"{run.input}/chunk-{k}")
+    q = jobs.sync_stream(P.read_raw_stream(spark, run.input, 1, fmt="parquet"), Q.SETTINGS, run.sink, run.checkpoint,
+                         dedup=True)
+    q.awaitTermination()
+    assert _same(jobs.written(spark, f"{run.sink}/requests").select(*Q.ALL_REQ_COLS), Q.q_all_requests(spark, SF))
