@@ -4,7 +4,7 @@
       [--raw-format parquet|json] [--resources /docs] [--prior-triples /triples/current] \\
       [--attempts /attempts] [--strict]
   python -m relaysync stream --props site.properties --raw /landing/raw --out /out/stream \\
-      --checkpoint /shared/ckpt/stream [--every "1 minute"]
+      --checkpoint /shared/ckpt/stream [--resources /docs] [--attempts /attempts] [--every "1 minute"]
 
 The session comes from the environment (spark-submit); nothing is set here
 except what the arguments say.
@@ -19,6 +19,7 @@ from pyspark.sql import SparkSession
 
 from relaysync.operators.derivatives import routes_registry
 from relaysync.plans import jobs
+from relaysync.schema import ATTEMPTS_DDL
 from relaysync.sources.events import read_raw_events, read_raw_events_stream, read_resources
 from relaysync.sources.properties import read_properties, to_map
 from relaysync.settings import Settings
@@ -43,6 +44,8 @@ def _parser() -> argparse.ArgumentParser:
     b.add_argument("--attempts")
     st = sub.choices["stream"]
     st.add_argument("--checkpoint", required=True)
+    st.add_argument("--resources", help="fetched documents (parquet): adds the triplestore routes")
+    st.add_argument("--attempts", help="folder of recorded delivery attempts (parquet), read as a second stream")
     st.add_argument("--every", help="processing-time trigger; default: process what is there and stop")
     return p
 
@@ -65,10 +68,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         return paths
     trigger = {"processingTime": args.every} if args.every else {"availableNow": True}
     q = jobs.sync_stream(read_raw_events_stream(spark, args.raw, args.raw_format), settings, args.out,
-                         args.checkpoint, trigger, registry=routes_registry(props), strict=args.strict, dedup=args.dedup)
-    q.awaitTermination()
-    return {"requests": f"{args.out}/requests", "outcomes": f"{args.out}/outcomes",
-            "derivative_requests": f"{args.out}/derivative_requests"}
+                         args.checkpoint, trigger, registry=routes_registry(props), strict=args.strict, dedup=args.dedup,
+                         resources=(lambda: read_resources(spark, args.resources)) if args.resources else None)
+    started = [q]
+    paths = {name: f"{args.out}/{name}" for name in ("requests", "outcomes", "derivative_requests")}
+    if args.resources:
+        paths["triples_requests"] = f"{args.out}/triples_requests"
+    if args.attempts:
+        att = spark.readStream.schema(ATTEMPTS_DDL).parquet(args.attempts)
+        started.append(jobs.sync_attempts(att, settings, args.out, f"{args.checkpoint}-attempts", trigger))
+        paths["attempt_stats"] = f"{args.out}/attempt_stats"
+    for query in started:
+        query.awaitTermination()
+    return paths
 
 
 if __name__ == "__main__":

@@ -5,11 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaysync.schema import CORRUPT_COL, EVENT_DDL, KNOWN_KEYS, R_MALFORMED, R_UNKNOWN_FIELD
+from relaysync.schema import (CORRUPT_COL, EVENT_DDL, KNOWN_CONTENT, KNOWN_KEYS, KNOWN_NESTED, KNOWN_URL, R_MALFORMED,
+                              R_UNKNOWN_FIELD)
 
 UUID_PREFIX = "urn:uuid:"
 
 
+def has_unknown_key(body: Column) -> Column:
+    """True when the event, or an object nested in it, has a key the event model does not know."""
+    def extra(keys: Column, known: list[str]) -> Column:
+        return F.coalesce(F.size(F.array_except(keys, F.array(*[F.lit(k) for k in known]))) > 0, F.lit(False))
+
+    found = extra(F.json_object_keys(body), KNOWN_KEYS)
+    for name, known in KNOWN_NESTED.items():
+        part = F.get_json_object(body, f"$.{name}")
+        found = found | extra(F.json_object_keys(part), known)
+        if "url" in known:
+            links = F.from_json(F.get_json_object(part, "$.url"), "array<map<string,string>>")
+            found = found | F.coalesce(F.exists(links, lambda u: extra(F.map_keys(u), KNOWN_URL)), F.lit(False))
+    return found | extra(F.json_object_keys(F.get_json_object(body, "$.attachment.content")), KNOWN_CONTENT)
+
+
 def parse_events(raw: DataFrame, body: str = "body", strict: bool = False) -> DataFrame:
     """Add ``event`` (struct), ``corrupt`` (string) and ``malformed`` (bool).
 
@@ -21,7 +37,7 @@ def parse_events(raw: DataFrame, body: str = "body", strict: bool = False) -> Da
 
     A body is malformed when it does not parse (corrupt text, null, empty,
     a JSON array) or a field has the wrong type.  With ``strict`` an
-    unknown top-level key is also rejected.
+    unknown key, at the top or in a nested object, is also rejected.
     """
     parsed = F.from_json(
         F.col(body),
@@ -33,18 +49,15 @@ def parse_events(raw: DataFrame, body: str = "body", strict: bool = False) -> Da
     malformed = F.col("_parsed").isNull() | corrupt.isNotNull()
     reason = F.when(malformed, F.lit(R_MALFORMED))
     if strict:
-        unknown = F.array_except(
-            F.coalesce(F.json_object_keys(F.col(body)), F.array().cast("array<string>")),
-            F.array(*[F.lit(k) for k in KNOWN_KEYS]),
-        )
-        reason = reason.when(F.size(unknown) > 0, F.lit(R_UNKNOWN_FIELD))
-        malformed = malformed | (F.size(unknown) > 0)
+        df = df.select("*", F.explode(F.array(has_unknown_key(F.col(body)))).alias("_unknown"))
+        reason = reason.when(F.col("_unknown"), F.lit(R_UNKNOWN_FIELD))
+        malformed = malformed | F.col("_unknown")
     return (
         df.withColumn("event", F.col("_parsed").dropFields(CORRUPT_COL))
         .withColumn("corrupt", corrupt)
         .withColumn("malformed", malformed)
         .withColumn("parse_reason", reason)
-        .drop("_parsed")
+        .drop("_parsed", "_unknown")
     )
 
 

@@ -119,6 +119,13 @@ def attempt_stats_bounded(attempts: DataFrame, settings: Settings, request_ts: s
                   .groupBy("request_id", request_ts))
 
 
+def merge_stats(stats: DataFrame) -> DataFrame:
+    """Fold partial ``attempt_stats`` rows of the same requests (each batch's own) into one row each."""
+    return stats.groupBy("request_id").agg(
+        F.max("n").alias("n"), F.min("first_ok_p").alias("first_ok_p"),
+        *[F.min(name).alias(name) for name in SKIP_STATS.values()], F.max("last_p").alias("last_p"))
+
+
 def resolve(requests: DataFrame, stats: DataFrame, settings: Settings) -> DataFrame:
     """requests (one row each) + stats -> outcome per request."""
     j = requests.select("seq", "ts", "request_id", "route").join(stats, "request_id", "left")
@@ -174,9 +181,13 @@ def daily_outcomes(outcomes: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def windowed_outcomes(outcomes: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """E7 streaming form: tumbling one-day windows on ingest time with a watermark."""
-    return (outcomes.withWatermark("ts", watermark)
+def windowed_outcomes(outcomes: DataFrame) -> DataFrame:
+    """E7 streaming form: tumbling one-day windows on ingest time (update mode).
+
+    No watermark: an outcome that comes late still counts, and the state is
+    one number per day and outcome.
+    """
+    return (outcomes
             .groupBy(F.window("ts", "1 day").alias("w"), "outcome")
             .agg(F.count(F.lit(1)).alias("n"))
             .select(F.date_format(F.col("w").getField("start"), "yyyy-MM-dd").alias("day"), "outcome", "n"))

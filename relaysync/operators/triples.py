@@ -52,6 +52,29 @@ def jsonld_values(resources: DataFrame, url: str = "url", body: str = "body") ->
     )
 
 
+# Characters an IRI must not hold in update text, and the prefix of blank nodes (fixed values).
+BAD_IRI = r'[\x00-\x20<>"{}|^`\\]|^_:'
+LANGUAGE_TAG = "^[A-Za-z]+(-[A-Za-z0-9]+)*$"
+
+
+def legal_iri(col: Column) -> Column:
+    """True for a text that can stand between ``<`` and ``>``; null stays null."""
+    return (col != "") & ~col.rlike(BAD_IRI)
+
+
+def _value_text(key: Column, val: Column) -> Column:
+    """The object of a value entry; null when it gives no triple (nothing usable, or an illegal IRI or tag)."""
+    as_type = F.try_variant_get(val, "$", "string")
+    vid = F.try_variant_get(val, '$["@id"]', "string")
+    lang = F.try_variant_get(val, '$["@language"]', "string")
+    kind = F.try_variant_get(val, '$["@type"]', "string")
+    tags_ok = F.coalesce(lang.rlike(LANGUAGE_TAG), F.lit(True)) & F.coalesce(legal_iri(kind), F.lit(True))
+    return (F.when(key == "@type", F.when(legal_iri(as_type), as_type))
+            .when(~legal_iri(key), F.lit(None).cast("string"))
+            .when(vid.isNotNull(), F.when(legal_iri(vid), vid))
+            .when(tags_ok, F.try_variant_get(val, '$["@value"]', "string")))
+
+
 def _datatype(val: Column) -> Column:
     t = F.schema_of_variant(F.variant_get(val, '$["@value"]', "variant"))
     return F.coalesce(
@@ -69,15 +92,17 @@ def jsonld_triples(resources: DataFrame, url: str = "url", body: str = "body",
     ``@type`` values become rdf:type IRIs; ``{"@id"}`` values IRIs;
     ``{"@value"}`` values literals with optional ``@type`` / ``@language``.
     A property that is not an array, a value with neither ``@id`` nor
-    ``@value`` (e.g. ``@list``) or a node without ``@id`` is rejected
-    (``reject`` column; dropped unless ``keep_rejects``).
+    ``@value`` (e.g. ``@list``), a node without ``@id``, a blank node, an IRI
+    with characters that update text cannot hold and a malformed language tag
+    are rejected (``reject`` column; dropped unless ``keep_rejects``).
     """
     v = jsonld_values(resources, url, body)
     val, key = F.col("val"), F.col("key")
     is_type = key == "@type"
     vid = F.try_variant_get(val, '$["@id"]', "string")
     vvalue = F.try_variant_get(val, '$["@value"]', "string")
-    o = F.when(is_type, F.try_variant_get(val, "$", "string")).otherwise(F.coalesce(vid, vvalue))
+    given = F.when(is_type, F.try_variant_get(val, "$", "string")).otherwise(F.coalesce(vid, vvalue))
+    o = _value_text(key, val)
     o_kind = F.when(is_type | vid.isNotNull(), F.lit("iri")).when(vvalue.isNotNull(), F.lit("literal"))
     lang = F.when(~is_type & vid.isNull(), F.try_variant_get(val, '$["@language"]', "string"))
     datatype = F.when(~is_type & vid.isNull() & lang.isNull(), _datatype(val))
@@ -85,7 +110,8 @@ def jsonld_triples(resources: DataFrame, url: str = "url", body: str = "body",
         F.when(F.col("s").isNull(), F.lit("node_without_id"))
         .when(val.isNull(), F.lit("not_an_array"))
         .when(key.startswith("@") & ~is_type, F.lit("keyword"))
-        .when(o.isNull(), F.lit("value_without_id_or_value"))
+        .when(given.isNull(), F.lit("value_without_id_or_value"))
+        .when(~legal_iri(F.col("s")) | o.isNull(), F.lit("illegal_iri_or_tag"))
     )
     keep = [c for c in resources.columns if c not in (url, body)]
     out = v.select(
@@ -116,6 +142,7 @@ def subject_events(fields: DataFrame, settings: Settings) -> DataFrame:
     reason = (
         F.when(F.col("malformed"), F.coalesce(F.col("parse_reason"), F.lit(S.R_MALFORMED)))
         .when(s.isNull(), F.lit(S.R_MISSING_CANONICAL))
+        .when(~legal_iri(s), F.lit(S.R_ILLEGAL_SUBJECT))
         .when((kind == INDEX) & F.col("jsonld_url").isNull(), F.lit(S.R_MISSING_JSONLD))
     )
     if not settings.triples_enabled:
@@ -141,16 +168,14 @@ def document_status(body: Column) -> Column:
     nodes = F.coalesce(F.try_variant_get(doc, '$["@graph"]', "array<variant>"), _values(doc), F.array(doc))
 
     def gives_triple(key: Column, val: Column) -> Column:
-        text = F.when(key == "@type", F.try_variant_get(val, "$", "string")).when(
-            ~key.startswith("@"), F.coalesce(F.try_variant_get(val, '$["@id"]', "string"),
-                                             F.try_variant_get(val, '$["@value"]', "string")))
-        return text.isNotNull()
+        return ((key == "@type") | ~key.startswith("@")) & _value_text(key, val).isNotNull()
 
     def node_ok(node: Column) -> Column:
         entries = F.map_entries(F.try_variant_get(node, "$", "map<string,variant>"))
         some = F.exists(entries, lambda e: F.coalesce(
             F.exists(_values(e.getField("value")), lambda v: gives_triple(e.getField("key"), v)), F.lit(False)))
-        return F.try_variant_get(node, '$["@id"]', "string").isNotNull() & F.coalesce(some, F.lit(False))
+        named = legal_iri(F.try_variant_get(node, '$["@id"]', "string"))
+        return F.coalesce(named, F.lit(False)) & F.coalesce(some, F.lit(False))
 
     return (F.when(doc.isNull(), F.lit(DOC_NOT_JSON))
             .when(F.coalesce(F.exists(nodes, node_ok), F.lit(False)), F.lit(DOC_OK))
@@ -200,16 +225,17 @@ def triples_outcomes(subject_evts: DataFrame, resources: DataFrame, winners: Dat
     a missing or rejected document ``failed``.
     """
     ev = _with_documents(subject_evts, resources)
-    won = winners.select(F.col("seq").alias("_wseq"))
-    ev = ev.join(won, F.col("seq") == F.col("_wseq"), "left")
+    # two streams may hand out the same seq: an event is known by its kind too
+    won = winners.select(F.col("seq").alias("_wseq"), F.col("kind").alias("_wkind"))
+    ev = ev.join(won, (F.col("seq") == F.col("_wseq")) & (F.col("kind") == F.col("_wkind")), "left").drop("_wkind")
     reason = (F.when(F.col("reason").isNotNull(), F.col("reason"))
               .when((F.col("kind") == INDEX) & F.col("_have").isNull(), F.lit(S.R_RESOURCE_MISSING))
               .when((F.col("kind") == INDEX) & ~F.col("_usable"), F.lit(S.R_DOCUMENT_REJECTED))
               .when(F.col("_wseq").isNotNull(), F.lit(APPLIED))
               .otherwise(F.lit(SUPERSEDED)))
     outcome = (F.when(reason.isin(APPLIED, SUPERSEDED), F.lit("ok"))
-               .when(reason.isin(S.R_MALFORMED, S.R_UNKNOWN_FIELD, S.R_RESOURCE_MISSING, S.R_DOCUMENT_REJECTED),
-                     F.lit("failed"))
+               .when(reason.isin(S.R_MALFORMED, S.R_UNKNOWN_FIELD, S.R_RESOURCE_MISSING, S.R_DOCUMENT_REJECTED,
+                                 S.R_ILLEGAL_SUBJECT), F.lit("failed"))
                .otherwise(F.lit("skipped")))
     level = (F.when(outcome == "ok", F.lit("DEBUG")).when(outcome == "failed", F.lit("ERROR"))
              .otherwise(F.lit("WARN")))
@@ -233,8 +259,9 @@ def eligible(subject_evts: DataFrame, resources: DataFrame) -> DataFrame:
 
 
 def latest_per_subject(candidates: DataFrame) -> DataFrame:
-    """E5: the last writer per subject (max seq across index and delete)."""
-    w = F.max_by(F.struct("seq", "ts", "kind", "url"), F.col("seq"))
+    """E5: the last writer per subject (max seq across index and delete; at equal seq, as two
+    streams may have, the later ts, then the index event)."""
+    w = F.max_by(F.struct("seq", "ts", "kind", "url"), F.struct("seq", "ts", "kind", "url"))
     return (candidates.groupBy("s").agg(w.alias("w"))
             .select("s", F.col("w.seq").alias("seq"), F.col("w.ts").alias("ts"), F.col("w.kind").alias("kind"),
                     F.col("w.url").alias("url")))
@@ -247,26 +274,46 @@ def _winner_keys(winners: DataFrame) -> DataFrame:
                           F.col("kind").alias("w_kind"), F.col("url").alias("w_url"))
 
 
+def _winner_rows(winners: DataFrame, resources: DataFrame) -> DataFrame:
+    w = _winner_keys(winners)
+    docs = resources.join(w.where(F.col("w_kind") == INDEX), F.col("url") == F.col("w_url"), "inner")
+    return jsonld_triples(docs.select("url", "body", F.col("w_seq").alias("seq"), F.col("w_s").alias("subject"),
+                                      F.length("body").alias("doc_len")))
+
+
 def winner_documents(winners: DataFrame, resources: DataFrame) -> DataFrame:
     """Triples of the documents of index winners (only those documents are parsed).
 
     Columns: seq, subject (the winner's subject), doc_len (document length)
     and the triple columns.
     """
-    w = _winner_keys(winners)
-    docs = resources.join(w.where(F.col("w_kind") == INDEX), F.col("url") == F.col("w_url"), "inner")
-    t = jsonld_triples(docs.select("url", "body", F.col("w_seq").alias("seq"), F.col("w_s").alias("subject"),
-                                   F.length("body").alias("doc_len")))
+    t = _winner_rows(winners, resources)
     # a graph is a set: a value listed twice, or a document fetched twice, is one triple
     return (t.groupBy("seq", "subject", *TRIPLE_COLS).agg(F.max("doc_len").alias("doc_len"))
             .select("seq", "subject", "doc_len", *TRIPLE_COLS))
 
 
 def apply_changes(prior: DataFrame, winners: DataFrame, resources: DataFrame) -> DataFrame:
-    """E2 + E3: the triples table after the batch."""
+    """E2 + E3: the triples table after the batch, a set of triples.
+
+    A document may describe nodes besides its subject, and several documents
+    the same node: equal triples count once, and those of such other nodes
+    that are stored already are not added again.  Only the stored rows of
+    these nodes are compared (a semi-join on ``s``, the key the table is
+    bucketed by); both branches read one aggregation of the documents.
+    """
     w = _winner_keys(winners)
     kept = prior.select(*TRIPLE_COLS).join(w, F.col("s") == F.col("w_s"), "left_anti")
-    return kept.unionByName(winner_documents(winners, resources).select(*TRIPLE_COLS))
+    new = (_winner_rows(winners, resources).groupBy(*TRIPLE_COLS)
+           .agg(F.max(F.col("s") != F.col("subject")).alias("foreign")))
+    own, other = new.where(~F.col("foreign")), new.where("foreign").drop("foreign")
+    stored = kept.join(other.select("s").distinct(), "s", "left_semi").select(
+        *[F.col(c).alias(f"_{c}") for c in TRIPLE_COLS])
+    same = F.lit(True)
+    for c in TRIPLE_COLS:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return (kept.unionByName(own.select(*TRIPLE_COLS))
+            .unionByName(other.join(stored, same, "left_anti").select(*TRIPLE_COLS)))
 
 
 def changeset(prior: DataFrame, winners: DataFrame, resources: DataFrame) -> DataFrame:

@@ -120,15 +120,15 @@ DOC_CTE = f"""
 pg AS (
   SELECT page_id, '{feed.CMS}' || CAST(page_id AS VARCHAR) AS s, url, html FROM pages
 ),
-doc AS (
-  SELECT s, '{RDF_TYPE}' AS p, '{feed.PAGE_TYPE}' AS o, 'iri' AS o_kind,
-         CAST(NULL AS VARCHAR) AS datatype, CAST(NULL AS VARCHAR) AS lang FROM pg WHERE page_id % 17 <> 0
-  UNION ALL SELECT s, '{SO}url', url, 'iri', NULL, NULL FROM pg WHERE page_id % 17 <> 0
-  UNION ALL SELECT s, '{SO}size', CAST(length(html) AS VARCHAR), 'literal', '{XSD_INTEGER}', NULL
-    FROM pg WHERE page_id % 17 <> 0
-  UNION ALL SELECT s, '{SO}name', regexp_extract(html, '<title>([^<]*)</title>', 1), 'literal', NULL,
-    nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') FROM pg WHERE page_id % 17 <> 0
+alldoc AS (
+  SELECT page_id, s, '{RDF_TYPE}' AS p, '{feed.PAGE_TYPE}' AS o, 'iri' AS o_kind,
+         CAST(NULL AS VARCHAR) AS datatype, CAST(NULL AS VARCHAR) AS lang FROM pg
+  UNION ALL SELECT page_id, s, '{SO}url', url, 'iri', NULL, NULL FROM pg
+  UNION ALL SELECT page_id, s, '{SO}size', CAST(length(html) AS VARCHAR), 'literal', '{XSD_INTEGER}', NULL FROM pg
+  UNION ALL SELECT page_id, s, '{SO}name', regexp_extract(html, '<title>([^<]*)</title>', 1), 'literal', NULL,
+    nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') FROM pg
 ),
+doc AS (SELECT s, p, o, o_kind, datatype, lang FROM alldoc WHERE page_id % 17 <> 0),
 prior AS (
   SELECT s, '{SO}version' AS p, 'old' AS o, 'literal' AS o_kind,
          CAST(NULL AS VARCHAR) AS datatype, CAST(NULL AS VARCHAR) AS lang FROM pg
@@ -143,6 +143,20 @@ win AS (SELECT s, max(event_id) AS seq, arg_max(k, event_id) AS kind FROM sev GR
 win_idx AS (SELECT s, max(event_id) AS seq FROM sev WHERE k = 'index' GROUP BY s)"""
 
 
+TEV_CTE = """
+tev AS (
+  SELECT event_id, CASE kind WHEN 'node' THEN 'triples_index' ELSE 'triples_delete' END AS route,
+    CASE WHEN m = 8 THEN 'malformed'
+         WHEN m IN (2, 3) THEN 'missing_canonical_url'
+         WHEN kind = 'node' AND m = 0 THEN 'missing_jsonld_url'
+         WHEN kind = 'node' AND user_id NOT IN (SELECT page_id FROM pages WHERE page_id % 17 <> 0)
+           THEN 'resource_missing'
+         WHEN event_id IN (SELECT seq FROM win) THEN 'applied'
+         ELSE 'superseded' END AS reason
+  FROM f WHERE kind IN ('node', 'delete')
+)"""
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
 
@@ -251,7 +265,7 @@ SELECT route, outcome, count(*) AS n FROM allout GROUP BY ROLLUP (route, outcome
     "daily_outcomes": _with(F_CTE, REQ_CTE, ATT_CTE, PRE_CTE) + """
 SELECT strftime(f.ts, '%Y-%m-%d') AS day, outcome, count(*) AS n
 FROM allout JOIN f USING (event_id) GROUP BY 1, 2""",
-    "jsonld_triples": _with(F_CTE, DOC_CTE) + "\nSELECT s, p, o, o_kind, datatype, lang FROM doc",
+    "jsonld_triples": _with(F_CTE, DOC_CTE) + "\nSELECT s, p, o, o_kind, datatype, lang FROM alldoc",
     "latest_per_subject": _with(F_CTE, DOC_CTE) + "\nSELECT s, seq, kind FROM win",
     "triples_after_replace": _with(F_CTE, DOC_CTE) + """
 SELECT * FROM prior WHERE s NOT IN (SELECT s FROM win_idx)
@@ -269,18 +283,7 @@ ins AS (SELECT s, 'INSERT DATA {{ ' || string_agg(line, ' ' ORDER BY line) || '
 SELECT s, CAST(0 AS BIGINT) AS step, 'DELETE WHERE {{ <' || s || '> ?p ?o }}' AS update_text FROM win
 UNION ALL SELECT s, 1, body FROM ins""",
 }
-SQL["triples_outcomes"] = _with(F_CTE, DOC_CTE) + """,
-tev AS (
-  SELECT event_id, CASE kind WHEN 'node' THEN 'triples_index' ELSE 'triples_delete' END AS route,
-    CASE WHEN m = 8 THEN 'malformed'
-         WHEN m IN (2, 3) THEN 'missing_canonical_url'
-         WHEN kind = 'node' AND m = 0 THEN 'missing_jsonld_url'
-         WHEN kind = 'node' AND user_id NOT IN (SELECT page_id FROM pages WHERE page_id % 17 <> 0)
-           THEN 'resource_missing'
-         WHEN event_id IN (SELECT seq FROM win) THEN 'applied'
-         ELSE 'superseded' END AS reason
-  FROM f WHERE kind IN ('node', 'delete')
-)
+SQL["triples_outcomes"] = _with(F_CTE, DOC_CTE, TEV_CTE) + """
 SELECT event_id AS seq, route,
        CASE WHEN reason IN ('applied', 'superseded') THEN 'ok'
             WHEN reason IN ('malformed', 'resource_missing') THEN 'failed' ELSE 'skipped' END AS outcome,
@@ -312,7 +315,7 @@ SQL["late_messages"] = SQL["dedup_messages"]
 SQL["jsonld_rejects"] = f"""
 SELECT '{feed.CMS}' || CAST(page_id AS VARCHAR) || '?_format=jsonld' AS url,
        CASE WHEN page_id % 6 = 4 THEN 'not_json' ELSE 'no_triples' END AS reason
-FROM pages WHERE page_id % 17 <> 0 AND page_id % 6 IN (1, 2, 3, 4)"""
+FROM pages WHERE page_id % 6 IN (1, 2, 3, 4)"""
 SQL["no_answer_outcomes"] = _with(F_CTE, REQ_CTE, ATT_CTE) + """,
 seen AS (
   SELECT request_id, attempt_no,
@@ -335,3 +338,28 @@ SELECT request_id,
        coalesce(t_reason, last_reason) AS reason,
        coalesce(t, n) AS attempts
 FROM fin"""
+SQL["landed_requests"] = SQL["all_requests"]
+SQL["transformed_requests"] = _with(F_CTE, REQ_CTE) + f"""
+SELECT request_id, route, method, uri, content_location,
+       CASE route WHEN 'node_delete' THEN 'Delete' WHEN 'external_index' THEN 'Create' ELSE 'Update' END AS base_url
+FROM r WHERE event_id % 4 <> 3"""
+SQL["strict_outcomes"] = _with(F_CTE) + """
+SELECT event_id AS seq,
+       CASE kind WHEN 'node' THEN 'node_index' WHEN 'delete' THEN 'node_delete' WHEN 'media' THEN 'media_index'
+                 WHEN 'external' THEN 'external_index' END AS route,
+       'unknown_field' AS reason, 'failed' AS outcome, 'ERROR' AS level
+FROM f WHERE kind <> 'derivative' AND m <> 8 AND event_id % 6 IN (1, 2, 4)"""
+SQL["sync_outcomes"] = _with(F_CTE, REQ_CTE, ATT_CTE, PRE_CTE, DOC_CTE, TEV_CTE) + """
+SELECT CAST(event_id AS VARCHAR) || ':' || route AS request_id, route, outcome, level, CAST(0 AS BIGINT) AS attempts
+FROM pre
+UNION ALL SELECT request_id, route, outcome,
+  CASE outcome WHEN 'ok' THEN 'DEBUG' WHEN 'failed' THEN 'ERROR'
+    WHEN 'skipped' THEN CASE reason WHEN 'http_410' THEN 'WARN' ELSE 'INFO' END END, attempts
+FROM done
+UNION ALL SELECT CAST(event_id AS VARCHAR) || ':' || route, route,
+  CASE WHEN reason IN ('malformed', 'resource_missing') THEN 'failed' ELSE 'skipped' END,
+  CASE WHEN reason IN ('malformed', 'resource_missing') THEN 'ERROR' ELSE 'WARN' END, 0
+FROM tev WHERE reason NOT IN ('applied', 'superseded')
+UNION ALL SELECT CAST(event_id AS VARCHAR) || ':derivative.' || item, 'derivative.' || item,
+  CASE WHEN m = 8 THEN 'failed' ELSE 'pending' END, CASE WHEN m = 8 THEN 'ERROR' END, 0
+FROM f WHERE kind = 'derivative' AND item <> 'ocr'"""

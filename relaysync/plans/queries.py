@@ -22,8 +22,10 @@ from relaysync.functions.headers import header_value
 from relaysync.functions.http_options import add_http_options_col
 from relaysync.operators import dedup, derivatives, outcomes, recipients, triples
 from relaysync.operators import requests as R
-from relaysync.session import materialize
-from relaysync.sources import feed
+from relaysync.session import materialize, scratch_dir
+from relaysync.plans import jobs
+from relaysync.sources import events as sources
+from relaysync.sources import feed, sinks
 from relaysync.streaming import pipeline as P
 
 SETTINGS = feed.FEED_SETTINGS
@@ -142,6 +144,31 @@ def q_version_requests(spark, sf_dir):
     return r.where(F.col("route").isin(S.NODE_VERSION, S.MEDIA_VERSION)).select("request_id", "uri")
 
 
+def q_landed_requests(spark, sf_dir):
+    """A1 + A5: messages landed by stream, read back, dispatched, written to the request table and read."""
+    root = scratch_dir(spark, "landed")
+    sources.land(raw(spark, sf_dir), f"{root}/raw")
+    landed = sources.read_raw_events(spark, f"{root}/raw")
+    sinks.write_requests(R.requests_from_landed(landed, SETTINGS), f"{root}/requests")
+    return spark.read.parquet(f"{root}/requests").select(*ALL_REQ_COLS)
+
+
+def q_transformed_requests(spark, sf_dir):
+    """The user hook drops events without a summary and gives the others their type as base URL."""
+    def hook(f):
+        e = F.col("event")
+        return f.where(e.getField("summary").isNotNull()).withColumn("base_url", e.getField("type"))
+
+    return R.requests_from_raw(raw(spark, sf_dir), SETTINGS, transform=hook).select(*ALL_REQ_COLS)
+
+
+def q_strict_outcomes(spark, sf_dir):
+    """B2 strict: events with keys the model does not know, at the top, in the object or in a link."""
+    f = R.prepare(feed.with_unknown_keys(raw(spark, sf_dir)), strict=True)
+    return (R.event_outcomes(f, SETTINGS).where(F.col("reason") == S.R_UNKNOWN_FIELD)
+            .select("seq", "route", "reason", "outcome", "level"))
+
+
 def q_header_policy(spark, sf_dir):
     h = F.col("headers")
     return requests(spark, sf_dir).select(
@@ -243,7 +270,7 @@ def q_daily_outcomes(spark, sf_dir):
 
 # ---------------------------------------------------------------- triples
 def q_jsonld_triples(spark, sf_dir):
-    return triples.jsonld_triples(resources(spark, sf_dir)).select(*triples.TRIPLE_COLS)
+    return triples.jsonld_triples(feed.documents(pages(spark, sf_dir))).select(*triples.TRIPLE_COLS)
 
 
 def q_jsonld_rejects(spark, sf_dir):
@@ -359,10 +386,30 @@ def q_stream_outcomes(spark, sf_dir):
     return outcomes.resolve(req, latest, SETTINGS).select(*REDELIVERY_COLS)
 
 
+def q_sync_outcomes(spark, sf_dir):
+    """The continuous job (all routes, and attempts as a second stream) over three triggers each.
+
+    Which events of a subject are applied depends on where triggers cut, so
+    the triplestore rows are those of events that could not be applied.
+    """
+    run = P.StreamRun(spark, "sync_outcomes")
+    q = jobs.sync_stream(raw_stream(spark, sf_dir, run), SETTINGS, run.sink, run.checkpoint,
+                         registry=registry(spark), resources=lambda: resources(spark, sf_dir))
+    q.awaitTermination()
+    att = P.StreamRun(spark, "sync_attempts")
+    req = jobs.written(spark, f"{run.sink}/requests")
+    files = P.stage_by_hash(feed.attempts_for(req), att.input, "request_id", "attempt_no")
+    jobs.sync_attempts(P.read_stream(spark, att.input, S.ATTEMPTS_DDL, files, fmt="parquet"), SETTINGS, run.sink,
+                       att.checkpoint).awaitTermination()
+    applied = F.col("route").startswith("triples_") & F.col("outcome").isin("ok", "pending")
+    return (jobs.resolved_outcomes(spark, SETTINGS, run.sink).where(~applied)
+            .select("request_id", "route", "outcome", "level", "attempts"))
+
+
 def q_stream_daily_outcomes(spark, sf_dir):
-    """E7 on a stream: one-day tumbling windows on ingest time with a watermark.
+    """E7 on a stream: one-day tumbling windows on ingest time, late outcomes counted too.
 
-    Outcome rows arrive in time order; update mode emits each window's running
+    Update mode emits each window's running
     count, the sink log is folded on read (latest batch per window wins).
     """
     run = P.StreamRun(spark, "stream_daily_outcomes")
@@ -370,7 +417,7 @@ def q_stream_daily_outcomes(spark, sf_dir):
     files = P.stage_in_order(table, run.input, "seq")
     s = P.read_stream(spark, run.input, "seq bigint, ts timestamp, route string, outcome string", files,
                       fmt="parquet")
-    P.run_available_now(outcomes.windowed_outcomes(s, "1 day"), run.sink, run.checkpoint, "update")
+    P.run_available_now(outcomes.windowed_outcomes(s), run.sink, run.checkpoint, "update")
     logged = P.read_sink(spark, run.sink)
     return (logged.groupBy("day", "outcome").agg(F.max_by("n", "batch_id").alias("n"))
             .select("day", "outcome", "n"))
@@ -388,6 +435,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "delete_requests": q_delete_requests,
     "all_requests": q_all_requests,
     "version_requests": q_version_requests,
+    "landed_requests": q_landed_requests,
+    "transformed_requests": q_transformed_requests,
+    "strict_outcomes": q_strict_outcomes,
     "header_policy": q_header_policy,
     "default_auth": q_default_auth,
     "http_options": q_http_options,
@@ -415,4 +465,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_triples_after_delete": q_stream_triples_after_delete,
     "stream_outcomes": q_stream_outcomes,
     "stream_daily_outcomes": q_stream_daily_outcomes,
+    "sync_outcomes": q_sync_outcomes,
 }

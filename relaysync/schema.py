@@ -26,6 +26,14 @@ EVENT_DDL = (
 
 # Top-level keys the event model knows (for strict parsing).
 KNOWN_KEYS = ["@context", "type", "summary", "target", "object", "actor", "attachment"]
+# Keys of the nested objects (for strict parsing).
+KNOWN_NESTED = {
+    "object": ["type", "id", "url", "isNewVersion"],
+    "actor": ["type", "id", "url"],
+    "attachment": ["type", "mediaType", "content"],
+}
+KNOWN_URL = ["name", "type", "href", "mediaType", "rel"]
+KNOWN_CONTENT = ["fedora_uri", "source_field", "source_uri", "destination_uri", "mimetype", "args", "file_upload_uri"]
 
 RAW_EVENTS_DDL = "seq bigint, ts timestamp, stream string, headers map<string,string>, body string"
 
@@ -61,6 +69,7 @@ R_MISSING_ATTACHMENT = "missing_attachment"
 R_MISSING_SUBJECT = "missing_subject"
 R_RESOURCE_MISSING = "resource_missing"
 R_DOCUMENT_REJECTED = "document_rejected"
+R_ILLEGAL_SUBJECT = "illegal_subject"
 
 # --- fixed values: error policy before dispatch ---------------------------
 # (reason, outcome, level); route scoping is applied in operators.requests.

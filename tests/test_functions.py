@@ -66,3 +66,17 @@ def test_uuid_replace_all(spark):
     from relaysync.functions import strip_uuid
     df = spark.createDataFrame([("urn:uuid:abc-urn:uuid:def",)], "id string")
     assert df.select(strip_uuid(F.col("id"))).first()[0] == "abc-def"
+
+
+def test_strict_nested_unknown_fields(spark):
+    link = '{"name":"n","type":"Link","href":"h","mediaType":"text/html","rel":"canonical"%s}'
+    def event(obj="", url="", actor="", att="", content=""):
+        return ('{"type":"Update","object":{"id":"i","url":[%s]%s},"actor":{"id":"a"%s},'
+                '"attachment":{"type":"Object","content":{"args":"x"%s}%s}}'
+                % (link % url, obj, actor, content, att))
+    bodies = [event(), event(obj=',"q":1'), event(url=',"hreflang":"en"'), event(actor=',"name":"N"'),
+              event(att=',"size":3'), event(content=',"dpi":300'), '{"type":"Update","object":null}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "k int, body string")
+    got = {r.k: r.parse_reason for r in parse_events(df, strict=True).collect()}
+    assert got == {0: None, **{k: "unknown_field" for k in range(1, 6)}, 6: None}
+    assert not any(r.malformed for r in parse_events(df).collect())

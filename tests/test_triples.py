@@ -60,6 +60,39 @@ def test_repeated_values_are_one_triple(spark):
     assert T.apply_changes(prior, w, res).count() == 1
 
 
+TRIPLES = "s string, p string, o string, o_kind string, datatype string, lang string"
+
+
+def test_nodes_shared_by_documents_are_stored_once(spark):
+    """Other nodes of a document: equal triples of two documents, or of the store, count once."""
+    def doc(s, *extra):
+        return json.dumps({"@graph": [{"@id": s, "p:in": [{"@id": "x:shore"}]},
+                                      {"@id": "x:shore", "p:name": [{"@value": n} for n in ("Shore", *extra)]}]})
+
+    res = spark.createDataFrame([("u1", doc("x:a")), ("u2", doc("x:b", "Strand"))], "url string, body string")
+    w = spark.createDataFrame([("x:a", 1, "index", "u1"), ("x:b", 2, "index", "u2")],
+                              "s string, seq bigint, kind string, url string")
+    prior = spark.createDataFrame([("x:shore", "p:name", "Shore", "literal", None, None),
+                                   ("x:shore", "p:depth", "3", "literal", None, None),
+                                   ("x:a", "p:in", "x:hill", "iri", None, None)], TRIPLES)
+    got = sorted((r.s, r.p, r.o) for r in T.apply_changes(prior, w, res).collect())
+    assert got == [("x:a", "p:in", "x:shore"), ("x:b", "p:in", "x:shore"), ("x:shore", "p:depth", "3"),
+                   ("x:shore", "p:name", "Shore"), ("x:shore", "p:name", "Strand")]
+
+
+def test_illegal_terms_are_rejected(spark):
+    bad = [{"@id": "x:a>b", "p:v": [{"@value": 1}]}, {"@id": "_:b0", "p:v": [{"@value": 1}]},
+           {"@id": "x:a", "p:v w": [{"@value": 1}]}, {"@id": "x:a", "p:v": [{"@id": "x:a b"}]},
+           {"@id": "x:a", "p:v": [{"@id": "_:b1"}]}, {"@id": "x:a", "@type": ["x:{t}"]},
+           {"@id": "x:a", "p:v": [{"@value": "1", "@type": "x:\"t"}]},
+           {"@id": "x:a", "p:v": [{"@value": "1", "@language": "en us"}]}]
+    df = spark.createDataFrame([(str(i), json.dumps([n])) for i, n in enumerate(bad)], "url string, body string")
+    assert T.jsonld_triples(df).count() == 0
+    assert {r.reject for r in T.jsonld_triples(df, keep_rejects=True).collect()} == {"illegal_iri_or_tag"}
+    assert {r.reason for r in T.rejected_documents(df).collect()} == {"no_triples"}
+    assert T.rejected_documents(df).count() == len(bad)
+
+
 def test_values_and_rejects(spark):
     doc = {"@graph": [{"@id": "s1",
                        "p:num": [{"@value": 12}],
