@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from relaysync.llm.common import own_columns, read
 
 CONTEXT = 40
+RUN = 256
 
 # fixed values: kind, cheap necessary condition, pattern
 PATTERNS = (
@@ -87,8 +88,14 @@ def _spans(kind: str, text: Column) -> Column:
     rank = KINDS.index(kind)
     need, pattern = next((n, p) for k, n, p in PATTERNS if k == kind)
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
     both = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    # in runs of RUN matches: an accumulated array is copied at every step
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")),
+                       lambda k: F.slice(both, k * RUN + 1, F.lit(RUN)))
+    long = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + F.length(x["g"]) + F.length(x["m"])))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(long, zero, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")),
+                         lambda a: a["starts"])
 
     def step(acc, x):
         a = acc["at"] + F.length(x["g"])
@@ -99,9 +106,10 @@ def _spans(kind: str, text: Column) -> Column:
         kept = F.when(_confirmed(kind, x["m"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
         return F.struct(e.cast("int").alias("at"), kept.cast(_SPAN).alias("spans"))
 
-    spans = F.aggregate(both, start, step, lambda acc: acc["spans"])
+    spans = F.flatten(F.zip_with(runs, starts, lambda run, at: F.aggregate(
+        run, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("spans")), step, lambda acc: acc["spans"])))
     may = F.contains(text, F.lit(need)) if need else text.rlike("[0-9]")
-    return F.when(may, spans).otherwise(F.array().cast(_SPAN))
+    return F.when(may & (F.size(found) > 0), spans).otherwise(F.array().cast(_SPAN))
 
 
 def find_pii(docs: DataFrame, column: str = "text", into: str = "pii") -> DataFrame:

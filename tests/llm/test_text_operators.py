@@ -146,6 +146,18 @@ def test_pii_iban_context_and_mask(spark):
     assert masked == "x <email> y é <phone> z"
 
 
+def test_pii_many_spans_in_one_text(spark):
+    """More matches than one run holds: places and digests as if found one after another."""
+    text = " ".join(f"é{i}@host{i}.org 10.0.{i % 300}.{i % 7} +1 (555) {1000000 + i}" for i in range(700))
+    got = [(x.kind, x.start, x.end) for x in pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().pii]
+    mails = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    ips = [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
+           if max(map(int, m[0].split("."))) <= 255]
+    assert len(mails) == 700 and len(ips) < 700
+    assert [x for x in got if x[0] == "email"] == mails
+    assert [x for x in got if x[0] == "ip"] == ips
+
+
 def test_pii_digest(spark, sf, documents):
     rows = {r.doc_id: r for r in QUERIES["op5_pii"](spark, sf).collect()}
     for r in documents.collect():
