@@ -185,6 +185,19 @@ class Level:
             out[where] = cols[column][at]
         return out
 
+    def holds(self, keys: np.ndarray, values: np.ndarray, column: int = 1) -> np.ndarray:
+        """Whether a row of each key has the given value in a column; a key may have several rows."""
+        out = np.zeros(len(keys), dtype=bool)
+        for where, cols, at in self._find(keys):
+            while len(where):
+                out[where] |= cols[column][at] == values[where]
+                at = at + 1
+                more = at < len(cols[0])
+                where, at = where[more], at[more]
+                more = cols[0][at] == keys[where]
+                where, at = where[more], at[more]
+        return out
+
     def look_up(self, keys: np.ndarray, columns: list[int]) -> list[np.ndarray]:
         """The given columns, as doubles, at each key; 0 where the key is unknown."""
         q, back = np.unique(keys, return_inverse=True)

@@ -10,21 +10,24 @@ found.
 
 Passes.  (1) Count unit hashes, summed per task and per bucket; hashes that
 occur twice go to sorted arrays in the shared folder.  (2) Scan again, emit
-the bytes of units that may repeat (equal ones of a task once) and compare
-bytes per hash; the first occurrence by (doc_id, text hash, line) is kept.
+the lines of units that may repeat (equal ones of a task once) and compare
+them per hash; of each distinct unit the first occurrence by (doc_id, text
+hash, line) is kept.
 (3) Scan again and drop lines that a repeated unit covers, unless it is the
 kept one, wherever the dropped run has ``min_words`` words or more.  No text
 is shuffled but that of repeated units, and a unit that a third of the
 documents share is one row per task.
 
 Defined results: null and empty texts stay as they are; empty lines belong to
-the line before them; rows equal in id and text are one document; a null id
-orders first; if two different units share a hash, neither is removed.
+the line before them, and units that differ in empty lines only are equal;
+rows equal in id and text are one document; a null id orders first; different
+units that share a hash keep one place each.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +47,7 @@ BUCKET_BYTES = 64 << 20
 HELD_BYTES = 32 << 20
 _LINES = np.ones(256, dtype=bool)
 _LINES[0x0A] = False
+_EMPTY_LINES = re.compile(rb"\n\n+")
 
 
 def units(buf, off, min_words: int, divisor: int):
@@ -127,7 +131,7 @@ def _first_lines(row: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _text_units_map(path, buckets, min_words, divisor):
-    """Bytes of the units that may repeat, equal ones of a task once, with their first place."""
+    """Lines (without empty ones) of the units that may repeat, equal ones of a task once, with their first place."""
     def run(batches):
         known, held, size = Level(path, 1, buckets), {}, 0
 
@@ -147,7 +151,7 @@ def _text_units_map(path, buckets, min_words, divisor):
                 dk = dict(zip(docs.tolist(), span_hashes(buf, off[lo + docs], off[lo + docs + 1], lower=False).view(np.int64).tolist()))
                 for k, a, c, r, line in zip(keys[hit].tolist(), at[hit].tolist(), count[hit].tolist(), row[at[hit]].tolist(),
                                             _first_lines(row, at[hit]).tolist()):
-                    unit = (k, buf[s[a]: e[a + c - 1]].tobytes())
+                    unit = (k, _EMPTY_LINES.sub(b"\n", buf[s[a]: e[a + c - 1]].tobytes()))
                     place = (int(ids[lo + r]), dk[r], line)
                     if (old := held.get(unit)) is None:
                         held[unit], size = place, size + len(unit[1]) + 200
@@ -173,26 +177,25 @@ def _place_hash(doc_id: np.ndarray, dk: np.ndarray, line: np.ndarray) -> np.ndar
 
 
 def _compare_map(path):
-    """Rows come in order of hash: bytes against the first of the hash, least place kept."""
+    """Rows come in order of hash: the least place of each distinct unit is kept."""
     def run(batches):
         out: dict[int, list[tuple[int, int]]] = {}
-        now = [None, None, None, None, True]  # bucket, hash, bytes, place, all equal
+        now, least = None, {}  # (bucket, hash); place by bytes
 
         def close():
-            if now[1] is not None and now[4]:
-                place = _place_hash(*(np.array([x], dtype=np.int64) for x in now[3]))[0]
-                out.setdefault(now[0], []).append((int(np.int64(now[1]).view(np.uint64)), int(place)))
+            if least:
+                key = int(np.int64(now[1]).view(np.uint64))
+                places = _place_hash(*(np.array(c, dtype=np.int64) for c in zip(*least.values())))
+                out.setdefault(now[0], []).extend((key, p) for p in places.tolist())
 
         for batch in batches:
             for b, h, doc_id, dk, line, unit in zip(*(c.to_pylist() for c in batch.columns)):
                 place = (doc_id, dk, line)
-                if h != now[1] or b != now[0]:
+                if (b, h) != now:
                     close()
-                    now = [b, h, unit, place, True]
-                elif unit != now[2]:
-                    now[4] = False
-                elif place < now[3]:
-                    now[3] = place
+                    now, least = (b, h), {unit: place}
+                elif (old := least.get(unit)) is None or place < old:
+                    least[unit] = place
         close()
         for b, rows in out.items():
             rows.sort()
@@ -239,11 +242,10 @@ def _drop_map(found: Repeats, id_at: int, text_at: int, names: list[str], info:
                 n = hi - lo
                 hit = np.flatnonzero(known.contains(keys))
                 if len(hit):
-                    kept = known.values(keys[hit])
                     r = row[at[hit]]
                     docs, which = np.unique(r, return_inverse=True)
                     dk = span_hashes(buf, off[lo + docs], off[lo + docs + 1], lower=False).view(np.int64)[which]
-                    hit = hit[kept != _place_hash(ids[lo + r], dk, _first_lines(row, at[hit]))]
+                    hit = hit[~known.holds(keys[hit], _place_hash(ids[lo + r], dk, _first_lines(row, at[hit])))]
                 mark = np.zeros(len(s) + 1, dtype=np.int64)
                 np.add.at(mark, at[hit], 1)
                 np.add.at(mark, at[hit] + count[hit], -1)

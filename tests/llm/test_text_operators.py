@@ -8,10 +8,13 @@ import math
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from relaysync.llm import decontamination, line_dedup, lm_scoring, order_minhash, packing, pii, sharding
+from relaysync.llm.arrays import Level
 from relaysync.llm.queries import QUERIES
 
 END = "\n</s>"
@@ -265,6 +268,28 @@ def test_line_dedup_matches_naive(spark, documents, sf):
     assert got == want
 
 
+def test_line_dedup_one_copy_with_empty_lines(spark):
+    """A copy that differs in empty lines only is a copy, and hides no other."""
+    passage = [line(i) for i in range(4)]
+    rows = [(i, "\n".join([line(100 + i), *passage, line(200 + i)])) for i in range(1, 7)]
+    rows += [(7, "\n\n".join([line(107), *passage, line(207)])), (8, "\n\n\n".join(passage[:2]) + "\n" + "\n".join(passage[2:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs, info=True).collect()}
+    assert {i: r.n_removed for i, r in got.items()} == naive_line_dedup(rows) == {1: 0, **dict.fromkeys(range(2, 9), 4)}
+    assert got[2].text == f"{line(102)}\n{line(202)}" and got[7].text == f"{line(107)}\n\n{line(207)}" and got[8].text == ""
+
+
+def test_line_dedup_units_that_share_a_hash(tmp_path):
+    """Each of them keeps its own least place."""
+    rows = [(0, 5, 3, 30, 1, b"a"), (0, 5, 1, 10, 2, b"b"), (0, 5, 2, 20, 0, b"a"), (0, 5, 4, 40, 0, b"b"), (0, 9, 1, 10, 7, b"c")]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=line_dedup._names(line_dedup._UNIT))
+    list(line_dedup._compare_map(str(tmp_path))([batch]))
+    keys, ids, dk, lines = (np.array(c, dtype=np.int64) for c in zip(*(r[1:5] for r in rows)))
+    held = Level(str(tmp_path), 2, 1).holds(keys.view(np.uint64), line_dedup._place_hash(ids, dk, lines))
+    assert held.tolist() == [False, True, True, False, True]
+
+
 def test_line_dedup_odd_rows(spark, odd):
     out = line_dedup.dedup_lines(odd)
     assert out.schema == odd.schema and out.count() == odd.count()
