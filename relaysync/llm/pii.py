@@ -9,7 +9,10 @@ starts or the previous match ended, and repeats that can give nothing back
 are possessive.  Neither changes which spans match.
 
 Kinds: email, ip, card, phone (the base), and iban (country code, check
-digits, 11 to 30 more characters, mod-97 = 1).  A span's score starts at its
+digits, as many more characters as that country's numbers have, single spaces
+between any of them, mod-97 = 1).  Only an iban's first four characters are
+consumed, so a candidate that fails hides none that starts inside it; valid
+ones that overlap are all listed.  A span's score starts at its
 kind's prior and rises when a word of its kind stands within ``CONTEXT``
 characters before it.
 
@@ -27,13 +30,23 @@ from relaysync.llm.common import own_columns, read
 CONTEXT = 40
 RUN = 256
 
-# fixed values: kind, cheap necessary condition, pattern
+# fixed values: lengths of account numbers by country (the registry's, and those in use that it does not list)
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(rf"(?:{'|'.join(v.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, v in IBAN_LENGTHS.items())
+
+# fixed values: kind, cheap necessary condition, pattern (a group, where there is one, is the whole span)
 PATTERNS = (
     ("email", "@", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     ("ip", ".", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     ("card", None, r"[0-9](?:[\x20-]?[0-9])++"),
     ("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    ("iban", None, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"),
+    ("iban", None, rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_IBAN})(?![A-Za-z0-9])))[A-Z0-9]{{4}}"),
 )
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.5, "iban": 0.9}
 WORDS = {
@@ -88,7 +101,9 @@ def _spans(kind: str, text: Column) -> Column:
     rank = KINDS.index(kind)
     need, pattern = next((n, p) for k, n, p in PATTERNS if k == kind)
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    both = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    both = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g"), m.alias("whole")))
+    if kind == "iban":
+        both = F.zip_with(both, F.regexp_extract_all(text, F.lit(pattern), 1), lambda x, w: x.withField("whole", w))
     # in runs of RUN matches: an accumulated array is copied at every step
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")),
                        lambda k: F.slice(both, k * RUN + 1, F.lit(RUN)))
@@ -99,12 +114,12 @@ def _spans(kind: str, text: Column) -> Column:
 
     def step(acc, x):
         a = acc["at"] + F.length(x["g"])
-        e = a + F.length(x["m"])
+        e = a + F.length(x["whole"])
         near = F.lower(F.right(x["g"], F.lit(CONTEXT))).rlike(WORDS[kind])
         span = F.struct(a.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), e.alias("end"),
                         (F.lit(PRIOR[kind]) + F.when(near, (1 - PRIOR[kind]) / 2).otherwise(0.0)).alias("score"))
-        kept = F.when(_confirmed(kind, x["m"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(e.cast("int").alias("at"), kept.cast(_SPAN).alias("spans"))
+        kept = F.when(_confirmed(kind, x["whole"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+        return F.struct((a + F.length(x["m"])).cast("int").alias("at"), kept.cast(_SPAN).alias("spans"))
 
     spans = F.flatten(F.zip_with(runs, starts, lambda run, at: F.aggregate(
         run, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("spans")), step, lambda acc: acc["spans"])))

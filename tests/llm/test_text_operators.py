@@ -149,6 +149,18 @@ def test_pii_iban_context_and_mask(spark):
     assert masked == "x <email> y é <phone> z"
 
 
+def test_pii_iban_before_words_and_numbers(spark):
+    """What follows an account number, or fails before it, does not hide it."""
+    short, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    cases = [(f"{short} Please pay", [short]), (f"{spaced} BIC COBADEFFXXX", [spaced]), (f"{spaced} BIC X", [spaced]),
+             (f"{short} 2024-01-02", [short]), (f"é {spaced} 7", [spaced]), (f"{spaced} {short} NO93 8601 1117 947 NO", [spaced, short, "NO93 8601 1117 947"]),
+             (f"AT12 {spaced}", [spaced]), ("MT84MALT011000012345MTLCAST001S X", ["MT84MALT011000012345MTLCAST001S"]),
+             (f"{short}0", []), (f"X{short}", []), ("DE00370400440532013000 X", []), (short[:-1], [])]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: [r.text[s.start: s.end] for s in r.pii if s.kind == "iban"] for r in pii.find_pii(docs).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_pii_many_spans_in_one_text(spark):
     """More matches than one run holds: places and digests as if found one after another."""
     text = " ".join(f"é{i}@host{i}.org 10.0.{i % 300}.{i % 7} +1 (555) {1000000 + i}" for i in range(700))
