@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from relaysync.llm.common import fold
 
 
+def marked_rows(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, y) of all labelled ids outside fold 0 of 5."""
+    return (labels.select(id_col, F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & (fold(id_col, 5) != 0))
+            .groupBy(id_col).agg(F.max("y").alias("y")))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", column: str = "text"):
     """(texts, labels, langs) of at most ``per_class`` rows of each label, outside fold 0 of 5.
 
@@ -17,8 +23,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     all that reaches the driver.
     """
     langs = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    marked = (labels.select(id_col, F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & (fold(id_col, 5) != 0))
-              .groupBy(id_col).agg(F.max("y").alias("y")))
+    marked = marked_rows(labels, label, id_col)
     taken = None
     for y in (0, 1):
         some = marked.filter(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(per_class)

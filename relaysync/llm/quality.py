@@ -6,8 +6,8 @@ weights come from preference pairs, a text of label 1 against one of label 0:
 the chance that the first wins is the logistic of the weighted difference of
 their features, and the logistic loss over the pairs is minimised on the
 driver, on a bounded sample of ``PER_CLASS`` texts of each label and
-``PAIRS`` pairs.  The threshold is a quantile of the scores: the share of
-label 0 among labelled rows, the sample weighted accordingly.
+``PAIRS`` pairs.  The threshold is the exact quantile of the scores of all
+labelled rows outside fold 0, scored in Spark, at their share of label 0.
 
 ``score`` is the logistic of the weighted features, shifted so that the
 threshold falls on ``CUT``.
@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relaysync.llm.common import fold, own_columns, read, slices, text_buffer
-from relaysync.llm.features import Adam, label_shares, labelled_sample, sigmoid
+from relaysync.llm.common import fold, own_columns, read, slices, staged, text_buffer
+from relaysync.llm.features import Adam, label_shares, labelled_sample, marked_rows, sigmoid
 from relaysync.llm.tokens import SPACE_WORDS, join_hash, span_hashes, word_spans
 
 PER_CLASS = 4000
 PAIRS = 40_000
 HINGES = 8
+BINS = 4096
 CUT = 0.3
 SLICE_BYTES = 4 << 20
 
@@ -112,22 +113,37 @@ class Ranking:
             if not len(self.weights):
                 out.append(np.full(hi - lo, self.share))
                 continue
-            raw = self.spread(features(buf, off[lo: hi + 1])) @ self.weights
-            out.append(sigmoid(raw - self.cut + np.log(CUT / (1 - CUT))))
+            out.append(sigmoid(self.raw(buf, off[lo: hi + 1]) - self.cut + np.log(CUT / (1 - CUT))))
         return np.concatenate(out) if out else np.zeros(0)
 
+    def raw(self, buf, off) -> np.ndarray:
+        return self.spread(features(buf, off)) @ self.weights
 
-def _weighted_quantile(x: np.ndarray, weight: np.ndarray, q: float) -> float:
-    """Halfway between the two values that the share ``q`` of the weight falls between."""
-    order = np.argsort(x)
-    x, c = x[order], np.cumsum(weight[order])
-    k = int(np.searchsorted(c, q * c[-1] - 1e-9))
-    return float((x[min(k, len(x) - 1)] + x[min(k + 1, len(x) - 1)]) / 2)
+
+def _cut_after(scores: DataFrame, k: int) -> float:
+    """Halfway between the values of ranks ``k`` and ``k + 1`` (from 0) of the column raw, exactly.
+
+    Histograms of the values, each within the bin of the last that holds the
+    rank, until that bin is one value: a driver holds ``BINS`` rows at most.
+    """
+    lo, hi = scores.agg(F.min("raw"), F.max("raw")).first()
+    before = 0
+    while lo < hi:
+        place = F.least(F.floor((F.col("raw") - lo) / (hi - lo) * BINS), F.lit(BINS - 1))
+        bins = (scores.filter(F.col("raw").between(lo, hi)).groupBy(place.alias("bin"))
+                .agg(F.count("*").alias("n"), F.min("raw").alias("lo"), F.max("raw").alias("hi")).orderBy("bin").collect())
+        for x in bins:
+            if k < before + x.n:
+                lo, hi = x.lo, x.hi
+                break
+            before += x.n
+    upto, above = scores.agg(F.count_if(F.col("raw") <= lo), F.min(F.when(F.col("raw") > lo, F.col("raw")))).first()
+    return lo if k + 1 < upto or above is None else (lo + above) / 2
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, pairs: int = PAIRS,
         epochs: int = 6, seed: int = 11) -> Ranking:
-    """Learn the ranking from a bounded sample of labelled texts."""
+    """Learn the ranking from a bounded sample of labelled texts, its threshold from all of them."""
     texts, y, _ = labelled_sample(docs, labels, label, per_class)
     share = label_shares(labels, label)
     if len(set(y.tolist())) < 2:
@@ -152,12 +168,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
             miss = sigmoid(-(d @ p["w"]))
             adam.step({"w": -(miss @ d) / len(k) + 1e-3 * p["w"]})
     ranking.weights = p["w"]
-    raw = z @ p["w"]
-    weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
-    ranking.cut = _weighted_quantile(raw, weight, 1 - share)
+    scores = staged(_raw_scores(docs.filter(fold("doc_id", 5) != 0), ranking).join(marked_rows(labels, label), "doc_id")
+                    .select("raw", "y"), "quality-scores")
+    ranking.cut = _cut_after(scores, scores.filter("y = 0").count() - 1)
     return ranking
 
 
+def _raw_scores(docs: DataFrame, ranking: Ranking) -> DataFrame:
+    """doc_id and the raw score of every whole text."""
+    def run(batches):
+        for batch in batches:
+            buf, off = text_buffer(batch.column(1))
+            for lo, hi in slices(off, SLICE_BYTES):
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(ranking.raw(buf, off[lo: hi + 1]))], names=["doc_id", "raw"])
+
+    return own_columns(docs, "doc_id", "text").mapInArrow(run, own_columns(docs, "doc_id").schema.add("raw", "double"))
+
+
 def score(docs: DataFrame, ranking: Ranking, keep: list[str], column: str = "text", into: str = "score") -> DataFrame:
     """The columns ``keep`` and the quality of every whole text."""
     def run(batches):

@@ -4,11 +4,13 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from relaysync.llm import embedding_dedup, line_dedup, order_minhash, quality, toxicity
+from relaysync.llm.common import text_buffer
 from relaysync.llm.components import components
 from relaysync.llm.fm_index import FMIndex
 from relaysync.llm.queries import QUERIES
@@ -93,6 +95,25 @@ def test_held_out_accuracy(spark, name, label):
     assert (y == p).mean() > 0.95 and p[y == 1].mean() > 0.9 and p[y == 0].mean() < 0.2
 
 
+def test_quality_threshold_covers_all_labelled_rows(spark, sf, documents):
+    """The cut is the quantile of all labelled scores, however few of them were fitted on."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rank = quality.fit(documents, labels, per_class=20, pairs=500)
+    rows = documents.join(labels.select("doc_id", "quality"), "doc_id").filter("quality in (0, 1)").collect()
+    rows = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 != 0]
+    raw = np.sort(rank.raw(*text_buffer(pa.array([r.text for r in rows], pa.string()))))
+    k = sum(r.quality == 0 for r in rows)
+    assert len(rows) > 200 and rank.cut == pytest.approx((raw[k - 1] + raw[k]) / 2, abs=1e-9)
+
+
+def test_quality_cut_among_equal_scores(spark):
+    for values in ([1.0, 1.0, 1.0, 2.0], [0.5], [3.0, -1.0, 1e-9, 2e-9, 7.5, 7.5]):
+        x = sorted(values)
+        df = spark.createDataFrame([(v,) for v in values], "raw double")
+        for k in range(len(x)):
+            assert quality._cut_after(df, k) == (x[k] + x[min(k + 1, len(x) - 1)]) / 2
+
+
 def test_classifiers_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 10)] + [(11, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
