@@ -229,9 +229,9 @@ def score(docs: DataFrame, model: Model, keep: list[str], column: str = "text")
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    """Bigram Kneser-Ney scores of every document, learned outside fold 2 of 7."""
+    """Trigram Kneser-Ney scores of every document, learned outside fold 2 of 7."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(docs.filter(fold("doc_id", 7) != 2), order=2)
+    model = train(docs.filter(fold("doc_id", 7) != 2), order=3)
     return (score(docs.withColumn("held_out", fold("doc_id", 7) == 2), model, ["doc_id", "held_out"])
             .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
                     "base_score", "score", "perplexity"))

@@ -91,6 +91,14 @@ def test_lm_matches_dictionary_model(spark, documents, order):
         assert g.score == pytest.approx(score, rel=1e-9)
 
 
+def test_lm_query_scores_by_two_words_of_context(spark, documents, sf):
+    rows = documents.select("doc_id", "text").orderBy("doc_id").collect()
+    some = [r for r in rows if r.text and len(r.text) < 1500][:8]
+    got = {r.doc_id: r.score for r in QUERIES["op1_lm_scoring"](spark, sf).collect()}
+    want = kneser_ney([r.text for r in rows if zlib.crc32(str(r.doc_id).encode()) % 7 != 2], [r.text for r in some], 3)
+    assert [got[r.doc_id] for r in some] == pytest.approx([w[3] for w in want], rel=1e-9)
+
+
 def test_lm_odd_rows(spark, odd):
     model = lm_scoring.train(odd)
     rows = lm_scoring.score(odd, model, ["doc_id"]).collect()
