@@ -9,12 +9,13 @@ from relaysync.llm.lm_scoring import op1_lm_scoring
 from relaysync.llm.order_minhash import op8_near_dedup
 from relaysync.llm.packing import op7_packing
 from relaysync.llm.pii import op5_pii
+from relaysync.llm.prefix_trie import op11_prefix_trie
 from relaysync.llm.quality import op3_quality
 from relaysync.llm.sharding import op9_sharding
 from relaysync.llm.toxicity import op2_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_toxicity, op3_quality, op4_embedding_dedup, op5_pii, op6_decontamination, op7_packing,
-    op8_near_dedup, op9_sharding, op10_line_dedup)}
+    op8_near_dedup, op9_sharding, op10_line_dedup, op11_prefix_trie)}
 
 SQL: dict[str, str] = {}
