@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from relaysync.llm.cross_polytope import op12_nearest
 from relaysync.llm.decontamination import op6_decontamination
 from relaysync.llm.embedding_dedup import op4_embedding_dedup
 from relaysync.llm.line_dedup import op10_line_dedup
@@ -17,6 +18,6 @@ from relaysync.llm.toxicity import op2_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_toxicity, op3_quality, op4_embedding_dedup, op5_pii, op6_decontamination, op7_packing,
-    op8_near_dedup, op9_sharding, op10_line_dedup, op11_prefix_trie, op13_spelling)}
+    op8_near_dedup, op9_sharding, op10_line_dedup, op11_prefix_trie, op12_nearest, op13_spelling)}
 
 SQL: dict[str, str] = {}
