@@ -51,7 +51,8 @@ def turns(conversations: DataFrame) -> DataFrame:
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
         F.monotonically_increasing_id().alias("row"))  # splits equal rows, which are interchangeable
     order = [F.col("turn").asc_nulls_first(), F.col("tid"), F.col("row")]
-    seg = segmented(rows, ["conv_id"], order, "trie-turns")
+    # written first: cutting ranges reads its input twice, and texts should be read once
+    seg = segmented(staged(rows, "trie-digests"), ["conv_id"], order, "trie-turns")
     return running(seg, ["conv_id"], order, {"pos": ("sum", F.lit(1).cast("long"))}).select("conv_id", "pos", "tid", "words")
 
 
