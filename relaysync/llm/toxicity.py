@@ -9,9 +9,12 @@ logistic unit reads the pooled values.  Both labels weigh the same in
 training, whatever their numbers.
 
 Trained on the driver on a bounded sample: ``PER_CLASS`` texts of each label.
-A fifth of the sample, left out of training, sets a threshold for each
-language (best F1, all languages together where one has few texts).  The
-language column serves the thresholds only; scores come from the text.
+Thresholds by language come from all labelled rows of a fifth of the ids, which
+a first network never saw: it scores them in Spark, and each language's cut is
+the one of best F1 over ``BINS`` bins of the score (that of all languages
+together where one has fewer than ``LEAST`` rows of a label).  Then the network
+is trained again on the whole sample.  The language column serves the
+thresholds only; scores come from the text.
 
 Defined results: null and empty texts are scored as texts without a known
 word; without labelled rows of both kinds every score is the share of label 1.
@@ -23,11 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relaysync.llm.common import fold, own_columns, read, slices, text_buffer
-from relaysync.llm.features import Adam, label_shares, labelled_sample, sigmoid
+from relaysync.llm.common import fold, own_columns, read, slices, staged, text_buffer
+from relaysync.llm.features import Adam, label_shares, labelled_sample, marked_rows, sigmoid
 from relaysync.llm.tokens import ALNUM_WORDS, mix, span_hashes, word_spans
 
 PER_CLASS = 3000
@@ -35,7 +38,8 @@ DIMS, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6)
 BATCH = 64
 MIN_DOCS = 5
-MAX_WORDS = 65_000
+BINS = 1000
+LEAST = 20
 EPOCHS = 6
 SLICE_BYTES = 2 << 20
 PAD = max(WIDTHS) - 1
@@ -45,7 +49,8 @@ PAD = max(WIDTHS) - 1
 class Net:
     vocabulary: np.ndarray  # sorted hashes; row k + 1 of the embeddings
     params: dict
-    thresholds: dict  # by language; None: any other
+    cut: float = 0.5  # threshold of any other language
+    cuts: DataFrame | None = None  # (lang, cut) of the languages with rows enough
 
 
 def word_hashes(buf, off):
@@ -137,25 +142,30 @@ def _train(docs: list[np.ndarray], y: np.ndarray, n_rows: int, epochs: int, seed
     return p
 
 
-def _best_threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The cut of best F1, halfway to the next lower score."""
-    order = np.argsort(-score)
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + max(1, y.sum()))
-    k = int(f1.argmax())
-    below = score[order[k + 1]] if k + 1 < len(y) else 0.0
-    return float((score[order[k]] + below) / 2)
+def _cuts(scored: DataFrame, by: list[str]) -> DataFrame:
+    """The cut of best F1 of counted rows (bin, y, k, ``by``); at equal F1 the highest."""
+    bins = scored.groupBy(*by, "bin").agg(F.sum(F.col("y") * F.col("k")).alias("hits"), F.sum("k").alias("n"))
+    w = Window.partitionBy(*by)
+    down = w.orderBy(F.col("bin").desc())
+    toxic, rows = F.sum("hits").over(w), F.sum("n").over(w)
+    f1 = 2 * F.sum("hits").over(down) / (F.sum("n").over(down) + F.greatest(toxic, F.lit(1)))
+    return (bins.select(*by, "bin", f1.alias("f1"), toxic.alias("toxic"), rows.alias("rows"))
+            .where((F.col("toxic") >= LEAST) & (F.col("rows") - F.col("toxic") >= LEAST))
+            .groupBy(*by).agg((F.max_by("bin", F.struct("f1", "bin")) / BINS).alias("cut")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, epochs: int = EPOCHS, seed: int = 7) -> Net:
-    """Train on a bounded sample of labelled texts (see the module's text)."""
-    texts, y, langs = labelled_sample(docs, labels, label, per_class)
-    if len(set(y.tolist())) < 2:
-        share = min(max(label_shares(labels, label), 0.01), 0.99)
-        p = {"E": np.zeros((0, DIMS), np.float32), "u": np.zeros(FILTERS * len(WIDTHS), np.float32),
-             "c": np.array([np.log(share / (1 - share))], np.float32)}
-        p |= {f"W{w}": np.zeros((w, DIMS, FILTERS), np.float32) for w in WIDTHS} | {f"b{w}": np.zeros(FILTERS, np.float32) for w in WIDTHS}
-        return Net(np.zeros(0, np.uint64), p, {None: 0.5})
+def calibrate(net: Net, docs: DataFrame, marked: DataFrame, id_col: str, column: str) -> None:
+    """Set the thresholds from all rows of ``marked`` (id, y)."""
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), lang.alias("lang"), F.col(f"`{column}`").alias("text"))
+    scored = score(rows.join(marked.withColumnRenamed(id_col, "id"), "id"), net, ["lang", "y"], "text")
+    bins = staged(scored.groupBy("lang", F.floor(F.col("score") * BINS).alias("bin"), "y").agg(F.count("*").alias("k")), "toxic-bins")
+    overall = _cuts(bins.withColumn("all", F.lit(1)), ["all"]).first()
+    net.cut = 0.5 if overall is None else float(overall.cut)
+    net.cuts = staged(_cuts(bins.where("lang is not null"), ["lang"]), "toxic-cuts")
+
+
+def _net(texts, y: np.ndarray, epochs: int, seed: int) -> Net:
     buf, off = text_buffer(texts)
     parts = list(slices(off, SLICE_BYTES))
     found = []
@@ -168,27 +178,42 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
                                return_counts=True))
     words, back = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True)
     count = np.bincount(back, np.concatenate([c for _, c in found]), minlength=len(words))
-    common = np.argsort(-count, kind="stable")[:MAX_WORDS]
-    vocabulary = np.sort(words[common[count[common] >= MIN_DOCS]])
+    vocabulary = words[count >= MIN_DOCS]
     cut = []
     for lo, hi in parts:
         ids, starts = word_ids(buf, off[lo: hi + 1], vocabulary)
         cut += [ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)])]
-    check = np.arange(len(y)) % 5 == 4
-    use = np.flatnonzero(~check)
-    net = Net(vocabulary, _train([cut[i] for i in use], y[use], len(vocabulary), epochs, seed), {None: 0.5})
-    if len(set(y[check].tolist())) == 2:
-        score = predict(net, buf, off)
-        net.thresholds[None] = _best_threshold(score[check], y[check])
-        for lang in sorted({x for x in langs if x is not None}):
-            mine = check & np.array([x == lang for x in langs])
-            if min(y[mine].sum(), (1 - y[mine]).sum()) >= 20:
-                net.thresholds[lang] = _best_threshold(score[mine], y[mine])
+    return Net(vocabulary, _train(cut, y, len(vocabulary), epochs, seed))
+
+
+def _constant(share: float) -> Net:
+    share = min(max(share, 0.01), 0.99)
+    p = {"E": np.zeros((0, DIMS), np.float32), "u": np.zeros(FILTERS * len(WIDTHS), np.float32),
+         "c": np.array([np.log(share / (1 - share))], np.float32)}
+    p |= {f"W{w}": np.zeros((w, DIMS, FILTERS), np.float32) for w in WIDTHS} | {f"b{w}": np.zeros(FILTERS, np.float32) for w in WIDTHS}
+    return Net(np.zeros(0, np.uint64), p)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, epochs: int = EPOCHS, seed: int = 7,
+        id_col: str = "doc_id", column: str = "text") -> Net:
+    """Train on a bounded sample of labelled texts and calibrate on all others of a fifth (see the module's text)."""
+    left_out = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(5)) == 4
+    texts, y, _ = labelled_sample(docs, labels.where(~left_out), label, per_class, id_col, column)
+    first = _net(texts, y, epochs, seed) if len(set(y.tolist())) == 2 else None
+    texts, y, _ = labelled_sample(docs, labels, label, per_class, id_col, column)
+    if len(set(y.tolist())) < 2:
+        return _constant(label_shares(labels, label, id_col))
+    net = _net(texts, y, epochs, seed)
+    if first is not None:
+        calibrate(first, docs, marked_rows(labels.where(left_out), label, id_col), id_col, column)
+        net.cut, net.cuts = first.cut, first.cuts
     return net
 
 
 def score(docs: DataFrame, net: Net, keep: list[str], column: str = "text") -> DataFrame:
     """The columns ``keep`` and ``score`` of every whole text."""
+    net = Net(net.vocabulary, net.params)  # tasks need no thresholds
+
     def run(batches):
         for batch in batches:
             if batch.num_rows:
@@ -203,9 +228,9 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of every document, with each language's calibrated threshold beside it."""
     docs = read(spark, sf_dir, "documents")
     net = fit(docs, read(spark, sf_dir, "labels"))
-    marks = F.create_map(*[F.lit(x) for k, v in net.thresholds.items() if k is not None for x in (k, v)]) if len(net.thresholds) > 1 else None
-    other = F.lit(net.thresholds[None])
     scored = score(docs.withColumn("held_out", fold("doc_id", 5) == 0), net, ["doc_id", "held_out", "lang"])
-    limit = other if marks is None else F.coalesce(F.try_element_at(marks, F.coalesce("lang", F.lit(""))), other)
+    limit = F.lit(net.cut)
+    if net.cuts is not None:
+        scored, limit = scored.join(net.cuts, "lang", "left"), F.coalesce("cut", limit)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                          limit.alias("lang_threshold"), (F.col("score") >= limit).alias("flagged"))
