@@ -19,7 +19,8 @@ from pyspark.sql import SparkSession
 
 from relaysync.operators.derivatives import routes_registry
 from relaysync.plans import jobs
-from relaysync.schema import ATTEMPTS_DDL
+from relaysync.plans.triplestore import sync_triplestore
+from relaysync.schema import ATTEMPTS_DDL, RESOURCES_DDL
 from relaysync.sources.events import read_raw_events, read_raw_events_stream, read_resources
 from relaysync.sources.properties import read_properties, to_map
 from relaysync.settings import Settings
@@ -44,7 +45,10 @@ def _parser() -> argparse.ArgumentParser:
     b.add_argument("--attempts")
     st = sub.choices["stream"]
     st.add_argument("--checkpoint", required=True)
-    st.add_argument("--resources", help="fetched documents (parquet): adds the triplestore routes")
+    st.add_argument("--resources", help="folder of fetched documents (parquet), read as they arrive: adds the triplestore routes")
+    st.add_argument("--prior-triples", help="triples stored before the first batch; default: an empty store")
+    st.add_argument("--buckets", type=int, default=256, help="hash buckets of the triples table (fixed by the first run)")
+    st.add_argument("--tries", type=int, default=5, help="batches that an index event waits for its document")
     st.add_argument("--attempts", help="folder of recorded delivery attempts (parquet), read as a second stream")
     st.add_argument("--every", help="processing-time trigger; default: process what is there and stop")
     return p
@@ -67,17 +71,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         print(json.dumps(paths))
         return paths
     trigger = {"processingTime": args.every} if args.every else {"availableNow": True}
-    q = jobs.sync_stream(read_raw_events_stream(spark, args.raw, args.raw_format), settings, args.out,
-                         args.checkpoint, trigger, registry=routes_registry(props), strict=args.strict, dedup=args.dedup,
-                         resources=(lambda: read_resources(spark, args.resources)) if args.resources else None)
-    started = [q]
-    paths = {name: f"{args.out}/{name}" for name in ("requests", "outcomes", "derivative_requests")}
+    raw = read_raw_events_stream(spark, args.raw, args.raw_format)
+    started = [jobs.sync_stream(raw, settings, args.out, args.checkpoint, trigger, registry=routes_registry(props),
+                                strict=args.strict, dedup=args.dedup)]
+    paths = {"sync": f"{args.out}/sync"}
     if args.resources:
-        paths["triples_requests"] = f"{args.out}/triples_requests"
+        docs = spark.readStream.schema(RESOURCES_DDL).parquet(args.resources)
+        prior = spark.read.parquet(args.prior_triples) if args.prior_triples else None
+        started.append(sync_triplestore(raw, docs, settings, args.out, f"{args.checkpoint}-triplestore", prior, args.buckets,
+                                        args.tries, trigger, args.strict))
+        paths["triplestore"], paths["triples"] = f"{args.out}/triplestore", f"{args.out}/triples"
     if args.attempts:
         att = spark.readStream.schema(ATTEMPTS_DDL).parquet(args.attempts)
         started.append(jobs.sync_attempts(att, settings, args.out, f"{args.checkpoint}-attempts", trigger))
-        paths["attempt_stats"] = f"{args.out}/attempt_stats"
+        paths["attempts"] = f"{args.out}/attempts"
     for query in started:
         query.awaitTermination()
     return paths

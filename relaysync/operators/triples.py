@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from relaysync import schema as S
 from relaysync.functions.ntriples import ntriple
+from relaysync.operators.ordered import lagged, segmented
 from relaysync.settings import Settings
 
 INDEX, DELETE = "index", "delete"
@@ -189,27 +190,58 @@ def rejected_documents(resources: DataFrame) -> DataFrame:
             .where(F.col("reason") != DOC_OK))
 
 
-def fetched_documents(resources: DataFrame) -> DataFrame:
+PARSED_DDL = "url string, s string, p string, o string, o_kind string, datatype string, lang string, doc_len int"
+
+
+def needed_urls(subject_evts: DataFrame) -> DataFrame:
+    """The documents that the events can need: one row for each URL of a valid index event."""
+    return subject_evts.where(F.col("reason").isNull() & (F.col("kind") == INDEX)).select("url").distinct()
+
+
+def parsed_documents(resources: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """Documents as triples (``PARSED_DDL``): parsed once, to be stored and read by every consumer.
+
+    With ``urls`` only those documents are parsed (a semi-join below the
+    parse).  Each document also has one row without a predicate, so one that
+    gives no triple is still known to be there.
+    """
+    docs = resources.select("url", "body")
+    if urls is not None:
+        docs = docs.join(urls.select("url").distinct(), "url", "left_semi")
+    docs = docs.select("url", "body", F.length("body").alias("doc_len"))
+    none = [F.lit(None).cast("string").alias(c) for c in TRIPLE_COLS]
+    return (jsonld_triples(docs).select("url", *TRIPLE_COLS, "doc_len")
+            .unionByName(docs.select("url", *none, "doc_len")))
+
+
+def _is_parsed(documents: DataFrame) -> bool:
+    return "body" not in documents.columns
+
+
+def fetched_documents(documents: DataFrame) -> DataFrame:
     """One row per fetched URL (column ``_have``) with ``_usable``: does any copy give a triple?
 
-    The index event of a rejected document must not win, or replacing would
-    empty the subject.  Only the URL and the flag leave this step, bodies are
-    not moved.
+    ``documents`` are fetched ones (url, body) or ``parsed_documents``.  The
+    index event of a rejected document must not win, or replacing would empty
+    the subject.  Only the URL and the flag leave this step, bodies are not
+    moved.
     """
-    ok = document_status(F.col("body")) == DOC_OK
-    return (resources.select(F.col("url").alias("_have"), ok.alias("_ok"))
+    ok = F.col("p").isNotNull() if _is_parsed(documents) else document_status(F.col("body")) == DOC_OK
+    return (documents.select(F.col("url").alias("_have"), ok.alias("_ok"))
             .groupBy("_have").agg(F.max("_ok").alias("_usable")))
 
 
-def _with_documents(events: DataFrame, resources: DataFrame) -> DataFrame:
+def _with_documents(events: DataFrame, documents: DataFrame) -> DataFrame:
     """Left join of index events to their documents' flags.
 
-    Other events get a key of their own that matches no URL, so they are
-    spread over the shuffle instead of sharing the null key.
+    Only documents that some event needs are looked at.  Other events get a
+    key of their own that matches no URL, so they are spread over the shuffle
+    instead of sharing the null key.
     """
     key = F.coalesce(F.when(F.col("kind") == INDEX, F.col("url")), F.concat(F.lit("\n"), F.col("seq").cast("string")))
+    urls = events.where(F.col("kind") == INDEX).select("url").distinct()
     return (events.withColumn("_key", key)
-            .join(fetched_documents(resources), F.col("_key") == F.col("_have"), "left").drop("_key"))
+            .join(fetched_documents(documents.join(urls, "url", "left_semi")), F.col("_key") == F.col("_have"), "left").drop("_key"))
 
 
 APPLIED, SUPERSEDED = "applied", "superseded"
@@ -267,6 +299,43 @@ def latest_per_subject(candidates: DataFrame) -> DataFrame:
                     F.col("w.url").alias("url")))
 
 
+def candidates(subject_evts: DataFrame) -> DataFrame:
+    """The valid events that can win, reduced: of those with one subject, kind and document only the last.
+
+    Same columns as the events, so that many rows, not all events, meet the documents' flags.
+    """
+    url = F.when(F.col("kind") == INDEX, F.col("url"))
+    last = F.max(F.struct("seq", "ts")).alias("w")
+    return (subject_evts.where(F.col("reason").isNull()).groupBy("s", "kind", url.alias("url")).agg(last)
+            .select("w.seq", "w.ts", "s", "kind", "url", F.lit(None).cast("string").alias("reason")))
+
+
+def last_writers(subject_evts: DataFrame, documents: DataFrame) -> DataFrame:
+    """``latest_per_subject`` of the ``eligible`` events, which are reduced before they are joined."""
+    return latest_per_subject(eligible(candidates(subject_evts), documents))
+
+
+NO_EVENT = "none"
+
+
+def transitions(subject_evts: DataFrame) -> DataFrame:
+    """Each valid event with the one before it on its subject, by seq (at equal seq: ts, then delete before index).
+
+    Adds ``before`` (kind of the event before, ``none`` for a subject's first)
+    and ``change``: ``created`` (index, none before or after a delete),
+    ``updated`` (index after index), ``deleted`` (delete after index) or
+    ``absent`` (delete of what is not there).  A subject of any number of
+    events is cut into segments (``operators.ordered``).
+    """
+    order = [F.col("seq"), F.col("ts"), F.col("kind")]
+    seg = segmented(subject_evts.where(F.col("reason").isNull()).select("seq", "ts", "s", "kind"), ["s"], order, "transitions")
+    j = lagged(seg, ["s"], order, {"kind": "before"})
+    was = F.coalesce(F.col("before") == INDEX, F.lit(False))
+    change = (F.when(F.col("kind") == INDEX, F.when(was, F.lit("updated")).otherwise(F.lit("created")))
+              .when(was, F.lit("deleted")).otherwise(F.lit("absent")))
+    return j.select("seq", "ts", "s", "kind", F.coalesce("before", F.lit(NO_EVENT)).alias("before"), change.alias("change"))
+
+
 def _winner_keys(winners: DataFrame) -> DataFrame:
     # Every consumer reads the same projection of the winners, so the
     # optimizer sees one plan and the shuffle behind it is reused.
@@ -274,46 +343,59 @@ def _winner_keys(winners: DataFrame) -> DataFrame:
                           F.col("kind").alias("w_kind"), F.col("url").alias("w_url"))
 
 
-def _winner_rows(winners: DataFrame, resources: DataFrame) -> DataFrame:
-    w = _winner_keys(winners)
-    docs = resources.join(w.where(F.col("w_kind") == INDEX), F.col("url") == F.col("w_url"), "inner")
-    return jsonld_triples(docs.select("url", "body", F.col("w_seq").alias("seq"), F.col("w_s").alias("subject"),
-                                      F.length("body").alias("doc_len")))
+def _winner_rows(winners: DataFrame, documents: DataFrame) -> DataFrame:
+    w = _winner_keys(winners).where(F.col("w_kind") == INDEX)
+    more = [F.col("w_seq").alias("seq"), F.col("w_s").alias("subject")]
+    docs = documents.join(w, F.col("url") == F.col("w_url"), "inner")
+    if _is_parsed(documents):
+        return docs.where(F.col("p").isNotNull()).select("url", *more, "doc_len", *TRIPLE_COLS)
+    return jsonld_triples(docs.select("url", "body", *more, F.length("body").alias("doc_len")))
 
 
-def winner_documents(winners: DataFrame, resources: DataFrame) -> DataFrame:
-    """Triples of the documents of index winners (only those documents are parsed).
+def winner_documents(winners: DataFrame, documents: DataFrame) -> DataFrame:
+    """Triples of the documents of index winners (fetched ones are parsed, only those of winners).
 
     Columns: seq, subject (the winner's subject), doc_len (document length)
     and the triple columns.
     """
-    t = _winner_rows(winners, resources)
+    t = _winner_rows(winners, documents)
     # a graph is a set: a value listed twice, or a document fetched twice, is one triple
     return (t.groupBy("seq", "subject", *TRIPLE_COLS).agg(F.max("doc_len").alias("doc_len"))
             .select("seq", "subject", "doc_len", *TRIPLE_COLS))
 
 
-def apply_changes(prior: DataFrame, winners: DataFrame, resources: DataFrame) -> DataFrame:
-    """E2 + E3: the triples table after the batch, a set of triples.
+def winner_triples(winners: DataFrame, documents: DataFrame) -> DataFrame:
+    """The triples that the winners' documents give, each once, with ``foreign``: does some document
+    have it about a node that is not its subject?"""
+    return (_winner_rows(winners, documents).groupBy(*TRIPLE_COLS)
+            .agg(F.max(F.col("s") != F.col("subject")).alias("foreign")))
+
+
+def _triple_key() -> Column:
+    """A key without nulls that equal triples share."""
+    return F.struct(*[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(c) for c in TRIPLE_COLS if c != "s"])
+
+
+def apply_changes(prior: DataFrame, winners: DataFrame, documents: DataFrame) -> DataFrame:
+    """E2 + E3: the triples table after the batch, a set of triples (``documents``: fetched or parsed)."""
+    return replace_subjects(prior, winners, winner_triples(winners, documents))
+
+
+def replace_subjects(prior: DataFrame, winners: DataFrame, new: DataFrame) -> DataFrame:
+    """``prior`` without the winners' subjects, and the ``winner_triples``.
 
     A document may describe nodes besides its subject, and several documents
     the same node: equal triples count once, and those of such other nodes
     that are stored already are not added again.  Only the stored rows of
-    these nodes are compared (a semi-join on ``s``, the key the table is
-    bucketed by); both branches read one aggregation of the documents.
+    these nodes are looked at, and only these triples are compared.
     """
     w = _winner_keys(winners)
     kept = prior.select(*TRIPLE_COLS).join(w, F.col("s") == F.col("w_s"), "left_anti")
-    new = (_winner_rows(winners, resources).groupBy(*TRIPLE_COLS)
-           .agg(F.max(F.col("s") != F.col("subject")).alias("foreign")))
     own, other = new.where(~F.col("foreign")), new.where("foreign").drop("foreign")
-    stored = kept.join(other.select("s").distinct(), "s", "left_semi").select(
-        *[F.col(c).alias(f"_{c}") for c in TRIPLE_COLS])
-    same = F.lit(True)
-    for c in TRIPLE_COLS:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return (kept.unionByName(own.select(*TRIPLE_COLS))
-            .unionByName(other.join(stored, same, "left_anti").select(*TRIPLE_COLS)))
+    stored = (kept.join(other.select("s").distinct(), "s", "left_semi")
+              .select(F.col("s").alias("_s"), _triple_key().alias("_key")))
+    added = other.join(stored, (F.col("s") == F.col("_s")) & (_triple_key() == F.col("_key")), "left_anti")
+    return kept.unionByName(own.select(*TRIPLE_COLS)).unionByName(added.select(*TRIPLE_COLS))
 
 
 def changeset(prior: DataFrame, winners: DataFrame, resources: DataFrame) -> DataFrame:

@@ -6,43 +6,27 @@ requests, outcomes of events stopped before dispatch, derivative requests,
 resolved outcomes (when delivery attempts are given) and the triples table
 after last-writer-wins.
 
-``sync_stream`` runs every route continuously (requests, derivative requests,
-triplestore updates, outcomes of events that stop): each micro-batch is
-written to one folder per output and batch id (overwrite on replay), so a
-replayed batch never duplicates rows.  ``sync_attempts`` takes the recorded
-delivery attempts as a second stream and ``resolved_outcomes`` reads both.
+``sync_stream`` runs the indexer and derivative routes continuously and
+``plans.triplestore.sync_triplestore`` the triplestore's; ``sync_attempts``
+takes the recorded delivery attempts as a stream and ``resolved_outcomes`` reads
+them all.  Their outputs are logs of committed batches (``streaming.batches``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relaysync.operators import dedup as D
 from relaysync.operators import derivatives, outcomes, triples
 from relaysync.operators import requests as R
+from relaysync.plans import triplestore
+from relaysync.plans.prepare import Transform, prepared
 from relaysync.schema import TRIPLES_DDL
-from relaysync.session import materialize
+from relaysync.session import materialize, stage_table
 from relaysync.settings import Settings
 from relaysync.sources import sinks
-
-PREPARED_COLUMNS = ["seq", "ts", "stream", "headers", "base_url", "uuid", "jsonld_url", "json_url",
-                    "canonical_url", "describes_url", "source_field", "is_new_version", "malformed",
-                    "parse_reason", "event"]
-
-
-Transform = Callable[[DataFrame], DataFrame]
-
-
-def prepared(raw: DataFrame, strict: bool = False, transform: Transform | None = None) -> DataFrame:
-    """Parsed events with the derived columns every operator reads, after the user hook."""
-    f = R.prepare(raw, strict)
-    if transform is not None:
-        f = f.transform(transform)
-    return f.select(*PREPARED_COLUMNS)
-
+from relaysync.streaming.batches import EVERY, BatchLog, log_writer
 
 def sync_batch(spark: SparkSession, raw: DataFrame, settings: Settings, out: str,
                resources: DataFrame | None = None, prior_triples: DataFrame | None = None,
@@ -77,24 +61,26 @@ def sync_batch(spark: SparkSession, raw: DataFrame, settings: Settings, out: str
     sent_cols = ["seq", "ts", "request_id", "route"]
     sent_paths = [paths["requests"]]
     if registry is not None:
-        stopped = stopped.unionByName(derivatives.derivative_outcomes(f, registry)
+        f_der = derivatives.routed(f, registry)
+        stopped = stopped.unionByName(derivatives.derivative_outcomes(f_der, registry)
                                       .select(*outcomes.OUTCOME_COLUMNS))
         paths["derivative_requests"] = f"{out}/derivative_requests"
-        derivatives.derivative_requests(f, registry, settings).write.mode("overwrite").parquet(
+        derivatives.derivative_requests(f_der, registry, settings).write.mode("overwrite").parquet(
             paths["derivative_requests"])
         sent_paths.append(paths["derivative_requests"])
 
     if resources is not None:
         if prior_triples is None:
             prior_triples = spark.createDataFrame([], TRIPLES_DDL)
-        sev = materialize(triples.subject_events(f_tri, settings))
-        w = materialize(triples.latest_per_subject(triples.eligible(sev, resources)))
+        sev = stage_table(triples.subject_events(f_tri, settings), "subject_events")
+        docs = stage_table(triples.parsed_documents(resources, triples.needed_urls(sev)), "parsed_documents")
+        w = stage_table(triples.last_writers(sev, docs), "winners")
         paths["triples"] = f"{out}/triples"
-        sinks.write_triples(triples.apply_changes(prior_triples, w, resources), paths["triples"])
+        sinks.write_triples(triples.apply_changes(prior_triples, w, docs), paths["triples"])
         paths["triples_requests"] = f"{out}/triples_requests"
-        triples.triples_requests(w, resources, settings).write.mode("overwrite").parquet(paths["triples_requests"])
+        triples.triples_requests(w, docs, settings).write.mode("overwrite").parquet(paths["triples_requests"])
         sent_paths.append(paths["triples_requests"])
-        stopped = stopped.unionByName(triples.triples_outcomes(sev, resources, w)
+        stopped = stopped.unionByName(triples.triples_outcomes(sev, docs, w)
                                       .where(F.col("reason") != triples.APPLIED).select(*outcomes.OUTCOME_COLUMNS))
 
     if attempts is not None:
@@ -110,103 +96,44 @@ def sync_batch(spark: SparkSession, raw: DataFrame, settings: Settings, out: str
     return paths
 
 
-# A log of narrow rows (one folder per batch) is folded into one folder every so many batches,
-# so a reader opens at most that many folders, however long the stream has run.
-FOLD_EVERY = 32
-
-
-def _log_before(spark: SparkSession, path: str, batch_id: int, ddl: str) -> DataFrame:
-    """Rows of the log written before ``batch_id``: the last fold and the batches since."""
-    if batch_id == 0:
-        return spark.createDataFrame([], ddl)
-    base = (batch_id - 1) // FOLD_EVERY * FOLD_EVERY
-    return spark.read.schema(ddl).parquet(*[f"{path}/batch_id={b}" for b in range(base, batch_id)])
-
-
-def _append_log(rows: DataFrame, before: DataFrame, fold: Callable[[DataFrame], DataFrame], path: str,
-                batch_id: int) -> None:
-    """Write the batch's rows; every ``FOLD_EVERY`` batches the fold of all rows so far."""
-    if batch_id % FOLD_EVERY == 0:
-        rows = fold(before.unionByName(rows))
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-
-def _last_batch(spark: SparkSession, path: str) -> int:
-    """The highest batch id under ``path``, from its folder names (any file system); -1 if there is none."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return -1
-    names = [f.getPath().getName() for f in fs.listStatus(folder)]
-    return max((int(n.split("=")[1]) for n in names if n.startswith("batch_id=")), default=-1)
-
-
-_WINNERS_DDL = "s string, seq bigint, ts timestamp, kind string, url string"
 _STATS_DDL = "request_id string, n int, " + ", ".join(f"{c} bigint" for c in outcomes.STATS_COLUMNS[1:])
-
-
-def _sync_triples(spark: SparkSession, f: DataFrame, resources: DataFrame, settings: Settings, out: str,
-                  batch_id: int) -> DataFrame:
-    """Triplestore updates of one micro-batch; returns the outcomes of its other triplestore events.
-
-    The batch's last writer of a subject is applied unless an earlier batch
-    held a later one; ``{out}/winners`` logs the last writers (narrow rows),
-    of which only the batch's subjects are read.
-    """
-    sev = materialize(triples.subject_events(f, settings))
-    mine = materialize(triples.latest_per_subject(triples.eligible(sev, resources)))
-    before = _log_before(spark, f"{out}/winners", batch_id, _WINNERS_DDL)
-    known = triples.latest_per_subject(before.join(mine.select("s"), "s", "left_semi")).select(
-        F.col("s").alias("_s"), F.struct("seq", "ts", "kind", "url").alias("_old"))
-    w = materialize(mine.join(known, F.col("s") == F.col("_s"), "left")
-                    .where(F.col("_old").isNull() | (F.struct("seq", "ts", "kind", "url") >= F.col("_old")))
-                    .select(*mine.columns))
-    triples.triples_requests(w, resources, settings).write.mode("overwrite").parquet(
-        f"{out}/triples_requests/batch_id={batch_id}")
-    _append_log(w, before, triples.latest_per_subject, f"{out}/winners", batch_id)
-    return (triples.triples_outcomes(sev, resources, w).where(F.col("reason") != triples.APPLIED)
-            .select(*outcomes.OUTCOME_COLUMNS))
+_OUTCOMES_DDL = ("seq bigint, ts timestamp, request_id string, route string, outcome string, reason string, level string, "
+                 "attempts bigint")
+_SENT_DDL = "seq bigint, ts timestamp, request_id string, route string"
 
 
 def sync_stream(raw_stream: DataFrame, settings: Settings, out: str, checkpoint: str,
                 trigger: dict | None = None, registry: DataFrame | None = None, strict: bool = False,
-                dedup: bool = False, transform: Transform | None = None,
-                resources: Callable[[], DataFrame] | None = None):
-    """Continuous run of all routes: requests and stopped-event outcomes per
-    micro-batch, derivative requests when a registry is given, triplestore
-    updates when ``resources`` is given.
+                dedup: bool = False, transform: Transform | None = None, every: int = EVERY):
+    """Continuous run of the indexer and derivative routes: requests and stopped-event outcomes per
+    micro-batch, derivative requests when a registry is given (``sync_triplestore`` runs the triplestore's).
 
-    ``resources`` is called once per micro-batch and returns the documents
-    fetched so far, so documents that arrive later are seen.  ``triples_requests``
-    of one subject are to be sent in order of ``seq`` and ``step``.
     ``dedup`` drops copies of messages seen in any earlier batch
     (``dedup_stream``); ``strict`` and ``transform`` as in ``sync_batch``.
-    Returns the started query.  Every output of a batch is written under
-    ``batch_id=<id>`` with overwrite, so replaying a batch is harmless.
+    Returns the started query.  The outputs of a batch are committed together
+    (``streaming.batches``); read them with ``written``.
     """
-
+    log = BatchLog(raw_stream.sparkSession, f"{out}/sync", every=every)
     if dedup:
         raw_stream = D.dedup_stream(raw_stream, settings).drop("message_id")
     if registry is not None:
         registry = materialize(registry)  # a few rows, read by every batch
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if log.committed(batch_id):
+            return
         # several outputs per batch: parse once, keep it for the other writes
         f = prepared(batch, strict, transform).persist()
         try:
-            R.build_requests(f, settings).write.mode("overwrite").parquet(
-                f"{out}/requests/batch_id={batch_id}")
-            stopped = R.event_outcomes(f, settings).select(*outcomes.OUTCOME_COLUMNS)
-            if registry is not None:
-                derivatives.derivative_requests(f, registry, settings).write.mode("overwrite").parquet(
-                    f"{out}/derivative_requests/batch_id={batch_id}")
-                stopped = stopped.unionByName(derivatives.derivative_outcomes(f, registry)
-                                              .select(*outcomes.OUTCOME_COLUMNS))
-            if resources is not None:
-                stopped = stopped.unionByName(
-                    _sync_triples(batch.sparkSession, f, resources(), settings, out, batch_id))
-            stopped.write.mode("overwrite").parquet(f"{out}/outcomes/batch_id={batch_id}")
+            with log.batch(batch_id) as put:
+                put("requests", R.build_requests(f, settings))
+                stopped = R.event_outcomes(f, settings).select(*outcomes.OUTCOME_COLUMNS)
+                if registry is not None:
+                    mine = derivatives.routed(f, registry)
+                    put("derivative_requests", derivatives.derivative_requests(mine, registry, settings))
+                    stopped = stopped.unionByName(derivatives.derivative_outcomes(mine, registry)
+                                                  .select(*outcomes.OUTCOME_COLUMNS))
+                put("outcomes", stopped)
         finally:
             f.unpersist()
 
@@ -215,45 +142,48 @@ def sync_stream(raw_stream: DataFrame, settings: Settings, out: str, checkpoint:
     return w.start()
 
 
+def _attempt_log(spark: SparkSession, out: str, every: int) -> BatchLog:
+    return BatchLog(spark, f"{out}/attempts", {"attempt_stats": lambda rows, last: outcomes.merge_stats(rows)}, every)
+
+
 def sync_attempts(attempts_stream: DataFrame, settings: Settings, out: str, checkpoint: str,
-                  trigger: dict | None = None):
+                  trigger: dict | None = None, every: int = EVERY):
     """Continuous redelivery resolution (E1): each micro-batch of attempts is reduced to one row of
-    statistics per request and logged under ``{out}/attempt_stats``.
+    statistics per request and logged.
 
     The statistics are minima and maxima, so rows of the same request from
     several batches merge in any order: no state is held in the query and no
     attempt is lost for being late.  Returns the started query.
     """
-    path = f"{out}/attempt_stats"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        before = _log_before(batch.sparkSession, path, batch_id, _STATS_DDL)
-        _append_log(outcomes.attempt_stats(batch, settings), before, outcomes.merge_stats, path, batch_id)
-
-    w = (attempts_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-         .trigger(**(trigger or {"availableNow": True})))
+    log = _attempt_log(attempts_stream.sparkSession, out, every)
+    w = (attempts_stream.writeStream.foreachBatch(
+        lambda batch, batch_id: log_writer(log, "attempt_stats")(outcomes.attempt_stats(batch, settings), batch_id))
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})))
     return w.start()
 
 
-SENT_OUTPUTS = ["requests", "derivative_requests", "triples_requests"]
-
-
 def resolved_outcomes(spark: SparkSession, settings: Settings, out: str) -> DataFrame:
-    """All outcomes of a continuous run: events that stopped, and every request written so far
-    resolved against the attempts logged so far."""
-    sent = None
-    for name in SENT_OUTPUTS:
-        if _last_batch(spark, f"{out}/{name}") >= 0:
-            part = written(spark, f"{out}/{name}").select("seq", "ts", "request_id", "route")
-            sent = part if sent is None else sent.unionByName(part)
-    stats = outcomes.merge_stats(_log_before(spark, f"{out}/attempt_stats",
-                                             _last_batch(spark, f"{out}/attempt_stats") + 1, _STATS_DDL))
-    return outcomes.all_outcomes(written(spark, f"{out}/outcomes"), outcomes.resolve(sent, stats, settings))
-
-
-def written(spark: SparkSession, path: str) -> DataFrame:
-    """Read an output of ``sync_stream`` back (batch folders merged)."""
-    return spark.read.parquet(path).drop("batch_id")
+    """All outcomes of a continuous run: events that stopped, index events that wait for their document
+    (pending), and every request written so far resolved against the attempts logged so far."""
+    sync, store = BatchLog(spark, f"{out}/sync"), BatchLog(spark, f"{out}/triplestore")
+    sent, stopped = spark.createDataFrame([], _SENT_DDL), triplestore.waiting_outcomes(spark, out)
+    for log, names in ((sync, ("requests", "derivative_requests")), (store, ("triples_requests",))):
+        for name in names:
+            part = log.read(name)
+            if part is not None:
+                sent = sent.unionByName(part.select("seq", "ts", "request_id", "route"))
+        stopped = stopped.unionByName(log.read("outcomes", _OUTCOMES_DDL))
+    stats = outcomes.merge_stats(_attempt_log(spark, out, EVERY).read("attempt_stats", _STATS_DDL))
+    return outcomes.all_outcomes(stopped, outcomes.resolve(sent, stats, settings))
+
+
+def written(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """An output of ``sync_stream`` or ``sync_triplestore``, committed batches only."""
+    job = "triplestore" if name == "triples_requests" else "sync"
+    rows = BatchLog(spark, f"{out}/{job}").read(name)
+    if rows is None:
+        raise ValueError(f"no committed batch of {out} has the output {name}")
+    return rows
 
 
 __all__ = ["prepared", "resolved_outcomes", "sync_attempts", "sync_batch", "sync_stream", "written"]

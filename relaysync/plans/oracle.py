@@ -338,6 +338,21 @@ SELECT request_id,
        coalesce(t_reason, last_reason) AS reason,
        coalesce(t, n) AS attempts
 FROM fin"""
+SQL["sync_triples"] = SQL["triples_after_delete"]
+SQL["late_documents"] = _with(F_CTE, DOC_CTE, TEV_CTE) + """
+SELECT s, seq, kind AS what FROM win
+UNION ALL SELECT NULL, event_id, reason FROM tev WHERE reason = 'resource_missing'"""
+SQL["committed_reads"] = SQL["all_requests"]
+SQL["subject_transitions"] = _with(F_CTE) + """,
+ev AS (
+  SELECT event_id AS seq, canon AS s, CASE kind WHEN 'node' THEN 'index' ELSE 'delete' END AS kind
+  FROM f WHERE kind IN ('node', 'delete') AND m NOT IN (2, 3, 8) AND NOT (kind = 'node' AND m = 0)
+),
+l AS (SELECT *, lag(kind) OVER (PARTITION BY s ORDER BY seq) AS prev FROM ev)
+SELECT s, seq, kind, coalesce(prev, 'none') AS before,
+       CASE WHEN kind = 'index' THEN CASE WHEN prev = 'index' THEN 'updated' ELSE 'created' END
+            WHEN prev = 'index' THEN 'deleted' ELSE 'absent' END AS change
+FROM l"""
 SQL["landed_requests"] = SQL["all_requests"]
 SQL["transformed_requests"] = _with(F_CTE, REQ_CTE) + f"""
 SELECT request_id, route, method, uri, content_location,

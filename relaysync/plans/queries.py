@@ -22,11 +22,13 @@ from relaysync.functions.headers import header_value
 from relaysync.functions.http_options import add_http_options_col
 from relaysync.operators import dedup, derivatives, outcomes, recipients, triples
 from relaysync.operators import requests as R
-from relaysync.session import materialize, scratch_dir
+from relaysync.session import materialize, scratch_dir, stage_table
 from relaysync.plans import jobs
+from relaysync.plans.triplestore import last_writers_of, sync_triplestore, triples_table
 from relaysync.sources import events as sources
 from relaysync.sources import feed, sinks
 from relaysync.streaming import pipeline as P
+from relaysync.streaming.batches import BatchLog
 
 SETTINGS = feed.FEED_SETTINGS
 REQ_COLS = ["request_id", "method", "uri", "content_location", "base_url"]
@@ -78,11 +80,22 @@ def prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.prior_triples(pages(spark, sf_dir))
 
 
-def winners(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = (triples.INDEX, triples.DELETE),
-            materialized: bool = False) -> DataFrame:
-    sev = triples.subject_events(fields(spark, sf_dir), SETTINGS).where(F.col("kind").isin(*kinds))
-    w = triples.latest_per_subject(triples.eligible(sev, resources(spark, sf_dir)))
-    return materialize(w) if materialized else w
+def subject_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the triplestore streams: the stream filter sits below the parse."""
+    some = raw(spark, sf_dir).where(F.col("stream").isin(SETTINGS.triples_index_stream, SETTINGS.triples_delete_stream))
+    return triples.subject_events(R.prepare(some), SETTINGS)
+
+
+def writers_and_documents(sev: DataFrame, res: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(last writers, parsed documents) of written subject events: a body that some event needs is
+    parsed once, whatever reads it afterwards."""
+    docs = stage_table(triples.parsed_documents(res, triples.needed_urls(sev)), "parsed_documents")
+    return triples.latest_per_subject(triples.eligible(sev, docs)), docs
+
+
+def winners(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = (triples.INDEX, triples.DELETE)) -> tuple[DataFrame, DataFrame]:
+    cands = triples.candidates(subject_events(spark, sf_dir).where(F.col("kind").isin(*kinds)))
+    return writers_and_documents(stage_table(cands, "candidates"), resources(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- parse
@@ -279,39 +292,35 @@ def q_jsonld_rejects(spark, sf_dir):
 
 
 def q_latest_per_subject(spark, sf_dir):
-    return winners(spark, sf_dir).select("s", "seq", "kind")
+    return winners(spark, sf_dir)[0].select("s", "seq", "kind")
 
 
 def q_triples_after_replace(spark, sf_dir):
-    w = winners(spark, sf_dir, (triples.INDEX,), materialized=True)
-    return triples.apply_changes(prior(spark, sf_dir), w, resources(spark, sf_dir))
+    return triples.apply_changes(prior(spark, sf_dir), *winners(spark, sf_dir, (triples.INDEX,)))
 
 
 def q_triples_after_delete(spark, sf_dir):
-    w = winners(spark, sf_dir, materialized=True)
-    return triples.apply_changes(prior(spark, sf_dir), w, resources(spark, sf_dir))
+    return triples.apply_changes(prior(spark, sf_dir), *winners(spark, sf_dir))
 
 
 def q_changeset(spark, sf_dir):
-    w = winners(spark, sf_dir, materialized=True)
-    return triples.changeset(prior(spark, sf_dir), w, resources(spark, sf_dir))
+    return triples.changeset(prior(spark, sf_dir), *winners(spark, sf_dir))
 
 
 def q_render_update(spark, sf_dir):
-    return triples.render_update(winners(spark, sf_dir, materialized=True), resources(spark, sf_dir))
+    return triples.render_update(*winners(spark, sf_dir))
 
 
 def q_triples_requests(spark, sf_dir):
-    w = winners(spark, sf_dir, materialized=True)
-    return triples.triples_requests(w, resources(spark, sf_dir), SETTINGS).drop("ts")
+    return triples.triples_requests(*winners(spark, sf_dir), SETTINGS).drop("ts")
 
 
 def q_triples_outcomes(spark, sf_dir):
-    res = resources(spark, sf_dir)
     # narrow subject events, written once: read by last-writer-wins and by the outcomes
-    sev = materialize(triples.subject_events(fields(spark, sf_dir), SETTINGS))
-    w = materialize(triples.latest_per_subject(triples.eligible(sev, res)))
-    return triples.triples_outcomes(sev, res, w).select("seq", "route", "outcome", "reason", "level")
+    sev = stage_table(subject_events(spark, sf_dir), "subject_events")
+    docs = stage_table(triples.parsed_documents(resources(spark, sf_dir), triples.needed_urls(sev)), "parsed_documents")
+    w = triples.last_writers(sev, docs)
+    return triples.triples_outcomes(sev, docs, w).select("seq", "route", "outcome", "reason", "level")
 
 
 def q_derivative_outcomes(spark, sf_dir):
@@ -335,6 +344,56 @@ def raw_stream(spark: SparkSession, sf_dir: str, run: P.StreamRun, redeliver: bo
     return feed.raw_events(src, SETTINGS)
 
 
+# buckets of the tables that the registered streams keep
+BUCKETS = 16
+
+
+def document_stream(spark: SparkSession, sf_dir: str, name: str, chunks: int = 3) -> DataFrame:
+    """The fetched documents as a stream, landed in chunks: in three, two thirds come after the first events."""
+    run = P.StreamRun(spark, name)
+    files = P.stage_by_hash(resources(spark, sf_dir), run.input, "url", chunks=chunks)
+    return P.read_stream(spark, run.input, S.RESOURCES_DDL, files, fmt="parquet")
+
+
+def triplestore_run(spark: SparkSession, sf_dir: str, name: str) -> P.StreamRun:
+    """A finished run of the triplestore routes over three triggers, with documents that come late."""
+    run = P.StreamRun(spark, name)
+    sync_triplestore(raw_stream(spark, sf_dir, run), document_stream(spark, sf_dir, f"{name}_documents"), SETTINGS, run.sink,
+                     run.checkpoint, prior(spark, sf_dir), BUCKETS).awaitTermination()
+    return run
+
+
+def q_sync_triples(spark, sf_dir):
+    """A7, E2, E3 on I1: the triples table that the stream keeps, read back."""
+    return triples_table(spark, triplestore_run(spark, sf_dir, "sync_triples").sink)
+
+
+def q_late_documents(spark, sf_dir):
+    """D3 on I1: the last applied event of each subject, and the index events whose document never came
+    (waiting still, or given up)."""
+    out = triplestore_run(spark, sf_dir, "late_documents").sink
+    missing = (jobs.resolved_outcomes(spark, SETTINGS, out).where(F.col("reason") == S.R_RESOURCE_MISSING)
+               .select(F.lit(None).cast("string").alias("s"), "seq", F.lit("resource_missing").alias("what")))
+    return last_writers_of(spark, out).select("s", "seq", F.col("kind").alias("what")).unionByName(missing)
+
+
+def q_committed_reads(spark, sf_dir):
+    """The request log as readers see it while a batch is half written, after every second batch was put together."""
+    run = P.StreamRun(spark, "committed_reads")
+    jobs.sync_stream(raw_stream(spark, sf_dir, run), SETTINGS, run.sink, run.checkpoint, every=2).awaitTermination()
+    log = BatchLog(spark, f"{run.sink}/sync")
+    done = jobs.written(spark, run.sink, "requests")
+    # an attempt at the next batch that died before its manifest
+    n = log.last() + 1
+    done.write.parquet(f"{log.root}/data/{n:012d}-{n:012d}-dead/requests")
+    return jobs.written(spark, run.sink, "requests").select(*ALL_REQ_COLS)
+
+
+def q_subject_transitions(spark, sf_dir):
+    """What each event of a subject finds: the kind before it, and whether the subject was indexed."""
+    return triples.transitions(subject_events(spark, sf_dir)).select("s", "seq", "kind", "before", "change")
+
+
 def q_stream_requests(spark, sf_dir):
     """I1 + I2 + E6: redelivered feed -> stream -> dedup across triggers -> requests."""
     run = P.StreamRun(spark, "stream_requests")
@@ -393,11 +452,12 @@ def q_sync_outcomes(spark, sf_dir):
     the triplestore rows are those of events that could not be applied.
     """
     run = P.StreamRun(spark, "sync_outcomes")
-    q = jobs.sync_stream(raw_stream(spark, sf_dir, run), SETTINGS, run.sink, run.checkpoint,
-                         registry=registry(spark), resources=lambda: resources(spark, sf_dir))
-    q.awaitTermination()
+    raw_events = raw_stream(spark, sf_dir, run)
+    jobs.sync_stream(raw_events, SETTINGS, run.sink, run.checkpoint, registry=registry(spark)).awaitTermination()
+    docs = document_stream(spark, sf_dir, "sync_documents", chunks=1)
+    sync_triplestore(raw_events, docs, SETTINGS, run.sink, f"{run.checkpoint}-triplestore", buckets=BUCKETS, tries=0).awaitTermination()
     att = P.StreamRun(spark, "sync_attempts")
-    req = jobs.written(spark, f"{run.sink}/requests")
+    req = jobs.written(spark, run.sink, "requests")
     files = P.stage_by_hash(feed.attempts_for(req), att.input, "request_id", "attempt_no")
     jobs.sync_attempts(P.read_stream(spark, att.input, S.ATTEMPTS_DDL, files, fmt="parquet"), SETTINGS, run.sink,
                        att.checkpoint).awaitTermination()
@@ -466,4 +526,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_outcomes": q_stream_outcomes,
     "stream_daily_outcomes": q_stream_daily_outcomes,
     "sync_outcomes": q_sync_outcomes,
+    "sync_triples": q_sync_triples,
+    "late_documents": q_late_documents,
+    "committed_reads": q_committed_reads,
+    "subject_transitions": q_subject_transitions,
 }

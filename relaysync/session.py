@@ -83,12 +83,12 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
-def stage_table(df, name: str):
-    """Write ``df`` once as Parquet under the shared folder and read it back.
+def stage_table(df, name: str, spark=None):
+    """Write ``df`` once as Parquet under the shared folder and read it back (in the session ``spark``).
 
     Cuts lineage like ``materialize``, but columnar: a reader takes only the
     columns it needs.  A lost executor loses nothing of it.
     """
     path = scratch_dir(df.sparkSession, name) + "/table"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (spark or df.sparkSession).read.schema(df.schema).parquet(path)

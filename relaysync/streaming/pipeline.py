@@ -1,9 +1,9 @@
 """Continuous runs (I1) with an idempotent sink.
 
 Every operator of the batch path runs unchanged on ``readStream`` input.
-Sinks go through ``foreachBatch`` and write one directory per ``batch_id``
-with overwrite, so a batch replayed after a failure replaces its own output
-instead of adding to it; the checkpoint makes the source offsets exact.
+Sinks go through ``foreachBatch`` into a log of committed batches
+(``streaming.batches``), so a batch replayed after a failure adds nothing and
+readers see whole batches only; the checkpoint makes the source offsets exact.
 Stateful steps are plain aggregations in update mode (max_by per subject,
 attempt statistics per request); their sink is an append-only log of
 updates that readers fold with the same aggregate (merge on read).
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from relaysync.schema import RAW_EVENTS_DDL
 from relaysync.session import scratch_dir
+from relaysync.streaming.batches import BatchLog, log_writer
 
 
 def _files_per_chunk(df: DataFrame) -> int:
@@ -73,10 +74,10 @@ def read_raw_stream(spark: SparkSession, path: str, max_files: int = 2, fmt: str
 
 
 def idempotent_writer(sink: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: one directory per batch id, overwritten on replay."""
+    """foreachBatch function: rows with their ``batch_id``, committed once whatever is replayed."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        log_writer(BatchLog(batch.sparkSession, sink))(batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")), batch_id)
 
     return write
 
@@ -97,7 +98,11 @@ def run_available_now(stream: DataFrame, sink: str, checkpoint: str, mode: str =
 
 
 def read_sink(spark: SparkSession, sink: str) -> DataFrame:
-    return spark.read.parquet(sink)
+    """The committed rows of a sink, with ``batch_id``."""
+    rows = BatchLog(spark, sink).read("rows")
+    if rows is None:
+        raise ValueError(f"no committed batch in {sink}")
+    return rows
 
 
 class StreamRun:

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from relaysync.__main__ import main
+from relaysync.plans import jobs
 from relaysync.plans import queries as Q
 from relaysync.session import scratch_dir
 from relaysync.sources import feed
@@ -35,9 +36,10 @@ def test_cli_batch_and_stream(spark, tmp_path):
     out = main(["stream", "--props", str(props), "--alias", "site.service.base=indexer.service.baseUrl",
                 "--raw", f"{root}/raw", "--raw-format", "parquet",
                 "--out", f"{root}/sout", "--checkpoint", f"{root}/ckpt"], spark)
-    sgot = spark.read.parquet(out["requests"]).drop("batch_id").select(*Q.ALL_REQ_COLS)
+    assert out["sync"] == f"{root}/sout/sync"
+    sgot = jobs.written(spark, f"{root}/sout", "requests").select(*Q.ALL_REQ_COLS)
     assert sgot.exceptAll(want).count() == 0 and want.exceptAll(sgot).count() == 0
     dcols = ["seq", "route", "service_uri", "source_uri"]
-    dgot = spark.read.parquet(out["derivative_requests"]).select(*dcols)
+    dgot = jobs.written(spark, f"{root}/sout", "derivative_requests").select(*dcols)
     dwant = Q.q_derivative_requests(spark, SF).select(*dcols)
     assert dgot.exceptAll(dwant).count() == 0 and dwant.exceptAll(dgot).count() == 0

@@ -10,6 +10,7 @@ from relaysync.plans import queries as Q
 from relaysync.session import scratch_dir
 from relaysync.sources import feed
 from relaysync.streaming import pipeline as P
+from relaysync.streaming.batches import BatchLog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="driver test data absent")
@@ -51,7 +52,7 @@ def test_sync_stream(spark):
     q = jobs.sync_stream(P.read_raw_stream(spark, run.input, files, fmt="parquet"), Q.SETTINGS, run.sink,
                          run.checkpoint)
     q.awaitTermination()
-    got = jobs.written(spark, f"{run.sink}/requests").select(*Q.ALL_REQ_COLS)
+    got = jobs.written(spark, run.sink, "requests").select(*Q.ALL_REQ_COLS)
     assert _same(got, Q.q_all_requests(spark, SF))
 
 
@@ -78,42 +79,27 @@ def test_sync_stream_with_copies(spark):
     q = jobs.sync_stream(P.read_raw_stream(spark, run.input, 1, fmt="parquet"), Q.SETTINGS, run.sink, run.checkpoint,
                          dedup=True)
     q.awaitTermination()
-    assert _same(jobs.written(spark, f"{run.sink}/requests").select(*Q.ALL_REQ_COLS), Q.q_all_requests(spark, SF))
+    assert _same(jobs.written(spark, run.sink, "requests").select(*Q.ALL_REQ_COLS), Q.q_all_requests(spark, SF))
 
 
-def test_sync_stream_all_routes(spark, monkeypatch):
-    """Triplestore updates and outcomes of a run cut into five triggers, its log folded every two."""
-    monkeypatch.setattr(jobs, "FOLD_EVERY", 2)
-    run = P.StreamRun(spark, "job_stream_all")
-    raw = Q.raw(spark, SF)
-    for k in (3, 0, 4, 1, 2):  # out of order: an older event must not undo a newer one
-        raw.where(f"pmod(seq div 20, 5) = {k}").coalesce(1).write.parquet(f"{run.input}/chunk-{k}")
-    q = jobs.sync_stream(P.read_raw_stream(spark, run.input, 1, fmt="parquet"), Q.SETTINGS, run.sink, run.checkpoint,
-                         resources=lambda: Q.resources(spark, SF))
-    q.awaitTermination()
-    sent = jobs.written(spark, f"{run.sink}/triples_requests").where("step = 0")
-    assert _same(sent.groupBy("body").agg({"seq": "max"}).toDF("body", "seq"),
-                 Q.q_render_update(spark, SF).where("step = 0").join(Q.winners(spark, SF), "s").selectExpr(
-                     "update_text as body", "seq"))
-    ids = spark.read.parquet(f"{run.sink}/triples_requests").where("step = 0").selectExpr(
-        "body", "batch_id", "seq").orderBy("body", "batch_id").collect()
-    assert all(a.seq < b.seq for a, b in zip(ids, ids[1:]) if a.body == b.body)
-    before = jobs._log_before(spark, f"{run.sink}/winners", 5, jobs._WINNERS_DDL)
-    assert _same(jobs.triples.latest_per_subject(before).select("s", "seq", "kind"), Q.q_latest_per_subject(spark, SF))
-
-
-def test_sync_attempts_late_and_folded(spark, monkeypatch):
-    monkeypatch.setattr(jobs, "FOLD_EVERY", 2)
+def test_sync_attempts_late_and_folded(spark):
     run = P.StreamRun(spark, "job_attempts")
     req = Q.requests(spark, SF).select("seq", "ts", "request_id", "route")
-    req.write.parquet(f"{run.sink}/requests/batch_id=0")
-    spark.createDataFrame([], "seq bigint, ts timestamp, request_id string, route string, outcome string, reason string, "
-                              "level string, attempts bigint").write.parquet(f"{run.sink}/outcomes/batch_id=0")
+    with BatchLog(spark, f"{run.sink}/sync").batch(0) as put:
+        put("requests", req)
     att = feed.attempts_for(req)
     for k in range(5):  # the last attempts first
         att.where(f"(attempt_no + hash(request_id)) % 5 in ({k}, {k - 5})").coalesce(1).write.parquet(
             f"{run.input}/chunk-{4 - k}")
     stream = P.read_stream(spark, run.input, "request_id string, attempt_no int, status int", 1, fmt="parquet")
-    jobs.sync_attempts(stream, Q.SETTINGS, run.sink, run.checkpoint).awaitTermination()
+    jobs.sync_attempts(stream, Q.SETTINGS, run.sink, run.checkpoint, every=2).awaitTermination()
     got = jobs.resolved_outcomes(spark, Q.SETTINGS, run.sink).select(*Q.REDELIVERY_COLS)
     assert _same(got, Q.q_redelivery_outcomes(spark, SF))
+
+
+def test_resolved_outcomes_with_nothing_sent(spark):
+    out = scratch_dir(spark, "job_nothing")
+    assert jobs.resolved_outcomes(spark, Q.SETTINGS, out).count() == 0
+    with BatchLog(spark, f"{out}/sync").batch(0) as put:
+        put("outcomes", spark.createDataFrame([(1, None, "1:x", "x", "failed", "malformed", "ERROR", 0)], jobs._OUTCOMES_DDL))
+    assert [r.request_id for r in jobs.resolved_outcomes(spark, Q.SETTINGS, out).collect()] == ["1:x"]
