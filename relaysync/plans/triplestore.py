@@ -92,36 +92,35 @@ def sync_triplestore(raw_stream: DataFrame, documents: DataFrame, settings: Sett
         events = batch.where((F.col("what") == "event") & F.col("stream").isin(*streams)).select(*_RAW)
         sev = stage_table(triples.subject_events(prepared(events, strict, transform), settings), "subject_events", spark)
         fetched.append(came.withColumn("arrived", F.lit(batch_id).cast("bigint")), batch_id, _latest_copies)
-        docs = stage_table(_latest_copies(_of(fetched, triples.needed_urls(sev), "url")).drop("arrived"), "needed")
         before = log.read("waiting", WAITING_DDL, batch_id, batch_id - 1).where(F.col("at") == batch_id - 1)
-        released = before.join(came.select("url").distinct(), "url", "left_semi").select(
+        came_urls = came.select("url").distinct()
+        released = before.join(came_urls, "url", "left_semi").select(
             "seq", "ts", "s", "kind", "url", F.lit(None).cast("string").alias("reason"))
-        # a released event's document came with this batch, so it is the last copy of its URL
-        known = docs.unionByName(came.join(released.select("url").distinct(), "url", "left_semi")).distinct()
-        open_events = stage_table(sev.unionByName(released), "open_events")
-        mine = stage_table(triples.last_writers(open_events, known), "writers")
-        held = triples.latest_per_subject(_of(writers, mine.select("s"), "s")).select(
+        open_events = sev.unionByName(released)
+        # what the batch's events need of the documents, read once; a released event's document came with this batch
+        needed = triples.needed_urls(open_events)
+        known = stage_table(_latest_copies(_of(fetched, needed, "url")).drop("arrived"), "needed")
+        subjects = open_events.where(F.col("reason").isNull()).select("s").distinct()
+        held = triples.latest_per_subject(_of(writers, subjects, "s")).select(
             F.col("s").alias("_s"), F.struct("seq", "ts", "kind").alias("_held"))
+        mine = triples.last_writers(open_events, known)
         w = stage_table(mine.join(held, F.col("s") == F.col("_s"), "left")
                         .where(F.col("_held").isNull() | (F.struct("seq", "ts", "kind") >= F.col("_held")))
                         .select(*mine.columns), "winners")
-        theirs = stage_table(known.join(w.where(F.col("kind") == triples.INDEX).select("url").distinct(), "url", "left_semi"), "winner_documents")
-        new = stage_table(triples.winner_triples(w, theirs), "winner_triples")
+        new = stage_table(triples.winner_triples(w, known), "winner_triples")
         changed = store.touched(w.select("s"), new.select("s"))
         store.replace(triples.replace_subjects(store.read(changed), w, new), changed, batch_id)
         writers.append(w.select("s", "seq", "ts", "kind", "url"), batch_id, triples.latest_per_subject)
 
-        results = stage_table(triples.triples_outcomes(open_events, known, w), "results")
-        missing = results.where(F.col("reason") == S.R_RESOURCE_MISSING).select(F.col("seq").alias("_seq"))
-        fresh = (sev.where(F.col("kind") == triples.INDEX).join(missing, F.col("seq") == F.col("_seq"), "left_semi")
-                 .select("seq", "ts", "s", "kind", "url", F.lit(0).alias("tried")))
-        again = before.join(released.select("seq"), "seq", "left_anti").withColumn("tried", F.col("tried") + 1)
-        waiting = stage_table(fresh.unionByName(again.select(*fresh.columns)), "waiting")
+        fresh = (sev.where((F.col("kind") == triples.INDEX) & F.col("reason").isNull())
+                 .join(known.select("url").distinct(), "url", "left_anti").select("seq", "ts", "s", "kind", "url", F.lit(0).alias("tried")))
+        again = before.join(came_urls, "url", "left_anti").withColumn("tried", F.col("tried") + 1)
+        waiting = fresh.unionByName(again.select(*fresh.columns))
         given_up = _as_outcomes(waiting.where(F.col("tried") >= tries), "failed", "ERROR")
+        results = triples.triples_outcomes(open_events, known, w).where(~F.col("reason").isin(triples.APPLIED, S.R_RESOURCE_MISSING))
         with log.batch(batch_id) as put:
-            put("triples_requests", triples.triples_requests(w, theirs, settings))
-            put("outcomes", results.where(~F.col("reason").isin(triples.APPLIED, S.R_RESOURCE_MISSING))
-                .select(*outcomes.OUTCOME_COLUMNS).unionByName(given_up))
+            put("triples_requests", triples.triples_requests(w, known, settings))
+            put("outcomes", results.select(*outcomes.OUTCOME_COLUMNS).unionByName(given_up))
             put("waiting", waiting.where(F.col("tried") < tries).withColumn("at", F.lit(batch_id).cast("bigint")))
 
     q = (_both(raw_stream, documents).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
