@@ -59,7 +59,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     spark = spark or SparkSession.builder.appName("relaysync").getOrCreate()
     props = read_properties(spark, args.props)
     aliases = dict(a.split("=", 1) for a in args.alias)
-    settings = Settings.from_map(to_map(props), aliases)
+    settings = Settings.from_map(to_map(props, aliases), aliases)
     if args.cmd == "batch":
         raw = read_raw_events(spark, args.raw, args.raw_format)
         res = read_resources(spark, args.resources) if args.resources else None

@@ -52,6 +52,32 @@ def response_classes(requests: DataFrame, attempts: DataFrame) -> DataFrame:
                     status_class(F.col("status"), F.col("route")).alias("class"))
 
 
+PENDING = "pending"
+
+
+def response_stream(requests: DataFrame, attempts: DataFrame, delay: str = "1 hour", horizon: str = "1 day") -> DataFrame:
+    """D4 on two streams: every attempt with its class, and one ``pending`` row for a request without any.
+
+    ``requests`` (request_id, route, ts) and ``attempts`` (request_id,
+    attempt_no, status, at).  An attempt belongs to a request sent at most
+    ``horizon`` before it; either stream may be late by ``delay``.  Both bounds
+    let the join drop its state: a request is held until the watermark has
+    passed its horizon, and is then ``pending`` (attempt_no and status null)
+    if nothing came.  Attempts later than that are in the attempts' own log
+    (``late_attempts``).
+    """
+    r = requests.select("request_id", "route", "ts").withWatermark("ts", delay)
+    a = (attempts.select(F.col("request_id").alias("_id"), "attempt_no", "status", "at").withWatermark("at", delay))
+    j = r.join(a, F.expr(f"request_id = _id AND at >= ts AND at <= ts + INTERVAL {horizon}"), "leftOuter")
+    cls = F.when(F.col("_id").isNull(), F.lit(PENDING)).otherwise(status_class(F.col("status"), F.col("route")))
+    return j.select("request_id", "route", "attempt_no", "status", cls.alias("class"))
+
+
+def late_attempts(attempts: DataFrame, responses: DataFrame) -> DataFrame:
+    """Logged attempts that the join did not take: too late, or of no known request."""
+    return attempts.join(responses.select("request_id", "attempt_no"), ["request_id", "attempt_no"], "left_anti")
+
+
 # (attempt_no, status) packed into one long, attempt first, so min/max order
 # by attempt; keeps every aggregation buffer fixed-width (hash aggregate,
 # small streaming state).  The low 32 bits hold status + 1, or 0 for an
@@ -105,20 +131,6 @@ def _stats(grouped) -> DataFrame:
     )
 
 
-def attempt_stats_bounded(attempts: DataFrame, settings: Settings, request_ts: str = "request_ts",
-                          delay: str = "1 day") -> DataFrame:
-    """Stream form with bounded state: attempts carry their request's ingest time.
-
-    State of a request is kept until the watermark on ``request_ts`` passes
-    it by ``delay`` (the longest retry horizon), then dropped; attempts that
-    arrive later than that are ignored.  In update mode rows appear as they
-    change; in append mode one final row per request appears once the
-    watermark passes.  Same columns as ``attempt_stats`` plus ``request_ts``.
-    """
-    return _stats(attempts.where(_in_range(settings)).withWatermark(request_ts, delay)
-                  .groupBy("request_id", request_ts))
-
-
 def merge_stats(stats: DataFrame) -> DataFrame:
     """Fold partial ``attempt_stats`` rows of the same requests (each batch's own) into one row each."""
     return stats.groupBy("request_id").agg(

@@ -27,6 +27,7 @@ from relaysync.session import materialize, stage_table
 from relaysync.settings import Settings
 from relaysync.sources import sinks
 from relaysync.streaming.batches import EVERY, BatchLog, log_writer
+from relaysync.streaming.pipeline import idempotent_writer, read_sink
 
 def sync_batch(spark: SparkSession, raw: DataFrame, settings: Settings, out: str,
                resources: DataFrame | None = None, prior_triples: DataFrame | None = None,
@@ -162,6 +163,23 @@ def sync_attempts(attempts_stream: DataFrame, settings: Settings, out: str, chec
     return w.start()
 
 
+def sync_responses(requests: DataFrame, attempts: DataFrame, out: str, checkpoint: str, delay: str = "1 hour",
+                   horizon: str = "1 day", trigger: dict | None = None) -> list:
+    """Continuous response join (D4): starts two queries, the join (``outcomes.response_stream``) into
+    ``{out}/responses`` and the attempts as they came into ``{out}/attempt_log``."""
+    def run(stream: DataFrame, name: str):
+        return (stream.writeStream.outputMode("append").foreachBatch(idempotent_writer(f"{out}/{name}"))
+                .option("checkpointLocation", f"{checkpoint}/{name}").trigger(**(trigger or {"availableNow": True})).start())
+
+    return [run(outcomes.response_stream(requests, attempts, delay, horizon), "responses"), run(attempts, "attempt_log")]
+
+
+def late_responses(spark: SparkSession, out: str) -> DataFrame:
+    """The attempts of ``sync_responses`` that came too late for the join, or belong to no known request."""
+    logged = read_sink(spark, f"{out}/attempt_log").drop("batch_id").where(F.col("request_id").isNotNull())
+    return outcomes.late_attempts(logged, read_sink(spark, f"{out}/responses"))
+
+
 def resolved_outcomes(spark: SparkSession, settings: Settings, out: str) -> DataFrame:
     """All outcomes of a continuous run: events that stopped, index events that wait for their document
     (pending), and every request written so far resolved against the attempts logged so far."""
@@ -186,4 +204,4 @@ def written(spark: SparkSession, out: str, name: str) -> DataFrame:
     return rows
 
 
-__all__ = ["prepared", "resolved_outcomes", "sync_attempts", "sync_batch", "sync_stream", "written"]
+__all__ = ["late_responses", "prepared", "resolved_outcomes", "sync_attempts", "sync_batch", "sync_responses", "sync_stream", "written"]

@@ -338,6 +338,9 @@ SELECT request_id,
        coalesce(t_reason, last_reason) AS reason,
        coalesce(t, n) AS attempts
 FROM fin"""
+SQL["stream_responses"] = _with(F_CTE, REQ_CTE, ATT_CTE) + """
+SELECT request_id, attempt_no, status, class FROM cls WHERE event_id % 29 <> 0
+UNION ALL SELECT request_id, NULL, NULL, 'pending' FROM r WHERE event_id % 29 = 0"""
 SQL["sync_triples"] = SQL["triples_after_delete"]
 SQL["late_documents"] = _with(F_CTE, DOC_CTE, TEV_CTE) + """
 SELECT s, seq, kind AS what FROM win

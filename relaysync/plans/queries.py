@@ -445,6 +445,31 @@ def q_stream_outcomes(spark, sf_dir):
     return outcomes.resolve(req, latest, SETTINGS).select(*REDELIVERY_COLS)
 
 
+def q_stream_responses(spark, sf_dir):
+    """D4 on two streams: requests and their attempts, a minute apart; every 29th request gets no answer.
+
+    A last request and attempt far ahead move the watermark past every horizon.
+    """
+    run = P.StreamRun(spark, "stream_responses")
+    req = stage_table(requests(spark, sf_dir).select("seq", "ts", "request_id", "route"), "sent")
+    minutes = F.col("attempt_no") * F.expr("INTERVAL 1 MINUTE")
+    att = (feed.attempts_for(req.where(F.pmod("seq", F.lit(29)) != 0)).join(req.select("request_id", "ts"), "request_id")
+           .select("request_id", "attempt_no", "status", (F.col("ts") + minutes).alias("at")))
+    ahead = req.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("t"))
+    null, files = F.lit(None), P.files_per_chunk(req)
+    for name, rows, last in (
+            ("requests", req.select("request_id", "route", "ts"), ahead.select(null.cast("string"), null.cast("string"), "t")),
+            ("attempts", att, ahead.select(null.cast("string"), null.cast("int"), null.cast("int"), "t"))):
+        rows.repartition(files).write.parquet(f"{run.input}/{name}/0")
+        last.write.parquet(f"{run.input}/{name}/1")
+    r = P.read_stream(spark, f"{run.input}/requests", "request_id string, route string, ts timestamp", files, fmt="parquet")
+    a = P.read_stream(spark, f"{run.input}/attempts", "request_id string, attempt_no int, status int, at timestamp", files, fmt="parquet")
+    for q in jobs.sync_responses(r, a, run.sink, run.checkpoint, horizon="2 days"):
+        q.awaitTermination()
+    return (P.read_sink(spark, f"{run.sink}/responses").where(F.col("request_id").isNotNull())
+            .select("request_id", F.col("attempt_no").cast("bigint").alias("attempt_no"), F.col("status").cast("bigint").alias("status"), "class"))
+
+
 def q_sync_outcomes(spark, sf_dir):
     """The continuous job (all routes, and attempts as a second stream) over three triggers each.
 
@@ -526,6 +551,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_outcomes": q_stream_outcomes,
     "stream_daily_outcomes": q_stream_daily_outcomes,
     "sync_outcomes": q_sync_outcomes,
+    "stream_responses": q_stream_responses,
     "sync_triples": q_sync_triples,
     "late_documents": q_late_documents,
     "committed_reads": q_committed_reads,

@@ -66,7 +66,6 @@ R_MISSING_JSON = "missing_json_url"
 R_MISSING_CANONICAL = "missing_canonical_url"
 R_MISSING_SOURCE_FIELD = "missing_source_field"
 R_MISSING_ATTACHMENT = "missing_attachment"
-R_MISSING_SUBJECT = "missing_subject"
 R_RESOURCE_MISSING = "resource_missing"
 R_DOCUMENT_REJECTED = "document_rejected"
 R_ILLEGAL_SUBJECT = "illegal_subject"
@@ -82,8 +81,6 @@ PRE_DISPATCH_POLICY = {
     R_MALFORMED: ("failed", "ERROR"),
     R_UNKNOWN_FIELD: ("failed", "ERROR"),
     R_MISSING_ATTACHMENT: ("failed", "ERROR"),
-    R_MISSING_SUBJECT: ("skipped", "WARN"),
-    R_RESOURCE_MISSING: ("failed", "ERROR"),
 }
 
 # --- fixed values: HTTP status handling after dispatch ---------------------

@@ -24,11 +24,12 @@ KEY_AUTH_TOKEN = "sync.auth_token"
 KEY_RECIPIENTS_HEADER = "sync.recipients_header"
 KEY_MESSAGE_ID_HEADER = "sync.message_id_header"
 
+KNOWN_KEYS = [v for k, v in list(globals().items()) if k.startswith("KEY_")]
+
 DEFAULT_MAX_REDELIVERIES = 5
 
 # --- fixed values: how a property string reads as a boolean ----------------
 TRUE_WORDS = ("true", "on", "yes", "1")
-FALSE_WORDS = ("false", "off", "no", "0")
 
 
 def read_bool(value: str | None, default: bool) -> bool:

@@ -11,17 +11,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaysync.settings import Settings
-
-# A properties file is configuration, not data: refuse to pull more than this
-# many keys to the driver.
-MAX_KEYS = 100_000
-
+from relaysync.settings import KNOWN_KEYS, Settings
 
 # A comment line (a backslash does not continue it), or a logical line: plain
 # characters, continued line ends and escaped characters.
 LINE = r"(?:[ \t\f]*[#!][^\r\n]*)|(?:[^\\\r\n]++|\\\r?\n|\\.)+"
 CONTINUATION = r"\\\r?\n[ \t\f]*"
+# A run of unicode escapes: characters of one unit, or pairs of surrogates.
+UNICODE = r"(?:\\u(?![dD][89abAB])(?![dD][c-fC-F])[0-9a-fA-F]{4}|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2})+"
 ESCAPES = {"\\t": "\t", "\\n": "\n", "\\r": "\r", "\\f": "\f"}
 
 
@@ -33,14 +30,16 @@ def _logical_lines(text):
 
 def _unescape(col):
     """Escapes of the properties format, undone in one pass from the left: \\t \\n \\r \\f,
-    and backslash + char -> char.  (Unicode escapes are left as written.)"""
+    unicode escapes (half a surrogate pair, or fewer than four digits, is left as written), and
+    backslash + char -> char."""
     def plain(token):
-        out = F.regexp_replace(token, r"^\\([^u])", "$1")
+        code = F.decode(F.unhex(F.regexp_replace(token, r"\\u", "")), "UTF-16BE")
+        out = F.when(token.rlike(f"^{UNICODE}$"), code).otherwise(F.regexp_replace(token, r"^\\([^u])", "$1"))
         for written, char in ESCAPES.items():
             out = F.when(token == written, F.lit(char)).otherwise(out)
         return out
 
-    return F.array_join(F.transform(F.regexp_extract_all(col, F.lit(r"\\.|[^\\]+"), F.lit(0)), plain), "")
+    return F.array_join(F.transform(F.regexp_extract_all(col, F.lit(UNICODE + r"|\\.|[^\\]+"), F.lit(0)), plain), "")
 
 
 def _text(spark: SparkSession, path: str) -> DataFrame | None:
@@ -85,14 +84,12 @@ def resolve(props: DataFrame) -> DataFrame:
     return props.groupBy("key").agg(F.max_by("value", "priority").alias("value"))
 
 
-def to_map(props: DataFrame) -> dict[str, str]:
-    """Resolved properties as a driver dict, size-checked first."""
-    resolved = resolve(props)
-    n = resolved.limit(MAX_KEYS + 1).count()
-    if n > MAX_KEYS:
-        raise ValueError(f"more than {MAX_KEYS} property keys; not a configuration file")
-    return {r["key"]: r["value"] for r in resolved.collect()}
+def to_map(props: DataFrame, aliases: dict[str, str] | None = None) -> dict[str, str]:
+    """The resolved properties that ``Settings`` reads, or that are renamed to one, as a driver dict
+    (as many at most as there are such names, whatever the files hold)."""
+    wanted = [*KNOWN_KEYS, *(aliases or {})]
+    return {r["key"]: r["value"] for r in resolve(props.where(F.col("key").isin(wanted))).collect()}
 
 
 def load_settings(spark: SparkSession, paths: list[str], aliases: dict[str, str] | None = None) -> Settings:
-    return Settings.from_map(to_map(read_properties(spark, paths)), aliases)
+    return Settings.from_map(to_map(read_properties(spark, paths), aliases), aliases)

@@ -21,7 +21,7 @@ from relaysync.session import scratch_dir
 from relaysync.streaming.batches import BatchLog, log_writer
 
 
-def _files_per_chunk(df: DataFrame) -> int:
+def files_per_chunk(df: DataFrame) -> int:
     try:
         return max(1, df.sparkSession.sparkContext.defaultParallelism)
     except Exception:  # noqa: BLE001 - no SparkContext view (Connect): fall back to the shuffle width
@@ -37,7 +37,7 @@ def stage_in_order(df: DataFrame, path: str, order_col: str, chunks: int = 2, fm
     ``order_col`` (column pruning).  Only the min/max reach the driver.
     Returns the number of files per chunk (use it as ``maxFilesPerTrigger``).
     """
-    files = _files_per_chunk(df)
+    files = files_per_chunk(df)
     lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
     if lo is None:  # empty, or every key null: one chunk with everything
         df.repartition(files).write.format(fmt).save(f"{path}/chunk-0000")
@@ -57,7 +57,7 @@ def stage_by_hash(df: DataFrame, path: str, *key: str, chunks: int = 3, fmt: str
 
     Rows that must meet in state across triggers differ in some key column.
     """
-    files = _files_per_chunk(df)
+    files = files_per_chunk(df)
     for i in range(chunks):
         (df.where(F.pmod(F.xxhash64(*key), F.lit(chunks)) == i).repartition(files)
          .write.format(fmt).save(f"{path}/chunk-{i:04d}"))

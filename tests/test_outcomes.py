@@ -90,23 +90,27 @@ def test_unknown_and_missing_status_are_retried(spark):
     assert got["r4"] == ("skipped", "http_404", 2)
 
 
-def test_bounded_stream_stats_equal_batch(spark):
+def test_response_stream_pending_and_late(spark):
+    """A request without attempts is pending once its horizon has passed; an attempt after that is kept aside."""
+    from relaysync.plans.jobs import late_responses, sync_responses
     from relaysync.streaming import pipeline as P
-    s = Settings(max_redeliveries=2)
-    rows = [(f"r{i}", dt.datetime(2024, 1, 1, i % 24), a, [500, 404, 201][(i + a) % 3])
-            for i in range(60) for a in range(1, 4)]
-    att = spark.createDataFrame(rows, "request_id string, request_ts timestamp, attempt_no int, status int")
-    run = P.StreamRun(spark, "bounded_stats")
-    files = P.stage_in_order(att.withColumn("h", F.hour("request_ts")), run.input, "h")
-    src = P.read_stream(spark, run.input, "request_id string, request_ts timestamp, attempt_no int, status int",
-                        files, fmt="parquet")
-    P.run_available_now(O.attempt_stats_bounded(src, s, delay="2 hours"), run.sink, run.checkpoint, "update")
-    logged = P.read_sink(spark, run.sink)
-    folded = (logged.groupBy("request_id")
-              .agg(F.max_by(F.struct(*O.STATS_COLUMNS), "batch_id").alias("x"))
-              .select("request_id", "x.*"))
-    batch = O.attempt_stats(att.drop("request_ts"), s)
-    assert folded.exceptAll(batch).count() == 0 and batch.exceptAll(folded).count() == 0
+    run = P.StreamRun(spark, "responses")
+    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    triggers = [([("a", "node_index", day(1)), ("b", "node_delete", day(1)), ("c", "node_index", day(1))], [("a", 1, 500, day(1, 1)), ("b", 1, 404, day(1, 1))]),
+                ([("d", "node_index", day(2))], [("a", 2, 201, day(1, 2)), ("d", 1, None, day(2, 1))]),
+                ([(None, None, day(9))], [(None, None, None, day(9))]),
+                ([], [("c", 1, 201, day(1, 3)), ("x", 1, 201, day(9))])]
+    for k, (req, att) in enumerate(triggers):
+        spark.createDataFrame(req, "request_id string, route string, ts timestamp").coalesce(1).write.parquet(f"{run.input}/r/{k}")
+        spark.createDataFrame(att, "request_id string, attempt_no int, status int, at timestamp").coalesce(1).write.parquet(f"{run.input}/a/{k}")
+    requests = P.read_stream(spark, f"{run.input}/r", "request_id string, route string, ts timestamp", 1, fmt="parquet")
+    attempts = P.read_stream(spark, f"{run.input}/a", "request_id string, attempt_no int, status int, at timestamp", 1, fmt="parquet")
+    for q in sync_responses(requests, attempts, run.sink, run.checkpoint):
+        q.awaitTermination()
+    got = P.read_sink(spark, f"{run.sink}/responses").where("request_id is not null")
+    assert sorted((r.request_id, r.attempt_no or 0, r["class"]) for r in got.collect()) == [
+        ("a", 1, "retry"), ("a", 2, "ok"), ("b", 1, "skip"), ("c", 0, "pending"), ("d", 1, "retry")]
+    assert sorted(r.request_id for r in late_responses(spark, run.sink).collect()) == ["c", "x"]
 
 
 def test_redeliver_forever(spark):

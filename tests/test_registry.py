@@ -70,3 +70,10 @@ def test_enabled_words(spark, tmp_path):
     assert reg == {"a": True, "b": True, "c": True, "d": False, "e": False, "f": False}
     from relaysync.settings import read_bool
     assert [read_bool(v, True) for v in [None, "", "Yes", "off", "x"]] == [True, False, True, False, False]
+
+
+def test_unicode_escapes(spark, tmp_path):
+    f = tmp_path / "u.properties"
+    f.write_text("a=caf\\u00e9\\u0020x\nsmile=\\uD83D\\uDE00!\nhalf=\\uD83Dz\nshort=\\u00g1\nk\\u0065y=v\n")
+    got = {r["key"]: r["value"] for r in read_properties(spark, [str(f)]).collect()}
+    assert got == {"a": "caf\u00e9 x", "smile": "\U0001F600!", "half": "\\uD83Dz", "short": "\\u00g1", "key": "v"}
