@@ -448,7 +448,7 @@ def q_stream_outcomes(spark, sf_dir):
 def q_stream_responses(spark, sf_dir):
     """D4 on two streams: requests and their attempts, a minute apart; every 29th request gets no answer.
 
-    A last request and attempt far ahead move the watermark past every horizon.
+    Last requests and attempts far ahead move the watermark past every horizon.
     """
     run = P.StreamRun(spark, "stream_responses")
     req = stage_table(requests(spark, sf_dir).select("seq", "ts", "request_id", "route"), "sent")
@@ -456,17 +456,22 @@ def q_stream_responses(spark, sf_dir):
     att = (feed.attempts_for(req.where(F.pmod("seq", F.lit(29)) != 0)).join(req.select("request_id", "ts"), "request_id")
            .select("request_id", "attempt_no", "status", (F.col("ts") + minutes).alias("at")))
     ahead = req.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("t"))
-    null, files = F.lit(None), P.files_per_chunk(req)
+    # they have an id: rows without one are filtered out before the watermark sees them
+    text, number, files = F.lit(""), F.lit(None).cast("int"), P.files_per_chunk(req)
     for name, rows, last in (
-            ("requests", req.select("request_id", "route", "ts"), ahead.select(null.cast("string"), null.cast("string"), "t")),
-            ("attempts", att, ahead.select(null.cast("string"), null.cast("int"), null.cast("int"), "t"))):
+            ("requests", req.select("request_id", "route", "ts"), ahead.select(text.alias("request_id"), text.alias("route"), F.col("t").alias("ts"))),
+            ("attempts", att, ahead.select(text.alias("request_id"), number.alias("attempt_no"), number.alias("status"),
+                                            F.col("t").alias("at")))):
         rows.repartition(files).write.parquet(f"{run.input}/{name}/0")
-        last.write.parquet(f"{run.input}/{name}/1")
+        # a trigger works with the watermark that the one before it has left: one more follows
+        many = last.select("*", F.explode(F.sequence(F.lit(1), F.lit(files)))).drop("col").repartition(files)
+        for k in (1, 2):
+            many.write.parquet(f"{run.input}/{name}/{k}")
     r = P.read_stream(spark, f"{run.input}/requests", "request_id string, route string, ts timestamp", files, fmt="parquet")
     a = P.read_stream(spark, f"{run.input}/attempts", "request_id string, attempt_no int, status int, at timestamp", files, fmt="parquet")
     for q in jobs.sync_responses(r, a, run.sink, run.checkpoint, horizon="2 days"):
         q.awaitTermination()
-    return (P.read_sink(spark, f"{run.sink}/responses").where(F.col("request_id").isNotNull())
+    return (P.read_sink(spark, f"{run.sink}/responses").where(F.col("request_id") != "")
             .select("request_id", F.col("attempt_no").cast("bigint").alias("attempt_no"), F.col("status").cast("bigint").alias("status"), "class"))
 
 
