@@ -234,13 +234,10 @@ def fetched_documents(documents: DataFrame) -> DataFrame:
 def _with_documents(events: DataFrame, documents: DataFrame) -> DataFrame:
     """Left join of index events to their documents' flags.
 
-    Only documents that some event needs are looked at (of a stream's events
-    that is not known ahead).  Other events get a key of their own that matches
-    no URL, so they are spread over the shuffle instead of sharing the null key.
+    Other events get a key of their own that matches no URL, so they are spread
+    over the shuffle instead of sharing the null key.
     """
     key = F.coalesce(F.when(F.col("kind") == INDEX, F.col("url")), F.concat(F.lit("\n"), F.col("seq").cast("string")))
-    if not events.isStreaming:
-        documents = documents.join(events.where(F.col("kind") == INDEX).select("url").distinct(), "url", "left_semi")
     return (events.withColumn("_key", key)
             .join(fetched_documents(documents), F.col("_key") == F.col("_have"), "left").drop("_key"))
 

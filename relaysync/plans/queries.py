@@ -86,16 +86,18 @@ def subject_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triples.subject_events(R.prepare(some), SETTINGS)
 
 
-def writers_and_documents(sev: DataFrame, res: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(last writers, parsed documents) of written subject events: a body that some event needs is
-    parsed once, whatever reads it afterwards."""
-    docs = stage_table(triples.parsed_documents(res, triples.needed_urls(sev)), "parsed_documents")
-    return triples.latest_per_subject(triples.eligible(sev, docs)), docs
-
-
 def winners(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = (triples.INDEX, triples.DELETE)) -> tuple[DataFrame, DataFrame]:
-    cands = triples.candidates(subject_events(spark, sf_dir).where(F.col("kind").isin(*kinds)))
-    return writers_and_documents(stage_table(cands, "candidates"), resources(spark, sf_dir))
+    """(last writers, written once; the documents).
+
+    The feed derives its documents, as many as there are pages, beside the
+    events: both are parsed in one job, and one consumer follows, which parses
+    the winners' documents.  Where documents are many and events few, or several
+    consumers follow, needed documents are parsed once and written instead
+    (``jobs``, ``triplestore``, ``q_triples_outcomes``).
+    """
+    sev = subject_events(spark, sf_dir).where(F.col("kind").isin(*kinds))
+    res = resources(spark, sf_dir)
+    return stage_table(triples.last_writers(sev, res), "winners"), res
 
 
 # ---------------------------------------------------------------- parse
