@@ -39,3 +39,22 @@ def test_empty(spark):
     seg = segmented(df, ["k"], [F.col("i")], "t")
     assert running(seg, ["k"], [F.col("i")], {"total": ("sum", F.col("v"))}).count() == 0
     assert lagged(seg, ["k"], [F.col("i")], {"v": "before"}).count() == 0
+
+
+def test_transitions_of_a_hot_subject(spark):
+    """One subject holds most events: they lie in several segments, and each still finds the one before it."""
+    from relaysync.operators import triples
+    rng = random.Random(5)
+    rows = [(i, "hot" if rng.random() < 0.6 else f"s{i % 40}", rng.choice(["index", "delete"])) for i in range(1200)]
+    df = spark.createDataFrame([(i, None, s, k, None, None) for i, s, k in rows],
+                               "seq bigint, ts timestamp, s string, kind string, url string, reason string").repartition(4)
+    last, want = {}, {}
+    for i, s, k in rows:
+        was = last.get(s)
+        want[i] = (was or "none", {("index", True): "updated", ("index", False): "created", ("delete", True): "deleted",
+                                   ("delete", False): "absent"}[k, was == "index"])
+        last[s] = k
+    got = triples.transitions(df)
+    assert {r.seq: (r.before, r.change) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert f"windowspecdefinition({SEGMENT}#" in plan, "windows run inside segments, not over a whole subject"
