@@ -208,10 +208,10 @@ def parsed_documents(resources: DataFrame, urls: DataFrame | None = None) -> Dat
     docs = resources.select("url", "body")
     if urls is not None:
         docs = docs.join(urls.select("url").distinct(), "url", "left_semi")
-    docs = docs.select("url", "body", F.length("body").alias("doc_len"))
     none = [F.lit(None).cast("string").alias(c) for c in TRIPLE_COLS]
-    return (jsonld_triples(docs).select("url", *TRIPLE_COLS, "doc_len")
-            .unionByName(docs.select("url", *none, "doc_len")))
+    parsed = jsonld_triples(docs.select("url", "body", F.length("body").alias("doc_len")))
+    return (parsed.select("url", *TRIPLE_COLS, "doc_len")
+            .unionByName(docs.select("url", *none, F.lit(None).cast("int").alias("doc_len"))))
 
 
 def _is_parsed(documents: DataFrame) -> bool:

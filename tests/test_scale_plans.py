@@ -67,3 +67,20 @@ def test_render_update_parts_bounded(spark):
     lines = [x for p in parts if p.step for x in p.update_text.split("INSERT DATA { ")[-1].rstrip(" }").split(" . ") if x]
     assert len(lines) == 50
     assert [p.step for p in parts if p.update_text.startswith("DELETE WHERE")] == [0]
+
+
+def test_only_needed_documents_are_parsed_and_once(spark):
+    path = scratch_dir(spark, "docs") + "/docs"
+    rows = [(f"u{i}", json.dumps({"@graph": [{"@id": f"s{i}", "http://x/p": [{"@value": str(i)}]}]})) for i in range(40)]
+    spark.createDataFrame(rows + [("u0", "[]")], "url string, body string").write.parquet(path)
+    urls = spark.createDataFrame([("u0",), ("u7",), ("gone",)], "url string")
+    docs = T.parsed_documents(spark.read.parquet(path), urls)
+    assert sorted((r.url, r.s, r.o) for r in docs.where("p is not null").collect()) == [("u0", "s0", "0"), ("u7", "s7", "7")]
+    assert {(r._have, r._usable) for r in T.fetched_documents(docs).collect()} == {("u0", True), ("u7", True)}
+    plan = _plan(docs)
+    scans = [ln for ln in plan.splitlines() if "ReadSchema" in ln]
+    assert sum("body" in ln.split("ReadSchema")[1] for ln in scans) == 1, "one scan of the bodies"
+    # the semi-join stands below the parse: deeper in the tree than the first explode of documents
+    lines = plan.splitlines()
+    semi = next(k for k, ln in enumerate(lines) if "LeftSemi" in ln)
+    assert any("Generate" in ln for ln in lines[:semi])
