@@ -4,12 +4,14 @@ A set or table of 64-bit hashes that grows with the corpus is cut into
 buckets, which are ranges of the hash.  A bucket is reduced by one task and
 written as one file of sorted arrays in the shared folder; workers map the
 files read-only, so a lookup touches pages, not a copy in memory.
+
+The driver writes a list of a level's buckets once all are written.  A worker
+that does not find the list, or a file of it, raises: a folder that is not
+mounted there is never taken for an empty level.
 """
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,8 +59,17 @@ def _set_files(path: str):
 
 def write_set(longs: DataFrame, path: str, buckets: int) -> None:
     """A one-column table of longs without nulls as sorted arrays of ``mix(value)``, level 1 of ``path``."""
-    (longs.mapInArrow(_set_parts(buckets), BLOB).repartitionById(buckets, F.col("bucket"))
-     .mapInArrow(_set_files(path), BLOB).write.format("noop").mode("overwrite").save())
+    write_level(longs.mapInArrow(_set_parts(buckets), BLOB).repartitionById(buckets, F.col("bucket"))
+                .mapInArrow(_set_files(path), BLOB), path, 1)
+
+
+def write_level(written: DataFrame, path: str, level: int) -> None:
+    """Run the tasks that write a level's files (one row a bucket), then list its buckets."""
+    list_buckets(path, level, [r.bucket for r in written.select("bucket").collect()])
+
+
+def list_buckets(path: str, level: int, buckets: list[int]) -> None:
+    write_atomic(f"{path}/{level}.list", np.unique(np.array(buckets, dtype=np.int64)).tobytes())
 
 
 def pack(cols: list[np.ndarray]) -> bytes:
@@ -137,8 +148,6 @@ def save_arrays(path: str, cols: list[np.ndarray]) -> None:
 
 def map_arrays(path: str) -> list[np.ndarray]:
     """Columns of a file as read-only views of mapped pages."""
-    if not os.path.exists(path):
-        return []
     raw = np.memmap(path, dtype=np.uint8, mode="r")
     n, k = (int(x) for x in raw[:16].view(np.uint64))
     at, cols = 16, []
@@ -150,10 +159,15 @@ def map_arrays(path: str) -> list[np.ndarray]:
 
 
 class Level:
-    """The mapped files of one order."""
+    """The mapped files of one order; raises where the listed files are not there."""
 
     def __init__(self, path: str, level: int, buckets: int):
         self.path, self.level, self.buckets, self.files = path, level, buckets, {}
+        with open(f"{path}/{level}.list", "rb") as f:
+            self.listed = frozenset(np.frombuffer(f.read(), dtype=np.int64).tolist())
+
+    def _open(self, bucket: int) -> list[np.ndarray]:
+        return map_arrays(f"{self.path}/{self.level}-{bucket}") if bucket in self.listed else []
 
     def _find(self, keys: np.ndarray):
         """Per bucket that holds any of the keys: (positions in keys, its columns, positions in them)."""
@@ -164,7 +178,7 @@ class Level:
         for lo, hi in zip(cut, [*cut[1:], len(b)]):
             n = int(b[lo])
             if n not in self.files:
-                self.files[n] = map_arrays(f"{self.path}/{self.level}-{n}")
+                self.files[n] = self._open(n)
             cols = self.files[n]
             if cols and len(cols[0]):
                 at = np.minimum(np.searchsorted(cols[0], q[lo:hi]), len(cols[0]) - 1)

@@ -20,7 +20,6 @@ document clean.
 
 from __future__ import annotations
 
-import glob
 import pickle
 
 import numpy as np
@@ -74,9 +73,17 @@ def write_queries(items: DataFrame, id_col: str, column: str, window: int, block
             size, blocks = 0, blocks + 1
     if held:
         flush(f"{blocks:06d}")
+        blocks += 1
+    write_atomic(f"{path}/blocks", str(blocks).encode())
     return path
 
 
+def block_files(path: str) -> list[str]:
+    """The block files of a folder; raises where the folder is not mounted."""
+    with open(f"{path}/blocks", "rb") as f:
+        return [f"{path}/{k:06d}" for k in range(int(f.read()))]
+
+
 class Queries:
     """One block: distinct patterns over its own vocabulary, and the items of each."""
 
@@ -140,7 +147,7 @@ def _search_map(path: str, text_at: int, shard_words: int, names: list[str]):
         n = int(base[-1])
         hit = np.zeros(len(hashes), dtype=bool)
         items: list[set] = [set() for _ in range(n)]
-        for f in sorted(glob.glob(f"{path}/??????")):
+        for f in block_files(path):
             mask, found = search_shard(Queries(f), hashes, row, n)
             hit |= mask
             for r, ids in found.items():

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relaysync.llm.arrays import BLOB, Level, blob_batch, bucket_of, by_bucket, held_blobs, save_arrays, summed, unpack
+from relaysync.llm.arrays import BLOB, Level, blob_batch, bucket_of, by_bucket, held_blobs, save_arrays, summed, unpack, write_level
 from relaysync.llm.common import own_columns, posix_dir, read, shuffle_width, slices, staged, text_buffer
 from relaysync.llm.tokens import SPACE_WORDS, join_hash, mix, span_hashes, word_spans
 
@@ -223,12 +223,11 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", column: str = "text",
     texts = own_columns(docs, id_col, column).withColumn(id_col, F.col(f"`{id_col}`").cast("long"))
     size = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
     found = Repeats(posix_dir(spark, "lines"), max(shuffle_width(spark), math.ceil(size / BUCKET_BYTES)), min_words, divisor)
-    (texts.select(column).mapInArrow(_count_map(found.buckets, min_words, divisor), BLOB)
-     .repartitionById(found.buckets, F.col("bucket")).mapInArrow(_repeated_map(found.path), BLOB)
-     .write.format("noop").mode("overwrite").save())
-    (texts.mapInArrow(_text_units_map(found.path, found.buckets, min_words, divisor), _UNIT)
-     .repartitionById(found.buckets, F.col("bucket")).sortWithinPartitions("bucket", "h")
-     .mapInArrow(_compare_map(found.path), BLOB).write.format("noop").mode("overwrite").save())
+    write_level(texts.select(column).mapInArrow(_count_map(found.buckets, min_words, divisor), BLOB)
+                .repartitionById(found.buckets, F.col("bucket")).mapInArrow(_repeated_map(found.path), BLOB), found.path, 1)
+    write_level(texts.mapInArrow(_text_units_map(found.path, found.buckets, min_words, divisor), _UNIT)
+                .repartitionById(found.buckets, F.col("bucket")).sortWithinPartitions("bucket", "h")
+                .mapInArrow(_compare_map(found.path), BLOB), found.path, 2)
     return found
 
 

@@ -1,21 +1,29 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark.
 
-Counting.  Every task turns whole texts into word hashes, sums equal n-grams
+Vocabulary.  A first pass sums word hashes and writes them as sorted hash
+arrays with an id each: ranked by count in its bucket (a range of the hash),
+so frequent words have small ids and no task or driver sees all words.
+
+Counting.  Every task turns whole texts into word ids, sums equal n-grams
 of a few million tokens with one sort, and emits them packed, one binary row
-per hash bucket.  One shuffle brings a bucket's rows together; the reducing
+per hash bucket: rows in order of their ids, cut into byte planes, compressed.
+One shuffle brings a bucket's rows together; the reducing
 task sums them, writes the bucket as a file of sorted hash arrays in the
 shared folder, and emits what the next lower order needs: continuation counts
-of suffixes and follower statistics of contexts.  Buckets are ranges of the
+of suffixes and follower statistics of contexts.  Orders follow each other in
+one job, nothing but the files is written.  Buckets are ranges of the
 n-gram's own hash, so a very common word or word pair makes no large bucket,
-and their number follows the input's bytes.
+and their number follows the input's bytes.  An n-gram that begins a text has
+no left neighbour to count, its adjusted count is the raw one.
 
 Scoring.  Workers map the files (shared, read-only pages) and look up the
 distinct n-grams of a batch in sorted order.  Nothing of the model passes the
-driver but counts of counts.
+driver but counts of counts.  Counts are bytes; those of 255 and more lie in a
+sorted array of their own.
 
 Defined results: null or empty text is one end token; a model of no training
 text gives every token the uniform probability; a repeated row counts twice;
-ties cannot matter (sums only).
+ties of words by count go to the smaller hash.
 """
 
 from __future__ import annotations
@@ -28,21 +36,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relaysync.llm.arrays import BLOB, Level, blob_batch, by_bucket, gram_key, held_blobs, pack, save_arrays, summed, unpack
-from relaysync.llm.common import fold, own_columns, posix_dir, read, shuffle_width, slices, staged, text_buffer
+from relaysync.llm.arrays import (BLOB, Level, blob_batch, bucket_of, by_bucket, gram_key, held_blobs, list_buckets, map_arrays,
+                                  save_arrays, summed, unpack, write_level)
+from relaysync.llm.common import fold, own_columns, posix_dir, read, shuffle_width, slices, text_buffer
 from relaysync.llm.tokens import SPACE_WORDS, join_hash, mix, span_hashes, word_spans
 
-START, END = (mix(np.array([x], dtype=np.uint64))[0] for x in (0x51A27, 0xE4D))
-STATS = ("raw", "adj", "tot", "n1", "n2", "n3")
+UNKNOWN, START, END = (np.uint64(k) for k in range(3))
+WORD_IDS = 3
+VOCABULARY = 0
 FLUSH_TOKENS = 3_000_000
+FLUSH_WORDS = 1_000_000
 SLICE_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
+BIG = 255
 
 
 # -- token sequences --------------------------------------------------------
 
-def sequences(buf: np.ndarray, off: np.ndarray, order: int):
-    """Padded token hashes, the positions of real tokens, and their rows.
+def sequences(buf: np.ndarray, off: np.ndarray, order: int, vocabulary: Level):
+    """Padded token ids, the positions of real tokens, and their rows.
 
     Each row is order-1 start marks (never counted as tokens), its words, an
     end mark.
@@ -51,7 +63,7 @@ def sequences(buf: np.ndarray, off: np.ndarray, order: int):
     n = len(off) - 1
     words = np.bincount(row, minlength=n)
     seq = np.full(len(s) + n * order, START, dtype=np.uint64)
-    seq[np.arange(len(s)) + row * order + order - 1] = span_hashes(buf, s, e)
+    seq[np.arange(len(s)) + row * order + order - 1] = vocabulary.values(span_hashes(buf, s, e))
     ends = np.cumsum(words) + np.arange(n) * order + order - 1
     seq[ends] = END
     real = np.ones(len(seq), dtype=bool)
@@ -62,20 +74,152 @@ def sequences(buf: np.ndarray, off: np.ndarray, order: int):
     return seq, at, np.repeat(np.arange(n), words + 1)
 
 
+# -- the vocabulary -----------------------------------------------------------
+
+def _words_map(buckets: int):
+    def run(batches):
+        held, n = [], 0
+
+        def flush():
+            words = np.concatenate([h for h, _ in held])
+            return blob_batch(list(by_bucket([words], [np.concatenate([c for _, c in held]).astype(np.uint64)], buckets)))
+
+        for batch in batches:
+            buf, off = text_buffer(batch.column(0))
+            for lo, hi in slices(off, SLICE_BYTES):
+                s, e, _ = word_spans(buf, off[lo: hi + 1], SPACE_WORDS)
+                held.append(np.unique(span_hashes(buf, s, e), return_counts=True))
+                n += len(held[-1][0])
+                if n >= FLUSH_WORDS:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
+
+    return run
+
+
+def _ids_map(buckets: int, path: str):
+    """Word hashes of a bucket with their ids: rank by count * buckets + bucket, above the marks."""
+    def run(batches):
+        held = held_blobs(batches)
+        for b in list(held):
+            parts = [unpack(x) for x in held.pop(b)]
+            key, _, (count,) = summed([np.concatenate([p[0] for p in parts])], [np.concatenate([p[1] for p in parts])])
+            rank = np.empty(len(key), dtype=np.uint64)
+            rank[np.argsort(-count.astype(np.int64), kind="stable")] = np.arange(len(key), dtype=np.uint64)
+            save_arrays(f"{path}/{VOCABULARY}-{b}", [key, rank * np.uint64(buckets) + np.uint64(b + WORD_IDS)])
+            yield blob_batch([(b, b"")])
+
+    return run
+
+
+# -- packed rows of ids ---------------------------------------------------------
+
+def squeeze(ids: list[np.ndarray], values: list[np.ndarray]) -> bytes:
+    """Rows in order of their ids; the first id as differences; columns as byte planes, compressed."""
+    order = np.lexsort(ids[::-1])
+    cols = [c[order] for c in (*ids, *values)]
+    cols[0] = np.diff(cols[0], prepend=np.uint64(0))
+    body = []
+    for c in cols:
+        t = np.min_scalar_type(int(c.max()) if len(c) else 0)
+        body += [bytes([t.itemsize]), c.astype(t).view(np.uint8).reshape(len(c), -1).T.tobytes()]
+    raw = b"".join(body)
+    return np.array([len(cols[0]), len(cols), len(raw)], dtype=np.uint64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def expand(data: bytes) -> list[np.ndarray]:
+    n, k, size = (int(x) for x in np.frombuffer(data, dtype=np.uint64, count=3))
+    raw = np.frombuffer(pa.decompress(data[24:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
+    at, cols = 0, []
+    for _ in range(k):
+        width = int(raw[at])
+        planes = raw[at + 1: at + 1 + n * width].reshape(width, n)
+        cols.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64))
+        at += 1 + n * width
+    cols[0] = np.cumsum(cols[0], dtype=np.uint64)
+    return cols
+
+
+def ids_key(ids: list[np.ndarray]) -> np.ndarray:
+    return gram_key([mix(c) for c in ids])
+
+
+def summed_ids(ids: list[np.ndarray], values: list[np.ndarray]):
+    """Rows of equal ids added up, in order of their hash: (key, ids, values)."""
+    key = ids_key(ids)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return (key[first], [c[order][first] for c in ids],
+            [np.add.reduceat(v[order], first) if len(first) else v for v in values])
+
+
+def ids_by_bucket(ids, values, buckets: int):
+    """(bucket, packed rows) of equal ids added up."""
+    key, ids, values = summed_ids(ids, values)
+    b = bucket_of(key, buckets)
+    cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+    for lo, hi in zip(cut, [*cut[1:], len(b)]):
+        yield int(b[lo]), squeeze([c[lo:hi] for c in ids], [c[lo:hi] for c in values])
+
+
+# -- files of counts --------------------------------------------------------------
+
+def save_counts(path: str, key: np.ndarray, values: list[np.ndarray]) -> None:
+    """Sorted hashes and a byte per value; values of ``BIG`` and more also by row and column in a second file."""
+    table = np.stack(values, axis=1)
+    place = np.flatnonzero(table.ravel() >= BIG)
+    save_arrays(f"{path}-big", [place.astype(np.uint64), table.ravel()[place]])
+    save_arrays(path, [key, *(np.minimum(v, BIG).astype(np.uint8) for v in values)])
+
+
+class CountLevel(Level):
+    """The mapped counts of one order."""
+
+    def _open(self, bucket: int) -> list[np.ndarray]:
+        cols = super()._open(bucket)
+        return [*cols, *map_arrays(f"{self.path}/{self.level}-{bucket}-big")] if cols else cols
+
+    def look_up(self, keys: np.ndarray, columns: list[int]) -> list[np.ndarray]:
+        """The given columns (from 1), as doubles, at each key; 0 where the key is unknown."""
+        q, back = np.unique(keys, return_inverse=True)
+        found = [np.zeros(len(q), dtype=np.float64) for _ in columns]
+        for where, cols, at in self._find(q):
+            width = np.uint64(len(cols) - 3)
+            for f, c in zip(found, columns):
+                v = cols[c][at].astype(np.float64)
+                big = np.flatnonzero(v == BIG)
+                v[big] = cols[-1][np.searchsorted(cols[-2], at[big].astype(np.uint64) * width + np.uint64(c - 1))]
+                f[where] = v
+        return [f[back] for f in found]
+
+
 # -- counting ---------------------------------------------------------------
 
-def _count_map(order: int, buckets: int):
+_ROWS = "bucket int, level int, blob binary"
+_ADJ, _TOT, _RAW = 1, 2, 6  # columns of a file; the last is there at order 1 only
+
+
+def _rows_batch(level: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([b for b, _ in rows], pa.int32()), pa.array([level] * len(rows), pa.int32()),
+                            pa.array([x for _, x in rows], pa.binary())], names=["bucket", "level", "blob"])
+
+
+def _count_map(order: int, buckets: int, path: str, word_buckets: int):
     def run(batches):
+        vocabulary = Level(path, VOCABULARY, word_buckets)
         held, n = [], 0
 
         def flush():
-            words = [np.concatenate([h[k] for h in held]) for k in range(order)]
-            return blob_batch(list(by_bucket(words, [np.ones(len(words[0]), dtype=np.uint64)], buckets)))
+            ids = [np.concatenate([h[k] for h in held]) for k in range(order)]
+            return _rows_batch(order, list(ids_by_bucket(ids, [np.ones(len(ids[0]), dtype=np.uint64)], buckets)))
 
         for batch in batches:
             buf, off = text_buffer(batch.column(0))
             for lo, hi in slices(off, SLICE_BYTES):
-                seq, at, _ = sequences(buf, off[lo: hi + 1], order)
+                seq, at, _ = sequences(buf, off[lo: hi + 1], order, vocabulary)
                 held.append([seq[at - (order - 1 - k)] for k in range(order)])
                 n += len(at)
                 if n >= FLUSH_TOKENS:
@@ -87,39 +231,51 @@ def _count_map(order: int, buckets: int):
     return run
 
 
-def _reduce_map(level: int, top: bool, lower: int, path: str):
+def _reduce_map(level: int, top: bool, buckets: int, path: str):
     """Sum a bucket, write its sorted arrays, emit the next order's rows.
 
-    The rows under bucket -1 hold this level's counts of counts.
+    Rows of level -k pass through: counts of counts of a bucket of order k.
     """
     def reduce(bucket: int, blobs: list[bytes]):
-        parts = [unpack(b) for b in blobs]
+        parts = [expand(b) for b in blobs]
         cols = [np.concatenate([p[k] for p in parts]) for k in range(len(parts[0]))]
-        key, words, values = summed(cols[:level], cols[level:])
-        v = dict(zip(("raw",) if top else STATS, values))
+        parts.clear()
+        key, ids, values = summed_ids(cols[:level], cols[level:])
+        cols.clear()
+        raw = values[0]
         if top:
-            v["adj"] = v["raw"]
-        save_arrays(f"{path}/{level}-{bucket}", [key, *(v[c] for c in STATS if c in v)])
-        raw, adj = v["raw"], v["adj"]
-        known = adj > 0
+            adj, follow = raw, [np.zeros(len(raw), np.uint64)] * 4
+        else:
+            adj, follow = np.where(ids[0] == START, raw, values[1]), values[2:]
+        keep = [adj]
+        if not top or level == 1:
+            keep += follow
+        save_counts(f"{path}/{level}-{bucket}", key, keep + [raw] * (level == 1))
         cc = np.bincount(np.minimum(adj, 5).astype(np.int64), minlength=6)
-        yield -1, pack([np.array([x], dtype=np.uint64) for x in (
-            cc[1], cc[2], cc[3], cc[4], cc[5], adj.sum(), raw.sum(), (raw > 0).sum())])
+        yield -level, [(bucket, np.array([*cc[1:6], adj.sum(), raw.sum(), (raw > 0).sum()], dtype=np.int64).tobytes())]
         if level == 1:
             return
-        if not top:
-            words, raw, adj = [w[known] for w in words], raw[known], adj[known]
+        known = adj > 0
+        if not known.all():
+            ids, raw, adj = [c[known] for c in ids], raw[known], adj[known]
         zero, one = np.zeros(len(adj), np.uint64), np.ones(len(adj), np.uint64)
         context = [zero, zero, adj, *((adj == 1).astype(np.uint64), (adj == 2).astype(np.uint64), (adj >= 3).astype(np.uint64))]
         suffix = [raw, one, zero, zero, zero, zero]
-        yield from by_bucket([np.concatenate([a, b]) for a, b in zip(words[:-1], words[1:])],
-                              [np.concatenate([a, b]) for a, b in zip(context, suffix)], lower)
+        yield level - 1, list(ids_by_bucket([np.concatenate([a, b]) for a, b in zip(ids[:-1], ids[1:])],
+                                            [np.concatenate([a, b]) for a, b in zip(context, suffix)], buckets))
 
     def run(batches):
-        held = held_blobs(batches)
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for b, k, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if k < 0:
+                    yield _rows_batch(k, [(b, x)])
+                else:
+                    held.setdefault(b, []).append(x)
         for b in list(held):
-            if rows := list(reduce(b, held.pop(b))):
-                yield blob_batch(rows)
+            for k, rows in reduce(b, held.pop(b)):
+                if rows:
+                    yield _rows_batch(k, rows)
 
     return run
 
@@ -160,21 +316,25 @@ def train(texts: DataFrame, column: str = "text", order: int = 2) -> Model:
     size = texts.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
     buckets = max(shuffle_width(spark), math.ceil(size / BUCKET_BYTES))
     path = posix_dir(spark, "lm")
-    blobs = texts.mapInArrow(_count_map(order, buckets), BLOB)
-    counts: list[tuple] = []
+    write_level(texts.mapInArrow(_words_map(buckets), BLOB).repartitionById(buckets, F.col("bucket"))
+                .mapInArrow(_ids_map(buckets, path), BLOB), path, VOCABULARY)
+    rows = texts.mapInArrow(_count_map(order, buckets, path, buckets), _ROWS)
     for level in range(order, 0, -1):
-        out = staged(blobs.repartitionById(buckets, F.col("bucket"))
-                     .mapInArrow(_reduce_map(level, level == order, buckets, path), BLOB), f"lm-order-{level}")
-        stats = [unpack(r.blob) for r in out.filter("bucket < 0").toLocalIterator()]
-        counts.insert(0, tuple(int(sum(int(s[k][0]) for s in stats)) for k in range(8)))
-        blobs = out.filter("bucket >= 0")
-    return Model(path, order, buckets, tuple(counts))
+        rows = rows.repartitionById(buckets, F.col("bucket")).mapInArrow(_reduce_map(level, level == order, buckets, path), _ROWS)
+    counts, written = np.zeros((order, 8), dtype=np.int64), [[] for _ in range(order)]
+    for r in rows.collect():  # one row a bucket and order: all buckets are reduced at once
+        counts[-r.level - 1] += np.frombuffer(r.blob, dtype=np.int64)
+        written[-r.level - 1].append(r.bucket)
+    for k, found in enumerate(written):
+        list_buckets(path, k + 1, found)
+    return Model(path, order, buckets, tuple(tuple(int(x) for x in c) for c in counts))
 
 
 def _score_map(model: Model, keep: int):
     """Adds n_tokens, n_known, base_score, score to the first ``keep`` columns; the text comes last."""
     def run(batches):
-        levels = [Level(model.path, k, model.buckets) for k in range(1, model.order + 1)]
+        vocabulary = Level(model.path, VOCABULARY, model.buckets)
+        levels = [CountLevel(model.path, k, model.buckets) for k in range(1, model.order + 1)]
         disc = [model.discounts(k) for k in range(1, model.order + 1)]
         c1 = model.counts[0]
         base_den = math.log10(model.tokens + model.types + 1)
@@ -186,18 +346,19 @@ def _score_map(model: Model, keep: int):
             buf, off = text_buffer(batch.column(keep))
             out = [[], [], [], []]
             for lo, hi in slices(off, SLICE_BYTES):
-                seq, at, row = sequences(buf, off[lo: hi + 1], model.order)
+                seq, at, row = sequences(buf, off[lo: hi + 1], model.order, vocabulary)
+                seq = mix(seq)
                 n = hi - lo
-                raw, adj = levels[0].look_up(seq[at], [1, 2])
+                adj, raw = levels[0].look_up(seq[at], [_ADJ, _RAW])
                 p = np.full(len(at), 1.0 / (model.types + 1))
                 if c1[5]:
                     gamma = (disc[0][1:] * (c1[0], c1[1], c1[2] + c1[3] + c1[4])).sum() / c1[5]
                     p = discounted(adj, 1) / c1[5] + gamma * p
                 for k in range(2, model.order + 1):
                     context = gram_key([seq[at - j] for j in range(k - 1, 0, -1)])
-                    tot, n1, n2, n3 = levels[k - 2].look_up(context, [3, 4, 5, 6])
+                    tot, n1, n2, n3 = levels[k - 2].look_up(context, [_TOT, _TOT + 1, _TOT + 2, _TOT + 3])
                     gram = join_hash(context, seq[at])
-                    seen = levels[k - 1].look_up(gram, [1 if k == model.order else 2])[0]
+                    seen = levels[k - 1].look_up(gram, [_ADJ])[0]
                     with np.errstate(divide="ignore", invalid="ignore"):
                         q = (discounted(seen, k) + (disc[k - 1][1] * n1 + disc[k - 1][2] * n2 + disc[k - 1][3] * n3) * p) / tot
                     p = np.where(tot > 0, q, p)

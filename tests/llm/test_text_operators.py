@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relaysync.llm import decontamination, line_dedup, lm_scoring, order_minhash, packing, pii, sharding
-from relaysync.llm.arrays import Level
+from relaysync.llm.arrays import Level, list_buckets, save_arrays
 from relaysync.llm.queries import QUERIES
 
 END = "\n</s>"
@@ -39,6 +39,9 @@ def kneser_ney(train, texts, order):
     adj = {order: top}
     for k in range(order - 1, 0, -1):
         adj[k] = collections.Counter(g[1:] for g in adj[k + 1])
+        for g in adj[k]:  # an n-gram that begins a text has no left neighbours: its raw count
+            if g[0] == "<s>":
+                adj[k][g] = sum(c for h, c in top.items() if h[-k:] == g)
     raw = collections.Counter()
     for g, c in top.items():
         raw[g[-1]] += c
@@ -304,12 +307,25 @@ def test_line_dedup_units_that_share_a_hash(tmp_path):
     rows = [(0, 5, 3, 30, 1, b"a"), (0, 5, 1, 10, 2, b"b"), (0, 5, 2, 20, 0, b"a"), (0, 5, 4, 40, 0, b"b"), (0, 9, 1, 10, 7, b"c")]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=line_dedup._names(line_dedup._UNIT))
-    list(line_dedup._compare_map(str(tmp_path))([batch]))
+    list_buckets(str(tmp_path), 2, [b for out in line_dedup._compare_map(str(tmp_path))([batch]) for b in out.column(0).to_pylist()])
     keys, ids, dk, lines = (np.array(c, dtype=np.int64) for c in zip(*(r[1:5] for r in rows)))
     held = Level(str(tmp_path), 2, 1).holds(keys.view(np.uint64), line_dedup._place_hash(ids, dk, lines))
     assert held.tolist() == [False, True, True, False, True]
 
 
+def test_absent_files_are_not_empty_levels(tmp_path):
+    with pytest.raises(FileNotFoundError):
+        Level(str(tmp_path), 1, 4)
+    with pytest.raises(FileNotFoundError):
+        decontamination.block_files(str(tmp_path))
+    save_arrays(f"{tmp_path}/1-0", [np.array([5], dtype=np.uint64)])
+    list_buckets(str(tmp_path), 1, [0, 3])
+    level = Level(str(tmp_path), 1, 4)
+    assert level.contains(np.array([5, 6, 1 << 62], dtype=np.uint64)).tolist() == [True, False, False]  # bucket 1 holds nothing
+    with pytest.raises(FileNotFoundError):  # bucket 3 is listed
+        level.contains(np.array([(1 << 64) - 1], dtype=np.uint64))
+
+
 def test_line_dedup_odd_rows(spark, odd):
     out = line_dedup.dedup_lines(odd)
     assert out.schema == odd.schema and out.count() == odd.count()
