@@ -181,10 +181,14 @@ class Level:
                 self.files[n] = self._open(n)
             cols = self.files[n]
             if cols and len(cols[0]):
-                at = np.minimum(np.searchsorted(cols[0], q[lo:hi]), len(cols[0]) - 1)
-                hit = cols[0][at] == q[lo:hi]
+                at, hit = self._at(n, cols, q[lo:hi])
                 yield order[lo:hi][hit], cols, at[hit]
 
+    def _at(self, bucket: int, cols: list[np.ndarray], keys: np.ndarray):
+        """(row of each sorted key in a bucket's columns, whether it is there)."""
+        at = np.minimum(np.searchsorted(cols[0], keys), len(cols[0]) - 1)
+        return at, cols[0][at] == keys
+
     def contains(self, keys: np.ndarray) -> np.ndarray:
         """Which keys are in the first column."""
         out = np.zeros(len(keys), dtype=bool)

@@ -36,18 +36,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relaysync.llm.arrays import (BLOB, Level, blob_batch, bucket_of, by_bucket, gram_key, held_blobs, list_buckets, map_arrays,
+from relaysync.llm.arrays import (BLOB, Level, blob_batch, bucket_of, by_bucket, gram_key, held_blobs, list_buckets,
                                   save_arrays, summed, unpack, write_level)
-from relaysync.llm.common import fold, own_columns, posix_dir, read, shuffle_width, slices, text_buffer
+from relaysync.llm.common import fold, own_columns, posix_dir, read, shuffle_width, slices, text_buffer, write_atomic
 from relaysync.llm.tokens import SPACE_WORDS, join_hash, mix, span_hashes, word_spans
 
 UNKNOWN, START, END = (np.uint64(k) for k in range(3))
 WORD_IDS = 3
 VOCABULARY = 0
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 2_000_000
 FLUSH_WORDS = 1_000_000
 SLICE_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+EMIT_ROWS = 1_000_000
+BUCKET_BYTES = 8 << 20
 BIG = 255
 
 
@@ -167,27 +168,80 @@ def ids_by_bucket(ids, values, buckets: int):
 
 # -- files of counts --------------------------------------------------------------
 
-def save_counts(path: str, key: np.ndarray, values: list[np.ndarray]) -> None:
-    """Sorted hashes and a byte per value; values of ``BIG`` and more also by row and column in a second file."""
+def bucket_start(bucket: int, buckets: int) -> int:
+    """The least hash of a bucket (see ``bucket_of``)."""
+    return -(-(bucket << 32) // buckets) << 32
+
+
+def save_counts(path: str, bucket: int, buckets: int, key: np.ndarray, values: list[np.ndarray]) -> None:
+    """Sorted hashes and a byte per value.
+
+    A hash is kept whole, in fewer bytes: what its bucket and the place in a
+    directory of leading bits say is left out.  Values of ``BIG`` and more
+    also stand in a list sorted by row and column.
+    """
+    start = bucket_start(bucket, buckets)
+    span = bucket_start(bucket + 1, buckets) - start
+    lead = min(max(len(key).bit_length() - 5, 0), (span - 1).bit_length())
+    shift = (span - 1).bit_length() - lead
+    rest = key - np.uint64(start)
+    directory = np.searchsorted(rest >> np.uint64(shift), np.arange((1 << lead) + 1, dtype=np.uint64)).astype(np.uint32)
+    rest = rest & np.uint64((1 << shift) - 1)
+    upper = rest >> np.uint64(32)
     table = np.stack(values, axis=1)
     place = np.flatnonzero(table.ravel() >= BIG)
-    save_arrays(f"{path}-big", [place.astype(np.uint64), table.ravel()[place]])
-    save_arrays(path, [key, *(np.minimum(v, BIG).astype(np.uint8) for v in values)])
+    cols = [rest.astype(np.uint32), *(np.minimum(v, BIG).astype(np.uint8) for v in values),
+            np.array([start, shift], dtype=np.uint64), directory,
+            upper.astype(np.min_scalar_type((1 << max(shift - 32, 0)) - 1)), place.astype(np.uint64), table.ravel()[place]]
+    head = np.array([[len(c), ord(c.dtype.char)] for c in cols], dtype=np.uint64)
+    write_atomic(path, b"".join([np.uint64(len(cols)).tobytes(), head.tobytes(),
+                                 *(c.tobytes() + b"\0" * (-c.nbytes % 8) for c in cols)]))
+
+
+def map_counts(path: str) -> list[np.ndarray]:
+    """The columns of ``save_counts`` as read-only views of mapped pages."""
+    raw = np.memmap(path, dtype=np.uint8, mode="r")
+    k = int(raw[:8].view(np.uint64)[0])
+    at, cols = 8 + 16 * k, []
+    for n, char in raw[8:at].view(np.uint64).reshape(k, 2).tolist():
+        t = np.dtype(chr(char))
+        cols.append(raw[at: at + n * t.itemsize].view(t))
+        at += n * t.itemsize + (-n * t.itemsize) % 8
+    return cols
 
 
 class CountLevel(Level):
     """The mapped counts of one order."""
 
     def _open(self, bucket: int) -> list[np.ndarray]:
-        cols = super()._open(bucket)
-        return [*cols, *map_arrays(f"{self.path}/{self.level}-{bucket}-big")] if cols else cols
+        return map_counts(f"{self.path}/{self.level}-{bucket}") if bucket in self.listed else []
+
+    def _at(self, bucket: int, cols: list[np.ndarray], keys: np.ndarray):
+        """Binary search between two entries of the directory, for all keys at once."""
+        start, shift = (int(x) for x in cols[-5])
+        want = keys - np.uint64(start)
+        lead = (want >> np.uint64(shift)).astype(np.int64)
+        want = want & np.uint64((1 << shift) - 1)
+        lo, hi = cols[-4][lead].astype(np.int64), cols[-4][lead + 1].astype(np.int64)
+        last = len(cols[0]) - 1
+
+        def rest(at):
+            return cols[-3][at].astype(np.uint64) << np.uint64(32) | cols[0][at]
+
+        end = hi
+        while (open_ := lo < hi).any():
+            mid = np.minimum((lo + hi) >> 1, last)
+            less = rest(mid) < want
+            lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+        at = np.minimum(lo, last)
+        return at, (lo < end) & (rest(at) == want)
 
     def look_up(self, keys: np.ndarray, columns: list[int]) -> list[np.ndarray]:
         """The given columns (from 1), as doubles, at each key; 0 where the key is unknown."""
         q, back = np.unique(keys, return_inverse=True)
         found = [np.zeros(len(q), dtype=np.float64) for _ in columns]
         for where, cols, at in self._find(q):
-            width = np.uint64(len(cols) - 3)
+            width = np.uint64(len(cols) - 6)
             for f, c in zip(found, columns):
                 v = cols[c][at].astype(np.float64)
                 big = np.flatnonzero(v == BIG)
@@ -250,7 +304,8 @@ def _reduce_map(level: int, top: bool, buckets: int, path: str):
         keep = [adj]
         if not top or level == 1:
             keep += follow
-        save_counts(f"{path}/{level}-{bucket}", key, keep + [raw] * (level == 1))
+        save_counts(f"{path}/{level}-{bucket}", bucket, buckets, key, keep + [raw] * (level == 1))
+        del key, values, follow, keep
         cc = np.bincount(np.minimum(adj, 5).astype(np.int64), minlength=6)
         yield -level, [(bucket, np.array([*cc[1:6], adj.sum(), raw.sum(), (raw > 0).sum()], dtype=np.int64).tobytes())]
         if level == 1:
@@ -258,11 +313,13 @@ def _reduce_map(level: int, top: bool, buckets: int, path: str):
         known = adj > 0
         if not known.all():
             ids, raw, adj = [c[known] for c in ids], raw[known], adj[known]
-        zero, one = np.zeros(len(adj), np.uint64), np.ones(len(adj), np.uint64)
-        context = [zero, zero, adj, *((adj == 1).astype(np.uint64), (adj == 2).astype(np.uint64), (adj >= 3).astype(np.uint64))]
-        suffix = [raw, one, zero, zero, zero, zero]
-        yield level - 1, list(ids_by_bucket([np.concatenate([a, b]) for a, b in zip(ids[:-1], ids[1:])],
-                                            [np.concatenate([a, b]) for a, b in zip(context, suffix)], buckets))
+        for lo in range(0, len(adj), EMIT_ROWS):
+            some, c, a = [x[lo: lo + EMIT_ROWS] for x in ids], raw[lo: lo + EMIT_ROWS], adj[lo: lo + EMIT_ROWS]
+            zero, one = np.zeros(len(a), np.uint64), np.ones(len(a), np.uint64)
+            context = [zero, zero, a, *((a == 1).astype(np.uint64), (a == 2).astype(np.uint64), (a >= 3).astype(np.uint64))]
+            suffix = [c, one, zero, zero, zero, zero]
+            yield level - 1, list(ids_by_bucket([np.concatenate(x) for x in zip(some[:-1], some[1:])],
+                                                [np.concatenate(x) for x in zip(context, suffix)], buckets))
 
     def run(batches):
         held: dict[int, list[bytes]] = {}

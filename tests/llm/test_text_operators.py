@@ -102,6 +102,32 @@ def test_lm_query_scores_by_two_words_of_context(spark, documents, sf):
     assert [got[r.doc_id] for r in some] == pytest.approx([w[3] for w in want], rel=1e-9)
 
 
+@pytest.mark.parametrize(("n", "buckets"), [(1, 1), (3, 7), (5000, 1), (5000, 5000), (200_000, 8)])
+def test_lm_count_files(tmp_path, n, buckets):
+    """Every hash is found with its counts, large ones too; hashes one off are not."""
+    rng = np.random.default_rng(n)
+    key = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+    values = [rng.integers(0, 300, len(key)).astype(np.uint64), np.arange(len(key), dtype=np.uint64) ** np.uint64(2)]
+    where = lm_scoring.bucket_of(key, buckets).astype(int)
+    for b in np.unique(where).tolist():
+        own = where == b
+        lm_scoring.save_counts(f"{tmp_path}/1-{b}", b, buckets, key[own], [v[own] for v in values])
+    list_buckets(str(tmp_path), 1, where.tolist())
+    level = lm_scoring.CountLevel(str(tmp_path), 1, buckets)
+    for got, v in zip(level.look_up(key[::-1], [1, 2]), values):
+        assert np.array_equal(got, v[::-1])
+    off = np.setdiff1d(np.concatenate([key + np.uint64(1), key - np.uint64(1)]), key)
+    assert not level.look_up(off, [2])[0].any()
+
+
+def test_lm_packed_rows():
+    rng = np.random.default_rng(7)
+    ids = [rng.integers(0, top, 4000).astype(np.uint64) for top in (300, 1 << 40, 70_000)]
+    back = lm_scoring.expand(lm_scoring.squeeze(ids, [ids[0] * np.uint64(3)]))
+    order = np.lexsort(ids[::-1])
+    assert all(np.array_equal(b, c[order]) for b, c in zip(back, [*ids, ids[0] * np.uint64(3)]))
+
+
 def test_lm_odd_rows(spark, odd):
     model = lm_scoring.train(odd)
     rows = lm_scoring.score(odd, model, ["doc_id"]).collect()
