@@ -12,20 +12,23 @@ subsequence of the labelled shingles: Jaccard similarity that respects order.
 Any alignment that reaches ``THRESHOLD`` keeps matched positions within a band
 around the diagonal, so only matches inside it are aligned.
 
-Equal texts are one class by a 128-bit hash.  (1) Every class of a sketch
+Equal texts are one class by SHA-256; a class is known by a number of its own, so two texts of one id stay apart.  (1) Every class of a sketch
 bucket is aligned with the bucket's leader (a star, no pairs), the member that
 shares most buckets with others, in groups of at most ``GROUP`` members,
 whatever the bucket's size; the links' components join most of each bucket.  (2) Buckets whose members are then still in several
 components are compared in full, block by block, the classes outside the
 bucket's largest component against all: pairs with enough shingles in common
 are aligned, and only a spanning forest of what links is kept.  So no bucket
-has a cap.  What sketches can miss are pairs that share none of them, 5e-8 of
-those at the threshold (each is shared with chance 0.8 ** 4).  Four picks, since texts that only share a common passage must not meet: where
+has a cap.  What sketches can miss are pairs that share none of them: of those at the threshold 5e-8
+in long texts (each sketch is shared with chance 0.8 ** 4), 2e-6 where they have ten shingles together.
+Texts of at most ``SHORT`` shingles, of which one is the other and one more, are found for certain: such texts also
+bear a hash of their whole sequence and of it with each one shingle left out.  Four picks, since texts that only share a common passage must not meet: where
 it is a share f of both, f ** 4 of them are in one bucket.
 
 Defined results: texts without words (null or empty too) and rows without id
 link with nothing; texts of fewer words than ``K`` are one shingle; a class's
-id is its least doc_id; repeated rows are copies.
+id is its least doc_id; repeated rows are copies.  Rows of one id with different texts are documents of
+their own; a class keeps the row of least id, of several texts that of least SHA-256 (two classes may then bear one id).
 """
 
 from __future__ import annotations
@@ -40,12 +43,13 @@ from pyspark.sql import functions as F
 from relaysync.llm.arrays import Level, grouped, write_set
 from relaysync.llm.common import own_columns, posix_dir, read, shuffle_width, slices, staged, text_buffer
 from relaysync.llm.components import components
-from relaysync.llm.tokens import ALNUM_WORDS, SECOND, join_hash, mix, span_hashes, word_spans
+from relaysync.llm.tokens import ALNUM_WORDS, join_hash, mix, span_hashes, word_spans
 
 K = 5
 SKETCHES = 32
 PICK = 4
 THRESHOLD = 0.8
+SHORT = 9
 GROUP = 128
 BLOCK = 512
 SLICE_BYTES = 2 << 20
@@ -109,6 +113,24 @@ def sketches(keys: np.ndarray, row: np.ndarray, n: int, count: int = SKETCHES, p
     return out
 
 
+def short_keys(keys: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the sequences of 4 to ``SHORT`` shingles: whole, and with each one left out."""
+    size = np.bincount(row, minlength=n)
+    begin = np.cumsum(size) - size
+    rows, hashes = [], []
+    for m in range(4, SHORT + 1):
+        of = np.flatnonzero(size == m)
+        seq = keys[begin[of][:, None] + np.arange(m)] if len(of) else np.zeros((0, m), np.uint64)
+        for out in range(m + 1):  # m leaves out nothing
+            h = np.full(len(of), 0x5107, dtype=np.uint64)
+            for k in range(m):
+                if k != out:
+                    h = join_hash(h, seq[:, k])
+            rows.append(of)
+            hashes.append(h)
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
     """Order-respecting Jaccard similarity of two labelled sequences; 0.0 where it is below ``threshold``."""
     return _aligned(a, np.argsort(b), b, threshold)
@@ -145,23 +167,22 @@ def _sketch_map(k: int, count: int):
         for batch in batches:
             buf, off = text_buffer(batch.column(1))
             for lo, hi in slices(off, SLICE_BYTES):
-                n, cut = hi - lo, off[lo: hi + 1]
-                keys, row = labelled_shingles(buf, cut, k)
-                sk = sketches(keys, row, n, count)
-                t1 = span_hashes(buf, cut[:-1], cut[1:], lower=False)
-                t2 = span_hashes(buf, cut[:-1], cut[1:], values=SECOND)
+                n = hi - lo
+                keys, row = labelled_shingles(buf, off[lo: hi + 1], k)
+                more, extra = short_keys(keys, row, n)
+                of = np.concatenate([np.repeat(np.arange(n), count), more])
+                flat = np.concatenate([sketches(keys, row, n, count).ravel(), extra])[np.argsort(of, kind="stable")]
+                cut = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
                 size = np.bincount(row, minlength=n)
-                flat = pa.array(sk.view(np.int64).ravel())
-                yield pa.record_batch([batch.column(0).slice(lo, n), pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64)),
-                                       pa.array(size.astype(np.int32)),
-                                       pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * count), flat)],
-                                      names=["id", "t1", "t2", "n", "sk"])
+                yield pa.record_batch([batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(size.astype(np.int32)),
+                                       pa.ListArray.from_arrays(pa.array(cut), pa.array(flat.view(np.int64)))],
+                                      names=["id", "digest", "n", "sk"])
 
     return run
 
 
 def _sequence_map(path: str, buckets: int, k: int):
-    """(id, labelled shingles as 32-bit hashes) of the texts whose id is wanted."""
+    """(id, digest, labelled shingles) of the texts whose id is wanted."""
     def run(batches):
         wanted = Level(path, 1, buckets)
         for batch in batches:
@@ -173,10 +194,10 @@ def _sequence_map(path: str, buckets: int, k: int):
             buf, off = text_buffer(part.column(1))
             for lo, hi in slices(off, SLICE_BYTES):
                 keys, row = labelled_shingles(buf, off[lo: hi + 1], k)
-                keys = (keys >> np.uint64(32)).astype(np.uint32)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                yield pa.record_batch([part.column(0).slice(lo, hi - lo),
-                                       pa.array([keys[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["id", "seq"])
+                yield pa.record_batch([part.column(0).slice(lo, hi - lo), part.column(2).slice(lo, hi - lo),
+                                       pa.array([keys[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
+                                      names=["id", "digest", "seq"])
 
     return run
 
@@ -197,7 +218,7 @@ def _star_map(threshold: float):
         for batch in batches:
             out = []
             for leader, salt, member, i, seq in zip(*(c.to_pylist() for c in batch.columns)):
-                a = np.frombuffer(seq, dtype=np.uint32)
+                a = np.frombuffer(seq, dtype=np.uint64)
                 if not member:
                     now, lead, order = (leader, salt), a, np.argsort(a)
                 elif now == (leader, salt) and _aligned(a, order, lead, threshold) >= threshold - _TIE:
@@ -217,7 +238,7 @@ def _block_links(rows, threshold: float):
     few, rest = [r for r in rows if r[3]], [r for r in rows if not r[3]]
     if not few or not rest:
         return []
-    seqs = [np.frombuffer(s, dtype=np.uint32) for _, _, s, _ in rest]
+    seqs = [np.frombuffer(s, dtype=np.uint64) for _, _, s, _ in rest]
     sizes = np.array([len(s) for s in seqs], dtype=np.int64)
     first = np.cumsum(sizes) - sizes
     symbols, codes = np.unique(np.concatenate(seqs), return_inverse=True)
@@ -231,7 +252,7 @@ def _block_links(rows, threshold: float):
 
     out = []
     for part, i, s, _ in few:
-        a = np.frombuffer(s, dtype=np.uint32)
+        a = np.frombuffer(s, dtype=np.uint64)
         at = np.minimum(np.searchsorted(symbols, a), len(symbols) - 1)
         own = at[symbols[at] == a]
         mark[own] = 1
@@ -276,15 +297,20 @@ def _unresolved(member: DataFrame, links: DataFrame, threshold: float, seqs: Dat
             .mapInArrow(_block_map(threshold), _LINKS))
 
 
-def find_classes(docs: DataFrame, id_col: str = "doc_id", column: str = "text", threshold: float = THRESHOLD, k: int = K,
-                 count: int = SKETCHES, group: int = GROUP, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, class_id (the class's least id), kept (whether it is that row)."""
+def _digest(column: str):
+    return F.unhex(F.sha2(F.coalesce(F.col(f"`{column}`"), F.lit("")), 256))
+
+
+def _classified(docs: DataFrame, id_col: str, column: str, threshold: float, k: int, count: int, group: int, block: int) -> DataFrame:
+    """(id, digest, class_id, kept) for every row of ``docs``."""
     spark = docs.sparkSession
-    rows = own_columns(docs, id_col, column).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{column}`").alias("text"))
-    signed = staged(rows.mapInArrow(_sketch_map(k, count), "id long, t1 long, t2 long, n int, sk array<long>"), "omh-sketches")
+    rows = own_columns(docs, id_col, column).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{column}`").alias("text"),
+                                                    _digest(column).alias("digest"))
+    signed = staged(rows.mapInArrow(_sketch_map(k, count), "id long, digest binary, n int, sk array<long>"), "omh-sketches")
     usable = signed.filter("id is not null and n > 0")
-    classes = staged(usable.groupBy("t1", "t2").agg(F.min("id").alias("cid"), F.first("sk").alias("sk")), "omh-classes")
-    entries = staged(classes.select(F.col("cid").alias("id"), F.explode("sk").alias("bucket")).distinct(), "omh-entries")
+    classes = staged(usable.groupBy("digest").agg(F.min("id").alias("cid"), F.first("sk").alias("sk"))
+                     .withColumn("node", F.monotonically_increasing_id()), "omh-classes")
+    entries = staged(classes.select(F.col("node").alias("id"), F.explode("sk").alias("bucket")).distinct(), "omh-entries")
     # buckets of two or more classes; those of the same members are one
     buckets = (entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("least"),
                                              F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"))
@@ -298,12 +324,13 @@ def find_classes(docs: DataFrame, id_col: str = "doc_id", column: str = "text",
     member = staged(shared.select("bucket", "id").join(heads, "bucket"), "omh-members")
 
     # whole sequences of the classes that have a candidate, read once more from the table
-    wanted = member.select("id").distinct()
-    files = max(shuffle_width(spark), wanted.count() // 2_000_000)
+    wanted = classes.join(member.select(F.col("id").alias("node")).distinct(), "node").select("cid", "digest", "node")
+    files = max(shuffle_width(spark), classes.count() // 2_000_000)
     path = posix_dir(spark, "omh-ids")
-    write_set(wanted, path, files)
-    seqs = staged(rows.filter("id is not null").mapInArrow(_sequence_map(path, files, k), "id long, seq binary")
-                  .filter("octet_length(seq) > 0").dropDuplicates(["id"]), "omh-sequences")
+    write_set(wanted.select("cid").distinct(), path, files)
+    seqs = staged(rows.filter("id is not null").mapInArrow(_sequence_map(path, files, k), "id long, digest binary, seq binary")
+                  .filter("octet_length(seq) > 0").dropDuplicates(["id", "digest"])
+                  .join(wanted.withColumnRenamed("cid", "id"), ["id", "digest"]).select(F.col("node").alias("id"), "seq"), "omh-sequences")
 
     star = member.filter("id <> leader").select("leader", "id").distinct()
     salts = star.groupBy("leader").agg(F.ceil(F.count("*") / group).cast("int").alias("salts"))
@@ -317,18 +344,34 @@ def find_classes(docs: DataFrame, id_col: str = "doc_id", column: str = "text",
     more = staged(_unresolved(member, links, threshold, seqs, block), "omh-more-links")
     found = components(links.union(more), "omh-components")
 
-    named = classes.select("t1", "t2", "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "t1", "t2", F.coalesce("component", "cid").alias("class_id"))
-    linked = usable.select("id", "t1", "t2").join(named, ["t1", "t2"]).select("id", "class_id")
-    alone = signed.filter("id is null or n = 0").select("id", F.col("id").alias("class_id"))
-    return linked.union(alone).select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    named = (classes.select("digest", "cid", "node").join(found, "node", "left")
+             .withColumn("component", F.coalesce("component", "node")))
+    first = named.groupBy("component").agg(F.min(F.struct("cid", "digest")).alias("first"))
+    named = named.join(first, "component").select("digest", "first")
+    linked = (usable.select("id", "digest").join(named, "digest")
+              .select("id", "digest", F.col("first.cid").alias("class_id"),
+                      ((F.col("id") == F.col("first.cid")) & (F.col("digest") == F.col("first.digest"))).alias("kept")))
+    alone = signed.filter("id is null or n = 0").select("id", "digest", F.col("id").alias("class_id"), F.lit(True).alias("kept"))
+    return linked.union(alone)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", column: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class: that of the least id (of equal ids, one row); all columns as they were."""
-    kept = find_classes(docs, id_col, column, **options).filter(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
-    known = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return known.unionByName(docs.filter(F.col(id_col).isNull()))
+def find_classes(docs: DataFrame, id_col: str = "doc_id", column: str = "text", threshold: float = THRESHOLD, k: int = K,
+                 count: int = SKETCHES, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, class_id (the class's least id), kept (whether it is the row, or a copy
+    of its id, that stands for the class)."""
+    return (_classified(docs, id_col, column, threshold, k, count, group, block)
+            .select(F.col("id").alias(id_col), "class_id", "kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", column: str = "text", threshold: float = THRESHOLD, k: int = K,
+                         count: int = SKETCHES, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each class: that of the least id (of repeated rows, one); all columns as they were."""
+    found = _classified(docs, id_col, column, threshold, k, count, group, block)
+    key, digest = (next(f"_{n}{i}" for i in range(len(docs.columns) + 1) if f"_{n}{i}" not in docs.columns) for n in ("id", "digest"))
+    kept = (found.filter("kept and id is not null").select(F.col("id").alias(key), F.col("digest").alias(digest)).distinct())
+    known = (docs.withColumns({key: F.col(f"`{id_col}`").cast("long"), digest: _digest(column)})
+             .join(kept, [key, digest], "left_semi").dropDuplicates([key, digest]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return known.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -36,9 +36,6 @@ def _byte_values(lower: bool) -> np.ndarray:
 
 
 _LOWER, _EXACT = _byte_values(True), _byte_values(False)
-#: Byte values of a second, independent hash.
-SECOND = mix(_EXACT ^ np.uint64(0xB5297A4D3F84D5B5))
-
 SPACE_WORDS = np.ones(256, dtype=bool)
 SPACE_WORDS[[0x20, *range(0x09, 0x0E)]] = False
 
@@ -75,10 +72,10 @@ def word_spans(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray):
     return s + base, e + base, row
 
 
-def span_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = True, values: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hash of each (ordered) span's bytes, of which ``values`` may give other weights."""
+def span_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hash of each (ordered) span's bytes."""
     out = np.empty(len(s), dtype=np.uint64)
-    value, i = (values if values is not None else _LOWER if lower else _EXACT), 0
+    value, i = (_LOWER if lower else _EXACT), 0
     while i < len(s):
         j = max(i + 1, int(np.searchsorted(e, s[i] + _CHUNK, side="right")))
         lo, hi = int(s[i]), int(e[j - 1])

@@ -339,6 +339,27 @@ def test_line_dedup_units_that_share_a_hash(tmp_path):
     assert held.tolist() == [False, True, True, False, True]
 
 
+def test_near_dedup_rows_of_one_id(spark):
+    """Two texts of one id are two documents: neither is classed with the other's copies nor dropped for them."""
+    a, b = (" ".join(f"{p}{k}" for k in range(60)) for p in "ab")
+    rows = [(4, a), (4, b), (5, a + " more"), (4, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in order_minhash.drop_near_duplicates(docs).collect() if r.doc_id is not None)
+    assert got == [(4, a), (4, b)]
+    assert {(r.doc_id, r.class_id, r.kept) for r in order_minhash.find_classes(docs).collect()} == {
+        (4, 4, True), (5, 4, False), (None, None, True)}
+
+
+def test_near_dedup_short_texts_lose_no_link(spark):
+    """Eight words against the same and a ninth: similarity 0.8 exactly, at either end."""
+    rows = []
+    for i in range(1500):
+        words = [f"w{i}x{k}" for k in range(9)]
+        rows += [(3 * i, " ".join(words[:8])), (3 * i + 1, " ".join(words))]
+    got = order_minhash.find_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.class_id == r.doc_id - r.doc_id % 3 for r in got) and len(got) == len(rows)
+
+
 def test_absent_files_are_not_empty_levels(tmp_path):
     with pytest.raises(FileNotFoundError):
         Level(str(tmp_path), 1, 4)
