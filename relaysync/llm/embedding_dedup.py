@@ -52,7 +52,9 @@ def fit_centroids(vectors: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def _unit(column) -> np.ndarray:
+    """Unit vectors; a power of two (exact) brings the largest component near 1 first, so no square overflows or vanishes."""
     x = np.array(column.tolist(), dtype=np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -120,7 +122,8 @@ def _matrix(column) -> np.ndarray:
 def _pairs_apply(threshold: float):
     """One (query block, other block) of a cell: link counts and a spanning forest.
 
-    Single precision finds the pairs near the threshold, double precision decides.
+    Single precision finds the pairs near the threshold, with a slack above its
+    rounding error, which grows with the dimension; double precision decides.
     """
     def run(f: pd.DataFrame) -> pd.DataFrame:
         q, d = f[f["query"]], f[~f["query"]]
@@ -128,10 +131,11 @@ def _pairs_apply(threshold: float):
         if len(q) and len(d):
             other, di, dn = _matrix(d["v"]), d["id"].to_numpy(), d["n"].to_numpy()
             other32 = other.astype(np.float32)
+            slack = max(1e-5, (other.shape[1] + 4) * float(np.finfo(np.float32).eps))
             for lo in range(0, len(q), 1024):
                 part = q.iloc[lo: lo + 1024]
                 own, qi = _matrix(part["v"]), part["id"].to_numpy()
-                a, b = np.nonzero(own.astype(np.float32) @ other32.T >= threshold - 1e-5)
+                a, b = np.nonzero(own.astype(np.float32) @ other32.T >= threshold - slack)
                 a, b = a[qi[a] != di[b]], b[qi[a] != di[b]]
                 keep = np.concatenate([np.einsum("ij,ij->i", own[a[k: k + 65536]], other[b[k: k + 65536]]) >= threshold
                                        for k in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)

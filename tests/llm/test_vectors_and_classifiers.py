@@ -61,6 +61,14 @@ def test_embeddings_across_cells_blocks_and_odd_rows(spark):
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in lone} == {(None, 0, None, True), (1, 0, 1, True)}
 
 
+def test_embeddings_of_extreme_lengths(spark):
+    """Squares that overflow or vanish do not hide a cosine of 1."""
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [1e200, -1e200]), (5, [5e-324, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (9, 8), (8, 9), (7, 7), *((100, i) for i in range(101, 160)), *((i, i + 1) for i in range(200, 260))]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
