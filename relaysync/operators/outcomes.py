@@ -131,6 +131,27 @@ def _stats(grouped) -> DataFrame:
     )
 
 
+def final_stats(sent: DataFrame, settings: Settings, horizon: str = "1 day") -> DataFrame:
+    """E1 in append mode: the statistics of a request, once, when no attempt is awaited any more.
+
+    ``sent`` (request_id, ts, attempt_no, status) is a stream of requests
+    (attempt_no null) and of their attempts, both with the time the request
+    was sent.  A request is final when the watermark, ``horizon`` behind the
+    latest request, has passed that time; its state is then dropped.  Attempts
+    that come later do not change a final row: they are in the attempts' own
+    log (``corrections``).  A request without a time never becomes final.
+    """
+    kept = sent.where(F.col("attempt_no").isNull() | _in_range(settings)).withWatermark("ts", horizon)
+    return _stats(kept.groupBy("request_id", "ts"))
+
+
+def corrections(final: DataFrame, now: DataFrame) -> DataFrame:
+    """The rows of ``now`` (outcomes by all attempts logged) that differ from the final ones of the same requests."""
+    told = ["outcome", "reason", "attempts"]
+    was = final.select("request_id", F.struct(*told).alias("_was"))
+    return now.join(was, "request_id").where(~F.struct(*told).eqNullSafe(F.col("_was"))).drop("_was")
+
+
 def merge_stats(stats: DataFrame) -> DataFrame:
     """Fold partial ``attempt_stats`` rows of the same requests (each batch's own) into one row each."""
     return stats.groupBy("request_id").agg(

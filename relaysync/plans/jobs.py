@@ -163,6 +163,27 @@ def sync_attempts(attempts_stream: DataFrame, settings: Settings, out: str, chec
     return w.start()
 
 
+def sync_final(sent: DataFrame, settings: Settings, out: str, checkpoint: str, horizon: str = "1 day",
+               trigger: dict | None = None, every: int = EVERY) -> list:
+    """Final outcomes (E1): starts two queries over ``sent`` (see ``outcomes.final_stats``), the final
+    statistics into ``{out}/final`` and those of every attempt, late ones too, into ``{out}/attempts``."""
+    log = BatchLog(sent.sparkSession, f"{out}/final", every=every)
+    final = (outcomes.final_stats(sent, settings, horizon).drop("ts").writeStream.outputMode("append")
+             .foreachBatch(log_writer(log, "final_stats")).option("checkpointLocation", f"{checkpoint}/final")
+             .trigger(**(trigger or {"availableNow": True})).start())
+    attempts = sent.select("request_id", "attempt_no", "status").where(F.col("attempt_no").isNotNull())
+    return [final, sync_attempts(attempts, settings, out, f"{checkpoint}/attempts", trigger, every)]
+
+
+def final_outcomes(spark: SparkSession, requests: DataFrame, settings: Settings, out: str) -> tuple[DataFrame, DataFrame]:
+    """(outcomes of the requests that ``sync_final`` has closed, corrections of them by attempts that came later)."""
+    closed = outcomes.merge_stats(BatchLog(spark, f"{out}/final").read("final_stats", _STATS_DDL))
+    logged = outcomes.merge_stats(_attempt_log(spark, out, EVERY).read("attempt_stats", _STATS_DDL))
+    mine = requests.join(closed.select("request_id"), "request_id", "left_semi")
+    final = outcomes.resolve(mine, closed, settings)
+    return final, outcomes.corrections(final, outcomes.resolve(mine, logged, settings))
+
+
 def sync_responses(requests: DataFrame, attempts: DataFrame, out: str, checkpoint: str, delay: str = "1 hour",
                    horizon: str = "1 day", trigger: dict | None = None) -> list:
     """Continuous response join (D4): starts two queries, the join (``outcomes.response_stream``) into
@@ -204,4 +225,5 @@ def written(spark: SparkSession, out: str, name: str) -> DataFrame:
     return rows
 
 
-__all__ = ["late_responses", "prepared", "resolved_outcomes", "sync_attempts", "sync_batch", "sync_responses", "sync_stream", "written"]
+__all__ = ["final_outcomes", "late_responses", "prepared", "resolved_outcomes", "sync_attempts", "sync_batch", "sync_final",
+           "sync_responses", "sync_stream", "written"]

@@ -341,6 +341,19 @@ FROM fin"""
 SQL["stream_responses"] = _with(F_CTE, REQ_CTE, ATT_CTE) + """
 SELECT request_id, attempt_no, status, class FROM cls WHERE event_id % 29 <> 0
 UNION ALL SELECT request_id, NULL, NULL, 'pending' FROM r WHERE event_id % 29 = 0"""
+_FINAL = """
+  SELECT request_id,
+         CASE arg_min(class, attempt_no) FILTER (WHERE class <> 'retry') WHEN 'ok' THEN 'ok' WHEN 'skip' THEN 'skipped'
+              ELSE CASE WHEN max(attempt_no) >= 6 THEN 'failed' ELSE 'pending' END END AS outcome,
+         'http_' || CAST(coalesce(arg_min(status, attempt_no) FILTER (WHERE class <> 'retry'),
+                                  arg_max(status, attempt_no)) AS VARCHAR) AS reason,
+         coalesce(min(attempt_no) FILTER (WHERE class <> 'retry'), max(attempt_no)) AS attempts
+  FROM cls WHERE attempt_no <= 6 {only} GROUP BY request_id"""
+SQL["final_outcomes"] = _with(F_CTE, REQ_CTE, ATT_CTE) + f""",
+closed AS ({_FINAL.format(only="AND (event_id % 31 <> 0 OR attempt_no = 1)")}),
+later AS ({_FINAL.format(only="")})
+SELECT 'final' AS kind, request_id, outcome, reason, attempts FROM closed
+UNION ALL SELECT 'correction', * FROM (SELECT * FROM later EXCEPT SELECT * FROM closed)"""
 SQL["sync_triples"] = SQL["triples_after_delete"]
 SQL["late_documents"] = _with(F_CTE, DOC_CTE, TEV_CTE) + """
 SELECT s, seq, kind AS what FROM win

@@ -477,6 +477,32 @@ def q_stream_responses(spark, sf_dir):
             .select("request_id", F.col("attempt_no").cast("bigint").alias("attempt_no"), F.col("status").cast("bigint").alias("status"), "class"))
 
 
+def q_final_outcomes(spark, sf_dir):
+    """E1 in append mode: of every 31st request all attempts but the first come after it was closed.
+
+    Requests far ahead move the watermark; what was late shows as corrections.
+    """
+    run = P.StreamRun(spark, "final_outcomes")
+    req = stage_table(requests(spark, sf_dir).select("seq", "ts", "request_id", "route"), "sent")
+    att = feed.attempts_for(req).join(req.select("request_id", "ts", "seq"), "request_id")
+    late = (F.pmod("seq", F.lit(31)) == 0) & (F.col("attempt_no") > 1)
+    cols, none, files = ["request_id", "ts", "attempt_no", "status"], F.lit(None).cast("int"), P.files_per_chunk(req)
+    asked = req.select("request_id", "ts", none.alias("attempt_no"), none.alias("status"))
+    ahead = req.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select(
+        F.lit("").alias("request_id"), "ts", none.alias("attempt_no"), none.alias("status"))
+    many = ahead.select("*", F.explode(F.sequence(F.lit(1), F.lit(files)))).drop("col")
+    # a trigger works with the watermark that the one before it has left
+    for k, rows in enumerate((asked.unionByName(att.where(~late).select(*cols)), many, many, att.where(late).select(*cols))):
+        rows.repartition(files).write.parquet(f"{run.input}/{k}")
+    sent = P.read_stream(spark, run.input, "request_id string, ts timestamp, attempt_no int, status int", files, fmt="parquet")
+    for q in jobs.sync_final(sent, SETTINGS, run.sink, run.checkpoint):
+        q.awaitTermination()
+    final, corrected = jobs.final_outcomes(spark, req, SETTINGS, run.sink)
+    cols = ["request_id", "outcome", "reason", "attempts"]
+    return (final.select(F.lit("final").alias("kind"), *cols)
+            .unionByName(corrected.select(F.lit("correction").alias("kind"), *cols)))
+
+
 def q_sync_outcomes(spark, sf_dir):
     """The continuous job (all routes, and attempts as a second stream) over three triggers each.
 
@@ -551,6 +577,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "triples_requests": q_triples_requests,
     "triples_outcomes": q_triples_outcomes,
     "derivative_outcomes": q_derivative_outcomes,
+    "final_outcomes": q_final_outcomes,
     "late_messages": q_late_messages,
     "stream_requests": q_stream_requests,
     "stream_latest": q_stream_latest,
