@@ -33,7 +33,7 @@ from relaysync.llm.fm_index import FMIndex
 from relaysync.llm.tokens import ALNUM_WORDS, span_hashes, word_spans
 
 WINDOW = 13
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 BLOCK_WORDS = 1_000_000
 SLICE_BYTES = 4 << 20
 
