@@ -23,13 +23,17 @@ def dedup_messages(raw: DataFrame, settings: Settings) -> DataFrame:
     """Batch: one copy per message id, the first delivered (partial aggregate, skew-safe).
 
     Copies are ordered by ``seq``, then ``ts``, ``stream`` and ``body``, so the
-    kept copy does not depend on partitioning.
+    kept copy does not depend on partitioning.  The key columns, the body and
+    the rest are aggregates of their own: a caller that takes only ids and key
+    columns neither sorts nor shuffles bodies and headers.
     """
     msgs = with_message_id(raw, settings)
-    rest = [c for c in msgs.columns if c != "message_id"]
-    first = F.min_by(F.struct(*rest), F.struct("seq", "ts", "stream", "body"))
-    return (msgs.groupBy("message_id").agg(first.alias("m"))
-            .select(*[F.col("m").getField(c).alias(c) for c in rest], "message_id"))
+    key, order = F.struct("seq", "ts", "stream"), F.struct("seq", "ts", "stream", "body")
+    rest = [c for c in msgs.columns if c not in ("message_id", "seq", "ts", "stream", "body")]
+    kept = msgs.groupBy("message_id").agg(
+        F.min(key).alias("k"), F.min(order).alias("o"), *([F.min_by(F.struct(*rest), order).alias("m")] if rest else []))
+    of = {"seq": "k", "ts": "k", "stream": "k", "body": "o"}
+    return kept.select(*[F.col(of.get(c, "m")).getField(c).alias(c) for c in msgs.columns if c != "message_id"], "message_id")
 
 
 def dedup_stream(raw: DataFrame, settings: Settings) -> DataFrame:
