@@ -78,30 +78,40 @@ FEED_SETTINGS = Settings.from_map(dict(FEED_PROPERTIES))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    table = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(table, SPREAD_ROWS if name == "events" else None)
 
 
 # Inputs with at most this many splits are small (a few GB at the default
 # split size), so a round-robin shuffle of their compact rows is cheap.
 SPREAD_MAX_SPLITS = 64
+# A compact row of some 20 bytes becomes about 1.5 KB of JSON: a split of any
+# size in bytes can hold millions of them.
+SPREAD_ROWS = 100_000
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small scan that has fewer splits than the cluster has cores.
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Spread a scan over at least as many tasks as the cluster has cores, and of about ``rows`` rows at most.
 
     The feed turns each compact source row into a ~1.5 KB JSON document that
     is then parsed; a table stored as one row group would do all of that in
-    a single task.  Shuffling the compact rows round-robin first is cheap and
-    puts every core to work.  A large table (more than ``SPREAD_MAX_SPLITS``
-    splits) is never reshuffled: it is read with its own splits.
+    a single task, and the splits of a large one hold more rows the larger it
+    is.  Shuffling the compact rows round-robin first is cheap, puts every
+    core to work and keeps a task's work and memory the same at any size.
+    Without ``rows`` (tables whose rows are as wide as what is made of them) a
+    table of more than ``SPREAD_MAX_SPLITS`` splits is read with its own.
+    The rows are counted from the files' footers.
     """
     try:
         target = df.sparkSession.sparkContext.defaultParallelism
         n = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - e.g. a Connect session has no RDD view: read as is
         return df
-    if n < target and n <= SPREAD_MAX_SPLITS:
-        return df.repartition(target)
+    wanted = target if n <= SPREAD_MAX_SPLITS else 0
+    if rows:
+        wanted = max(wanted, -(-df.count() // rows))
+    if n < wanted:
+        return df.repartition(wanted)
     return df
 
 
@@ -280,8 +290,8 @@ def prior_triples(pages: DataFrame) -> DataFrame:
     )
 
 
-def attempts_for(requests: DataFrame) -> DataFrame:
-    """Recorded delivery attempts of each request (what the remote answered).
+def attempts_for(requests: DataFrame, *keep: str) -> DataFrame:
+    """Recorded delivery attempts of each request (what the remote answered), with the columns ``keep`` of the request.
 
     First rule that applies, by the request's event id:
     * % 19 = 0: attempts 1-6 answer 500, attempt 7 answers 201
@@ -304,9 +314,9 @@ def attempts_for(requests: DataFrame) -> DataFrame:
         .otherwise(formula)
     )
     return (
-        requests.select("request_id", "seq", F.explode(F.sequence(F.lit(1), n)).alias("attempt_no"))
+        requests.select("request_id", *dict.fromkeys(("seq", *keep)), F.explode(F.sequence(F.lit(1), n)).alias("attempt_no"))
         .select("request_id", F.col("attempt_no").cast("int").alias("attempt_no"),
-                status.cast("int").alias("status"))
+                status.cast("int").alias("status"), *keep)
     )
 
 

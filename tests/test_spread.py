@@ -1,9 +1,14 @@
 """The feed's input work per task: bounded rows, no bodies where only ids are asked, attempts made after the joins."""
 
 import datetime as dt
+import uuid
+
+from pyspark.sql import functions as F
 
 from relaysync import Settings
 from relaysync.operators.dedup import dedup_messages
+from relaysync.session import scratch_dir
+from relaysync.sources import feed
 
 RAW_DDL = "seq bigint, ts timestamp, stream string, headers map<string,string>, body string"
 SETTINGS = Settings(message_id_header="message-id")
@@ -14,6 +19,18 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_events_of_one_row_group_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(feed, "SPREAD_ROWS", 50, raising=False)
+    root = scratch_dir(spark, f"spread-{uuid.uuid4().hex}")
+    for name in ("events", "pages"):
+        spark.range(1000).coalesce(1).write.parquet(f"{root}/{name}.parquet")
+    sizes = feed.read_table(spark, root, "events").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) <= 100
+    assert sorted(r.id for r in feed.read_table(spark, root, "events").collect()) == list(range(1000))
+    # rows as wide as what is made of them keep to the cores
+    assert feed.read_table(spark, root, "pages").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_dedup_of_ids_leaves_bodies_alone(spark):
     later = T0 + dt.timedelta(seconds=1)
     rows = [(2, T0, "a", {"message-id": "m", "x": "2"}, "b"), (1, later, "a", {"message-id": "m", "x": "late"}, "a"),
