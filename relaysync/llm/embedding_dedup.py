@@ -12,9 +12,12 @@ How far that spreads depends on the data: in vectors without clusters nearly
 every cell is near, so the number of cells is the largest for which a vector
 of the sample is shown to ``MAX_SHOWN`` cells on average.
 
-A cell is cut into blocks; each pair of blocks is one row group, so no task
-holds more than two blocks whatever the cell's size.  Within a pair of blocks
-only link counts and a spanning forest are kept, never the pairs.
+The vectors of a cell are written once, in their own precision, to files of the
+shared folder that workers map, and are cut into blocks; what Spark shuffles
+are pairs of blocks as names and row ranges, so disk grows with the rows and
+not with pairs of blocks, and no task holds more than two blocks whatever the
+cell's size.  Within a pair of blocks only link counts and a spanning forest
+are kept, never the pairs.
 
 Defined results: null, empty, zero or non-finite vectors (or with null
 components) link with nothing; vectors link only with vectors of their length.
@@ -23,19 +26,24 @@ components) link with nothing; vectors link only with vectors of their length.
 from __future__ import annotations
 
 import math
+import os
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from relaysync.llm.common import own_columns, read, staged
+from relaysync.llm.common import own_columns, posix_dir, read, shuffle_width, staged, write_atomic
 from relaysync.llm.components import components
 
 FIT_SAMPLE = 20_000
 BLOCK = 8192
 MAX_SHOWN = 2.5
 SLACK = 1e-6
+FILE_BYTES = 32 << 20
+SEGMENTS_DDL = "dim int, cell int, file string, total long, start long, rows long, homes long"
 
 
 def fit_centroids(vectors: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -53,7 +61,7 @@ def fit_centroids(vectors: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 def _unit(column) -> np.ndarray:
     """Unit vectors; a power of two (exact) brings the largest component near 1 first, so no square overflows or vanishes."""
-    x = np.array(column.tolist(), dtype=np.float64)
+    x = np.array(column.tolist() if isinstance(column, pd.Series) else column, dtype=np.float64)
     x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -79,19 +87,42 @@ def choose_centroids(sample: np.ndarray, reach: float, max_shown: float = MAX_SH
     return best
 
 
-def _cells_map(centroids: dict, reach: float):
-    """Each class in its home cell and in those a partner may live in; unit vectors as packed doubles."""
+def _cells_map(folder: str, centroids: dict, reach: float, dtype: str, block: int):
+    """Each class in its home cell and in those a partner may live in, as files in order of cells, home rows first.
+
+    A file holds the ids, the counts and the vectors of its rows; a segment is
+    a range of at most ``block`` rows of one cell, ``homes`` of them at home.
+    """
+    def flush(dim: int, parts: list) -> pd.DataFrame:
+        cell, away, ids, n, v = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((away, cell))
+        cell, away = cell[order], away[order]
+        name = f"{uuid.uuid4().hex}.bin"
+        write_atomic(os.path.join(folder, name), b"".join(x[order].tobytes() for x in (ids, n, v)))
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        out = [(dim, int(cell[lo]), name, len(cell), k, min(block, hi - k), int((~away[k: min(hi, k + block)]).sum()))
+               for lo, hi in zip(starts, np.r_[starts[1:], len(cell)]) for k in range(lo, hi, block)]
+        return pd.DataFrame(out, columns=["dim", "cell", "file", "total", "start", "rows", "homes"])
+
     def run(frames):
+        waiting: dict[int, list] = {}
+        size: dict[int, int] = {}
         for f in frames:
             for dim, g in f.groupby("dim"):
+                dim = int(dim)
                 for lo in range(0, len(g), 2048):
                     part = g.iloc[lo: lo + 2048]
-                    x = _unit(part["v"])
-                    home, near = _near_cells(x, centroids[int(dim)], reach)
+                    v = np.array(part["v"].tolist(), dtype=dtype)
+                    home, near = _near_cells(_unit(v), centroids[dim], reach)
                     i, cell = np.nonzero(near)
-                    packed = [r.tobytes() for r in x]
-                    yield pd.DataFrame({"dim": np.int32(dim), "id": part["id"].to_numpy()[i], "n": part["n"].to_numpy()[i],
-                                        "v": [packed[k] for k in i], "cell": cell.astype(np.int32), "home": cell == home[i]})
+                    waiting.setdefault(dim, []).append((cell, cell != home[i], part["id"].to_numpy(np.int64)[i], part["n"].to_numpy(np.int64)[i], v[i]))
+                    size[dim] = size.get(dim, 0) + v[i].nbytes
+                    if sum(size.values()) >= FILE_BYTES:
+                        for d, parts in waiting.items():
+                            yield flush(d, parts)
+                        waiting, size = {}, {}
+        for d, parts in waiting.items():
+            yield flush(d, parts)
 
     return run
 
@@ -115,42 +146,52 @@ def _stars(hit: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> list[tuple[np
     return out
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), -1)
+def _block(folder: str, dim: int, dtype: str, parts, only_home: bool):
+    """(ids, counts, unit vectors) of a block's segments."""
+    out = []
+    for p in parts:
+        total, start, rows = p["total"], p["start"], p["homes"] if only_home else p["rows"]
+        if rows:
+            path = os.path.join(folder, p["file"])
+            ids, n = (np.memmap(path, np.int64, "r", offset=at + 8 * start, shape=(rows,)) for at in (0, 8 * total))
+            v = np.memmap(path, dtype, "r", offset=16 * total + start * dim * np.dtype(dtype).itemsize, shape=(rows, dim))
+            out.append((np.array(ids), np.array(n), _unit(v)))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _pairs_apply(threshold: float):
-    """One (query block, other block) of a cell: link counts and a spanning forest.
+def _pairs_map(folder: str, threshold: float, dtype: str):
+    """(query block, other block) pairs of cells: link counts and a spanning forest.
 
     Single precision finds the pairs near the threshold, with a slack above its
     rounding error, which grows with the dimension; double precision decides.
     """
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        q, d = f[f["query"]], f[~f["query"]]
-        found = []
-        if len(q) and len(d):
-            other, di, dn = _matrix(d["v"]), d["id"].to_numpy(), d["n"].to_numpy()
-            other32 = other.astype(np.float32)
-            slack = max(1e-5, (other.shape[1] + 4) * float(np.finfo(np.float32).eps))
-            for lo in range(0, len(q), 1024):
-                part = q.iloc[lo: lo + 1024]
-                own, qi = _matrix(part["v"]), part["id"].to_numpy()
-                a, b = np.nonzero(own.astype(np.float32) @ other32.T >= threshold - slack)
-                a, b = a[qi[a] != di[b]], b[qi[a] != di[b]]
-                keep = np.concatenate([np.einsum("ij,ij->i", own[a[k: k + 65536]], other[b[k: k + 65536]]) >= threshold
-                                       for k in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
-                a, b = a[keep], b[keep]
-                if not len(a):
-                    continue
-                links = np.bincount(a, dn[b], minlength=len(qi)).astype(np.int64)
-                rows, cols = np.unique(a), np.unique(b)
-                hit = np.zeros((len(rows), len(cols)), dtype=bool)
-                hit[np.searchsorted(rows, a), np.searchsorted(cols, b)] = True
-                found += [(m, np.full(len(m), r), np.zeros(len(m), np.int64)) for m, r in _stars(hit, qi[rows], di[cols])]
-                found.append((qi[rows], qi[rows], links[rows]))
+    def pair(q, d) -> pd.DataFrame:
+        (qi_all, _, own_all), (di, dn, other) = q, d
+        found, other32 = [], other.astype(np.float32)
+        slack = max(1e-5, (other.shape[1] + 4) * float(np.finfo(np.float32).eps))
+        for lo in range(0, len(qi_all), 1024):
+            own, qi = own_all[lo: lo + 1024], qi_all[lo: lo + 1024]
+            a, b = np.nonzero(own.astype(np.float32) @ other32.T >= threshold - slack)
+            a, b = a[qi[a] != di[b]], b[qi[a] != di[b]]
+            keep = np.concatenate([np.einsum("ij,ij->i", own[a[k: k + 65536]], other[b[k: k + 65536]]) >= threshold
+                                   for k in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
+            a, b = a[keep], b[keep]
+            if not len(a):
+                continue
+            links = np.bincount(a, dn[b], minlength=len(qi)).astype(np.int64)
+            rows, cols = np.unique(a), np.unique(b)
+            hit = np.zeros((len(rows), len(cols)), dtype=bool)
+            hit[np.searchsorted(rows, a), np.searchsorted(cols, b)] = True
+            found += [(m, np.full(len(m), r), np.zeros(len(m), np.int64)) for m, r in _stars(hit, qi[rows], di[cols])]
+            found.append((qi[rows], qi[rows], links[rows]))
         cols = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
         return pd.DataFrame(dict(zip(("u", "v", "links"), cols))).astype("int64")
 
+    def run(frames):
+        for f in frames:
+            for dim, q, d in zip(f["dim"], f["q"], f["d"]):
+                yield pair(_block(folder, int(dim), dtype, q, True), _block(folder, int(dim), dtype, d, False))
+
     return run
 
 
@@ -165,33 +206,36 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     rows = own_columns(vectors, id_col, column).toDF("id", "v")
     good = (F.col("v").isNotNull() & F.col("id").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
             & F.exists("v", lambda x: x != 0))
-    flat = F.transform("v", lambda x: x.cast("double") + F.lit(0.0))
+    # single-precision vectors stay so, every other type is read as double; adding zero makes -0 a zero
+    kind = "float" if isinstance(rows.schema["v"].dataType.elementType, FloatType) else "double"
+    dtype = "f4" if kind == "float" else "f8"
+    flat = F.transform("v", lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
     rows = rows.withColumn("v", F.when(good, flat))
+    # equal vectors are known by two 64-bit lanes once their classes are formed
+    lanes = [F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2")]
     classes = staged(rows.filter("v is not null").groupBy("v")
                      .agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("dim", F.size("v")), "vec-classes")
     reach, centroids = math.sin(math.acos(threshold)), {}
     for r in classes.select("dim").distinct().toLocalIterator():
         sample = _unit(classes.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64("id")).limit(fit_sample).select("v").toPandas()["v"])
         centroids[r["dim"]] = fit_centroids(sample, cells) if cells else choose_centroids(sample, reach)
-    placed = staged(classes.mapInPandas(_cells_map(centroids, reach), "dim int, id long, n long, v binary, cell int, home boolean"),
-                    "vec-cells")
-    # blocks by hash of the id: their number follows each cell's rows
-    sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    cut = (placed.join(sizes, ["dim", "cell"])
-           .withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    query = cut.filter("home").select("dim", "cell", F.col("b").alias("i"), every.alias("j"), "id", "n", "v", F.lit(True).alias("query"))
-    other = cut.select("dim", "cell", every.alias("i"), F.col("b").alias("j"), "id", "n", "v", F.lit(False).alias("query"))
-    found = staged(query.union(other).groupBy("dim", "cell", "i", "j")
-                   .applyInPandas(_pairs_apply(threshold), "u long, v long, links long"), "vec-links")
+    folder = posix_dir(spark, "vec-cells")
+    segments = staged(classes.mapInPandas(_cells_map(folder, centroids, reach, dtype, block), SEGMENTS_DDL), "vec-segments")
+    # blocks are runs of segments: their number follows each cell's rows
+    before = F.sum("rows").over(Window.partitionBy("dim", "cell").orderBy("file", "start")) - F.col("rows")
+    blocks = (segments.withColumn("b", F.floor(before / block)).groupBy("dim", "cell", "b")
+              .agg(F.collect_list(F.struct("file", "total", "start", "rows", "homes")).alias("d"), F.sum("homes").alias("homes")))
+    pairs = (blocks.filter("homes > 0").select("dim", "cell", F.col("d").alias("q"))
+             .join(blocks.select("dim", "cell", "d"), ["dim", "cell"]).select("dim", "q", "d").repartition(shuffle_width(spark)))
+    found = staged(pairs.mapInPandas(_pairs_map(folder, threshold, dtype), "u long, v long, links long"), "vec-links")
     group = components(found.filter("u <> v").select("u", "v"), "vec-components")
     links = found.filter("links > 0").groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
-    known = (classes.select(F.col("id").alias("cid"), "n", "v").join(links, "cid", "left")
+    known = (classes.select(F.col("id").alias("cid"), "n", *lanes).join(links, "cid", "left")
              .join(group.withColumnRenamed("node", "cid"), "cid", "left")
-             .select("v", F.coalesce("component", "cid").alias("component"),
+             .select("k1", "k2", F.coalesce("component", "cid").alias("component"),
                      (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
     lone = rows.filter("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    joined = rows.filter("v is not null").join(known, "v").select("id", "n_links", F.col("component").alias("component_id"))
+    joined = rows.filter("v is not null").select("id", *lanes).join(known, ["k1", "k2"]).select("id", "n_links", F.col("component").alias("component_id"))
     return (joined.union(lone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
             .withColumnRenamed("id", id_col))
 

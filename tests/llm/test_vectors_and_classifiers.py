@@ -4,6 +4,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,22 @@ def test_embeddings_of_extreme_lengths(spark):
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
 
 
+def test_embedding_cells_are_files_written_once(tmp_path):
+    """What pairs of blocks share is a file: every shown row stands in it once, in its own precision, home rows first."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4)).astype(np.float32)
+    centroids = {4: embedding_dedup.fit_centroids(embedding_dedup._unit(x), 6)}
+    frame = pd.DataFrame({"v": list(x), "id": np.arange(300), "n": np.arange(300) + 1, "dim": 4})
+    segments = pd.concat(embedding_dedup._cells_map(str(tmp_path), centroids, 0.3, "f4", 16)(iter([frame[:200], frame[200:]])))
+    shown = int(segments["rows"].sum())
+    assert segments["rows"].max() <= 16 and int(segments["homes"].sum()) == 300 < shown
+    assert sum(f.stat().st_size for f in tmp_path.iterdir()) == shown * (8 + 8 + 4 * 4)
+    parts = segments.to_dict("records")
+    ids, n, v = embedding_dedup._block(str(tmp_path), 4, "f4", parts, True)
+    assert sorted(ids.tolist()) == list(range(300)) and (n == ids + 1).all() and (v == embedding_dedup._unit(x)[ids]).all()
+    assert len(embedding_dedup._block(str(tmp_path), 4, "f4", parts, False)[0]) == shown
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (9, 8), (8, 9), (7, 7), *((100, i) for i in range(101, 160)), *((i, i + 1) for i in range(200, 260))]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
