@@ -124,7 +124,7 @@ def sync_stream(raw_stream: DataFrame, settings: Settings, out: str, checkpoint:
         if log.committed(batch_id):
             return
         # several outputs per batch: parse once, keep it for the other writes
-        f = prepared(batch, strict, transform).persist()
+        f = derivatives.content_only(prepared(batch, strict, transform)).persist()
         try:
             with log.batch(batch_id) as put:
                 put("requests", R.build_requests(f, settings))

@@ -44,10 +44,13 @@ def _log(spark: SparkSession, out: str, every: int = EVERY) -> BatchLog:
     return BatchLog(spark, f"{out}/triplestore", {"waiting": lambda rows, last: rows.where(F.col("at") == last)}, every)
 
 
-def _both(events: DataFrame, documents: DataFrame) -> DataFrame:
-    """One stream of events and documents, told apart by ``what``."""
+def _both(events: DataFrame, documents: DataFrame, streams: list[str]) -> DataFrame:
+    """One stream of documents and of the events of some streams, told apart by ``what``.
+
+    No filter on a batch goes below the batch: other streams' events are left out before.
+    """
     null = F.lit(None).cast("string")
-    ev = events.select(F.lit("event").alias("what"), *_RAW, null.alias("url"))
+    ev = events.where(F.col("stream").isin(*streams)).select(F.lit("event").alias("what"), *_RAW, null.alias("url"))
     docs = documents.select(F.lit("document").alias("what"), F.lit(None).cast("bigint").alias("seq"),
                             F.lit(None).cast("timestamp").alias("ts"), null.alias("stream"),
                             F.lit(None).cast("map<string,string>").alias("headers"), "body", "url")
@@ -88,9 +91,13 @@ def sync_triplestore(raw_stream: DataFrame, documents: DataFrame, settings: Sett
         if log.committed(batch_id):
             return
         # a micro-batch has a session of its own without adaptive execution: from here on the job's is used
-        came = stage_table(triples.parsed_documents(batch.where("what = 'document'").select("url", "body").distinct()), "came", spark)
-        events = batch.where((F.col("what") == "event") & F.col("stream").isin(*streams)).select(*_RAW)
-        sev = stage_table(triples.subject_events(prepared(events, strict, transform), settings), "subject_events", spark)
+        rows = batch.persist()  # read twice, and each read of a batch makes all of it anew
+        try:
+            came = stage_table(triples.parsed_documents(rows.where("what = 'document'").select("url", "body").distinct()), "came", spark)
+            events = rows.where("what = 'event'").select(*_RAW)
+            sev = stage_table(triples.subject_events(prepared(events, strict, transform), settings), "subject_events", spark)
+        finally:
+            rows.unpersist()
         fetched.append(came.withColumn("arrived", F.lit(batch_id).cast("bigint")), batch_id, _latest_copies)
         before = log.read("waiting", WAITING_DDL, batch_id, batch_id - 1).where(F.col("at") == batch_id - 1)
         came_urls = came.select("url").distinct()
@@ -123,7 +130,7 @@ def sync_triplestore(raw_stream: DataFrame, documents: DataFrame, settings: Sett
             put("outcomes", results.select(*outcomes.OUTCOME_COLUMNS).unionByName(given_up))
             put("waiting", waiting.where(F.col("tried") < tries).withColumn("at", F.lit(batch_id).cast("bigint")))
 
-    q = (_both(raw_stream, documents).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    q = (_both(raw_stream, documents, streams).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(**(trigger or {"availableNow": True})))
     return q.start()
 

@@ -52,15 +52,16 @@ def stage_in_order(df: DataFrame, path: str, order_col: str, chunks: int = 2, fm
     return files
 
 
-def stage_by_hash(df: DataFrame, path: str, *key: str, chunks: int = 3, fmt: str = "parquet") -> int:
+def stage_by_hash(df: DataFrame, path: str, *key: str, chunks: int = 3, fmt: str = "parquet", dealt: int | None = None) -> int:
     """Land ``df`` in ``chunks`` successive writes in hash order of ``key`` (shuffled arrival).
 
     Rows that must meet in state across triggers differ in some key column.
+    Rows that are ``dealt`` evenly over that many tasks already are written where they are.
     """
-    files = files_per_chunk(df)
+    files = dealt or files_per_chunk(df)
     for i in range(chunks):
-        (df.where(F.pmod(F.xxhash64(*key), F.lit(chunks)) == i).repartition(files)
-         .write.format(fmt).save(f"{path}/chunk-{i:04d}"))
+        some = df.where(F.pmod(F.xxhash64(*key), F.lit(chunks)) == i)
+        (some if dealt else some.repartition(files)).write.format(fmt).save(f"{path}/chunk-{i:04d}")
     return files
 
 

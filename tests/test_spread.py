@@ -7,6 +7,8 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from relaysync import Settings
+from relaysync.operators import derivatives
+from relaysync.operators import requests as R
 from relaysync.operators.dedup import dedup_messages
 from relaysync.plans import queries as Q
 from relaysync.session import scratch_dir
@@ -60,3 +62,32 @@ def test_attempts_are_made_after_the_requests_are_joined(spark):
     assert Counter(map(tuple, made.select(*want.columns).collect())) == Counter(map(tuple, want.collect()))
     plan = _plan(made)
     assert plan.index("Generate") < plan.index("Join")
+
+
+def test_attempts_land_from_spread_requests(spark):
+    rows = [(i, T0, f"{i}:r", "r") for i in range(60)] + [(7, T0, "7:r", "r"), (None, T0, None, "r"), (5, T0, None, "r")]
+    req = spark.createDataFrame(rows, "seq bigint, ts timestamp, request_id string, route string")
+    path = scratch_dir(spark, "attempts")
+    files = Q.stage_attempts(req, path)
+    got = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    want = feed.attempts_for(req)
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(map(tuple, want.collect()))
+    for k in range(3):
+        chunk = spark.read.parquet(f"{path}/chunk-{k:04d}").select("request_id", F.input_file_name().alias("file"))
+        assert 1 < chunk.select("file").distinct().count() <= files
+        # the attempts of a request that come together were not shuffled apart (the id sent twice may be in two)
+        assert chunk.where("request_id <> '7:r'").groupBy("request_id").agg(F.countDistinct("file").alias("n")).where("n > 1").isEmpty()
+
+
+def test_derivative_routes_read_the_content_alone(spark):
+    content = '{"attachment": {"type": "Object", "content": {"source_uri": "s", "args": "-a", "mimetype": "m"}}}'
+    bodies = [content, '{"attachment": {"type": "Object"}}', '{"type": "Create"}', '{"attachment": {"content": {"args": "x"}}}', "{", None]
+    raw = spark.createDataFrame([(i, T0, "in", {}, b) for i, b in enumerate(bodies)], RAW_DDL)
+    reg = spark.createDataFrame([("route", "item", "in", "http://svc", True)],
+                                "route string, item string, stream string, service_url string, enabled boolean")
+    f = R.prepare(raw)
+    narrow = derivatives.content_only(f)
+    assert narrow.schema["event"].dataType.names == ["attachment"] and narrow.columns == f.columns
+    for of in (lambda x: derivatives.derivative_requests(x, reg, SETTINGS), lambda x: derivatives.derivative_outcomes(x, reg)):
+        got = Counter(map(tuple, of(narrow).collect()))
+        assert got and got == Counter(map(tuple, of(f).collect()))

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from relaysync import Settings
 from relaysync.plans import jobs
@@ -111,3 +112,18 @@ def test_replay_after_a_crash(spark, monkeypatch, where):
     f.start(tries=3).awaitTermination()
     assert f.triples() == WANT
     assert f.outcomes() == [(2, "ok", "superseded"), (4, "failed", "document_rejected"), (9, "pending", "resource_missing")]
+
+
+def test_a_batch_is_made_once_and_of_its_own_streams(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(body):
+        made.add(1)
+        return body
+
+    feed = Feed(spark, "made_once", [([event(1, "a"), event(2, "b", "media"), event(3, "c", "delete"), event(4, "d", None)], [document("a", "1")])])
+    ev = P.read_stream(spark, f"{feed.run.input}/events", RAW, 1, fmt="parquet").withColumn("body", F.udf(count)("body"))
+    docs = P.read_stream(spark, f"{feed.run.input}/docs", "url string, body string", 1, fmt="parquet")
+    T.sync_triplestore(ev, docs, SETTINGS, feed.run.sink, feed.run.checkpoint, buckets=4).awaitTermination()
+    assert feed.triples() == [("a", "p", "1")]
+    assert made.value == 2  # the node and the delete event, each once
