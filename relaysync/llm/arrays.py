@@ -169,9 +169,9 @@ class Level:
     def _open(self, bucket: int) -> list[np.ndarray]:
         return map_arrays(f"{self.path}/{self.level}-{bucket}") if bucket in self.listed else []
 
-    def _find(self, keys: np.ndarray):
+    def _find(self, keys: np.ndarray, ascending: bool = False):
         """Per bucket that holds any of the keys: (positions in keys, its columns, positions in them)."""
-        order = np.argsort(keys)
+        order = np.arange(len(keys)) if ascending else np.argsort(keys)
         q = keys[order]
         b = bucket_of(q, self.buckets)
         cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import re
 import zlib
 
@@ -128,6 +129,51 @@ def test_lm_packed_rows():
     assert all(np.array_equal(b, c[order]) for b, c in zip(back, [*ids, ids[0] * np.uint64(3)]))
 
 
+@pytest.mark.parametrize(("n", "width"), [(1, 3), (1, 21), (2, 20), (3, 21), (3, 30)])
+def test_lm_keys_of_ids(tmp_path, n, width):
+    """Keys differ, fill the buckets evenly, and their files give every count back."""
+    rng = np.random.default_rng(n * width)
+    packed = np.unique(rng.integers(0, 1 << min(n * width, 62), 100_000, dtype=np.uint64))
+    ids = [packed >> np.uint64(k * width) & np.uint64((1 << width) - 1) for k in range(n)]
+    key, bits = lm_scoring.ids_key(ids, width), lm_scoring.key_bits(n, width)
+    assert len(np.unique(key)) == len(packed) and not (key & np.uint64((1 << 64 - bits) - 1)).any()
+    where = lm_scoring.bucket_of(key, 8).astype(int)
+    if len(packed) > 1000:
+        assert np.bincount(where, minlength=8).max() < 1.1 * len(packed) / 8
+    key, where = np.sort(key), np.sort(where)
+    values = [np.minimum(rng.zipf(2.0, len(key)), 1 << 40).astype(np.uint64) for _ in range(5)]
+    for b in np.unique(where).tolist():
+        own = where == b
+        lm_scoring.save_counts(f"{tmp_path}/1-{b}", b, 8, key[own], [v[own] for v in values], bits)
+    list_buckets(str(tmp_path), 1, where.tolist())
+    level = lm_scoring.CountLevel(str(tmp_path), 1, 8)
+    for got, v in zip(level.look_up(key[::-1], [1, 2, 3, 4, 5]), values):
+        assert np.array_equal(got, v[::-1])
+
+
+@pytest.mark.parametrize("n", [0, 1, 300, 20_000])
+def test_lm_packed_pairs(n):
+    """Rows come back; ids that follow each other and values that are mostly 0 take few bytes."""
+    rng = np.random.default_rng(n)
+    ids = [rng.zipf(1.3, n).clip(0, 50_000).astype(np.uint64), rng.integers(0, 50_000, n).astype(np.uint64)]
+    values = [(rng.random(n) < 0.01).astype(np.uint64) for _ in range(6)]
+    data = lm_scoring.squeeze(ids, values)
+    order = np.lexsort(ids[::-1])
+    assert all(np.array_equal(b, c[order]) for b, c in zip(lm_scoring.expand(data), [*ids, *values]))
+    if n > 10_000:
+        assert len(data) < 3 * n
+
+
+def test_lm_files_are_small(spark):
+    """Pairs of ids and their five counts take less than 8 bytes a pair, triples less than 8."""
+    rng = np.random.default_rng(3)
+    words = rng.zipf(1.2, (400, 300)).clip(0, 20_000)
+    model = lm_scoring.train(spark.createDataFrame([(" ".join(map(str, w)),) for w in words.tolist()], "text string"), order=3)
+    for level in (2, 3):
+        files = [f for f in os.listdir(model.path) if f.startswith(f"{level}-")]
+        assert sum(os.path.getsize(f"{model.path}/{f}") for f in files) < 8 * model.counts[level - 1][7]
+
+
 def test_lm_odd_rows(spark, odd):
     model = lm_scoring.train(odd)
     rows = lm_scoring.score(odd, model, ["doc_id"]).collect()
