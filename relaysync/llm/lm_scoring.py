@@ -120,12 +120,23 @@ def _ids_map(buckets: int, path: str):
 
 # -- packed rows of ids ---------------------------------------------------------
 
+def ids_order(ids: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by their ids; one sort of 64-bit numbers where the ids fit in these."""
+    bits = [int(c.max(initial=0)).bit_length() for c in ids]
+    if sum(bits) > 64:
+        return np.lexsort(ids[::-1])
+    x = ids[0]
+    for c, b in zip(ids[1:], bits[1:]):
+        x = x << np.uint64(b) | c
+    return np.argsort(x)
+
+
 def squeeze(ids: list[np.ndarray], values: list[np.ndarray]) -> bytes:
     """Rows in order of their ids, as byte planes, compressed one by one (few rows: together).
 
     The first id is a difference, the second one too where the first is the same.
     """
-    order = np.lexsort(ids[::-1])
+    order = ids_order(ids)
     cols = [c[order] for c in (*ids, *values)]
     n, near = len(order), min(len(ids), 2)
     if near == 2:
@@ -190,7 +201,8 @@ def summed_ids(ids: list[np.ndarray], values: list[np.ndarray], width: int):
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return (key[first], [c[order][first] for c in ids],
+    some = order[first]
+    return (key[first], [c[some] for c in ids],
             [np.add.reduceat(v[order], first) if len(first) else v for v in values])
 
 

@@ -155,7 +155,7 @@ def test_lm_keys_of_ids(tmp_path, n, width):
 def test_lm_packed_pairs(n):
     """Rows come back; ids that follow each other and values that are mostly 0 take few bytes."""
     rng = np.random.default_rng(n)
-    ids = [rng.zipf(1.3, n).clip(0, 50_000).astype(np.uint64), rng.integers(0, 50_000, n).astype(np.uint64)]
+    ids = list(np.unique([rng.zipf(1.3, n).clip(0, 50_000), rng.permutation(n)], axis=1)[:, ::-1].astype(np.uint64))
     values = [(rng.random(n) < 0.01).astype(np.uint64) for _ in range(6)]
     data = lm_scoring.squeeze(ids, values)
     order = np.lexsort(ids[::-1])
