@@ -27,7 +27,7 @@ from relaysync.session import materialize, stage_table
 from relaysync.settings import Settings
 from relaysync.sources import sinks
 from relaysync.streaming.batches import EVERY, BatchLog, log_writer
-from relaysync.streaming.pipeline import idempotent_writer, read_sink
+from relaysync.streaming.pipeline import idempotent_writer, read_sink, state_partitions
 
 def sync_batch(spark: SparkSession, raw: DataFrame, settings: Settings, out: str,
                resources: DataFrame | None = None, prior_triples: DataFrame | None = None,
@@ -185,14 +185,20 @@ def final_outcomes(spark: SparkSession, requests: DataFrame, settings: Settings,
 
 
 def sync_responses(requests: DataFrame, attempts: DataFrame, out: str, checkpoint: str, delay: str = "1 hour",
-                   horizon: str = "1 day", trigger: dict | None = None) -> list:
+                   horizon: str = "1 day", trigger: dict | None = None, partitions: int | None = None) -> list:
     """Continuous response join (D4): starts two queries, the join (``outcomes.response_stream``) into
-    ``{out}/responses`` and the attempts as they came into ``{out}/attempt_log``."""
+    ``{out}/responses`` and the attempts as they came into ``{out}/attempt_log``.
+
+    ``partitions`` of the join's state (as many as the session shuffles to, if not given) stay as long as its
+    checkpoint; each of them costs four state stores in every trigger, however few its rows.
+    """
     def run(stream: DataFrame, name: str):
         return (stream.writeStream.outputMode("append").foreachBatch(idempotent_writer(f"{out}/{name}"))
                 .option("checkpointLocation", f"{checkpoint}/{name}").trigger(**(trigger or {"availableNow": True})).start())
 
-    return [run(outcomes.response_stream(requests, attempts, delay, horizon), "responses"), run(attempts, "attempt_log")]
+    with state_partitions(requests.sparkSession, partitions):
+        join = run(outcomes.response_stream(requests, attempts, delay, horizon), "responses")
+    return [join, run(attempts, "attempt_log")]
 
 
 def late_responses(spark: SparkSession, out: str) -> DataFrame:

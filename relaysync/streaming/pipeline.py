@@ -12,10 +12,12 @@ updates that readers fold with the same aggregate (merge on read).
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relaysync import storage
 from relaysync.schema import RAW_EVENTS_DDL
 from relaysync.session import scratch_dir
 from relaysync.streaming.batches import BatchLog, log_writer
@@ -65,6 +67,39 @@ def stage_by_hash(df: DataFrame, path: str, *key: str, chunks: int = 3, fmt: str
     return files
 
 
+def time_cuts(df: DataFrame, time_col: str, chunks: int) -> list[int]:
+    """Times, in microseconds, that cut the rows of ``df`` into about ``chunks`` equal parts; rows of one time stay together."""
+    if chunks < 2:
+        return []
+    shares = [k / chunks for k in range(1, chunks)]
+    cuts = df.agg(F.percentile_approx(F.unix_micros(time_col), shares, max(10_000, 100 * chunks))).first()[0]
+    return sorted(set(cuts or []))
+
+
+def chunk_of(time_col: str, cuts: list[int]) -> Column:
+    """The number of the part that a time lies in, earliest first; rows without a time are in the last."""
+    us = F.unix_micros(time_col)
+
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(us < cuts[mid], between(lo, mid)).otherwise(between(mid + 1, hi))
+
+    return between(0, len(cuts))
+
+
+def stage_whole(df: DataFrame, path: str, files: int) -> None:
+    """Land ``df``, dealt over ``files`` tasks, as exactly that many files, empty ones where it has too few rows.
+
+    A trigger of so many files then takes all of it and nothing else.
+    """
+    df.write.option("maxRecordsPerFile", 0).parquet(f"{path}/rows")
+    found = [n for n in storage.names(f"{path}/rows") if not n.startswith("_")]
+    for k in range(len(found), files):
+        df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.parquet(f"{path}/empty-{k}")
+
+
 def read_stream(spark: SparkSession, path: str, ddl: str, max_files: int = 2, fmt: str = "json") -> DataFrame:
     return (spark.readStream.schema(ddl).format(fmt).option("maxFilesPerTrigger", max_files)
             .option("recursiveFileLookup", "true").load(path))
@@ -98,6 +133,19 @@ def run_available_now(stream: DataFrame, sink: str, checkpoint: str, mode: str =
     return q
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None):
+    """Queries that are started inside keep their state in ``n`` partitions (None: as many as the session shuffles to)."""
+    key = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(key)
+    if n is not None:
+        spark.conf.set(key, str(n))
+    try:
+        yield  # a query takes the setting when it is started
+    finally:
+        spark.conf.set(key, was)
+
+
 def read_sink(spark: SparkSession, sink: str) -> DataFrame:
     """The committed rows of a sink, with ``batch_id``."""
     rows = BatchLog(spark, sink).read("rows")
